@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing
+from . import langid, mixing, simhash
 from .common import crc_mod, table
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "passes")
 
@@ -20,7 +24,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op8_source_mixing": op8_source_mixing, "op9_language_id": op9_language_id}
+QUERIES = {"op5_simhash_near_dedup": op5_simhash_near_dedup, "op8_source_mixing": op8_source_mixing, "op9_language_id": op9_language_id}
 
 ORACLES = {
     "op8_source_mixing": """
