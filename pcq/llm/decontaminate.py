@@ -80,11 +80,12 @@ def contaminated(
     small = parts.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), word_array(F.col(text_col)).alias("_w")).filter(F.size("_w") > 0)
+    texts = docs.select(F.col(id_col).alias("doc_id"), word_array(F.col(text_col)).alias("_w"))
     texts = texts.select("doc_id", F.size("_w").alias("_len"), shingle_hashes(F.col("_w")).alias("_doc"))
     # A row is known by its id and its text, so rows that share an id (or have none) stay apart.
     texts = texts.withColumn("_dk", F.xxhash64("doc_id", "_doc"))
-    at = texts.select("_dk", "_len", F.posexplode("_doc").alias("_pos", "_dh"))
+    # The outer form keeps the optimiser from testing the array's size in the scan, which would work it out twice.
+    at = texts.select("_dk", "_len", F.posexplode_outer("_doc").alias("_pos", "_dh"))
     hits = at.join(hint(parts), at["_dh"] == parts["_h"]).groupBy("_dk", "_len", "_ik", "_n", "_words").agg(F.array_sort(F.collect_set("_pos")).alias("_hits"))
     # From a hit, `_need` hits must lie within the window's _n places; the window starts at most _n - _need before it.
     need = F.greatest(F.lit(1), F.ceil(F.lit(similarity) * F.least("_n", F.greatest(F.col("_len") - SHINGLE + 1, F.lit(1)))).cast("int"))

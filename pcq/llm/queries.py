@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, simhash
-from .common import crc_mod, table
+from . import decontaminate, idfiles, langid, mixing, simhash
+from .common import Scratch, crc_mod, table
+
+#: Where the vocabulary files of public tokenizers lie on this machine.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'op6').root}/ids"
+    idfiles.write(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/word_bpe_49k.json")
+    return idfiles.digest(idfiles.read(spark, path))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +37,35 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op5_simhash_near_dedup": op5_simhash_near_dedup, "op8_source_mixing": op8_source_mixing, "op9_language_id": op9_language_id}
+QUERIES = {"op4_benchmark_decontamination": op4_benchmark_decontamination, "op6_token_id_output": op6_token_id_output, "op5_simhash_near_dedup": op5_simhash_near_dedup, "op8_source_mixing": op8_source_mixing, "op9_language_id": op9_language_id}
 
 ORACLES = {
+    "op4_benchmark_decontamination": """
+WITH dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents
+), iw AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
+), ds AS (
+  SELECT doc_id, len(w) AS words, greatest(len(w) - 4, 1) AS n, unnest(range(greatest(len(w) - 4, 1))) AS pos, w FROM dw WHERE len(w) > 0
+), dsh AS (SELECT doc_id, words, n, pos, array_to_string(w[pos + 1 : pos + 5], ' ') AS s FROM ds
+), ish AS (
+  SELECT item_id, words, n, s, count(*) AS c FROM (
+    SELECT item_id, len(w) AS words, greatest(len(w) - 4, 1) AS n, w, unnest(range(greatest(len(w) - 4, 1))) AS pos FROM iw WHERE len(w) > 0
+  ) t, LATERAL (SELECT array_to_string(w[pos + 1 : pos + 5], ' ') AS s) GROUP BY ALL
+), hits AS (
+  SELECT d.doc_id, i.item_id, i.n, i.words, d.n AS dn, greatest(d.words - i.words, 0) AS last, d.pos, d.s, i.c FROM dsh d JOIN ish i USING (s)
+), starts AS (
+  SELECT DISTINCT doc_id, item_id, n, words, dn, unnest(range(greatest(pos - n + 1, 0), least(pos, last) + 1)) AS start FROM hits
+), shared AS (
+  SELECT s.doc_id, s.item_id, s.start, s.n, s.words, s.dn, h.s, least(count(*), any_value(h.c)) AS m
+  FROM starts s JOIN hits h ON s.doc_id = h.doc_id AND s.item_id = h.item_id AND h.pos BETWEEN s.start AND s.start + s.n - 1 GROUP BY ALL
+), sims AS (
+  SELECT doc_id, item_id, start, words, CAST(sum(m) AS DOUBLE) / CAST(least(n, dn - start) + n - sum(m) AS DOUBLE) AS similarity
+  FROM shared GROUP BY doc_id, item_id, start, n, words, dn
+)
+SELECT doc_id, item_id, similarity, CAST(start AS INTEGER) AS start, CAST(words AS INTEGER) AS n_words FROM sims WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+""",
     "op8_source_mixing": """
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
