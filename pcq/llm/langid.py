@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -184,18 +184,31 @@ def fit(docs: DataFrame, learn: Column, params: LangParams = LangParams(), text_
     return LanguageModel(names, w.astype(np.float32), idf, temperature, p)
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (the calibrated probability); null, empty and letterless texts get `und` and 0.
-
-    Columns of docs named lang_pred or score are replaced. Repeated rows are judged alike; an empty table stays empty.
-    """
+def judge(model: LanguageModel, docs: DataFrame) -> Callable[[Column], Column]:
+    """A function from a text column to a struct lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.idf, model.temperature, model.params))
 
     @F.pandas_udf("lang_pred string, score double")
-    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = LanguageModel(*shared.value)
         for batch in texts:
             yield pd.DataFrame([m.score(t) for t in batch], columns=["lang_pred", "score"])
 
-    out = docs.drop("lang_pred", "score").withColumn("_judged", judge(F.col(text_col)))
+    return run
+
+
+def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score (the calibrated probability); null, empty and letterless texts get `und` and 0.
+
+    Columns of docs named lang_pred or score are replaced. Repeated rows are judged alike; an empty table stays empty.
+    """
+    out = docs.drop("lang_pred", "score").withColumn("_judged", judge(model, docs)(F.col(text_col)))
     return out.withColumn("lang_pred", F.col("_judged.lang_pred")).withColumn("score", F.col("_judged.score")).drop("_judged")
+
+
+def keep_known(docs: DataFrame, learn: Column | None = None, min_confidence: float = 0.5, params: LangParams = LangParams(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs less the documents that the model rejects: no letter, or no language with at least min_confidence. The model
+    learns from the rows where `learn` holds (all, if not given). All columns stay as they are."""
+    model = fit(docs, F.lit(True) if learn is None else learn, params, text_col, lang_col)
+    judged = docs.withColumn("_judged", judge(model, docs)(F.col(text_col)))
+    return judged.filter((F.col("_judged.lang_pred") != UNKNOWN) & (F.col("_judged.score") >= min_confidence)).select(*docs.columns)

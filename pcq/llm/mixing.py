@@ -112,3 +112,13 @@ def mix(
     passes = F.col("_whole") + F.when(F.col("_h") < F.col("_from"), 1).otherwise(0)
     out = _join_source(rows, cuts, n_sources).withColumn("passes", passes)
     return out.select("doc_id", "source", "size", "source_size", "target", "passes", (F.col("passes") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with its columns. Rows that share an id share a fate."""
+    taken = mix(docs, id_col=id_col, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), "passes")
+    source_col = options.get("source_col", "source")
+    # Rows are known by id and source; both sides of the join are split where a key is crowded.
+    taken = taken.groupBy("_id", "_src").agg(F.max("passes").alias("_passes")).filter("_passes > 0")
+    out = docs.join(taken, docs[id_col].eqNullSafe(taken["_id"]) & docs[source_col].cast("string").eqNullSafe(taken["_src"]))
+    return out.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_passes")))).select(*[docs[c] for c in docs.columns])

@@ -46,23 +46,35 @@ def triples() -> list[tuple[int, int, int]]:
     return out
 
 
-def fingerprint(text: str | None, size: int = 4) -> int:
-    """The SimHash of a text's shingles, repeats included: a bit is set if it is in over half of the shingles' XXH64.
-    Words are runs of anything but ASCII white space, A-Z lower-cased. A text shorter than a shingle is hashed as one; a
-    text without words (or null) has fingerprint 0."""
+def _bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many rows of a table of u64 have each bit set; summed as u8 over 255 rows at a time, which cannot overflow."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
+    return np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
+
+
+def _shingles(text: str | None, size: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles, in order, repeats included; some at a time. Nothing for a text without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - size + 1)
     starts, ends = starts[:n].tolist(), (ends[size - 1 :] if len(words) >= size else ends[-1:]).tolist()
-    tally = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, _CHUNK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK], strict=True)], np.uint64)
-        tally += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK], strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, size: int = 4) -> int:
+    """The SimHash of a text's shingles, repeats included: a bit is set if it is in over half of the shingles' XXH64.
+    Words are runs of anything but ASCII white space, A-Z lower-cased. A text shorter than a shingle is hashed as one; a
+    text without words (or null) has fingerprint 0."""
+    tally, n = np.zeros(64, np.int64), 0
+    for h in _shingles(text, size):
+        tally += _bit_counts(h.reshape(-1, 1))
+        n += len(h)
     return int(np.packbits(tally * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -179,3 +191,153 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = made.join(named, made["_fp"] == named["_f"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
+
+
+# Near copies by similarity: the pipeline's stage.
+#
+# Texts of similarity 0.8 differ in some 10 of 64 bits, too many for the guarantee above. So the stage takes a 256-bit
+# fingerprint of 32 bytes and posts it under PROBES triples of byte positions. A pair is a candidate if it meets under a
+# triple and its first 64 bits differ in at most NEAR_64; it must then share LEAST_SHARED of the 32 bytes; its exact
+# Jaccard similarity decides. Two bits of a pair of similarity s agree with probability 1 - acos(2s / (1 + s)) / pi.
+WIDE, PROBES, NEAR_64, LEAST_SHARED = 4, 128, 22, 3
+#: Up to so many removed rows (a long each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_REMOVED = 1_000_000
+_SPREAD = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def probes() -> list[tuple[int, int, int]]:
+    """PROBES triples of the 32 byte positions, the same ones on every run, spread evenly over the positions."""
+    rng = np.random.default_rng(SEED)
+    out: set[tuple[int, int, int]] = set()
+    while len(out) < PROBES:
+        out.update(tuple(sorted(int(x) for x in t)) for t in rng.permutation(8 * WIDE)[: 8 * WIDE // 3 * 3].reshape(-1, 3))
+    return sorted(out)[:PROBES]
+
+
+def wide_fingerprint(text: str | None, size: int) -> tuple[bytes, bytes]:
+    """A SimHash of 256 bits, and a digest of the words as they stand in order."""
+    tally, n = np.zeros(64 * WIDE, np.int64), 0
+    for h in _shingles(text, size):
+        wide = h[:, None] * _SPREAD
+        wide ^= wide >> np.uint64(32)
+        tally += _bit_counts(np.ascontiguousarray(wide))
+        n += len(h)
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    return np.packbits(tally * 2 > n, bitorder="little").tobytes(), xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def _nearest_forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j): each entry with the nearest one of every other component found so far within NEAR_64 bits."""
+    label = np.arange(len(fp))
+    u, v = [], []
+    for i in range(len(fp)):
+        far = np.bitwise_count(fp[i] ^ fp)
+        near = np.flatnonzero((far <= NEAR_64) & (label != label[i]))
+        if len(near):
+            near = near[np.argsort(far[near], kind="stable")]
+            roots, first = np.unique(label[near], return_index=True)
+            u.append(np.full(len(roots), i))
+            v.append(near[first])
+            label[np.isin(label, roots)] = label[i]
+    return (np.concatenate(u), np.concatenate(v)) if u else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _candidates(groups: pd.DataFrame) -> pd.DataFrame:
+    """Candidate pairs within each run of rows (key, fp, id) of equal key."""
+    key, fp, ids = groups["key"].to_numpy(), groups["fp"].to_numpy().view(np.uint64), groups["id"].to_numpy()
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    sizes = np.diff(cut)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
+    us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for d in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
+        a, b = at[:-d], at[d:]
+        near = (group[a] == group[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= NEAR_64)
+        us.append(ids[a[near]])
+        vs.append(ids[b[near]])
+    for g in np.flatnonzero(sizes > SMALL):
+        a, b = _nearest_forest(fp[cut[g] : cut[g + 1]])
+        us.append(ids[cut[g] + a])
+        vs.append(ids[cut[g] + b])
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """docs less near copies: of each group the row with the smallest id stays, with all its columns.
+
+    Texts whose words are the same (A-Z lower-cased) are one; other texts are linked if their sets of word shingles
+    reach the Jaccard similarity. Groups follow links. Texts without words (null, empty) are alike. A null id is larger
+    than any other; of repeated rows one stays. An empty table stays empty. Lists of more than SMALL entries report,
+    instead of all their pairs, a forest that joins each entry to its nearest one in every other component.
+    """
+    spark = docs.sparkSession
+    tmp = Scratch(spark, "near")
+    saved = tmp.save(docs.withColumn("_uid", F.monotonically_increasing_id()), "docs")
+
+    @F.pandas_udf("fp binary, exact binary")
+    def make(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            yield pd.DataFrame([wide_fingerprint(t, size) for t in batch], columns=["fp", "exact"])
+
+    rows = saved.select("_uid", F.col(id_col).alias("_id"), make(F.col(text_col)).alias("_f"))
+    rows = tmp.save(rows.select("_uid", "_id", "_f.fp", "_f.exact"), "rows")
+    best = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_uid").alias("u")))
+    texts = tmp.save(rows.groupBy("exact").agg(best.alias("_best"), F.first("fp").alias("fp")).select("_best", F.col("_best.u").alias("id"), "fp"), "texts")
+
+    number = lambda k: F.conv(F.hex(F.substring("fp", k + 1, 1)), 16, 10).cast("long")
+    head = F.lit(0).cast("long")
+    for k in range(8):
+        head = head.bitwiseOR(F.shiftleft(number(k), 8 * k))
+    byte = texts.select("id", head.alias("fp"), F.array(*[number(k) for k in range(8 * WIDE)]).alias("_b"))
+    keys = F.array(*[F.lit(k << 24).bitwiseOR(F.shiftleft(F.get("_b", F.lit(a)), 16)).bitwiseOR(F.shiftleft(F.get("_b", F.lit(b)), 8)).bitwiseOR(F.get("_b", F.lit(c))) for k, (a, b, c) in enumerate(probes())])
+    posted = tmp.save(byte, "bytes").select("id", "fp", F.explode(keys).alias("key"))
+    posted = posted.repartition(partitions(spark), "key").sortWithinPartitions("key")
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            first = int((batch["key"] == batch["key"].iloc[-1]).to_numpy().argmax())
+            if first:
+                yield _candidates(batch.iloc[:first].reset_index(drop=True))
+            rest = batch.iloc[first:].reset_index(drop=True)
+            if len(rest) > 2 * BLOCK:
+                # A long list: its forest over the first block goes out, and the block's last entries meet the next ones.
+                yield _candidates(rest.iloc[:BLOCK].reset_index(drop=True))
+                rest = rest.iloc[BLOCK // 2 :].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield _candidates(rest)
+
+    pairs = posted.mapInPandas(meet, "u long, v long").distinct()
+    fps = texts.select("id", "fp")
+    pairs = pairs.join(fps.select(F.col("id").alias("u"), F.col("fp").alias("_a")), "u").join(fps.select(F.col("id").alias("v"), F.col("fp").alias("_b")), "v")
+    shared = sum(F.when(F.substring("_a", k + 1, 1) == F.substring("_b", k + 1, 1), 1).otherwise(0) for k in range(8 * WIDE))
+    pairs = tmp.save(pairs.filter(shared >= LEAST_SHARED).select("u", "v"), "pairs")
+
+    @F.pandas_udf("binary")
+    def shingle_set(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([np.unique(np.concatenate(got)).tobytes() if (got := list(_shingles(t, size))) else b"" for t in batch])
+
+    @F.pandas_udf("double")
+    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / max(1, len(x) + len(y) - both))
+        return pd.Series(out)
+
+    asked = pairs.select(F.col("u").alias("_q")).union(pairs.select("v")).distinct()
+    sets = saved.join(asked, saved["_uid"] == asked["_q"], "left_semi").select("_uid", shingle_set(F.col(text_col)).alias("_s"))
+    sets = tmp.save(sets, "sets")
+    sided = pairs.join(sets.select(F.col("_uid").alias("u"), F.col("_s").alias("_x")), "u").join(sets.select(F.col("_uid").alias("v"), F.col("_s").alias("_y")), "v")
+    linked = sided.filter(jaccard("_x", "_y") >= least).select("u", "v")
+
+    found = components(linked, tmp)
+    classed = texts.join(found, texts["id"] == found["node"], "left").select("_best", F.coalesce("root", "id").alias("_root"))
+    stays = classed.groupBy("_root").agg(F.min("_best").alias("_best")).select(F.col("_best.u").alias("_k"))
+    gone = tmp.save(rows.select("_uid").join(stays, rows["_uid"] == stays["_k"], "left_anti").select(F.col("_uid").alias("_g")), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_REMOVED else gone
+    return saved.join(gone, saved["_uid"] == gone["_g"], "left_anti").select(*docs.columns)
