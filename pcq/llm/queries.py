@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, idfiles, langid, mixing, simhash, toxicity
+from . import ann, decontaminate, idfiles, langid, mixing, simhash, toxicity, urlfilter
 from .common import Scratch, crc_mod, table
 
 #: Where the vocabulary files of public tokenizers lie on this machine.
@@ -16,6 +16,10 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_mod(F.col("doc_id"), 5) == 0
@@ -49,7 +53,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_nearest_neighbours": op1_nearest_neighbours, "op3_toxicity": op3_toxicity, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op6_token_id_output": op6_token_id_output, "op5_simhash_near_dedup": op5_simhash_near_dedup, "op8_source_mixing": op8_source_mixing, "op9_language_id": op9_language_id}
+QUERIES = {"op1_nearest_neighbours": op1_nearest_neighbours, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op6_token_id_output": op6_token_id_output, "op5_simhash_near_dedup": op5_simhash_near_dedup, "op8_source_mixing": op8_source_mixing, "op9_language_id": op9_language_id}
 
 ORACLES = {
     "op4_benchmark_decontamination": """
