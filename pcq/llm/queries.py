@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, idfiles, langid, mixing, simhash, toxicity, urlfilter
+from . import ann, decontaminate, idfiles, langid, mixing, pitman_yor, simhash, toxicity, urlfilter
 from .common import Scratch, crc_mod, table
 
 #: Where the vocabulary files of public tokenizers lie on this machine.
@@ -53,7 +53,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_nearest_neighbours": op1_nearest_neighbours, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op6_token_id_output": op6_token_id_output, "op5_simhash_near_dedup": op5_simhash_near_dedup, "op8_source_mixing": op8_source_mixing, "op9_language_id": op9_language_id}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 10) != 0)
+
+
+QUERIES = {"op1_nearest_neighbours": op1_nearest_neighbours, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op6_token_id_output": op6_token_id_output, "op5_simhash_near_dedup": op5_simhash_near_dedup, "op8_source_mixing": op8_source_mixing, "op9_language_id": op9_language_id, "op10_lm_scoring": op10_lm_scoring}
 
 ORACLES = {
     "op4_benchmark_decontamination": """
