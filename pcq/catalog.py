@@ -1,4 +1,5 @@
 """The queries that the package registers, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
