@@ -25,17 +25,28 @@ from . import idcoder
 from .common import Scratch
 
 SHARD = idcoder.BLOCK * idcoder.LANES
-#: Words kept with their ids in a worker; the cache starts anew beyond that.
-CACHE = 400_000
+#: Words kept with their ids in a worker, twice: when the new ones are so many, they become the old ones.
+CACHE = 300_000
 #: Up to so many shards a row of three longs for each is broadcast.
 BROADCAST_SHARDS = 100_000
 SCHEMA = "part int, shard int, n_tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, block_bytes array<int>, payload binary"
-#: Latin letters, then full stops and commas: such a word's ids are those of the letters, then of the marks.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]*)")
+#: Latin letters (each one code point in lower case), then full stops and commas: such a word's ids are those of the
+#: letters, then of the marks, as the tokenizer's model gives them.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įıĲ-ɏ]+)([.,]*)")
 #: Python's split() takes these for white space; the tokenizer's white space does not hold them.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
+def _byte_chars() -> dict[int, str]:
+    """The printable characters that byte-level vocabularies write bytes with."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class WordTokenizer:
     """Ids by the tokenizers library, with a cache. Its pre-tokenizer never joins what white space parts, so a text's
     ids are those of its words in a row; texts with odd control characters are encoded as a whole."""
@@ -45,29 +56,42 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_str(spec)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         top = self.inner.get_vocab_size(with_added_tokens=True)
         if top > 1 << 16:
             raise ValueError(f"ids are stored as u16; this vocabulary has {top}")
+        # Letters and marks can go straight to the model if the text around it does what this shortcut assumes.
+        probe = ["Abc", "Éclair,", "ÜBER...", "ñandú.,", "ſǆ"]
+        self.direct = all(self._plain(w) == self._whole([w])[0] for w in probe)
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u2").tobytes() for e in self.inner.encode_batch(words, add_special_tokens=False)]
+
+    def _part(self, text: str) -> bytes:
+        found = self.known.get(text) or self.old.get(text)
+        if found is None:
+            mapped = text.encode().decode("latin-1").translate(_BYTE_CHARS)
+            found = np.array([t.id for t in self.inner.model.tokenize(mapped)], "<u2").tobytes()
+        self.known[text] = found
+        return found
+
+    def _plain(self, word: str) -> bytes:
+        m = _PLAIN.fullmatch(word)
+        return self._part(m[1].lower()) + (self._part(m[2]) if m[2] else b"")
 
     def _learn(self, words: set[str]) -> None:
         if len(self.known) > CACHE:
-            self.known.clear()
-        plain, ask = {}, set()
+            self.known, self.old = {}, self.known
+        ask = []
         for w in words:
-            m = _PLAIN.fullmatch(w)
-            if m:
-                core = m[1].lower() if m[1].isascii() else m[1]
-                plain[w] = (core, m[2])
-                ask.update(x for x in (core, m[2]) if x and x not in self.known)
+            if w in self.old:
+                self.known[w] = self.old[w]
+            elif self.direct and _PLAIN.fullmatch(w):
+                self.known[w] = self._plain(w)
             else:
-                ask.add(w)
-        ask_list = list(ask)
-        for at in range(0, len(ask_list), 10_000):
-            part = ask_list[at : at + 10_000]
-            for w, e in zip(part, self.inner.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u2").tobytes()
-        for w, (core, marks) in plain.items():
-            self.known[w] = self.known[core] + (self.known[marks] if marks else b"")
+                ask.append(w)
+        for w, ids in zip(ask, self._whole(ask) if ask else [], strict=True):
+            self.known[w] = ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian u16; none for null."""
@@ -80,7 +104,8 @@ class WordTokenizer:
             try:
                 out.append(b"".join(map(self.known.__getitem__, words)))
             except KeyError:
-                self._learn({w for w in words if w not in self.known} if len(self.known) <= CACHE else set(words))
+                new = set(words)
+                self._learn(new if len(self.known) > CACHE else {w for w in new if w not in self.known})
                 out.append(b"".join(map(self.known.__getitem__, words)))
         return out
 
