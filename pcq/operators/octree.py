@@ -25,18 +25,21 @@ def axis_cell(v: Column, lo: float, hi: float, depth: int = DEPTH) -> Column:
 
 
 def with_path(points: DataFrame, lo: tuple, hi: tuple, depth: int = DEPTH) -> DataFrame:
-    """Adds path: 'r' and a digit for each level, 4 * x + 2 * y + z of the upper halves."""
-    cells = points.withColumns({f"_{c}": axis_cell(F.col(c), lo[k], hi[k], depth) for k, c in enumerate("xyz")})
-    bit = lambda c, k: F.shiftright(F.col(f"_{c}"), depth - 1 - k).bitwiseAND(F.lit(1))
+    """Adds path: 'r' and a digit for each level, 4 * x + 2 * y + z of the upper halves; and cell_x, cell_y, cell_z, the
+    cells of the deepest level."""
+    cells = points.withColumns({f"cell_{c}": axis_cell(F.col(c), lo[k], hi[k], depth) for k, c in enumerate("xyz")})
+    bit = lambda c, k: F.shiftright(F.col(f"cell_{c}"), depth - 1 - k).bitwiseAND(F.lit(1))
     digits = [(bit("x", k) * 4 + bit("y", k) * 2 + bit("z", k)).cast("string") for k in range(depth)]
-    return cells.withColumn("path", F.concat(F.lit("r"), *digits)).drop("_x", "_y", "_z")
+    return cells.withColumn("path", F.concat(F.lit("r"), *digits))
 
 
 def nodes(pathed: DataFrame, leaf_size: int, depth: int = DEPTH) -> DataFrame:
-    """name, depth, num_points (of the subtree), child_mask, is_leaf."""
-    deepest = pathed.groupBy("path").agg(F.count("*").alias("_n"))
+    """name, depth, num_points (of the subtree), child_mask, is_leaf, and the node's cells at its own depth."""
+    cells = [f"cell_{c}" for c in "xyz"]
+    deepest = pathed.groupBy("path").agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in cells])
     level = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth")
-    every = deepest.select("path", "_n", level).groupBy(F.expr("substring(path, 1, depth + 1)").alias("name"), "depth").agg(F.sum("_n").alias("num_points"))
+    shifted = [F.min(F.call_function("shiftright", F.col(c), F.lit(depth) - F.col("depth"))).alias(c) for c in cells]
+    every = deepest.select("path", "_n", *cells, level).groupBy(F.expr("substring(path, 1, depth + 1)").alias("name"), "depth").agg(F.sum("_n").alias("num_points"), *shifted)
     parent = every.select(F.col("name").alias("_p"), F.col("num_points").alias("_pn"))
     up = F.when(F.col("depth") > 0, F.expr("substring(name, 1, depth)"))
     kept = every.withColumn("_up", up).join(parent, F.col("_up") == F.col("_p"), "left").filter((F.col("depth") == 0) | (F.col("_pn") > leaf_size))
@@ -44,17 +47,21 @@ def nodes(pathed: DataFrame, leaf_size: int, depth: int = DEPTH) -> DataFrame:
     masks = kept.filter("depth > 0").groupBy("_up").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), digit)).alias("child_mask")).withColumnRenamed("_up", "_m")
     out = kept.join(masks, F.col("name") == F.col("_m"), "left")
     mask = F.coalesce("child_mask", F.lit(0))
-    return out.select("name", "depth", "num_points", mask.alias("child_mask"), (mask == 0).alias("is_leaf"))
+    return out.select("name", "depth", "num_points", mask.alias("child_mask"), (mask == 0).alias("is_leaf"), *cells)
+
+
+def cells_of_names(nodes: DataFrame) -> DataFrame:
+    """Adds cell_x, cell_y, cell_z to nodes that only have a name, walking its digits."""
+    step = "aggregate(sequence(2, length(name)), 0, (a, i) -> CASE WHEN i > length(name) THEN a ELSE a * 2 + (shiftright(cast(substring(name, i, 1) AS int), {}) & 1) END)"
+    return nodes.withColumns({f"cell_{c}": F.when(F.length("name") > 1, F.expr(step.format(2 - k))).otherwise(0) for k, c in enumerate("xyz")})
 
 
 def with_box(nodes: DataFrame, lo: tuple, hi: tuple) -> DataFrame:
-    """Adds the node's box, bounding radius and spacing, walking the digits of its name."""
-    out = nodes
+    """Adds the node's box, bounding radius and spacing, from its cells (or else from its name)."""
+    out = nodes if "cell_x" in nodes.columns else cells_of_names(nodes)
     for k, c in enumerate("xyz"):
-        place = f"aggregate(sequence(2, length(name)), 0, (a, i) -> CASE WHEN i > length(name) THEN a ELSE a * 2 + (shiftright(cast(substring(name, i, 1) AS int), {2 - k}) & 1) END)"
-        cell = F.when(F.length("name") > 1, F.expr(place)).otherwise(0)
         side = F.lit(float(hi[k] - lo[k])) / F.pow(F.lit(2.0), F.length("name") - 1)
-        out = out.withColumn(f"min_{c}", F.lit(float(lo[k])) + cell * side).withColumn(f"max_{c}", F.lit(float(lo[k])) + (cell + 1) * side)
+        out = out.withColumn(f"min_{c}", F.lit(float(lo[k])) + F.col(f"cell_{c}") * side).withColumn(f"max_{c}", F.lit(float(lo[k])) + (F.col(f"cell_{c}") + 1) * side)
     half = sum((F.col(f"max_{c}") - F.col(f"min_{c}")) * (F.col(f"max_{c}") - F.col(f"min_{c}")) for c in "xyz")
     diagonal = sum((h - a) ** 2 for a, h in zip(lo, hi, strict=True)) ** 0.5
     return out.withColumn("radius", F.sqrt(half) / 2).withColumn("spacing", F.lit(diagonal) / F.pow(F.lit(2.0), F.length("name") - 1))

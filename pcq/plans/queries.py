@@ -656,10 +656,10 @@ def view_index(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", C.view_index(F.col("value"), 8).alias("bin8"), C.view_index(F.col("value"), 4).alias("bin4"))
 
 
-@query("SELECT event_id, round(cos(radians(user_id::DOUBLE)) * cos(radians(value)), 6) AS lx, round(cos(radians(user_id::DOUBLE)) * sin(radians(value)), 6) AS ly, round(sin(radians(user_id::DOUBLE)), 6) AS lz FROM events")
+@query("SELECT event_id, round(cos(radians(user_id::DOUBLE)) * cos(radians(value)), 6) + 0e0 AS lx, round(cos(radians(user_id::DOUBLE)) * sin(radians(value)), 6) + 0e0 AS ly, round(sin(radians(user_id::DOUBLE)), 6) AS lz FROM events")
 def light_direction(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
-    return e.select("event_id", *[F.round(c, 6).alias(n) for c, n in zip(S.light_direction(F.col("value"), F.col("user_id").cast("double")), ("lx", "ly", "lz"), strict=True)])
+    return e.select("event_id", *[(F.round(c, 6) + 0.0).alias(n) for c, n in zip(S.light_direction(F.col("value"), F.col("user_id").cast("double")), ("lx", "ly", "lz"), strict=True)])
 
 
 @query("""WITH t AS (SELECT event_id, (event_id % 41 - 20) / 20e0 AS u, (event_id // 41 % 41 - 20) / 20e0 AS v FROM events), r AS (SELECT *, sqrt(u * u + v * v) AS d FROM t), s AS (SELECT *, least(greatest((d - 0.9e0) / 0.1e0, 0e0), 1e0) AS k FROM r)
