@@ -1 +1,32 @@
 """Readers and writers of point-cloud formats."""
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .las import LasSource
+from .ply import PlySource
+from .potree import HierarchySource, PotreeSource
+from .rxp import RxpSource
+from .xyz import read_xyz
+
+#: Readers by suffix, in the order in which they are tried.
+FORMATS = ((".ply", "ply"), (".ply.gz", "ply"), (".las", "las"), (".laz", "las"), (".xyz", "xyz"), (".txt", "xyz"), (".pts", "xyz"), (".rxp", "rxp"))
+
+
+def register(spark: SparkSession) -> None:
+    for source in (LasSource, PlySource, RxpSource, PotreeSource, HierarchySource):
+        spark.dataSource.register(source)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Points of a file, by its suffix, or of an octree dataset's metadata.json."""
+    low = path.lower()
+    if low.endswith("metadata.json"):
+        low_format = "potree"
+    else:
+        low_format = next((f for suffix, f in FORMATS if low.endswith(suffix)), None)
+    if low_format is None:
+        raise ValueError(f"{path}: no reader for this suffix")
+    if low_format == "xyz":
+        return read_xyz(spark, path)
+    register(spark)
+    return spark.read.format(low_format).load(path)

@@ -1,0 +1,196 @@
+"""Octree datasets: metadata.json, hierarchy.bin and octree.bin, read by ranges of nodes and written from a table.
+
+A node's block in octree.bin is planar: positions (three floats), colours (four bytes), intensities (u16), classes (u8).
+Only leaves have a block; inner nodes are written with byte_size 0 and read as such.
+"""
+
+from __future__ import annotations
+
+import json
+import math
+import os
+import struct
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from .records import RecordSource, batch
+
+# Attributes in the order of a block, with their bytes; bytes of a point.
+ATTRIBUTES = (("POSITION_CARTESIAN", 12), ("RGBA", 4), ("INTENSITY", 2), ("CLASSIFICATION", 1))
+POINT_BYTES = 19
+NODE_SCHEMA = "name string, depth int, num_points long, child_mask int, is_leaf boolean, byte_offset long, byte_size long"
+
+
+def _local(path: str) -> str:
+    return path.removeprefix("file://").rstrip("/").removesuffix("/metadata.json")
+
+
+def metadata(path: str) -> dict:
+    with open(f"{_local(path)}/metadata.json", encoding="utf-8") as f:
+        return json.load(f)
+
+
+def hierarchy(path: str) -> list[tuple]:
+    """Rows of NODE_SCHEMA; of entries with the same name the last one counts."""
+    with open(f"{_local(path)}/hierarchy.bin", "rb") as f:
+        raw = f.read()
+    at, found = 0, {}
+    while at < len(raw):
+        n = raw[at] & 0x3F
+        if not raw[at] & 0x80 or at + 1 + n + 22 > len(raw):
+            raise ValueError(f"{path}: damaged hierarchy at byte {at}")
+        name = raw[at + 1 : at + 1 + n].decode("ascii")
+        mask, _, points, offset, size = struct.unpack_from("<BBIqq", raw, at + 1 + n)
+        found[name] = (name, n - 1, points, mask, mask == 0, offset, size)
+        at += 1 + n + 22
+    return list(found.values())
+
+
+def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.createDataFrame(hierarchy(path), NODE_SCHEMA)
+
+
+@dataclass
+class Blocks(InputPartition):
+    blocks: list  # (name, offset, size, points, index of its first point)
+
+
+class PotreeReader(DataSourceReader):
+    """Option nodes: names to read, by commas; all leaves otherwise. Neighbouring blocks share a partition."""
+
+    def __init__(self, options):
+        self.path = _local(options["path"])
+        self.nodes = set(options["nodes"].split(",")) if options.get("nodes") else None
+        self.most = int(options.get("part_bytes", 64 << 20))
+        self.meta = metadata(self.path)
+
+    def partitions(self):
+        out, held, size, base = [], [], 0, 0
+        for name, _, points, _, _, offset, length in sorted(hierarchy(self.path)):
+            if length > 0 and points > 0:
+                if self.nodes is None or name in self.nodes:
+                    held.append((name, offset, length, points, base))
+                    size += length
+                base += points
+            if size >= self.most:
+                out.append(Blocks(held))
+                held, size = [], 0
+        return [*out, Blocks(held)]
+
+    def read(self, partition: Blocks) -> Iterator:
+        with open(f"{self.path}/octree.bin", "rb") as f:
+            for name, offset, size, n, base in partition.blocks:
+                f.seek(offset)
+                yield batch(decode_block(f.read(size), n, self.meta) | {"point_idx": np.arange(base, base + n)}, n, name)
+
+
+def decode_block(raw: bytes, n: int, meta: dict) -> dict:
+    """Planar attributes of n points to canonical columns; attributes that are not known are skipped."""
+    out, at = {}, 0
+    for a in meta["attributes"]:
+        name, size = a["name"], a["size"]
+        part = raw[at : at + n * size]
+        at += n * size
+        if len(part) < n * size:
+            raise ValueError("a node's block is shorter than its points")
+        if name == "POSITION_CARTESIAN":
+            if a.get("type") == "int32":
+                v = np.frombuffer(part, "<i4").reshape(n, 3) * np.array(meta.get("scale", 1)) + np.array(meta.get("offset", 0))
+            else:
+                v = np.frombuffer(part, "<f4").reshape(n, 3)
+            out |= {c: v[:, k].astype(np.float32) for k, c in enumerate("xyz")}
+        elif name in ("RGBA", "RGB"):
+            out |= {c: np.frombuffer(part, np.uint8).reshape(n, size)[:, k].astype(np.int16) for k, c in enumerate("rgb")}
+        elif name == "INTENSITY":
+            out["intensity"] = (np.frombuffer(part, "<u2") / 65535).astype(np.float32)
+        elif name == "CLASSIFICATION":
+            out["classification"] = np.frombuffer(part, np.uint8).astype(np.int16)
+        elif name == "RETURN_NUMBER":
+            out["return_number"] = (np.frombuffer(part, np.uint8) >> 4).astype(np.int16)
+        elif name == "NUMBER_OF_RETURNS":
+            out["num_returns"] = (np.frombuffer(part, np.uint8) & 15).astype(np.int16)
+        elif name == "SOURCE_ID":
+            out["source_id"] = np.frombuffer(part, "<u2").astype(np.int32)
+        elif name == "GPS_TIME":
+            out["gps_time"] = np.frombuffer(part, "<f8")
+    return out
+
+
+class PotreeSource(RecordSource):
+    @classmethod
+    def name(cls):
+        return "potree"
+
+    def reader(self, schema):
+        return PotreeReader(self.options)
+
+
+class HierarchyReader(DataSourceReader):
+    def __init__(self, options):
+        self.path = _local(options["path"])
+
+    def read(self, partition):
+        yield from hierarchy(self.path)
+
+
+class HierarchySource(DataSource):
+    @classmethod
+    def name(cls):
+        return "potree_hierarchy"
+
+    def schema(self):
+        return NODE_SCHEMA
+
+    def reader(self, schema):
+        return HierarchyReader(self.options)
+
+
+def write_dataset(points: DataFrame, path: str, lo: tuple, hi: tuple, leaf_size: int = 5000, depth: int = 12) -> dict:
+    """Index points and write a dataset into a folder that driver and executors share; returns its statistics.
+
+    Leaves are encoded where their points are, in tasks, into blocks at offsets that a running sum over leaves gives; the
+    driver only writes the node table. intensity is stored as u16 of 0..1, missing columns by their defaults."""
+    from ..operators import octree
+
+    root = _local(path)
+    os.makedirs(root, exist_ok=True)
+    pathed = octree.with_path(points, lo, hi, depth)
+    nodes = octree.nodes(pathed, leaf_size, depth)
+    placed = nodes.join(octree.byte_offsets(nodes), "name")
+    rows = sorted((r["name"], r["num_points"], r["child_mask"], r["is_leaf"], r["byte_offset"], r["byte_size"]) for r in placed.collect())
+    total = sum(r[5] for r in rows if r[3])
+    with open(f"{root}/octree.bin", "wb") as f:
+        f.truncate(total)
+    has = set(points.columns)
+    column = lambda c, default: F.coalesce(F.col(c).cast("double"), F.lit(default)) if c in has else F.lit(default)
+    leaves = octree.leaf_of(pathed, nodes, depth).select("leaf", "point_idx", *[F.col(c).cast("float") for c in "xyz"], *[column(c, 180.0).alias(c) for c in "rgb"], column("intensity", 0.0).alias("intensity"), column("classification", 0.0).alias("classification"))
+    offsets = placed.filter("is_leaf").select(F.col("name").alias("_leaf"), "byte_offset")
+    leaves = leaves.join(offsets, leaves["leaf"] == offsets["_leaf"])
+
+    def put(pdf):
+        p = pdf.sort_values("point_idx")
+        n = len(p)
+        rgba = np.full((n, 4), 255, np.uint8)
+        rgba[:, :3] = np.clip(p[["r", "g", "b"]].to_numpy(), 0, 255)
+        block = p[["x", "y", "z"]].to_numpy(np.float32).tobytes() + rgba.tobytes() + np.round(np.clip(p["intensity"].to_numpy(), 0, 1) * 65535).astype("<u2").tobytes() + p["classification"].to_numpy().astype(np.uint8).tobytes()
+        # The same bytes at the same place however often a task runs.
+        with open(f"{root}/octree.bin", "r+b") as f:
+            f.seek(int(p["byte_offset"].iloc[0]))
+            f.write(block)
+        return p[["leaf"]].head(1).assign(n=n)
+
+    written = leaves.groupBy("leaf").applyInPandas(put, "leaf string, n long").agg(F.sum("n")).first()[0] or 0
+    with open(f"{root}/hierarchy.bin", "wb") as f:
+        for name, n, mask, leaf, offset, size in rows:
+            f.write(bytes([0x80 | len(name)]) + name.encode() + struct.pack("<BBIqq", mask, 0, n, offset, size if leaf else 0))
+    diagonal = math.dist(lo, hi)
+    box = {f"{k}{c}": float(v) for k, ends in (("l", lo), ("u", hi)) for c, v in zip("xyz", ends, strict=True)}
+    meta = {"version": "2.0", "boundingBox": box, "spacing": diagonal, "scale": 1, "offset": [0, 0, 0], "attributes": [{"name": n, "size": s} for n, s in ATTRIBUTES], "hierarchy": {"firstChunkSize": len(rows)}}
+    with open(f"{root}/metadata.json", "w", encoding="utf-8") as f:
+        json.dump(meta, f)
+    return {"total_points": written, "total_nodes": len(rows), "leaf_nodes": sum(r[3] for r in rows), "bytes": total}
