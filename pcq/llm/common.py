@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,7 +36,10 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, table: str = "") -> None:
+        """Delete a table that nothing reads any more (or all); shuffle files of jobs that are out of reach go as well."""
         jvm = self.spark.sparkContext._jvm
+        gc.collect()
+        jvm.System.gc()
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, idfiles, langid, mixing, pitman_yor, simhash, toxicity, urlfilter
+from . import ann, decontaminate, idfiles, langid, mixing, pitman_yor, simhash, suffix, toxicity, urlfilter
 from .common import Scratch, crc_mod, table
 
 #: Where the vocabulary files of public tokenizers lie on this machine.
@@ -42,6 +42,11 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "passes")
 
@@ -57,7 +62,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 10) != 0)
 
 
-QUERIES = {"op1_nearest_neighbours": op1_nearest_neighbours, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op6_token_id_output": op6_token_id_output, "op5_simhash_near_dedup": op5_simhash_near_dedup, "op8_source_mixing": op8_source_mixing, "op9_language_id": op9_language_id, "op10_lm_scoring": op10_lm_scoring}
+QUERIES = {"op1_nearest_neighbours": op1_nearest_neighbours, "op2_url_filter": op2_url_filter, "op3_toxicity": op3_toxicity, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op6_token_id_output": op6_token_id_output, "op5_simhash_near_dedup": op5_simhash_near_dedup, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op8_source_mixing": op8_source_mixing, "op9_language_id": op9_language_id, "op10_lm_scoring": op10_lm_scoring}
 
 ORACLES = {
     "op4_benchmark_decontamination": """
