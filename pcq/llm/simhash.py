@@ -195,18 +195,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # Near copies by similarity: the pipeline's stage.
 #
-# Texts of similarity 0.8 differ in some 10 of 64 bits, too many for the guarantee above. So the stage takes a 256-bit
-# fingerprint of 32 bytes and posts it under PROBES triples of byte positions. A pair is a candidate if it meets under a
-# triple and its first 64 bits differ in at most NEAR_64; it must then share LEAST_SHARED of the 32 bytes; its exact
+# Texts of similarity 0.8 differ in some 10 of 64 bits, too many for the guarantee above. So the stage takes a 512-bit
+# fingerprint of 64 bytes and posts it under PROBES triples of byte positions. A pair is a candidate if it meets under a
+# triple and its first 64 bits differ in at most NEAR_64; it must then share LEAST_SHARED of the 64 bytes; its exact
 # Jaccard similarity decides. Two bits of a pair of similarity s agree with probability 1 - acos(2s / (1 + s)) / pi.
-WIDE, PROBES, NEAR_64, LEAST_SHARED = 4, 128, 22, 3
+WIDE, PROBES, NEAR_64, LEAST_SHARED = 8, 192, 24, 3
 #: Up to so many removed rows (a long each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_REMOVED = 1_000_000
-_SPREAD = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_SPREAD = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WIDE)], np.uint64)
 
 
 def probes() -> list[tuple[int, int, int]]:
-    """PROBES triples of the 32 byte positions, the same ones on every run, spread evenly over the positions."""
+    """PROBES triples of the byte positions, the same ones on every run, spread evenly over the positions."""
     rng = np.random.default_rng(SEED)
     out: set[tuple[int, int, int]] = set()
     while len(out) < PROBES:
@@ -215,7 +215,7 @@ def probes() -> list[tuple[int, int, int]]:
 
 
 def wide_fingerprint(text: str | None, size: int) -> tuple[bytes, bytes]:
-    """A SimHash of 256 bits, and a digest of the words as they stand in order."""
+    """A SimHash of 512 bits, and a digest of the words as they stand in order."""
     tally, n = np.zeros(64 * WIDE, np.int64), 0
     for h in _shingles(text, size):
         wide = h[:, None] * _SPREAD
