@@ -177,7 +177,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, params: AnnParams
     got = taken.orderBy(key, "vec_id").limit(p.sample).select("vec").toPandas()["vec"].tolist()
     dims = pd.Series([len(v) for v in got], dtype="int64")
     dim = int(dims.mode().max()) if len(dims) else 0
-    got = np.array([np.asarray(v, float) for v in got if len(v) == dim and not any(a is None for a in v)]).reshape(-1, dim)
+    got = np.array([np.asarray(v, float) for v in got if len(v) == dim and not any(a is None for a in v)]).reshape(-1, max(dim, 1))
     got = got[np.isfinite(got).all(1) & (got != 0).any(1)] if len(got) else got
     router = train(np.unique(got, axis=0), p, k) if len(got) else Router(np.zeros(dim), np.ones(dim), np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     shared = spark.sparkContext.broadcast(router)
