@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .las import LasSource
 from .ply import PlySource
-from .potree import HierarchySource, PotreeSource
+from .octree_dataset import HierarchySource, OctreeSource
 from .rxp import RxpSource
 from .xyz import read_xyz
 
@@ -13,7 +13,7 @@ FORMATS = ((".ply", "ply"), (".ply.gz", "ply"), (".las", "las"), (".laz", "las")
 
 
 def register(spark: SparkSession) -> None:
-    for source in (LasSource, PlySource, RxpSource, PotreeSource, HierarchySource):
+    for source in (LasSource, PlySource, RxpSource, OctreeSource, HierarchySource):
         spark.dataSource.register(source)
 
 
@@ -21,7 +21,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     """Points of a file, by its suffix, or of an octree dataset's metadata.json."""
     low = path.lower()
     if low.endswith("metadata.json"):
-        low_format = "potree"
+        low_format = "octree"
     else:
         low_format = next((f for suffix, f in FORMATS if low.endswith(suffix)), None)
     if low_format is None:

@@ -60,7 +60,7 @@ class Blocks(InputPartition):
     blocks: list  # (name, offset, size, points, index of its first point)
 
 
-class PotreeReader(DataSourceReader):
+class OctreeReader(DataSourceReader):
     """Option nodes: names to read, by commas; all leaves otherwise. Neighbouring blocks share a partition."""
 
     def __init__(self, options):
@@ -121,13 +121,13 @@ def decode_block(raw: bytes, n: int, meta: dict) -> dict:
     return out
 
 
-class PotreeSource(RecordSource):
+class OctreeSource(RecordSource):
     @classmethod
     def name(cls):
-        return "potree"
+        return "octree"
 
     def reader(self, schema):
-        return PotreeReader(self.options)
+        return OctreeReader(self.options)
 
 
 class HierarchyReader(DataSourceReader):
@@ -141,7 +141,7 @@ class HierarchyReader(DataSourceReader):
 class HierarchySource(DataSource):
     @classmethod
     def name(cls):
-        return "potree_hierarchy"
+        return "octree_hierarchy"
 
     def schema(self):
         return NODE_SCHEMA

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from pcq import sources
-from pcq.sources import potree
+from pcq.sources import octree_dataset
 from pcq.sources.xyz import parse_lines
 
 
@@ -116,14 +116,14 @@ def test_octree_dataset_round_trip(spark, tmp_path):
     xyz = rng.random((500, 3)).astype(np.float32)
     rows = [(k, *map(float, p), k % 256, 0, 7, float(k % 11) / 10, k % 9) for k, p in enumerate(xyz)]
     df = spark.createDataFrame(rows, "point_idx long, x float, y float, z float, r int, g int, b int, intensity float, classification int")
-    stats = potree.write_dataset(df, str(tmp_path / "d"), (0.0,) * 3, (1.0,) * 3, leaf_size=50)
+    stats = octree_dataset.write_dataset(df, str(tmp_path / "d"), (0.0,) * 3, (1.0,) * 3, leaf_size=50)
     assert stats["total_points"] == 500 and stats["bytes"] == 500 * 19
     back = sources.load(spark, str(tmp_path / "d" / "metadata.json")).collect()
     key = lambda r: (r.x, r.y, r.z, r.r, r.b, round(r.intensity, 2), r.classification)
     assert sorted(map(key, back)) == sorted((*map(float, p), k % 256, 7, round(k % 11 / 10, 2), k % 9) for k, p in enumerate(xyz))
-    nodes = potree.read_nodes(spark, str(tmp_path / "d")).collect()
+    nodes = octree_dataset.read_nodes(spark, str(tmp_path / "d")).collect()
     assert sum(n.num_points for n in nodes if n.is_leaf) == 500 and len(nodes) == stats["total_nodes"]
     leaf = next(n.name for n in nodes if n.is_leaf)
-    one = spark.read.format("potree").option("nodes", leaf).load(str(tmp_path / "d"))
+    one = spark.read.format("octree").option("nodes", leaf).load(str(tmp_path / "d"))
     assert {r.src for r in one.collect()} == {leaf}
-    assert spark.read.format("potree_hierarchy").load(str(tmp_path / "d")).count() == len(nodes)
+    assert spark.read.format("octree_hierarchy").load(str(tmp_path / "d")).count() == len(nodes)
