@@ -127,3 +127,15 @@ def test_octree_dataset_round_trip(spark, tmp_path):
     one = spark.read.format("octree").option("nodes", leaf).load(str(tmp_path / "d"))
     assert {r.src for r in one.collect()} == {leaf}
     assert spark.read.format("octree_hierarchy").load(str(tmp_path / "d")).count() == len(nodes)
+
+
+def test_convert(spark, tmp_path):
+    from pcq.convert import main
+
+    (tmp_path / "a.las").write_bytes(las_bytes([(100 * k, 7 * k % 1000, k * k % 500, k, k % 5) for k in range(300)]))
+    made = main([str(tmp_path / "a.las"), str(tmp_path / "out"), "--leaf-size", "40"])
+    assert made["total_points"] == 300
+    back = sources.load(spark, str(tmp_path / "out" / "metadata.json")).collect()
+    assert len(back) == 300 and max(r.intensity for r in back) == 1.0
+    (tmp_path / "b.xyz").write_text("1 2 3\n4 5 6\n")
+    assert main([str(tmp_path / "b.xyz"), str(tmp_path / "out2")])["total_points"] == 2
