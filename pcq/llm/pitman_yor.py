@@ -38,13 +38,13 @@ class LmParams:
     rounds: int = 2
     sweeps: int = 3
     theta: float = 1.0
-    #: Dishes of up to so many customers are sampled from their exact conditional, larger ones by waiting times.
-    exact: int = 64
+    #: Dishes of up to so many customers are sampled from their exact conditional, larger ones from its limit.
+    exact: int = 512
     seed: int = 10
 
 
 def pack(**arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
 
 
 def unpack(raw: bytes) -> dict:
@@ -77,7 +77,7 @@ def _chunks(batches: Iterator[pd.DataFrame], shards: int, most: int) -> Iterator
         counts = np.bincount(place[np.concatenate([s for s, t in zip(seqs, train, strict=True) if t] or [np.empty(0, np.int64)])].astype(np.int64), minlength=len(order))
         sizes = np.bincount(shard, minlength=shards)
         words = pack(hashes=hashes[order], counts=counts.astype(np.uint32), sizes=sizes)
-        return pd.DataFrame({"chunk": [task << 20 | k], "docs": [names], "body": [body], "words": [words]})
+        return pd.DataFrame({"kind": ["chunk", "words"], "chunk": [task << 20 | k] * 2, "docs": [names, None], "body": [body, words]})
 
     for batch in batches:
         for name, text, learn in zip(batch["_id"], batch["_text"], batch["_train"], strict=True):
@@ -95,7 +95,7 @@ def _chunks(batches: Iterator[pd.DataFrame], shards: int, most: int) -> Iterator
 
 def _split_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for chunk, raw in zip(batch["chunk"], batch["words"], strict=True):
+        for chunk, raw in zip(batch["chunk"], batch["body"], strict=True):
             w = unpack(raw)
             cut = np.concatenate(([0], np.cumsum(w["sizes"])))
             rows = [(s, chunk, pack(h=w["hashes"][cut[s] : cut[s + 1]], c=w["counts"][cut[s] : cut[s + 1]])) for s in np.flatnonzero(w["sizes"])]
@@ -171,7 +171,7 @@ def _count_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     cut = np.cumsum([len(e) for e in each])[:-1]
     asks = [_rise(w.astype(np.int32)) for w in np.split(where, cut)]
     body = pack(d=_rise(known), c=count.astype(np.uint32), chunks=rows["chunk"].to_numpy(), asks=asks)
-    return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "body": [body], "tables": [pack(t=np.minimum(count, 1).astype(np.uint32))], "n1": [int((count == 1).sum())], "n2": [int((count == 2).sum())]})
+    return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "body": [body], "tables": [pack(t=np.minimum(count, 1).astype(np.uint32))], "kept": [[]], "n1": [int((count == 1).sum())], "n2": [int((count == 2).sum())]})
 
 
 def _by_word(batches: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.DataFrame]:
@@ -231,17 +231,10 @@ def resample(count: np.ndarray, tables: np.ndarray, others: np.ndarray, base: np
             w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), axis=1)
             out[at] = 1 + (w < rng.random(len(at))[:, None] * w[:, -1:]).sum(1)
     many = np.flatnonzero(count > exact)
-    # Seat the customers in turn, but go from one new table to the next: after n customers and t tables the wait m has
-    # P(wait > m) near ((n + a) / (n + m + a)) ** a, with a the weight of a new table.
-    seated, t = np.ones(len(many)), np.ones(len(many), np.int64)
-    going = np.arange(len(many))
-    while len(going):
-        own = many[going]
-        a = (theta + d * (others[own] + t[going])) * base[own]
-        seated[going] = 1 + (seated[going] - d * t[going] + a) * rng.random(len(going)) ** (-1 / np.maximum(a, 1e-12)) + d * t[going] - a
-        going = going[seated[going] <= count[own]]
-        t[going] += 1
-    out[many] = np.minimum(t, count[many])
+    # For many customers S[c, t + 1] / S[c, t] tends to 1 / (d t), and the conditional to a negative binomial of t - 1.
+    if len(many):
+        extra = rng.negative_binomial(theta / d + others[many] + 1, 1 - np.minimum(base[many], 1 - 1e-9))
+        out[many] = np.minimum(1 + extra, count[many])
     return out
 
 
@@ -268,37 +261,39 @@ def _sweep(rows: pd.DataFrame, hot_tables: dict[int, int], d: float, root_d: flo
         for _ in range(p.sweeps):
             total = np.bincount(place, weights=t, minlength=len(first)) + elsewhere
             t[many] = resample(count[many], t[many], total[place[many]] - t[many], base, d, p.theta, p.exact, rng)
-    return pd.DataFrame({"shard": [int(state["shard"])], "body": [state["body"]], "tables": [pack(t=t.astype(np.uint32))], "n1": [0], "n2": [0]})
-
-
-def _answer_pairs(rows: pd.DataFrame, hot_tables: list[dict[int, int]]) -> pd.DataFrame:
-    """For each chunk, in the order of its pairs in this shard: counts, and by sample tables of the dish and the restaurant."""
-    rows = rows.sort_values("turn")
-    s = unpack(rows["body"].iloc[0])
-    first, place = np.unique(np.cumsum(s["d"]) >> np.uint64(32), return_inverse=True)
-    shard, kept = int(rows["shard"].iloc[0]), []
-    for raw, hot in zip(rows["tables"], hot_tables, strict=True):
-        t = unpack(raw)["t"]
-        total = np.bincount(place, weights=t, minlength=len(first)).astype(np.int64)
-        for k, u in enumerate(first.tolist() if hot else []):
-            total[k] = hot.get(u, total[k])
-        kept.append((t, total[place]))
-    out = []
-    for chunk, ask in zip(s["chunks"], s["asks"], strict=True):
-        own = np.cumsum(ask)
-        out.append(("pair", shard, int(chunk), None, pack(c=s["c"][own], **{f"t{k}": t[own] for k, (t, _) in enumerate(kept)}, **{f"u{k}": _rise(u[own]) for k, (_, u) in enumerate(kept)})))
-    return pd.DataFrame(out, columns=["kind", "shard", "chunk", "docs", "body"])
+    new = pack(t=t.astype(np.uint32))
+    return pd.DataFrame({"shard": [int(state["shard"])], "body": [state["body"]], "tables": [new], "kept": [[*state["kept"], new]], "n1": [0], "n2": [0]})
 
 
-def _answer_words(rows: pd.DataFrame) -> pd.DataFrame:
+def _answer_pairs(batches: Iterator[pd.DataFrame], hot_tables: list[dict[int, int]]) -> Iterator[pd.DataFrame]:
+    """For each chunk, in the order of its pairs in a shard: counts, and by sample tables of the dish and the restaurant."""
+    for batch in batches:
+        for shard, body, samples in zip(batch["shard"], batch["body"], batch["kept"], strict=True):
+            s = unpack(body)
+            first, place = np.unique(np.cumsum(s["d"]) >> np.uint64(32), return_inverse=True)
+            kept = []
+            for raw, hot in zip(samples, hot_tables, strict=True):
+                t = unpack(raw)["t"]
+                total = np.bincount(place, weights=t, minlength=len(first)).astype(np.int64)
+                for k, u in enumerate(first.tolist() if hot else []):
+                    total[k] = hot.get(u, total[k])
+                kept.append((t, total[place]))
+            for chunk, ask in zip(s["chunks"], s["asks"], strict=True):
+                own = np.cumsum(ask)
+                answer = pack(c=s["c"][own], **{f"t{k}": t[own] for k, (t, _) in enumerate(kept)}, **{f"u{k}": _rise(u[own]) for k, (_, u) in enumerate(kept)})
+                yield pd.DataFrame({"kind": ["pair"], "shard": [int(shard)], "chunk": [int(chunk)], "docs": [None], "body": [answer]})
+
+
+def _answer_words(rows: pd.DataFrame, samples: int) -> pd.DataFrame:
     """For each chunk, in the order of its words in this shard: the parent's customers, by sample."""
+    # A shard has customers in all samples or in none: each dish keeps at least one table.
     roots = [unpack(b) for b in rows[rows["kind"] == "root"].sort_values("turn")["body"]]
     roots = [(np.cumsum(x["d"]), x["r"]) for x in roots]
     out = []
     asked = rows[rows["kind"] == "word"]
     for shard, chunk, raw in zip(asked["shard"], asked["chunk"], asked["body"], strict=True):
         ids = unpack(raw)["id"].astype(np.uint64)
-        got = {}
+        got = {f"r{k}": np.zeros(len(ids), np.int64) for k in range(samples)}
         for k, (known, r) in enumerate(roots):
             at = np.minimum(np.searchsorted(known, ids), max(0, len(known) - 1))
             got[f"r{k}"] = np.where(known[at] == ids, r[at], 0) if len(known) else np.zeros(len(ids), np.int64)
@@ -361,9 +356,11 @@ def score(docs: DataFrame, learn: Column, params: LmParams = LmParams(), id_col:
     # About one token for six bytes: this only sets the number of shards.
     size = rows.agg(F.sum(F.length("_text"))).first()[0] or 0
     shards = max(partitions(spark), size // 6 // p.shard_tokens)
-    chunks = tmp.save(rows.mapInPandas(lambda b: _chunks(b, shards, p.chunk_tokens), "chunk long, docs array<bigint>, body binary, words binary"), "chunks")
-    words = chunks.select("chunk", "words").mapInPandas(_split_words, "shard int, chunk long, body binary").groupBy("shard").applyInPandas(lambda g: _count_words(g, shards), "shard int, chunk long, body binary")
+    chunks = tmp.save(rows.mapInPandas(lambda b: _chunks(b, shards, p.chunk_tokens), "kind string, chunk long, docs array<bigint>, body binary"), "chunks", by=["kind"])
+    words = chunks.filter("kind = 'words'").select("chunk", "body").mapInPandas(_split_words, "shard int, chunk long, body binary").groupBy("shard").applyInPandas(lambda g: _count_words(g, shards), "shard int, chunk long, body binary")
     words = tmp.save(words, "words")
+    tmp.drop("chunks/kind=words")
+    chunks = chunks.filter("kind = 'chunk'")
     heads = [unpack(r["body"]) for r in words.filter("chunk = -1").select("body").toLocalIterator()]
     tokens, types = sum(h["tokens"] for h in heads), sum(h["types"] for h in heads)
     # First words with more than a quarter of a shard's share of the tokens: at most four for each shard.
@@ -377,8 +374,9 @@ def score(docs: DataFrame, learn: Column, params: LmParams = LmParams(), id_col:
     chunk_rows = kind(chunks, "chunk", F.lit(-1).alias("shard"), "chunk", "docs", "body")
     word_rows = kind(words, "word", "shard", "chunk", no_docs, "body")
     pairs = chunk_rows.withColumn("docs", no_docs).union(word_rows).groupBy("chunk").applyInPandas(lambda g: _split_pairs(g, hot, shards), "shard int, chunk long, body binary")
-    state_schema = "shard int, body binary, tables binary, n1 long, n2 long"
-    state = tmp.save(pairs.groupBy("shard").applyInPandas(_count_pairs, state_schema), "state")
+    state_schema = "shard int, body binary, tables binary, kept array<binary>, n1 long, n2 long"
+    state = tmp.save(pairs.groupBy("shard").applyInPandas(_count_pairs, state_schema), "state0")
+    del pairs
     ones = state.agg(F.sum("n1"), F.sum("n2")).first()
     discount = lambda a, b: min(0.95, max(0.05, (a or 0) / max(1.0, (a or 0) + 2.0 * (b or 0))))
     d = discount(*ones)
@@ -397,7 +395,7 @@ def score(docs: DataFrame, learn: Column, params: LmParams = LmParams(), id_col:
     parent_schema = "wshard int, shard int, body binary, customers long, types long, n1 long, n2 long"
     parent_of = lambda st, name: tmp.save(st.select("shard", "body", "tables").mapInPandas(lambda b: _by_word(b, shards), "wshard int, shard int, body binary").groupBy("wshard").applyInPandas(_parent, parent_schema), name)
     parent = parent_of(state, "parent0")
-    samples, roots, kept, tables_hot = [], [], [], hot_totals(state)
+    roots, kept, tables_hot = [], [], hot_totals(state)
     all_hot = []
 
     def round_of(hot_tables: dict[int, int], root_d: float, customers: int, turn: int):
@@ -406,25 +404,23 @@ def score(docs: DataFrame, learn: Column, params: LmParams = LmParams(), id_col:
     for turn in range(1, p.rounds + 1):
         root = parent.filter("shard = -1").agg(F.sum("customers").alias("n"), F.sum("n1").alias("a"), F.sum("n2").alias("b")).first()
         root_d, customers = discount(root["a"], root["b"]), root["n"] or 0
-        both = state.select(F.lit("state").alias("kind"), "shard", "body", "tables").union(parent.filter("shard >= 0").select(F.lit("parent"), "shard", "body", F.lit(None).cast("binary")))
+        both = state.select(F.lit("state").alias("kind"), "shard", "body", "kept", "tables").union(parent.filter("shard >= 0").select(F.lit("parent"), "shard", "body", F.lit(None).cast("array<binary>"), F.lit(None).cast("binary")))
         swept = both.groupBy("shard").applyInPandas(round_of(tables_hot, root_d, customers, turn), state_schema)
-        state = tmp.save(swept, f"state{turn}")
+        done, state = f"state{turn - 1}", tmp.save(swept, f"state{turn}")
+        # The state carries the samples of all rounds.
+        del both, swept
+        tmp.drop(done)
         tables_hot = hot_totals(state)
         parent = parent_of(state, f"parent{turn}")
         root = parent.filter("shard = -1").agg(F.sum("customers").alias("n"), F.sum("types").alias("v"), F.sum("n1").alias("a"), F.sum("n2").alias("b")).first()
         roots.append((root["n"] or 0, root["v"] or 0, discount(root["a"], root["b"])))
-        samples.append(state.select("shard", "body", "tables", F.lit(turn).alias("turn")))
         kept.append(kind(parent.filter("shard = -1"), "root", F.col("wshard").alias("shard"), F.lit(-1).cast("long").alias("chunk"), "body", F.lit(turn).alias("turn")))
         all_hot.append(tables_hot)
-    gathered = samples[0]
-    # The body is the same in every round; it travels once.
-    for s in samples[1:]:
-        gathered = gathered.union(s.withColumn("body", F.lit(None).cast("binary")))
-    pair_rows = gathered.groupBy("shard").applyInPandas(lambda g: _answer_pairs(g, all_hot), schema)
+    pair_rows = state.select("shard", "body", "kept").mapInPandas(lambda b: _answer_pairs(b, all_hot), schema)
     asked = kind(words, "word", "shard", "chunk", "body", F.lit(0).alias("turn"))
     for k in kept:
         asked = asked.union(k)
-    root_rows = asked.groupBy("shard").applyInPandas(_answer_words, schema)
+    root_rows = asked.groupBy("shard").applyInPandas(lambda g: _answer_words(g, p.rounds), schema)
     everything = chunk_rows.union(word_rows).union(root_rows).union(pair_rows)
     out_schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return everything.groupBy("chunk").applyInPandas(lambda g: _score(g, p, d, roots, tokens, types, hot, shards), out_schema)
