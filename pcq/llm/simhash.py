@@ -202,6 +202,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WIDE, PROBES, NEAR_64, LEAST_SHARED = 8, 192, 24, 3
 #: Up to so many removed rows (a long each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_REMOVED = 1_000_000
+#: Candidate pairs that a task holds before it hands them on.
+PAIRS_HELD = 1_000_000
 _SPREAD = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WIDE)], np.uint64)
 
 
@@ -226,6 +228,12 @@ def wide_fingerprint(text: str | None, size: int) -> tuple[bytes, bytes]:
     return np.packbits(tally * 2 > n, bitorder="little").tobytes(), xxhash.xxh3_128_digest(b" ".join(words))
 
 
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys start (and the end), and their sizes."""
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    return cut, np.diff(cut)
+
+
 def _nearest_forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j): each entry with the nearest one of every other component found so far within NEAR_64 bits."""
     label = np.arange(len(fp))
@@ -243,10 +251,10 @@ def _nearest_forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(groups: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs within each run of rows (key, fp, id) of equal key."""
+    """Candidate pairs within each run of rows (key, fp, id) of equal key: all of a short list, a forest of a long one. A
+    long list's key comes with them (u and v null), since the forest is only a first guess at what its pairs are."""
     key, fp, ids = groups["key"].to_numpy(), groups["fp"].to_numpy().view(np.uint64), groups["id"].to_numpy()
-    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-    sizes = np.diff(cut)
+    cut, sizes = _runs(key)
     group = np.repeat(np.arange(len(sizes)), sizes)
     at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
     us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -255,11 +263,54 @@ def _candidates(groups: pd.DataFrame) -> pd.DataFrame:
         near = (group[a] == group[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= NEAR_64)
         us.append(ids[a[near]])
         vs.append(ids[b[near]])
-    for g in np.flatnonzero(sizes > SMALL):
+    long = np.flatnonzero(sizes > SMALL)
+    for g in long:
         a, b = _nearest_forest(fp[cut[g] : cut[g + 1]])
         us.append(ids[cut[g] + a])
         vs.append(ids[cut[g] + b])
     u, v = np.concatenate(us), np.concatenate(vs)
+    found = pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates().astype("Int64")
+    return pd.concat([found, pd.DataFrame({"key": key[cut[long]]})], ignore_index=True).astype({"u": "Int64", "v": "Int64", "key": "Int64"})
+
+
+def _whole_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key, cut between keys."""
+    rest = None
+    for batch in batches:
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        first = int((batch["key"] == batch["key"].iloc[-1]).to_numpy().argmax())
+        if first:
+            yield batch.iloc[:first].reset_index(drop=True)
+        rest = batch.iloc[first:].reset_index(drop=True)
+        if len(rest) > 2 * BLOCK:
+            # A long list: its first block goes out, and the block's last entries meet the next ones.
+            yield rest.iloc[:BLOCK].reset_index(drop=True)
+            rest = rest.iloc[BLOCK // 2 :].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _apart(groups: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """All candidate pairs within each run of rows (key, fp, id, label) of equal key whose labels differ."""
+    key, fp, ids = groups["key"].to_numpy(), groups["fp"].to_numpy().view(np.uint64), groups["id"].to_numpy()
+    label = groups["label"].to_numpy()
+    cut, sizes = _runs(key)
+    us, vs, held = [], [], 0
+    for start, end in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        for i in range(start, end - 1):
+            near = ids[i + 1 : end][(np.bitwise_count(fp[i] ^ fp[i + 1 : end]) <= NEAR_64) & (label[i + 1 : end] != label[i])]
+            us.append(np.full(len(near), ids[i]))
+            vs.append(near)
+            held += len(near)
+            if held > PAIRS_HELD:
+                yield _ordered(us, vs)
+                us, vs, held = [], [], 0
+    if held:
+        yield _ordered(us, vs)
+
+
+def _ordered(us: list[np.ndarray], vs: list[np.ndarray]) -> pd.DataFrame:
+    u, v = np.concatenate(us), np.concatenate(vs)
     return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
 
 
@@ -291,30 +342,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         head = head.bitwiseOR(F.shiftleft(number(k), 8 * k))
     byte = texts.select("id", head.alias("fp"), F.array(*[number(k) for k in range(8 * WIDE)]).alias("_b"))
     keys = F.array(*[F.lit(k << 24).bitwiseOR(F.shiftleft(F.get("_b", F.lit(a)), 16)).bitwiseOR(F.shiftleft(F.get("_b", F.lit(b)), 8)).bitwiseOR(F.get("_b", F.lit(c))) for k, (a, b, c) in enumerate(probes())])
-    posted = tmp.save(byte, "bytes").select("id", "fp", F.explode(keys).alias("key"))
-    posted = posted.repartition(partitions(spark), "key").sortWithinPartitions("key")
+    bytes_ = tmp.save(byte, "bytes")
+    posted = bytes_.select("id", "fp", F.explode(keys).alias("key"))
+    by_key = lambda p: p.repartition(partitions(spark), "key").sortWithinPartitions("key")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            first = int((batch["key"] == batch["key"].iloc[-1]).to_numpy().argmax())
-            if first:
-                yield _candidates(batch.iloc[:first].reset_index(drop=True))
-            rest = batch.iloc[first:].reset_index(drop=True)
-            if len(rest) > 2 * BLOCK:
-                # A long list: its forest over the first block goes out, and the block's last entries meet the next ones.
-                yield _candidates(rest.iloc[:BLOCK].reset_index(drop=True))
-                rest = rest.iloc[BLOCK // 2 :].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield _candidates(rest)
+        return map(_candidates, _whole_keys(batches))
 
-    pairs = posted.mapInPandas(meet, "u long, v long").distinct()
-    fps = texts.select("id", "fp")
-    pairs = pairs.join(fps.select(F.col("id").alias("u"), F.col("fp").alias("_a")), "u").join(fps.select(F.col("id").alias("v"), F.col("fp").alias("_b")), "v")
-    shared = sum(F.when(F.substring("_a", k + 1, 1) == F.substring("_b", k + 1, 1), 1).otherwise(0) for k in range(8 * WIDE))
-    pairs = tmp.save(pairs.filter(shared >= LEAST_SHARED).select("u", "v"), "pairs")
+    def meet_apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for groups in _whole_keys(batches):
+            yield from _apart(groups)
 
+    fps = texts.select("id", "fp")
     @F.pandas_udf("binary")
     def shingle_set(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
@@ -329,13 +368,29 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
             out.append(both / max(1, len(x) + len(y) - both))
         return pd.Series(out)
 
-    asked = pairs.select(F.col("u").alias("_q")).union(pairs.select("v")).distinct()
-    sets = saved.join(asked, saved["_uid"] == asked["_q"], "left_semi").select("_uid", shingle_set(F.col(text_col)).alias("_s"))
-    sets = tmp.save(sets, "sets")
-    sided = pairs.join(sets.select(F.col("_uid").alias("u"), F.col("_s").alias("_x")), "u").join(sets.select(F.col("_uid").alias("v"), F.col("_s").alias("_y")), "v")
-    linked = sided.filter(jaccard("_x", "_y") >= least).select("u", "v")
-
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (u, v) that share LEAST_SHARED bytes and whose exact similarity is enough."""
+        pairs = pairs.join(fps.select(F.col("id").alias("u"), F.col("fp").alias("_a")), "u").join(fps.select(F.col("id").alias("v"), F.col("fp").alias("_b")), "v")
+        shared = sum(F.when(F.substring("_a", k + 1, 1) == F.substring("_b", k + 1, 1), 1).otherwise(0) for k in range(8 * WIDE))
+        pairs = tmp.save(pairs.filter(shared >= LEAST_SHARED).select("u", "v"), f"pairs_{name}")
+        asked = pairs.select(F.col("u").alias("_q")).union(pairs.select("v")).distinct()
+        sets = saved.join(asked, saved["_uid"] == asked["_q"], "left_semi").select("_uid", shingle_set(F.col(text_col)).alias("_s"))
+        sets = tmp.save(sets, f"sets_{name}")
+        sided = pairs.join(sets.select(F.col("_uid").alias("u"), F.col("_s").alias("_x")), "u").join(sets.select(F.col("_uid").alias("v"), F.col("_s").alias("_y")), "v")
+        return tmp.save(sided.filter(jaccard("_x", "_y") >= least).select("u", "v"), f"linked_{name}")
+
+    met = tmp.save(by_key(posted).mapInPandas(meet, "u long, v long, key long"), "met")
+    first = met.filter("key is null").select("u", "v").distinct()
+    linked = verified(first, "first")
     found = components(linked, tmp)
+    long = tmp.save(met.filter("key is not null").select(F.col("key").alias("_k")).distinct(), "long")
+    if long.head(1):
+        # Long lists again, now all of their pairs that verified links don't join yet.
+        named = bytes_.join(found, bytes_["id"] == found["node"], "left").select("id", "fp", "_b", F.coalesce("root", "id").alias("label"))
+        again = named.select("id", "fp", "label", F.explode(keys).alias("key"))
+        again = by_key(again.join(long, again["key"] == long["_k"], "left_semi")).mapInPandas(meet_apart, "u long, v long").distinct()
+        again = again.join(first, ["u", "v"], "left_anti")
+        found = components(linked.union(verified(again, "again")), Scratch(spark, "near-again"))
     classed = texts.join(found, texts["id"] == found["node"], "left").select("_best", F.coalesce("root", "id").alias("_root"))
     stays = classed.groupBy("_root").agg(F.min("_best").alias("_best")).select(F.col("_best.u").alias("_k"))
     gone = tmp.save(rows.select("_uid").join(stays, rows["_uid"] == stays["_k"], "left_anti").select(F.col("_uid").alias("_g")), "gone")

@@ -115,6 +115,22 @@ def test_keep_one(docs, rows, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def _templated(n, edits, seed):
+    """n texts that share two thirds of their words; each of the last `edits` is a near copy of one before."""
+    start = prose(90, seed)
+    texts = [start + " " + prose(16, seed * 1000 + k) for k in range(n)]
+    return texts + [" ".join([*texts[k].split()[:-2], "x", "y"]) for k in range(edits)]
+
+
+def test_keep_one_in_a_crowd(spark, monkeypatch):
+    """Near copies among texts of one template, all of which meet in long lists, are found though the forest misses them."""
+    monkeypatch.setattr(simhash, "probes", lambda: [(0, 0, 0)] * 2)
+    monkeypatch.setattr(simhash, "wide_fingerprint", lambda t, size: (bytes(64), hashlib.md5(t.encode()).digest()))
+    texts = _templated(200, 40, 31)
+    kept = simhash.keep_one(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3), least=0.95)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(200))
+
+
 def test_decontaminate(spark, docs, none):
     item = prose(40, 500)
     edited = item.split()
