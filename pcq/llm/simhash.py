@@ -252,7 +252,7 @@ def _nearest_forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _candidates(groups: pd.DataFrame) -> pd.DataFrame:
     """Candidate pairs within each run of rows (key, fp, id) of equal key: all of a short list, a forest of a long one. A
-    long list's key comes with them (u and v null), since the forest is only a first guess at what its pairs are."""
+    long list's key and size come with them (u and v null), since the forest is only a first guess at what its pairs are."""
     key, fp, ids = groups["key"].to_numpy(), groups["fp"].to_numpy().view(np.uint64), groups["id"].to_numpy()
     cut, sizes = _runs(key)
     group = np.repeat(np.arange(len(sizes)), sizes)
@@ -270,35 +270,42 @@ def _candidates(groups: pd.DataFrame) -> pd.DataFrame:
         vs.append(ids[cut[g] + b])
     u, v = np.concatenate(us), np.concatenate(vs)
     found = pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates().astype("Int64")
-    return pd.concat([found, pd.DataFrame({"key": key[cut[long]]})], ignore_index=True).astype({"u": "Int64", "v": "Int64", "key": "Int64"})
+    lists = pd.DataFrame({"key": key[cut[long]], "entries": sizes[long]})
+    return pd.concat([found, lists], ignore_index=True).reindex(columns=["u", "v", "key", "entries"]).astype("Int64")
 
 
-def _whole_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by key, cut between keys."""
+def _whole_keys(batches: Iterator[pd.DataFrame], by: tuple[str, ...] = ("key",), most: int | None = None) -> Iterator[pd.DataFrame]:
+    """Rows sorted by the columns `by`, cut where these change; with `most`, longer runs go out in overlapping pieces."""
     rest = None
     for batch in batches:
         batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        first = int((batch["key"] == batch["key"].iloc[-1]).to_numpy().argmax())
+        own = batch[list(by)].to_numpy()
+        first = int((own == own[-1]).all(1).argmax())
         if first:
             yield batch.iloc[:first].reset_index(drop=True)
         rest = batch.iloc[first:].reset_index(drop=True)
-        if len(rest) > 2 * BLOCK:
-            # A long list: its first block goes out, and the block's last entries meet the next ones.
-            yield rest.iloc[:BLOCK].reset_index(drop=True)
-            rest = rest.iloc[BLOCK // 2 :].reset_index(drop=True)
+        if most and len(rest) > 2 * most:
+            yield rest.iloc[:most].reset_index(drop=True)
+            rest = rest.iloc[most // 2 :].reset_index(drop=True)
     if rest is not None and len(rest):
         yield rest
 
 
 def _apart(groups: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """All candidate pairs within each run of rows (key, fp, id, label) of equal key whose labels differ."""
-    key, fp, ids = groups["key"].to_numpy(), groups["fp"].to_numpy().view(np.uint64), groups["id"].to_numpy()
-    label = groups["label"].to_numpy()
-    cut, sizes = _runs(key)
+    """All candidate pairs within each run of rows (key, lo, hi, block, fp, id, label) of equal key, lo and hi whose labels
+    differ: within one block where lo is hi, else from one block to the other."""
+    own, fp, ids = groups[["key", "lo", "hi"]].to_numpy(), groups["fp"].to_numpy().view(np.uint64), groups["id"].to_numpy()
+    label, block = groups["label"].to_numpy(), groups["block"].to_numpy()
+    cut = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]).any(1), [True])))
+    mixed = np.minimum.reduceat(label, cut[:-1]) != np.maximum.reduceat(label, cut[:-1])
     us, vs, held = [], [], 0
-    for start, end in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+    for g in np.flatnonzero(mixed):
+        start, end = int(cut[g]), int(cut[g + 1])
+        cross = own[start, 1] != own[start, 2]
         for i in range(start, end - 1):
-            near = ids[i + 1 : end][(np.bitwise_count(fp[i] ^ fp[i + 1 : end]) <= NEAR_64) & (label[i + 1 : end] != label[i])]
+            rest = slice(i + 1, end)
+            near = (np.bitwise_count(fp[i] ^ fp[rest]) <= NEAR_64) & (label[rest] != label[i])
+            near = ids[rest][near & (block[rest] != block[i]) if cross else near]
             us.append(np.full(len(near), ids[i]))
             vs.append(near)
             held += len(near)
@@ -344,13 +351,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     keys = F.array(*[F.lit(k << 24).bitwiseOR(F.shiftleft(F.get("_b", F.lit(a)), 16)).bitwiseOR(F.shiftleft(F.get("_b", F.lit(b)), 8)).bitwiseOR(F.get("_b", F.lit(c))) for k, (a, b, c) in enumerate(probes())])
     bytes_ = tmp.save(byte, "bytes")
     posted = bytes_.select("id", "fp", F.explode(keys).alias("key"))
-    by_key = lambda p: p.repartition(partitions(spark), "key").sortWithinPartitions("key")
+    posted = posted.repartition(partitions(spark), "key").sortWithinPartitions("key")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return map(_candidates, _whole_keys(batches))
+        return map(_candidates, _whole_keys(batches, most=BLOCK))
 
     def meet_apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for groups in _whole_keys(batches):
+        for groups in _whole_keys(batches, ("key", "lo", "hi")):
             yield from _apart(groups)
 
     fps = texts.select("id", "fp")
@@ -379,16 +386,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         sided = pairs.join(sets.select(F.col("_uid").alias("u"), F.col("_s").alias("_x")), "u").join(sets.select(F.col("_uid").alias("v"), F.col("_s").alias("_y")), "v")
         return tmp.save(sided.filter(jaccard("_x", "_y") >= least).select("u", "v"), f"linked_{name}")
 
-    met = tmp.save(by_key(posted).mapInPandas(meet, "u long, v long, key long"), "met")
+    met = tmp.save(posted.mapInPandas(meet, "u long, v long, key long, entries long"), "met")
     first = met.filter("key is null").select("u", "v").distinct()
     linked = verified(first, "first")
     found = components(linked, tmp)
-    long = tmp.save(met.filter("key is not null").select(F.col("key").alias("_k")).distinct(), "long")
+    # Pieces of a list overlap, so its entries are counted from above.
+    long = met.filter("key is not null").groupBy(F.col("key").alias("_k")).agg(F.ceil(F.sum("entries") / BLOCK).cast("int").alias("_blocks"))
+    long = tmp.save(long, "long")
     if long.head(1):
         # Long lists again, now all of their pairs that verified links don't join yet.
         named = bytes_.join(found, bytes_["id"] == found["node"], "left").select("id", "fp", "_b", F.coalesce("root", "id").alias("label"))
         again = named.select("id", "fp", "label", F.explode(keys).alias("key"))
-        again = by_key(again.join(long, again["key"] == long["_k"], "left_semi")).mapInPandas(meet_apart, "u long, v long").distinct()
+        again = again.join(long, again["key"] == long["_k"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("_blocks")).cast("int"))
+        again = again.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        again = again.select("key", F.least("block", "_with").alias("lo"), F.greatest("block", "_with").alias("hi"), "block", "fp", "id", "label")
+        again = again.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        again = again.mapInPandas(meet_apart, "u long, v long").distinct()
         again = again.join(first, ["u", "v"], "left_anti")
         found = components(linked.union(verified(again, "again")), Scratch(spark, "near-again"))
     classed = texts.join(found, texts["id"] == found["node"], "left").select("_best", F.coalesce("root", "id").alias("_root"))

@@ -131,6 +131,18 @@ def test_keep_one_in_a_crowd(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(200))
 
 
+def test_keep_one_in_blocks(spark, monkeypatch):
+    """A list of many blocks loses none of its pairs, wherever in the list they stand."""
+    monkeypatch.setattr(simhash, "BLOCK", 100)
+    monkeypatch.setattr(simhash, "probes", lambda: [(0, 0, 0)] * 2)
+    # The first guess finds nothing, so that all pairs are left to the blocks.
+    monkeypatch.setattr(simhash, "_nearest_forest", lambda fp: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    monkeypatch.setattr(simhash, "wide_fingerprint", lambda t, size: (bytes(64), hashlib.md5(t.encode()).digest()))
+    texts = _templated(700, 100, 32)
+    kept = simhash.keep_one(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3), least=0.95)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(700))
+
+
 def test_decontaminate(spark, docs, none):
     item = prose(40, 500)
     edited = item.split()
