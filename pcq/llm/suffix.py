@@ -5,6 +5,9 @@ Which strings of `length` bytes also start earlier? Every such string is known b
 text. Pieces whose anchor occurs once hold nothing that repeats. Equal pieces are one, with the place of the first. The
 rest goes, by anchor, into shards; each shard's suffixes are sorted by induction, through queues by first character that go to
 disk when memory is short, and strings that share `length` bytes then stand next to each other.
+
+A shard's arrays are in memory, so shards must be small, and a crowded anchor (one that many different pieces share, as at
+the edges of a line found in many documents) would not be. Its strings are grouped one by one instead, by a digest.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ LENGTH, ANCHOR = 100, 32
 SEGMENT = 1 << 20
 #: Entries that the queues of one shard keep in memory; bytes of pieces in a shard, about.
 IN_MEMORY, SHARD_BYTES = 4_000_000, 2_000_000
+#: An anchor is crowded if its different pieces have more bytes than this.
+CROWDED_BYTES = 500_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -247,6 +252,29 @@ def _repeats(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["key", "hash", "spans"])
 
 
+def _crowded_spans(pieces: DataFrame, tmp: Scratch, length: int) -> DataFrame:
+    """The same as _repeats, for pieces (key, hash, d1, d2, start, piece) of crowded anchors: every string of `length`
+    bytes is a row, and equal strings (by a digest of 128 bits) are grouped. No task holds more than its batch."""
+
+    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, name, d1, d2, start, piece in batch[["key", "hash", "d1", "d2", "start", "piece"]].itertuples(index=False):
+                n = len(piece) - length + 1
+                digest = b"".join(hashlib.blake2b(piece[k : k + length], digest_size=16).digest() for k in range(n))
+                h = np.frombuffer(digest, np.int64).reshape(n, 2)
+                yield pd.DataFrame({"h1": h[:, 0], "h2": h[:, 1], "key": key, "hash": name, "d1": d1, "d2": d2, "start": start, "k": np.arange(n, dtype=np.int32)})
+
+    rows = tmp.save(pieces.mapInPandas(strings, "h1 long, h2 long, key long, hash long, d1 long, d2 long, start long, k int"), "strings")
+    place = F.struct("d1", "d2", (F.col("start") + F.col("k")).alias("at"))
+    firsts = rows.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    again = rows.join(firsts, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).filter(place != F.col("_first"))
+    covered = again.groupBy("key", "hash").agg(F.array_sort(F.collect_list("k")).alias("_k"))
+    # Runs of neighbours, each as its first place and the place behind its last.
+    begins = F.filter("_k", lambda x: ~F.array_contains("_k", x - 1))
+    ends = F.transform(F.filter("_k", lambda x: ~F.array_contains("_k", x + 1)), lambda x: x + 1)
+    return covered.select("key", "hash", F.flatten(F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda z: F.array(z["a"], z["b"]))).alias("spans"))
+
+
 def covered_spans(docs: DataFrame, tmp: Scratch, length: int = LENGTH) -> DataFrame:
     """docs(_uid, _d1, _text) -> (_uid, a, b): bytes a to b are covered by strings that also start earlier; spans overlap."""
     spark = docs.sparkSession
@@ -278,8 +306,12 @@ def covered_spans(docs: DataFrame, tmp: Scratch, length: int = LENGTH) -> DataFr
                 yield pd.DataFrame([(a["key"], a["hash"], d1, uid, a["start"], raw[a["start"] : a["start"] + a["size"]]) for a in asked], columns=["key", "hash", "d1", "d2", "start", "piece"])
 
     texts = docs.join(asked, docs["_uid"] == asked["d2"]).drop("d2").mapInPandas(cut, "key long, hash long, d1 long, d2 long, start long, piece binary")
+    crowded = distinct.groupBy("key").agg(F.sum(F.col("size").cast("long")).alias("_s")).filter(F.col("_s") > CROWDED_BYTES).select(F.col("key").alias("_c"))
+    crowded = tmp.save(crowded, "crowded")
     shard = F.pmod(F.xxhash64("key"), F.lit(shards))
-    spans = texts.groupBy(shard.alias("_shard")).applyInPandas(lambda g: _repeats(g, length), "key long, hash long, spans array<int>")
+    spans = texts.join(crowded, texts["key"] == crowded["_c"], "left_anti").groupBy(shard.alias("_shard")).applyInPandas(lambda g: _repeats(g, length), "key long, hash long, spans array<int>")
+    if crowded.head(1):
+        spans = spans.union(_crowded_spans(texts.join(crowded, texts["key"] == crowded["_c"], "left_semi"), tmp, length))
     spans = tmp.save(spans, "spans")
     # Later copies of a piece are covered whole; the first one where its strings start earlier in other pieces.
     verdict = distinct.filter("n > 1").select("key", "hash", F.col("d2").alias("f2"), F.col("start").alias("fs"))

@@ -217,6 +217,32 @@ def test_remove_repeats(spark, none):
     assert suffix.remove_repeats(none).count() == 0
 
 
+def test_remove_repeats_crowded_anchor(spark, monkeypatch):
+    """One anchor with many different pieces (the edges of a line that all share) goes to no shard as a whole."""
+    line = prose(40, 77)[:200]
+    rows = [(k, prose(20, 7000 + k) + line + prose(20, 8000 + k % 25)) for k in range(60)]
+    held = {}
+
+    def brute():
+        seen, out = set(), []
+        for d, t in rows:
+            raw = t.encode()
+            gone = np.zeros(len(raw), bool)
+            for p in range(len(raw) - 99):
+                if raw[p : p + 100] in seen:
+                    gone[p : p + 100] = True
+                seen.add(raw[p : p + 100])
+            out.append((d, int(gone.sum()), hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()))
+        return out
+
+    monkeypatch.setattr(suffix, "CROWDED_BYTES", 2_000)
+    plain = suffix._crowded_spans
+    monkeypatch.setattr(suffix, "_crowded_spans", lambda pieces, tmp, length: held.update(n=pieces.count()) or plain(pieces, tmp, length))
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in got) == brute()
+    assert held["n"] >= 60
+
+
 def test_mixing(docs, rows, none):
     got = mixing.mix(docs).collect()
     size = Counter()
