@@ -10,13 +10,14 @@ def pick_nearest(projected: DataFrame, cursors: DataFrame, radius: float) -> Dat
     """cursor_id, point_idx and d2 of the nearest point within (not at) the radius in pixels; ties go to the first point.
 
     Points and cursors meet in square cells of the radius's size: a cursor looks into its own cell and the eight around
-    it, so this is a join on equality, and only points near a cursor take part."""
+    it, so this is a join on equality, and only points near a cursor take part. Cursors may be as many as points: nothing is
+    broadcast unless Spark finds it small."""
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
     points = projected.select("point_idx", "sx", "sy", cell("sx").alias("_px"), cell("sy").alias("_py"))
     around = F.sequence(F.lit(-1), F.lit(1))
     asked = cursors.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
     asked = asked.select("cursor_id", "cx", "cy", (cell("cx") + F.col("_dx")).alias("_cx"), (cell("cy") + F.col("_dy")).alias("_cy"))
-    near = points.join(F.broadcast(asked), (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")))
+    near = points.join(asked, (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")))
     d2 = (F.col("sx") - F.col("cx")) * (F.col("sx") - F.col("cx")) + (F.col("sy") - F.col("cy")) * (F.col("sy") - F.col("cy"))
     near = near.withColumn("d2", d2).filter(F.col("d2") < radius * radius)
     best = near.groupBy("cursor_id").agg(F.min(F.struct("d2", "point_idx")).alias("_b"))

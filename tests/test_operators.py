@@ -130,6 +130,20 @@ def test_pick(spark):
     assert got == want
 
 
+def test_pick_takes_any_number_of_cursors(spark):
+    """Without small tables to broadcast, points and cursors meet in a shuffle."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        r = random.Random(6)
+        at = [(k, r.uniform(0, 90), r.uniform(0, 90)) for k in range(300)]
+        found = pick.pick_nearest(spark.createDataFrame(at, "point_idx long, sx double, sy double"), spark.createDataFrame(at[::-1], "cursor_id long, cx double, cy double"), 5.0)
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {x.cursor_id: x.point_idx for x in found.collect()} == {k: k for k in range(300)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_lru_is_the_sequential_one(spark):
     r = random.Random(2)
     log = [(k, f"n{r.randrange(12)}", r.randint(1, 9)) for k in range(200)]
