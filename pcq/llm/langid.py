@@ -132,7 +132,7 @@ def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
 def fit(docs: DataFrame, learn: Column, params: LangParams = LangParams(), text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn from the rows where `learn` holds and the language is not null.
 
-    Document frequencies cover all of them. The sample for the weights is the rows with the smallest hash of the text,
+    Document frequencies cover all of them. The sample for the weights is the different texts with the smallest hash,
     so reruns agree. Without any such row the model knows no language and answers `und`.
     """
     p = params
@@ -158,11 +158,13 @@ def fit(docs: DataFrame, learn: Column, params: LangParams = LangParams(), text_
         else:
             df[bucket] = n
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
-    key = F.xxhash64("text")
-    if total > p.sample:
+    # Copies of a text are one, or the many copies of one could fill the sample.
+    train = train.withColumn("_k", F.xxhash64("text"))
+    texts = train.select("_k", "lang").distinct().count()
+    if texts > p.sample:
         # A threshold on a uniform hash first, so that no more than about twice the sample is sorted.
-        train = train.filter(F.pmod(key, F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.5 * p.sample / total)))
-    sample = train.withColumn("_k", key).orderBy("_k", "lang").limit(p.sample)
+        train = train.filter(F.pmod("_k", F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.5 * p.sample / texts)))
+    sample = train.select("_k", "text", "lang").dropDuplicates(["_k", "text", "lang"]).orderBy("_k", "lang").limit(p.sample)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

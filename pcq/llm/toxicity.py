@@ -194,15 +194,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, params: ToxicParams = ToxicParams(), text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
-    """Learn from rows with a text and a label of 0 or 1; a bounded sample by hash, so reruns agree. Without rows of both
+    """Learn from rows with a text and a label of 0 or 1; a bounded sample of different texts by hash, so reruns agree. Without rows of both
     labels the fixed terms and weights stand."""
     p = params
     rows = labelled.filter(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"))
     rows = rows.withColumn("_k", F.xxhash64("text"))
-    total = rows.count()
-    if total > p.sample:
-        rows = rows.filter(F.pmod("_k", F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.5 * p.sample / total)))
-    sample = rows.orderBy("_k", "toxic").limit(p.sample)
+    # Copies of a text are one, or the many copies of one could fill the sample.
+    texts = rows.select("_k", "toxic").distinct().count()
+    if texts > p.sample:
+        rows = rows.filter(F.pmod("_k", F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.5 * p.sample / texts)))
+    sample = rows.dropDuplicates(["_k", "text", "toxic"]).orderBy("_k", "toxic").limit(p.sample)
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

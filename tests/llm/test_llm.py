@@ -314,6 +314,27 @@ def test_toxicity_learns(spark, none):
     assert toxicity.predict(none, fixed).count() == 0 and toxicity.predict(df, fixed).count() == 403
 
 
+def _first_by_hash(spark, texts):
+    """The text that a sample by hash takes first."""
+    k = F.xxhash64("t")
+    return spark.createDataFrame([(t,) for t in texts], "t string").filter(F.pmod(k, F.lit(1 << 20)) < 1 << 16).orderBy(k).first().t
+
+
+def test_copies_do_not_fill_the_samples(spark):
+    """Hundreds of copies of one text, which comes first by its hash, leave the other languages and labels in the model."""
+    words = {"en": "the and of to with this that for".split(), "fr": "le la les des une dans pour avec".split()}
+    r = random.Random(8)
+    make = lambda lang: " ".join(r.choice(words[lang]) for _ in range(20))
+    hot = _first_by_hash(spark, [make("en") for _ in range(4000)])
+    rows = [(hot, "en")] * 400 + [(make(lang), lang) for _ in range(100) for lang in ("en", "fr")]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), F.lit(True), langid.LangParams(sample=50))
+    assert sorted(model.langs) == ["en", "fr"]
+    hot = _first_by_hash(spark, [prose(20, 9000 + k) for k in range(300)])
+    rows = [(hot, 0)] * 400 + [(prose(20, 9500 + k) + (" grumblo" if k % 2 else ""), k % 2) for k in range(200)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"), toxicity.ToxicParams(sample=50))
+    assert "grumblo" in model.terms or any("grumblo".startswith(t[:-1]) for t in model.terms if t.endswith("*"))
+
+
 def test_url_filter(spark):
     urls = [f"https://x{k % 5}.{h}.{t}/{p}/{k}" for k in range(60) for h, t in (("example", "net"), ("example", "com"), ("other", "org")) for p in ("en", "de", "fr")]
     urls += [None, "", "no scheme", "HTTP://A.NET", "http://net/x", "http://example.net/en/", "http://EXAMPLE.net/en", "http://anet/", "ftp://u@b.org:8/fr/?q#f", "x://?q"]
