@@ -7,6 +7,8 @@ similarity, the weighted Jaccard of the two multisets of shingles, then verifies
 
 Windows that cannot reach the similarity are not built: similarity s needs at least s * n of a window's n shingles to be
 the item's, so a window is built only where that many of the item's shingles lie within its length. This loses none.
+
+Items of fewer than five words match whole texts only: they are one hash, and longer texts have hashes of five words.
 """
 
 from __future__ import annotations
