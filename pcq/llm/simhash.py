@@ -11,7 +11,6 @@ other; a large block reports only a spanning forest of its links, which leaves t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,8 +28,10 @@ SEED = 42
 _GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
 #: Shingles hashed at a time; bounds the memory for a very long text.
 _CHUNK = 1 << 18
-#: Most entries of a block, and the number of cells in which entries are counted to find crowded lists.
-BLOCK, CELLS = 4096, 1 << 16
+#: Most entries of a posting list, about, that are compared as one; longer lists are cut into blocks of that size.
+BLOCK = 4096
+#: Up to so many crowded lists (a row of a long and an int each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_LISTS = 100_000
 #: A group of postings up to this size is compared by shifting, a larger one row by row with a forest.
 SMALL = 64
 
@@ -49,7 +50,7 @@ def triples() -> list[tuple[int, int, int]]:
 def _bit_counts(h: np.ndarray) -> np.ndarray:
     """How many rows of a table of u64 have each bit set; summed as u8 over 255 rows at a time, which cannot overflow."""
     bits = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
-    return np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
+    return sum(bits[at : at + 255].sum(0, dtype=np.uint8).astype(np.int64) for at in range(0, len(bits), 255))
 
 
 def _shingles(text: str | None, size: int) -> Iterator[np.ndarray]:
@@ -138,6 +139,19 @@ def _links(groups: pd.DataFrame, radius: int, least_shared: int) -> pd.DataFrame
     return pd.DataFrame({"u": np.concatenate(us).view(np.int64), "v": np.concatenate(vs).view(np.int64)})
 
 
+def _blocked(posted: DataFrame, id_col: str) -> DataFrame:
+    """posted with (lo, hi, block): lists of more than BLOCK entries are cut into blocks by a hash of the id,
+    and an entry goes to each pair (lo, hi) of blocks of its list that holds its own block."""
+    crowded = posted.groupBy(F.col("key").alias("_k")).count().filter(F.col("count") > BLOCK).select("_k", F.ceil(F.col("count") / BLOCK).cast("int").alias("_blocks"))
+    # A crowded list has over BLOCK entries, so this table is small beside the postings; its size is still checked.
+    crowded = Scratch(posted.sparkSession, "crowded").save(crowded, "lists")
+    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_LISTS else crowded
+    posted = posted.join(crowded, posted["key"] == crowded["_k"], "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    posted = posted.withColumn("block", F.pmod(F.xxhash64(id_col, F.lit("block")), F.col("_blocks")).cast("int"))
+    posted = posted.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return posted.withColumn("lo", F.least("block", "_with")).withColumn("hi", F.greatest("block", "_with")).drop("_k", "_blocks", "_with")
+
+
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """fps(fp long, distinct) -> (u, v): links that connect all fingerprints within `radius` (at most 4) bits as the full
     set of links would. Small groups report every link, large blocks a spanning forest of theirs."""
@@ -146,16 +160,9 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     least_shared = 8 - radius
     byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)) for p in range(8)]
     keys = F.array(*[F.lit(k << 24).bitwiseOR(F.shiftleft(byte[a], 16)).bitwiseOR(F.shiftleft(byte[b], 8)).bitwiseOR(byte[c]).cast("long") for k, (a, b, c) in enumerate(triples())])
-    posted = fps.select("fp", F.explode(keys).alias("key")).withColumn("_cell", F.pmod(F.xxhash64("key"), F.lit(CELLS)))
-    # Cells bound the length of their lists from above. The table has CELLS rows at most, so it may be broadcast.
-    cells = posted.groupBy("_cell").count()
-    mean = F.greatest(F.lit(float(BLOCK)), F.lit(8.0) * (cells.agg(F.avg("count")).first()[0] or 0.0))
-    crowded = cells.select(F.col("_cell").alias("_c"), F.ceil(F.col("count") / mean).cast("int").alias("_blocks")).filter("_blocks > 1")
-    posted = posted.join(F.broadcast(crowded), posted["_cell"] == crowded["_c"], "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-    posted = posted.withColumn("block", F.pmod(F.xxhash64("fp", F.lit("block")), F.col("_blocks")).cast("int"))
-    posted = posted.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    posted = posted.select("key", F.least("block", "_with").alias("lo"), F.greatest("block", "_with").alias("hi"), "block", "fp")
-    posted = posted.repartition(partitions(fps.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    posted = fps.select("fp", F.explode(keys).alias("key"))
+    posted = _blocked(posted, "fp")
+    posted = posted.select("key", "lo", "hi", "block", "fp").repartition(partitions(fps.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -190,222 +197,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = tmp.save(classed.join(names, classed["_root"] == names["_r"]).select(F.col("_fp").alias("_f"), "component_id"), "named")
     out = made.join(named, made["_fp"] == named["_f"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-
-# Near copies by similarity: the pipeline's stage.
-#
-# Texts of similarity 0.8 differ in some 10 of 64 bits, too many for the guarantee above. So the stage takes a 512-bit
-# fingerprint of 64 bytes and posts it under PROBES triples of byte positions. A pair is a candidate if it meets under a
-# triple and its first 64 bits differ in at most NEAR_64; it must then share LEAST_SHARED of the 64 bytes; its exact
-# Jaccard similarity decides. Two bits of a pair of similarity s agree with probability 1 - acos(2s / (1 + s)) / pi.
-WIDE, PROBES, NEAR_64, LEAST_SHARED = 8, 192, 24, 3
-#: Up to so many removed rows (a long each) are broadcast; beyond, they are joined by shuffle.
-BROADCAST_REMOVED = 1_000_000
-#: Candidate pairs that a task holds before it hands them on.
-PAIRS_HELD = 1_000_000
-_SPREAD = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WIDE)], np.uint64)
-
-
-def probes() -> list[tuple[int, int, int]]:
-    """PROBES triples of the byte positions, the same ones on every run, spread evenly over the positions."""
-    rng = np.random.default_rng(SEED)
-    out: set[tuple[int, int, int]] = set()
-    while len(out) < PROBES:
-        out.update(tuple(sorted(int(x) for x in t)) for t in rng.permutation(8 * WIDE)[: 8 * WIDE // 3 * 3].reshape(-1, 3))
-    return sorted(out)[:PROBES]
-
-
-def wide_fingerprint(text: str | None, size: int) -> tuple[bytes, bytes]:
-    """A SimHash of 512 bits, and a digest of the words as they stand in order."""
-    tally, n = np.zeros(64 * WIDE, np.int64), 0
-    for h in _shingles(text, size):
-        wide = h[:, None] * _SPREAD
-        wide ^= wide >> np.uint64(32)
-        tally += _bit_counts(np.ascontiguousarray(wide))
-        n += len(h)
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.packbits(tally * 2 > n, bitorder="little").tobytes(), xxhash.xxh3_128_digest(b" ".join(words))
-
-
-def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where runs of equal keys start (and the end), and their sizes."""
-    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-    return cut, np.diff(cut)
-
-
-def _nearest_forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j): each entry with the nearest one of every other component found so far within NEAR_64 bits."""
-    label = np.arange(len(fp))
-    u, v = [], []
-    for i in range(len(fp)):
-        far = np.bitwise_count(fp[i] ^ fp)
-        near = np.flatnonzero((far <= NEAR_64) & (label != label[i]))
-        if len(near):
-            near = near[np.argsort(far[near], kind="stable")]
-            roots, first = np.unique(label[near], return_index=True)
-            u.append(np.full(len(roots), i))
-            v.append(near[first])
-            label[np.isin(label, roots)] = label[i]
-    return (np.concatenate(u), np.concatenate(v)) if u else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-
-def _candidates(groups: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs within each run of rows (key, fp, id) of equal key: all of a short list, a forest of a long one. A
-    long list's key and size come with them (u and v null), since the forest is only a first guess at what its pairs are."""
-    key, fp, ids = groups["key"].to_numpy(), groups["fp"].to_numpy().view(np.uint64), groups["id"].to_numpy()
-    cut, sizes = _runs(key)
-    group = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
-    us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for d in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
-        a, b = at[:-d], at[d:]
-        near = (group[a] == group[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= NEAR_64)
-        us.append(ids[a[near]])
-        vs.append(ids[b[near]])
-    long = np.flatnonzero(sizes > SMALL)
-    for g in long:
-        a, b = _nearest_forest(fp[cut[g] : cut[g + 1]])
-        us.append(ids[cut[g] + a])
-        vs.append(ids[cut[g] + b])
-    u, v = np.concatenate(us), np.concatenate(vs)
-    found = pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates().astype("Int64")
-    lists = pd.DataFrame({"key": key[cut[long]], "entries": sizes[long]})
-    return pd.concat([found, lists], ignore_index=True).reindex(columns=["u", "v", "key", "entries"]).astype("Int64")
-
-
-def _whole_keys(batches: Iterator[pd.DataFrame], by: tuple[str, ...] = ("key",), most: int | None = None) -> Iterator[pd.DataFrame]:
-    """Rows sorted by the columns `by`, cut where these change; with `most`, longer runs go out in overlapping pieces."""
-    rest = None
-    for batch in batches:
-        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        own = batch[list(by)].to_numpy()
-        first = int((own == own[-1]).all(1).argmax())
-        if first:
-            yield batch.iloc[:first].reset_index(drop=True)
-        rest = batch.iloc[first:].reset_index(drop=True)
-        if most and len(rest) > 2 * most:
-            yield rest.iloc[:most].reset_index(drop=True)
-            rest = rest.iloc[most // 2 :].reset_index(drop=True)
-    if rest is not None and len(rest):
-        yield rest
-
-
-def _apart(groups: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """All candidate pairs within each run of rows (key, lo, hi, block, fp, id, label) of equal key, lo and hi whose labels
-    differ: within one block where lo is hi, else from one block to the other."""
-    own, fp, ids = groups[["key", "lo", "hi"]].to_numpy(), groups["fp"].to_numpy().view(np.uint64), groups["id"].to_numpy()
-    label, block = groups["label"].to_numpy(), groups["block"].to_numpy()
-    cut = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]).any(1), [True])))
-    mixed = np.minimum.reduceat(label, cut[:-1]) != np.maximum.reduceat(label, cut[:-1])
-    us, vs, held = [], [], 0
-    for g in np.flatnonzero(mixed):
-        start, end = int(cut[g]), int(cut[g + 1])
-        cross = own[start, 1] != own[start, 2]
-        for i in range(start, end - 1):
-            rest = slice(i + 1, end)
-            near = (np.bitwise_count(fp[i] ^ fp[rest]) <= NEAR_64) & (label[rest] != label[i])
-            near = ids[rest][near & (block[rest] != block[i]) if cross else near]
-            us.append(np.full(len(near), ids[i]))
-            vs.append(near)
-            held += len(near)
-            if held > PAIRS_HELD:
-                yield _ordered(us, vs)
-                us, vs, held = [], [], 0
-    if held:
-        yield _ordered(us, vs)
-
-
-def _ordered(us: list[np.ndarray], vs: list[np.ndarray]) -> pd.DataFrame:
-    u, v = np.concatenate(us), np.concatenate(vs)
-    return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
-    """docs less near copies: of each group the row with the smallest id stays, with all its columns.
-
-    Texts whose words are the same (A-Z lower-cased) are one; other texts are linked if their sets of word shingles
-    reach the Jaccard similarity. Groups follow links. Texts without words (null, empty) are alike. A null id is larger
-    than any other; of repeated rows one stays. An empty table stays empty. Lists of more than SMALL entries report,
-    instead of all their pairs, a forest that joins each entry to its nearest one in every other component.
-    """
-    spark = docs.sparkSession
-    tmp = Scratch(spark, "near")
-    saved = tmp.save(docs.withColumn("_uid", F.monotonically_increasing_id()), "docs")
-
-    @F.pandas_udf("fp binary, exact binary")
-    def make(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            yield pd.DataFrame([wide_fingerprint(t, size) for t in batch], columns=["fp", "exact"])
-
-    rows = saved.select("_uid", F.col(id_col).alias("_id"), make(F.col(text_col)).alias("_f"))
-    rows = tmp.save(rows.select("_uid", "_id", "_f.fp", "_f.exact"), "rows")
-    best = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_uid").alias("u")))
-    texts = tmp.save(rows.groupBy("exact").agg(best.alias("_best"), F.first("fp").alias("fp")).select("_best", F.col("_best.u").alias("id"), "fp"), "texts")
-
-    number = lambda k: F.conv(F.hex(F.substring("fp", k + 1, 1)), 16, 10).cast("long")
-    head = F.lit(0).cast("long")
-    for k in range(8):
-        head = head.bitwiseOR(F.shiftleft(number(k), 8 * k))
-    byte = texts.select("id", head.alias("fp"), F.array(*[number(k) for k in range(8 * WIDE)]).alias("_b"))
-    keys = F.array(*[F.lit(k << 24).bitwiseOR(F.shiftleft(F.get("_b", F.lit(a)), 16)).bitwiseOR(F.shiftleft(F.get("_b", F.lit(b)), 8)).bitwiseOR(F.get("_b", F.lit(c))) for k, (a, b, c) in enumerate(probes())])
-    bytes_ = tmp.save(byte, "bytes")
-    posted = bytes_.select("id", "fp", F.explode(keys).alias("key"))
-    posted = posted.repartition(partitions(spark), "key").sortWithinPartitions("key")
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return map(_candidates, _whole_keys(batches, most=BLOCK))
-
-    def meet_apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for groups in _whole_keys(batches, ("key", "lo", "hi")):
-            yield from _apart(groups)
-
-    fps = texts.select("id", "fp")
-    @F.pandas_udf("binary")
-    def shingle_set(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([np.unique(np.concatenate(got)).tobytes() if (got := list(_shingles(t, size))) else b"" for t in batch])
-
-    @F.pandas_udf("double")
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / max(1, len(x) + len(y) - both))
-        return pd.Series(out)
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (u, v) that share LEAST_SHARED bytes and whose exact similarity is enough."""
-        pairs = pairs.join(fps.select(F.col("id").alias("u"), F.col("fp").alias("_a")), "u").join(fps.select(F.col("id").alias("v"), F.col("fp").alias("_b")), "v")
-        shared = sum(F.when(F.substring("_a", k + 1, 1) == F.substring("_b", k + 1, 1), 1).otherwise(0) for k in range(8 * WIDE))
-        pairs = tmp.save(pairs.filter(shared >= LEAST_SHARED).select("u", "v"), f"pairs_{name}")
-        asked = pairs.select(F.col("u").alias("_q")).union(pairs.select("v")).distinct()
-        sets = saved.join(asked, saved["_uid"] == asked["_q"], "left_semi").select("_uid", shingle_set(F.col(text_col)).alias("_s"))
-        sets = tmp.save(sets, f"sets_{name}")
-        sided = pairs.join(sets.select(F.col("_uid").alias("u"), F.col("_s").alias("_x")), "u").join(sets.select(F.col("_uid").alias("v"), F.col("_s").alias("_y")), "v")
-        return tmp.save(sided.filter(jaccard("_x", "_y") >= least).select("u", "v"), f"linked_{name}")
-
-    met = tmp.save(posted.mapInPandas(meet, "u long, v long, key long, entries long"), "met")
-    first = met.filter("key is null").select("u", "v").distinct()
-    linked = verified(first, "first")
-    found = components(linked, tmp)
-    # Pieces of a list overlap, so its entries are counted from above.
-    long = met.filter("key is not null").groupBy(F.col("key").alias("_k")).agg(F.ceil(F.sum("entries") / BLOCK).cast("int").alias("_blocks"))
-    long = tmp.save(long, "long")
-    if long.head(1):
-        # Long lists again, now all of their pairs that verified links don't join yet.
-        named = bytes_.join(found, bytes_["id"] == found["node"], "left").select("id", "fp", "_b", F.coalesce("root", "id").alias("label"))
-        again = named.select("id", "fp", "label", F.explode(keys).alias("key"))
-        again = again.join(long, again["key"] == long["_k"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("_blocks")).cast("int"))
-        again = again.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        again = again.select("key", F.least("block", "_with").alias("lo"), F.greatest("block", "_with").alias("hi"), "block", "fp", "id", "label")
-        again = again.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-        again = again.mapInPandas(meet_apart, "u long, v long").distinct()
-        again = again.join(first, ["u", "v"], "left_anti")
-        found = components(linked.union(verified(again, "again")), Scratch(spark, "near-again"))
-    classed = texts.join(found, texts["id"] == found["node"], "left").select("_best", F.coalesce("root", "id").alias("_root"))
-    stays = classed.groupBy("_root").agg(F.min("_best").alias("_best")).select(F.col("_best.u").alias("_k"))
-    gone = tmp.save(rows.select("_uid").join(stays, rows["_uid"] == stays["_k"], "left_anti").select(F.col("_uid").alias("_g")), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_REMOVED else gone
-    return saved.join(gone, saved["_uid"] == gone["_g"], "left_anti").select(*docs.columns)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pcq.llm import ann, decontaminate, idcoder, idfiles, langid, mixing, pitman_yor, simhash, suffix, toxicity, urlfilter
+from pcq.llm import ann, decontaminate, idcoder, idfiles, langid, mixing, nearcopies, pitman_yor, simhash, suffix, toxicity, urlfilter
 from pcq.llm.common import Scratch, crc_mod
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -93,7 +93,7 @@ def test_simhash_crowded_list(spark):
 
 
 def test_keep_one(docs, rows, none):
-    kept = simhash.keep_one(docs)
+    kept = nearcopies.keep_one(docs)
     assert kept.columns == docs.columns
 
     def shingles(t):
@@ -112,7 +112,7 @@ def test_keep_one(docs, rows, none):
     for r, row in zip(root, rows, strict=True):
         best[r] = min(best.get(r, (True, 0)), (row[0] is None, row[0] or 0))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for _, d in best.values())
-    assert simhash.keep_one(none).count() == 0
+    assert nearcopies.keep_one(none).count() == 0
 
 
 def _templated(n, edits, seed):
@@ -122,27 +122,69 @@ def _templated(n, edits, seed):
     return texts + [" ".join([*texts[k].split()[:-2], "x", "y"]) for k in range(edits)]
 
 
+def _same_prints(monkeypatch):
+    """All fingerprints alike, so that all texts meet in every list."""
+    monkeypatch.setattr(nearcopies, "probes", lambda order: np.zeros((2, order), int))
+    monkeypatch.setattr(nearcopies, "fingerprint", lambda shingles: bytes(64))
+
+
 def test_keep_one_in_a_crowd(spark, monkeypatch):
     """Near copies among texts of one template, all of which meet in long lists, are found though the forest misses them."""
-    monkeypatch.setattr(simhash, "probes", lambda: [(0, 0, 0)] * 2)
-    monkeypatch.setattr(simhash, "wide_fingerprint", lambda t, size: (bytes(64), hashlib.md5(t.encode()).digest()))
+    _same_prints(monkeypatch)
     texts = _templated(200, 40, 31)
-    kept = simhash.keep_one(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3), least=0.95)
+    kept = nearcopies.keep_one(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3), least=0.95)
     assert sorted(r.doc_id for r in kept.collect()) == list(range(200))
 
 
 def test_keep_one_in_blocks(spark, monkeypatch):
-    """A list of many blocks loses none of its pairs, wherever in the list they stand."""
-    monkeypatch.setattr(simhash, "BLOCK", 100)
-    monkeypatch.setattr(simhash, "probes", lambda: [(0, 0, 0)] * 2)
+    """A list of many blocks loses none of its pairs, wherever in the list they stand; sets of candidates are cut as well."""
+    _same_prints(monkeypatch)
+    monkeypatch.setattr(nearcopies, "BLOCK", 100)
+    monkeypatch.setattr(nearcopies, "GROUP", 60)
     # The first guess finds nothing, so that all pairs are left to the blocks.
-    monkeypatch.setattr(simhash, "_nearest_forest", lambda fp: (np.empty(0, np.int64), np.empty(0, np.int64)))
-    monkeypatch.setattr(simhash, "wide_fingerprint", lambda t, size: (bytes(64), hashlib.md5(t.encode()).digest()))
+    monkeypatch.setattr(nearcopies, "_nearest_forest", lambda h: (np.empty(0, np.int64), np.empty(0, np.int64)))
     texts = _templated(700, 100, 32)
-    kept = simhash.keep_one(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3), least=0.95)
+    kept = nearcopies.keep_one(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3), least=0.95)
     assert sorted(r.doc_id for r in kept.collect()) == list(range(700))
 
 
+def test_probes_hold_what_they_guarantee():
+    for order, n in ((2, 96), (3, 448)):
+        sets = nearcopies.probes(order)
+        assert len(sets) == len(set(map(tuple, sets.tolist()))) == n
+        group = np.zeros(64, int)
+        for g, own in enumerate(np.arange(64).reshape(-1, 16 // (order - 1)).T):
+            group[own] = g
+        # Any 17 positions put `order` of them into one group, and all sets within a group are probed.
+        assert len(np.unique(group)) * (order - 1) < 17 and (group[sets] == group[sets[:, :1]]).all()
+
+
+@pytest.mark.parametrize("threes", [False, True])
+def test_near_copy_recall_at_the_threshold(spark, monkeypatch, threes):
+    """Pairs of texts from similarity 0.80 up, some hundreds at each, against the exact similarity."""
+    if threes:
+        monkeypatch.setattr(nearcopies, "PAIRS_UP_TO", 0)
+    r = random.Random(6)
+    vocab = ["".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(20_000)]
+    texts, levels = [], {}
+    while len(texts) < 2000:
+        n = r.choice([40, 90, 200])
+        a = [r.choice(vocab) for _ in range(n)]
+        b = list(a)
+        for _ in range(r.randint(1, max(1, n // 45))):
+            b[r.randrange(n)] = r.choice(vocab)
+        s, t = (nearcopies.shingle_set(" ".join(x).encode().split(), 5) for x in (a, b))
+        similarity = len(np.intersect1d(s, t)) / len(np.union1d(s, t))
+        if 0.8 <= similarity < 1:
+            levels[len(texts)] = int(similarity * 50) / 50
+            texts += [" ".join(a), " ".join(b)]
+    kept = {x.doc_id for x in nearcopies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for level in sorted(set(levels.values())):
+        own = [k for k, v in levels.items() if v == level]
+        assert sum(k + 1 not in kept for k in own) >= 0.95 * len(own), (level, len(own))
+    assert set(levels) <= kept
+
+
 def test_decontaminate(spark, docs, none):
     item = prose(40, 500)
     edited = item.split()
