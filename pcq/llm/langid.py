@@ -45,7 +45,8 @@ class LangParams:
 def counts(text: str, p: LangParams) -> tuple[np.ndarray, np.ndarray]:
     """Buckets that occur in a text, and how often; nothing for a text without letters."""
     clean = _NOT_LETTERS.sub(" ", text.lower())
-    if not clean.strip():
+    # Powers, fractions and numbers in circles count as word characters, but are no letters.
+    if not any(map(str.isalpha, clean)):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     clean = f" {clean} "
     total = np.zeros(1 << p.bits, np.int64)
@@ -173,10 +174,10 @@ def fit(docs: DataFrame, learn: Column, params: LangParams = LangParams(), text_
 
     rows, langs = [], {}
     for r in sample.mapInPandas(extract, "lang string, at binary, n binary").toLocalIterator():
-        at = np.frombuffer(r["at"], np.uint16 if p.bits <= 16 else np.uint32).astype(np.int64)
+        at = np.frombuffer(r["at"], np.uint16 if p.bits <= 16 else np.uint32)
         if len(at):
             x = (1.0 + np.log(np.frombuffer(r["n"], np.uint32))) * idf[at]
-            rows.append((at, x / math.sqrt(float(x @ x)), langs.setdefault(r["lang"], len(langs))))
+            rows.append((at, (x / math.sqrt(float(x @ x))).astype(np.float32), langs.setdefault(r["lang"], len(langs))))
     if not rows:
         return LanguageModel([], np.zeros((1 << p.bits, 0)), idf, 1.0, p)
     names = list(langs)

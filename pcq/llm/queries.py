@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from . import ann, decontaminate, idfiles, langid, mixing, pitman_yor, simhash, suffix, toxicity, urlfilter
 from .common import Scratch, crc_mod, table
 
-#: Where the vocabulary files of public tokenizers lie on this machine.
-TOKENIZERS = "/opt/tokenizers"
+
+def tokenizer_path() -> str:
+    """The vocabulary file of a public tokenizer."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +38,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark, 'op6').root}/ids"
-    idfiles.write(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/word_bpe_49k.json")
+    idfiles.write(table(spark, sf_dir, "documents"), path, tokenizer_path())
     return idfiles.digest(idfiles.read(spark, path))
 
 

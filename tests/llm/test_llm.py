@@ -316,13 +316,13 @@ def test_language(spark, none):
     words = {"en": "the and of to with this that for".split(), "fr": "le la les des une dans pour avec".split(), "es": "el los las una para con que del".split()}
     r = random.Random(2)
     rows = [(k, " ".join(r.choice(words[lang]) for _ in range(30)), lang) for k in range(300) for lang in [("en", "fr", "es")[k % 3]]]
-    rows += [(900, None, "en"), (901, "", "en"), (902, "12 !?", "fr"), (903, "the and of", None), (904, "le la les " * 300_000, None)]
+    rows += [(900, None, "en"), (901, "", "en"), (902, "12 !?", "fr"), (903, "the and of", None), (904, "le la les " * 300_000, None), (905, "² ½ ① 7", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
     held = crc_mod(F.col("doc_id"), 4) == 2
     model = langid.fit(df, ~held)
     got = {x.doc_id: x for x in langid.predict(df, model).withColumn("held", held).collect()}
     assert all(got[k].lang_pred == lang for k, _, lang in rows[:300]) and all(0 <= x.score <= 1 for x in got.values())
-    assert {got[k].lang_pred for k in (900, 901, 902)} == {"und"} and got[903].lang_pred == "en" and got[904].lang_pred == "fr"
+    assert {got[k].lang_pred for k in (900, 901, 902, 905)} == {"und"} and got[903].lang_pred == "en" and got[904].lang_pred == "fr"
     kept = langid.keep_known(df)
     assert kept.columns == df.columns and kept.count() == 302
     unknown = langid.fit(none, F.lit(True))
