@@ -3,7 +3,7 @@
 A dataset is a Parquet container, so that Spark's writers commit it and any store that Spark reads can hold it. One row
 is one shard: whole documents, about SHARD ids together, cut into blocks that are coded and checked each on its own.
 Columns: part and shard (their order is the order of the documents), doc_ids, doc_tokens (ids of each document, its end
-id counted), block_bytes, payload (the blocks, one after another).
+id counted), block_bytes, header (of the shard's model), payload (the blocks, one after another).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +30,13 @@ SHARD = idcoder.BLOCK * idcoder.LANES
 CACHE = 300_000
 #: Up to so many shards a row of three longs for each is broadcast.
 BROADCAST_SHARDS = 100_000
-SCHEMA = "part int, shard int, n_tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, block_bytes array<int>, payload binary"
-#: Latin letters (each one code point in lower case), then full stops and commas: such a word's ids are those of the
-#: letters, then of the marks, as the tokenizer's model gives them.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įıĲ-ɏ]+)([.,]*)")
+SCHEMA = "part int, shard int, n_tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, block_bytes array<int>, header binary, payload binary"
+#: Texts with any other character are cut at white space only. Of these, every letter is one code point in lower case.
+_UNUSUAL = re.compile("[^\t-\r\x20-;=-~À-ÖØ-öø-įıĲ-ɏ]")
+#: Letters, then full stops and commas: such a word's ids are those of the letters, then of the marks.
+_PLAIN = re.compile(r"([^\W\d_]+)([.,]*)")
+#: A full stop or comma beside another mark makes one run with it.
+_RUN = re.compile(r"[.,][^\w\s]|[^\w\s][.,]|_")
 #: Python's split() takes these for white space; the tokenizer's white space does not hold them.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -49,7 +53,8 @@ _BYTE_CHARS = _byte_chars()
 
 class WordTokenizer:
     """Ids by the tokenizers library, with a cache. Its pre-tokenizer never joins what white space parts, so a text's
-    ids are those of its words in a row; texts with odd control characters are encoded as a whole."""
+    ids are those of its words in a row; texts with odd control characters are encoded as a whole. Where its rules allow
+    (which is tested at the start), texts of usual characters are lower-cased and full stops and commas parted first."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -60,53 +65,60 @@ class WordTokenizer:
         top = self.inner.get_vocab_size(with_added_tokens=True)
         if top > 1 << 16:
             raise ValueError(f"ids are stored as u16; this vocabulary has {top}")
-        # Letters and marks can go straight to the model if the text around it does what this shortcut assumes.
-        probe = ["Abc", "Éclair,", "ÜBER...", "ñandú.,", "ſǆ"]
-        self.direct = all(self._plain(w) == self._whole([w])[0] for w in probe)
+        added = [t.content for t in self.inner.get_added_tokens_decoder().values()]
+        self.direct = sys.byteorder == "little" and all("<" in t for t in added)
+        # Words can go straight to the model, in lower case and without marks, if this tokenizer does what that assumes.
+        probe = ["Abc don't, 1.5", "Éclair,x.y ÜBER.", "ñandú, a-b.c (d) e's", "ſǆ \"Q\" 3,000 it's."]
+        self.direct = self.direct and self.encode(probe) == self._whole(probe) and self._letters("çeci") == self._whole(["Çeci"])[0]
+        self.known = {}
 
     def _whole(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.inner.encode_batch(words, add_special_tokens=False)]
+        return [array("H", e.ids).tobytes() for e in self.inner.encode_batch(words, add_special_tokens=False)]
 
-    def _part(self, text: str) -> bytes:
-        found = self.known.get(text) or self.old.get(text)
-        if found is None:
-            mapped = text.encode().decode("latin-1").translate(_BYTE_CHARS)
-            found = np.array([t.id for t in self.inner.model.tokenize(mapped)], "<u2").tobytes()
-        self.known[text] = found
-        return found
-
-    def _plain(self, word: str) -> bytes:
+    def _plain(self, word: str) -> bytes | None:
         m = _PLAIN.fullmatch(word)
-        return self._part(m[1].lower()) + (self._part(m[2]) if m[2] else b"")
+        return m and self._letters(m[1]) + (self._letters(m[2]) if m[2] else b"")
+
+    def _letters(self, word: str) -> bytes:
+        # ASCII letters stand for themselves.
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return array("H", [t.id for t in self.inner.model.tokenize(mapped)]).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: set[str], usual: bool) -> None:
         if len(self.known) > CACHE:
             self.known, self.old = {}, self.known
         ask = []
         for w in words:
-            if w in self.old:
-                self.known[w] = self.old[w]
-            elif self.direct and _PLAIN.fullmatch(w):
-                self.known[w] = self._plain(w)
-            else:
+            found = self.old.get(w)
+            if found is None and usual:
+                found = self._letters(w) if w.isalpha() else self._plain(w)
+            if found is None:
                 ask.append(w)
+            else:
+                self.known[w] = found
         for w, ids in zip(ask, self._whole(ask) if ask else [], strict=True):
             self.known[w] = ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian u16; none for null."""
-        split = [t.split() if t and not _ODD_SPACE.search(t) else None for t in texts]
         out = []
-        for t, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(np.array(self.inner.encode(t, add_special_tokens=False).ids, "<u2").tobytes() if t else b"")
+        for t in texts:
+            if not t or _ODD_SPACE.search(t):
+                out.append(array("H", self.inner.encode(t, add_special_tokens=False).ids).tobytes() if t else b"")
                 continue
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                new = set(words)
-                self._learn(new if len(self.known) > CACHE else {w for w in new if w not in self.known})
-                out.append(b"".join(map(self.known.__getitem__, words)))
+            usual = self.direct and not _UNUSUAL.search(t)
+            if usual:
+                t = t.lower()
+                if not _RUN.search(t):
+                    t = t.replace(",", " , ").replace(".", " . ")
+            words = t.split()
+            found = [*map(self.known.get, words)]
+            if None in found:
+                # Learning may retire the words known so far; those of this text are at hand.
+                self._learn({w for w, x in zip(words, found, strict=True) if x is None}, usual)
+                known = self.known
+                found = [known[w] if x is None else x for w, x in zip(words, found, strict=True)]
+            out.append(b"".join(found))
         return out
 
 
@@ -145,9 +157,9 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def row() -> pd.DataFrame:
         ids = np.frombuffer(b"".join(held), "<u2")
-        blocks = idcoder.encode([ids[at : at + idcoder.BLOCK] for at in range(0, len(ids), idcoder.BLOCK)])
+        header, blocks = idcoder.encode(ids)
         lengths = [len(x) // 2 for x in held]
-        return pd.DataFrame({"part": [part], "shard": [shard], "n_tokens": [len(ids)], "doc_ids": [names], "doc_tokens": [lengths], "block_bytes": [[len(b) for b in blocks]], "payload": [b"".join(blocks)]})
+        return pd.DataFrame({"part": [part], "shard": [shard], "n_tokens": [len(ids)], "doc_ids": [names], "doc_tokens": [lengths], "block_bytes": [[len(b) for b in blocks]], "header": [header], "payload": [b"".join(blocks)]})
 
     for batch in batches:
         for name, ids in zip(batch["doc_id"], batch["ids"], strict=True):
@@ -177,7 +189,7 @@ def _unpack(row) -> Iterator[np.ndarray]:
     """The ids of each document of a shard."""
     cut = np.concatenate(([0], np.cumsum(np.asarray(row.block_bytes, np.int64))))
     blocks = [row.payload[cut[i] : cut[i + 1]] for i in range(len(cut) - 1)]
-    ids = np.concatenate(idcoder.decode(blocks)) if blocks else np.empty(0, np.uint16)
+    ids = np.concatenate(idcoder.decode(row.header, blocks)) if blocks else np.empty(0, np.uint16)
     ends = np.concatenate(([0], np.cumsum(np.asarray(row.doc_tokens, np.int64))))
     if ends[-1] != len(ids):
         raise ValueError("a shard's blocks do not hold its documents' ids")
@@ -188,6 +200,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): start counts the ids of all documents before; ids are u16, the end id included."""
     shards = spark.read.schema(SCHEMA).parquet(path)
     totals = shards.select("part", "shard", "n_tokens")
+    # One row for each writing task, at least SHARD ids each: a window over a table that short is one small task.
     parts = totals.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     parts = parts.withColumn("_before", F.sum("_n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n"))
     within = F.sum("n_tokens").over(W.partitionBy("part").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens")
