@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,18 +16,38 @@ NON_SPACE = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set, else one of our own (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir where it is set, else one of our own in local mode,
+    where driver and executors are one machine. A cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = getattr(spark, "_pcq_shared", None) or "file://" + tempfile.mkdtemp(prefix="pcq-")
         spark._pcq_shared = found
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long: Arrow batches of 16 MB keep Python workers small. A setting that the user made stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, "16m")
+
+
+def slim(batches: Iterator) -> Iterator:
+    """The batches; behind the last one, free memory goes back to the system, since idle workers live on."""
+    yield from batches
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not a C library that can
+
+
 class Scratch:
     """Tables written for one run of one operator. They cut lineage, outlive lost executors, and go with drop()."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/pcq-{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, table: str, by: list[str] | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import idcoder
-from .common import Scratch
+from .common import Scratch, slim, small_batches
 
 SHARD = idcoder.BLOCK * idcoder.LANES
 #: Words kept with their ids in a worker, twice: when the new ones are so many, they become the old ones.
@@ -133,6 +133,7 @@ def _tokenizer(spec: str) -> WordTokenizer:
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): each text's ids and the end id, as u16. A null or empty text has the end id alone."""
+    small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -141,7 +142,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer, end = _tokenizer(spec.value), np.array([end_id], "<u2").tobytes()
-        for batch in batches:
+        for batch in slim(batches):
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [x + end for x in tokenizer.encode(part["_text"].tolist())]})
@@ -161,7 +162,7 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lengths = [len(x) // 2 for x in held]
         return pd.DataFrame({"part": [part], "shard": [shard], "n_tokens": [len(ids)], "doc_ids": [names], "doc_tokens": [lengths], "block_bytes": [[len(b) for b in blocks]], "header": [header], "payload": [b"".join(blocks)]})
 
-    for batch in batches:
+    for batch in slim(batches):
         for name, ids in zip(batch["doc_id"], batch["ids"], strict=True):
             if held and size + len(ids) // 2 > SHARD:
                 yield row()
@@ -209,7 +210,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     placed = shards.join(places, (shards["part"] == places["_p"]) & (shards["shard"] == places["_s"])).drop("_p", "_s")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slim(batches):
             for row in batch.itertuples():
                 names = [None if pd.isna(x) else int(x) for x in row.doc_ids]
                 lengths = np.asarray(row.doc_tokens, np.int64)

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slim, small_batches
+
 #: The answer for texts without a letter.
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -137,11 +139,12 @@ def fit(docs: DataFrame, learn: Column, params: LangParams = LangParams(), text_
     so reruns agree. Without any such row the model knows no language and answers `und`.
     """
     p = params
+    small_batches(docs.sparkSession)
     train = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(1 << p.bits, np.int64), 0
-        for batch in batches:
+        for batch in slim(batches):
             for text in batch["text"]:
                 at, _ = counts(text, p)
                 df[at] += 1
@@ -194,7 +197,7 @@ def judge(model: LanguageModel, docs: DataFrame) -> Callable[[Column], Column]:
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = LanguageModel(*shared.value)
-        for batch in texts:
+        for batch in slim(texts):
             yield pd.DataFrame([m.score(t) for t in batch], columns=["lang_pred", "score"])
 
     return run

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, partitions, slim
 from .graph import components
 
 SEED = 42
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", size: int = 4) -> Data
 
     @F.pandas_udf("long")
     def make(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
+        for batch in slim(texts):
             yield pd.Series(np.array([fingerprint(t, size) for t in batch], np.uint64).view(np.int64))
 
     return docs.withColumn("_fp", make(F.col(text_col)))
