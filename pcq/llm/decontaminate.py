@@ -1,12 +1,14 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Every window of a document that is as long as a benchmark item gets a SimHash of its word shingles. Hamming blocks find
-the items whose fingerprints lie within the radius: of 8 bytes, one differs in at most radius // 8 bits, so items are
-indexed under every value of each byte within that many bits, and a window looks up its 8 bytes as they are. The exact
-similarity, the weighted Jaccard of the two multisets of shingles, then verifies each candidate.
+Windows of a document that are as long as some benchmark item get a SimHash of their word shingles. Hamming blocks then find
+the items of that length whose fingerprints lie within the radius: of 8 bytes, one differs in at most radius // 8 bits, so
+items are indexed under their length, each byte, and every value within that many bits, and a window looks up its 8 bytes as
+they are. No item within the radius is missed. The exact similarity, the weighted Jaccard of the two multisets of shingles,
+verifies each candidate.
 
-Windows that cannot reach the similarity are not built: similarity s needs at least s * n of a window's n shingles to be
-the item's, so a window is built only where that many of the item's shingles lie within its length. This loses none.
+Windows that cannot reach the similarity with any item of their length are not built: similarity s needs at least s * n of a
+window's n shingles to be shingles of items of that length, wherever they come from. This loses none, and says nothing about
+which item it is.
 
 Items of fewer than five words match whole texts only: they are one hash, and longer texts have hashes of five words.
 """
@@ -78,17 +80,21 @@ def contaminated(
     items = items.select("item_id", F.size("_w").alias("_words"), shingle_hashes(F.col("_w")).alias("_item"))
     items = items.withColumn("_ik", F.xxhash64("item_id", "_item")).withColumn("_n", F.size("_item"))
     items = tmp.save(items.withColumn("_ifp", simhash(F.col("_item"))), "items")
-    parts = items.select("_ik", "_n", "_words", F.explode(F.array_distinct("_item")).alias("_h"))
+    # The shingles of all items of a length (in words), whichever item they are of.
+    parts = tmp.save(items.select("_words", "_n", F.explode("_item").alias("_h")).distinct(), "parts")
     small = parts.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), word_array(F.col(text_col)).alias("_w"))
-    texts = texts.select("doc_id", F.size("_w").alias("_len"), shingle_hashes(F.col("_w")).alias("_doc"))
     # A row is known by its id and its text, so rows that share an id (or have none) stay apart.
-    texts = texts.withColumn("_dk", F.xxhash64("doc_id", "_doc"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).withColumn("_dk", F.xxhash64("doc_id", "_text"))
+
+    def shingled(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_w", word_array(F.col("_text")))
+        return df.select("doc_id", "_dk", F.size("_w").alias("_len"), shingle_hashes(F.col("_w")).alias("_doc"))
+
     # The outer form keeps the optimiser from testing the array's size in the scan, which would work it out twice.
-    at = texts.select("_dk", "_len", F.posexplode_outer("_doc").alias("_pos", "_dh"))
-    hits = at.join(hint(parts), at["_dh"] == parts["_h"]).groupBy("_dk", "_len", "_ik", "_n", "_words").agg(F.array_sort(F.collect_set("_pos")).alias("_hits"))
+    at = shingled(texts).select("_dk", "_len", F.posexplode_outer("_doc").alias("_pos", "_dh"))
+    hits = at.join(hint(parts), at["_dh"] == parts["_h"]).groupBy("_dk", "_len", "_n", "_words").agg(F.array_sort(F.collect_set("_pos")).alias("_hits"))
     # From a hit, `_need` hits must lie within the window's _n places; the window starts at most _n - _need before it.
     need = F.greatest(F.lit(1), F.ceil(F.lit(similarity) * F.least("_n", F.greatest(F.col("_len") - SHINGLE + 1, F.lit(1)))).cast("int"))
     hits = hits.withColumn("_need", need)
@@ -96,24 +102,26 @@ def contaminated(
     last = F.greatest(F.col("_len") - F.col("_words"), F.lit(0))
     spread = lambda p: F.sequence(F.least(last, F.greatest(F.lit(0), p - (F.col("_n") - F.col("_need")))), F.least(last, p))
     starts = hits.withColumn("_starts", F.array_distinct(F.flatten(F.transform(seeds, spread)))).filter(F.size("_starts") > 0)
-    starts = tmp.save(starts.select("_dk", "_ik", "_n", "_starts"), "starts")
+    starts = tmp.save(starts.select("_dk", "_words", "_n", "_starts"), "starts")
 
     # The second pass builds windows for the few documents that have any.
     found = starts.select("_dk").distinct()
     few = found.count() <= BROADCAST_ROWS
-    chosen = texts.join((F.broadcast if few else (lambda df: df))(found), "_dk", "left_semi").dropDuplicates(["_dk"])
-    windows = chosen.join(starts, "_dk").select("doc_id", "_dk", "_ik", "_n", "_doc", F.explode("_starts").alias("start"))
+    chosen = shingled(texts.join((F.broadcast if few else (lambda df: df))(found), "_dk", "left_semi").dropDuplicates(["_dk"]))
+    windows = chosen.join(starts, "_dk").select("doc_id", "_dk", "_words", "_n", "_doc", F.explode("_starts").alias("start"))
     windows = windows.withColumn("_win", F.slice("_doc", F.col("start") + 1, F.col("_n"))).drop("_doc")
     windows = tmp.save(windows.withColumn("_fp", simhash(F.col("_win"))), "windows")
     ball = [sum(1 << b for b in bits) for k in range(radius // 8 + 1) for bits in combinations(range(8), k)]
     keys = F.array(*[F.struct(F.lit(k).alias("k"), byte(F.col("_ifp"), k).alias("v")) for k in range(8)])
-    index = items.select("_ik", "_ifp", F.explode(keys).alias("_b"), F.lit(ball).alias("_ball")).select("_ik", "_ifp", F.col("_b.k").alias("_k"), F.col("_b.v").alias("_v"), F.explode("_ball").alias("_x"))
-    index = index.select(F.col("_ik").alias("_jk"), "_ifp", F.col("_k").alias("_jb"), F.col("_v").bitwiseXOR(F.col("_x")).alias("_jv"))
+    index = items.select("_ik", "_ifp", "_words", F.explode(keys).alias("_b"), F.lit(ball).alias("_ball")).select("_ik", "_ifp", "_words", F.col("_b.k").alias("_k"), F.col("_b.v").alias("_v"), F.explode("_ball").alias("_x"))
+    index = index.select("_ik", "_ifp", F.col("_words").alias("_jw"), F.col("_k").alias("_jb"), F.col("_v").bitwiseXOR(F.col("_x")).alias("_jv"))
     probes = F.array(*[F.struct(F.lit(k).alias("k"), byte(F.col("_fp"), k).alias("v")) for k in range(8)])
     probed = windows.withColumn("_p", F.explode(probes))
-    near = probed.join(index, (probed["_ik"] == index["_jk"]) & (probed["_p.k"] == index["_jb"]) & (probed["_p.v"] == index["_jv"]))
-    near = near.filter(F.bit_count(F.col("_fp").bitwiseXOR(F.col("_ifp"))) <= radius)
-    near = near.groupBy("_dk", "_ik", "start").agg(F.first("doc_id").alias("doc_id"), F.first("_win").alias("_win"))
+    near = probed.join(index, (probed["_words"] == index["_jw"]) & (probed["_p.k"] == index["_jb"]) & (probed["_p.v"] == index["_jv"]))
+    apart = F.col("_fp").bitwiseXOR(F.col("_ifp"))
+    # A pair that meets under several bytes counts under the first of them.
+    meets = F.coalesce(*[F.when(F.bit_count(byte(apart, k)) <= radius // 8, k) for k in range(8)])
+    near = near.filter((F.bit_count(apart) <= radius) & (meets == F.col("_p.k"))).select("doc_id", "_ik", "start", "_win")
     full = items.select(F.col("_ik").alias("_fk"), "item_id", "_item", "_words")
     verified = near.join(full, near["_ik"] == full["_fk"]).withColumn("_both", common_weight(F.col("_win"), F.col("_item")))
     verified = verified.withColumn("similarity", F.col("_both") / (F.size("_win") + F.size("_item") - F.col("_both"))).filter(F.col("similarity") >= similarity)
