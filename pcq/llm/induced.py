@@ -23,9 +23,9 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Tuples that a queue or a list holds in memory, and most that come up at once.
-MEMORY, BLOCK = 4_000_000, 1 << 16
-#: Strings of names up to this length are sorted at once.
-SHORT = 1 << 15
+MEMORY, BLOCK = 1_500_000, 1 << 16
+#: Strings up to this length are sorted in memory, which ends the recursion.
+SHORT = 1 << 21
 _FEW = 8
 
 
@@ -193,7 +193,8 @@ def _induce(t: np.ndarray, small: np.ndarray, source: Iterator[np.ndarray], stor
     wanted = 1024
     # By letter: the block of the last push, and the least common prefix behind it in that block.
     last_block, after = np.full(top + 1, -1, np.int64), np.zeros(top + 1, np.int64)
-    minima: list[int] = []
+    # The least common prefix from the start of each earlier block to the end of the last one.
+    tail, blocks = np.full(1024, most, np.int64), 0
     while True:
         while not ended and len(waiting) < wanted:
             rows = next(source, None)
@@ -237,7 +238,6 @@ def _induce(t: np.ndarray, small: np.ndarray, source: Iterator[np.ndarray], stor
         waiting = waiting[int((~induced).sum()) :]
         # Queue the suffixes before these.
         push = np.flatnonzero(ok)
-        block = len(minima)
         if len(push):
             by = push[np.argsort(letters[push], kind="stable")]
             own = letters[by]
@@ -246,20 +246,22 @@ def _induce(t: np.ndarray, small: np.ndarray, source: Iterator[np.ndarray], stor
             since = np.concatenate(([0], by[:-1] + 1))
             value = least.of(np.where(first, 0, since), by)
             # The first push of a letter here goes back to the last one before this block.
-            tail = np.minimum.accumulate(np.array([*minima, most], np.int64)[::-1])[::-1]
-            far = np.minimum(after[own[first]], tail[np.minimum(last_block[own[first]] + 1, block)])
+            far = np.minimum(after[own[first]], tail[last_block[own[first]] + 1])
             value[first] = np.minimum(value[first], far)
             rows = np.column_stack((letter(own), arrival + np.arange(len(by)), place[by] - 1, np.minimum(most, value + 1)))
             arrival += len(by)
             queue.push(rows[np.argsort(rows[:, 0], kind="stable")])
             final = np.append(np.flatnonzero(first)[1:] - 1, len(by) - 1)
-            last_block[own[final]] = block
+            last_block[own[final]] = blocks
             end = len(lcp) - 1
             rest = by[final] < end
             after[own[final]] = most
             if rest.any():
                 after[own[final][rest]] = least.of(by[final][rest] + 1, np.full(int(rest.sum()), end))
-        minima.append(int(lcp.min()))
+        if blocks + 2 > len(tail):
+            tail = np.concatenate((tail, np.full(len(tail), most, np.int64)))
+        np.minimum(tail[: blocks + 1], int(lcp.min()), out=tail[: blocks + 1])
+        blocks += 1
 
 
 def _names(t: np.ndarray, small: np.ndarray, star: np.ndarray) -> np.ndarray:

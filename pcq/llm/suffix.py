@@ -37,7 +37,7 @@ LENGTH, ANCHOR = 100, 32
 #: Bytes of text in a chunk, about (a longer text is a chunk of its own), and positions handled at a time.
 CHUNK, SEGMENT = 4 << 20, 1 << 17
 #: Bytes of text for each shard of anchors, and bytes of pieces in a shard that is sorted, about.
-ANCHOR_BYTES, SHARD_BYTES = 64 << 20, 4_000_000
+ANCHOR_BYTES, SHARD_BYTES = 64 << 20, 6_000_000
 #: An anchor is crowded if its different pieces have more bytes than this.
 CROWDED_BYTES = 500_000
 _A, _B = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
@@ -81,9 +81,16 @@ def _pieces(b: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, n
         n = len(v) - width + 1
         low = np.minimum(low[:n], low[width - have : width - have + n])
         place = (low & _PLACE).astype(np.int64)
-        text = np.searchsorted(ends, np.arange(at, at + n), side="right")
-        valid = np.arange(at, at + n) + length <= ends[text]
-        cut = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | (valid[1:] != valid[:-1]))))
+        # A string is valid if no text ends within it, so runs end where texts do.
+        close = ends[np.searchsorted(ends, at, side="right") : np.searchsorted(ends, at + n + length, side="left")] - at
+        mark = np.zeros(n + 1, np.int32)
+        np.add.at(mark, np.clip(close - length + 1, 0, n), 1)
+        np.add.at(mark, np.clip(close, 0, n), -1)
+        valid = np.cumsum(mark[:n]) == 0
+        new = place[1:] != place[:-1]
+        new |= valid[1:] != valid[:-1]
+        new[close[(close > 0) & (close < n)] - 1] = True
+        cut = np.concatenate((np.zeros(1, np.int64), np.flatnonzero(new) + 1))
         run = np.diff(np.append(cut, n))
         cut, run = cut[valid[cut]], run[valid[cut]]
         size = run + length - 1
