@@ -4,27 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-
-#: Rows in one group of a global numbering, about.
-GROUP = 100_000
 
+from .scratch import running
 
 def single(c: str) -> Column:
     return F.col(c).cast("float").cast("double")
 
 
 def numbered(df: DataFrame, keys: list[str], name: str = "point_idx") -> DataFrame:
-    """Number rows from 0 in the order of keys, the first of which is an integer. Rows are ranked within ranges of that
-    key and shifted by the counts of the ranges before, so no task sees more than a range."""
-    span = df.agg(F.min(keys[0]).alias("lo"), F.max(keys[0]).alias("hi"), F.count("*").alias("n"))
-    low = span.select("lo", F.greatest(F.lit(1).cast("long"), ((F.col("hi") - F.col("lo") + 1) * GROUP / F.greatest(F.col("n"), F.lit(1))).cast("long")).alias("step"))
-    ranged = df.crossJoin(F.broadcast(low)).withColumn("_g", F.floor((F.col(keys[0]) - F.col("lo")) / F.col("step"))).drop("lo", "step")
-    counts = ranged.groupBy("_g").agg(F.count("*").alias("_n"))
-    # One row a range: a table of the number of points over GROUP.
-    shifts = counts.select(F.col("_g").alias("_h"), (F.sum("_n").over(W.orderBy("_g").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    ranked = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_g").orderBy(*keys)) - 1)
-    return ranked.join(F.broadcast(shifts), ranked["_g"] == shifts["_h"]).withColumn(name, (F.col("_r") + F.col("_before")).cast("long")).drop("_g", "_h", "_r", "_before")
+    """Number rows from 0 in the order of keys. No task sees more than a range of the order (see running)."""
+    return running(df, keys, F.lit(1), name)
 
 
 LI_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_extendedprice"]
@@ -33,7 +22,7 @@ LI_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate",
 def points_li(spark: SparkSession, sf_dir: str, index: bool = False) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     if index:
-        df = numbered(df, LI_KEYS)
+        df = numbered(df.select(*LI_KEYS, "l_quantity", "l_discount", "l_returnflag"), LI_KEYS)
     code = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     own = ["point_idx"] if index else []
     return df.select(*own, single("l_quantity").alias("x"), single("l_extendedprice").alias("y"), single("l_partkey").alias("z"), single("l_discount").alias("intensity"), code.alias("classification"))

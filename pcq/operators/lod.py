@@ -1,18 +1,20 @@
 """Level of detail under a point budget.
 
 A best-first heap pops nodes by falling weight, and weights never grow from parent to child, so one sort and a running
-sum give the same nodes: reach nodes level by level, order by weight and name, and cut at the first row that would
-overflow the budget (a break: later, smaller nodes don't fit in either).
+sum give the same nodes: filter the nodes whose ancestors all give way, order them by weight and name, and cut at the
+first row that would overflow the budget (a break: later, smaller nodes don't fit in either).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.camera import Orbit, View, in_frustum, low_high
-from .octree import DEPTH
+from ..scratch import running
 
 # Pixels that a node must cover to be refined (isometric) and for a child to be pushed (perspective); the
 # level up to which size does not matter; margins of the viewport in pixels; queue limits.
@@ -26,16 +28,40 @@ def _box() -> tuple[tuple[Column, ...], tuple[Column, ...]]:
     return tuple(F.col(f"min_{c}") for c in "xyz"), tuple(F.col(f"max_{c}") for c in "xyz")
 
 
-def screen_boxes(nodes: DataFrame, view: View) -> DataFrame:
-    """Adds sx_min, sx_max, sy_min, sy_max: the box of the projected corners."""
-    lo, hi = _box()
+def _screen(view: View, lo: tuple[Column, ...], hi: tuple[Column, ...]) -> dict[str, Column]:
     fx, fy, _ = view.screen()
     (a, b), (c, d) = low_high(fx, lo, hi), low_high(fy, lo, hi)
-    return nodes.withColumns({"sx_min": a, "sx_max": b, "sy_min": c, "sy_max": d})
+    return {"sx_min": a, "sx_max": b, "sy_min": c, "sy_max": d}
+
+
+def screen_boxes(nodes: DataFrame, view: View) -> DataFrame:
+    """Adds sx_min, sx_max, sy_min, sy_max: the box of the projected corners."""
+    return nodes.withColumns(_screen(view, *_box()))
+
+
+def on_screen(view: View, margin: float, box: dict[str, Column] | None = None) -> Column:
+    box = box or {c: F.col(c) for c in ("sx_min", "sx_max", "sy_min", "sy_max")}
+    return (box["sx_max"] >= -margin) & (box["sx_min"] <= view.width + margin) & (box["sy_max"] >= -margin) & (box["sy_min"] <= view.height + margin)
+
 
+def _ancestors(holds) -> Column:
+    """Whether holds(depth, lo, hi) is true for the box of every proper ancestor of a node. A box follows from the node's own
+    (an ancestor is as many times larger as it is levels above, and begins at a multiple of that), so nothing is joined."""
 
-def on_screen(view: View, margin: float) -> Column:
-    return (F.col("sx_max") >= -margin) & (F.col("sx_min") <= view.width + margin) & (F.col("sy_max") >= -margin) & (F.col("sy_min") <= view.height + margin)
+    def at(j: Column) -> Column:
+        times = F.pow(F.lit(2.0), F.col("depth") - j)
+        up = F.col("depth") - j
+        lo, hi = [], []
+        for c in "xyz":
+            side = F.col(f"max_{c}") - F.col(f"min_{c}")
+            cell = F.col(f"cell_{c}")
+            first = F.call_function("shiftleft", F.call_function("shiftright", cell, up), up)
+            low = F.col(f"min_{c}") - (cell - first) * side
+            lo.append(low)
+            hi.append(low + side * times)
+        return holds(j, tuple(lo), tuple(hi))
+
+    return (F.col("depth") == 0) | F.forall(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("depth") - 1)), at)
 
 
 def visible_leaves(nodes: DataFrame, view: View, margin: float = MARGIN_CLOUD) -> DataFrame:
@@ -44,14 +70,14 @@ def visible_leaves(nodes: DataFrame, view: View, margin: float = MARGIN_CLOUD) -
 
 def stride_sample(points: DataFrame, leaves: DataFrame, budget: int) -> DataFrame:
     """points(point_idx, leaf) of the leaves, thinned: every stride-th in the order of leaf and point_idx, at most budget
-    of them; stride is the rounded ratio of points to budget. Places come from counts by leaf and ranks within a leaf."""
-    seen = points.join(leaves.select(F.col("name").alias("_n")), F.col("leaf") == F.col("_n"), "left_semi")
-    counts = seen.groupBy("leaf").agg(F.count("*").alias("_c"))
-    starts = counts.select(F.col("leaf").alias("_l"), (F.sum("_c").over(W.orderBy("leaf").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")).alias("_s"))
-    total = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_t")).select(F.greatest(F.lit(1), F.floor(F.col("_t") / budget + 0.5)).alias("_stride"))
+    of them; stride is the rounded ratio of points to budget. leaves(name, num_points) give each leaf's first place; a
+    point's own is that plus its rank within the leaf, so no window covers more than a leaf."""
+    total = leaves.agg(F.sum("num_points")).first()[0] or 0
+    stride = max(1, math.floor(total / budget + 0.5))
+    starts = running(leaves.select(F.col("name").alias("_l"), "num_points"), ["_l"], F.col("num_points"), "_s").drop("num_points")
     place = F.col("_s") + F.row_number().over(W.partitionBy("leaf").orderBy("point_idx")) - 1
-    out = seen.join(starts, seen["leaf"] == starts["_l"]).withColumn("place", place).crossJoin(F.broadcast(total))
-    return out.filter((F.col("place") % F.col("_stride") == 0) & (F.col("place") / F.col("_stride") < budget)).drop("_l", "_s", "_stride")
+    out = points.join(starts, points["leaf"] == starts["_l"]).withColumn("place", place)
+    return out.filter((F.col("place") % stride == 0) & (F.col("place") < budget * stride)).drop("_l", "_s")
 
 
 def _cut(reached: DataFrame, counts: Column, takes: Column, budget: int) -> DataFrame:
@@ -64,49 +90,50 @@ def _cut(reached: DataFrame, counts: Column, takes: Column, budget: int) -> Data
     return out.filter((F.col("_over") == 0) & F.col("_take")).drop("_over", "_take")
 
 
-def _reach(rated: DataFrame, goes_on: Column, depth: int) -> DataFrame:
-    """Nodes all of whose ancestors go on: a node is out if any proper prefix of its name stops or is missing."""
-    stops = rated.filter(~goes_on).select(F.col("name").alias("_stop"))
-    prefixes = rated.filter("depth > 0").select("name", F.explode(F.expr("transform(sequence(1, length(name) - 1), i -> substring(name, 1, i))")).alias("_prefix"))
-    out = prefixes.join(stops, F.col("_prefix") == F.col("_stop"), "left_semi").select(F.col("name").alias("_out")).distinct()
-    return rated.join(out, F.col("name") == F.col("_out"), "left_anti")
+def select_iso(nodes: DataFrame, view: View, budget: int, count: str = "num_points", min_pixel: float = MIN_ISO) -> DataFrame:
+    """Nodes (with boxes and cells) to draw in an isometric view: a node that is large on screen and has children gives way
+    to them. A node is reached if all its ancestors are on screen and large, which its own row tells. What is reached is
+    bounded by the screen: few nodes of min_pixel pixels fit on it at each level."""
+    width = lambda box: F.greatest(box["sx_max"] - box["sx_min"], box["sy_max"] - box["sy_min"])
 
+    def gives_way(depth: Column, lo: tuple, hi: tuple) -> Column:
+        box = _screen(view, lo, hi)
+        return on_screen(view, MARGIN_NODES, box) & (width(box) >= min_pixel)
 
-def select_iso(nodes: DataFrame, view: View, budget: int, count: str = "num_points", min_pixel: float = MIN_ISO) -> DataFrame:
-    """Nodes (with boxes) to draw in an isometric view: a node that is large on screen and has children gives way to them."""
     rated = screen_boxes(nodes.filter(F.col(count) > 0), view).filter(on_screen(view, MARGIN_NODES))
-    size = F.greatest(F.col("sx_max") - F.col("sx_min"), F.col("sy_max") - F.col("sy_min"))
+    size = width({c: F.col(c) for c in ("sx_min", "sx_max", "sy_min", "sy_max")})
     rated = rated.withColumn("screen_size", size).withColumn("weight", F.when(F.col("depth") == 0, F.lit(TOP)).otherwise(size))
     refined = (F.col("screen_size") >= min_pixel) & (F.col("child_mask") != 0)
-    # A node whose parent is not there (culled) is not reached either.
-    return _cut(_linked(_reach(rated, refined, DEPTH)), F.col(count), ~refined, budget)
-
-
-def _linked(reached: DataFrame) -> DataFrame:
-    """Only nodes whose ancestors are all in the table."""
-    names = reached.select(F.col("name").alias("_have"))
-    prefixes = reached.filter("depth > 0").select("name", F.explode(F.expr("transform(sequence(1, length(name) - 1), i -> substring(name, 1, i))")).alias("_prefix"))
-    missing = prefixes.join(names, F.col("_prefix") == F.col("_have"), "left_anti").select(F.col("name").alias("_out")).distinct()
-    return reached.join(missing, F.col("name") == F.col("_out"), "left_anti")
+    return _cut(rated.filter(_ancestors(gives_way)), F.col(count), ~refined, budget)
 
 
 def select_fps(nodes: DataFrame, cam: Orbit, budget: int, max_distance: float, count: str = "num_points", min_pixel: float = MIN_FPS) -> DataFrame:
-    """Nodes to draw in a perspective view, parents and children alike, by frustum, distance and projected radius."""
-    import math
-
+    """Nodes to draw in a perspective view, parents and children alike, by frustum, distance and projected radius. As in
+    select_iso, a node's row tells whether its ancestors are reached."""
     eye = cam.position()
     numerator = 0.5 * cam.height / math.tan(math.radians(cam.fov) / 2)
-    mid = [(F.col(f"min_{c}") + F.col(f"max_{c}")) / 2 - F.lit(e) for c, e in zip("xyz", eye, strict=True)]
-    dist = F.sqrt(mid[0] * mid[0] + mid[1] * mid[1] + mid[2] * mid[2])
+
+    def seen(lo: tuple, hi: tuple) -> tuple[Column, Column]:
+        """Distance of the box's centre, and the radius about it."""
+        mid = [(a + b) / 2 - F.lit(e) for a, b, e in zip(lo, hi, eye, strict=True)]
+        half = [b - a for a, b in zip(lo, hi, strict=True)]
+        return F.sqrt(mid[0] * mid[0] + mid[1] * mid[1] + mid[2] * mid[2]), F.sqrt(half[0] * half[0] + half[1] * half[1] + half[2] * half[2]) / 2
+
+    def pushed(depth: Column, dist: Column, radius: Column) -> Column:
+        near = (dist <= radius) | (radius * F.lit(numerator) / dist >= min_pixel) | (depth <= ALWAYS_LEVEL)
+        return (depth == 0) | ((dist <= max_distance) & near)
+
+    def goes_on(depth: Column, lo: tuple, hi: tuple) -> Column:
+        dist, radius = seen(lo, hi)
+        return pushed(depth, dist, radius) & in_frustum(cam, lo, hi) & (dist <= max_distance)
+
     lo, hi = _box()
+    dist, radius = seen(lo, hi)
     rated = nodes.filter((F.col("depth") == 0) | (F.col(count) > 0)).withColumn("dist", dist)
-    near = F.col("dist") <= F.col("radius")
-    pixels = F.when(near, F.lit(TOP)).otherwise(F.col("radius") * F.lit(numerator) / F.col("dist"))
+    pixels = F.when(F.col("dist") <= F.col("radius"), F.lit(TOP)).otherwise(F.col("radius") * F.lit(numerator) / F.col("dist"))
     rated = rated.withColumn("weight", F.when(F.col("depth") == 0, F.lit(TOP)).otherwise(pixels))
-    pushed = (F.col("depth") == 0) | ((F.col("dist") <= max_distance) & (near | (F.col("weight") >= min_pixel) | (F.col("depth") <= ALWAYS_LEVEL)))
-    inside = rated.filter(pushed & in_frustum(cam, lo, hi))
-    takes = F.col("dist") <= max_distance
-    return _cut(_linked(_reach(inside, takes, DEPTH)), F.col(count), takes, budget)
+    inside = rated.filter(pushed(F.col("depth"), F.col("dist"), radius) & in_frustum(cam, lo, hi) & _ancestors(goes_on))
+    return _cut(inside, F.col(count), F.col("dist") <= max_distance, budget)
 
 
 def load_queue(selected: DataFrame, loaded: DataFrame, in_flight: int = 0, most: int = LOADS) -> DataFrame:

@@ -1,59 +1,124 @@
-"""Octrees as tables: a node is a path of octant digits, and the tree is made by counting paths.
+"""Octrees as tables: a node is a range of keys, and the tree is made by counting keys from the top down.
 
-A point's deepest path comes from its integer cell on each axis. Paths are counted once at the deepest level, and the
-counts, not the points, are rolled up. A prefix is a node if it is the root or its parent holds more than leaf_size points.
+A point's key interleaves the bits of its cells on the three axes (4 * x + 2 * y + z at each level), so the node that holds
+it at some depth is a prefix of the key, and a node's name is 'r' and the prefix's octal digits. Counting starts at the
+depth where nodes would be small if points were spread evenly; only points of cells that are still too large are counted
+again, further down. A prefix is a node if it is the root or its parent holds more than leaf_size points.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from ..scratch import Scratch, running
 
 DEPTH, LEAF_VIEW, LEAF_FILE = 12, 2000, 5000
+#: Most levels that one count goes down at a time: a cell has at most 8 ** LEVELS cells below it there.
+LEVELS = 6
+#: Up to so many nodes (a few longs each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_NODES = 500_000
+
+
+def with_cells(points: DataFrame, lo: tuple, hi: tuple, depth: int = DEPTH) -> DataFrame:
+    """Adds _x, _y, _z, the cells by repeated halving: a value on a midpoint belongs to the upper half; an axis without extent
+    has the last cell only. Division can round across a boundary; the boundary itself decides. Each step is a column of its
+    own, so that the next one reads it instead of working it out again."""
+    n = 1 << depth
+    wide = [(k, c, (hi[k] - lo[k]) / n) for k, c in enumerate("xyz") if hi[k] > lo[k]]
+    out = points.withColumns({f"_{c}": F.lit(n - 1) for k, c in enumerate("xyz") if not hi[k] > lo[k]})
+    out = out.withColumns({f"_{c}0": F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((F.col(c) - lo[k]) / (hi[k] - lo[k]) * n).cast("int"))) for k, c, _ in wide})
+    out = out.withColumns({f"_{c}1": F.col(f"_{c}0") - ((F.col(f"_{c}0") > 0) & (F.col(c) < F.lit(lo[k]) + F.col(f"_{c}0") * F.lit(step))).cast("int") for k, c, step in wide})
+    out = out.withColumns({f"_{c}": F.col(f"_{c}1") + ((F.col(f"_{c}1") < n - 1) & (F.col(c) >= F.lit(lo[k]) + (F.col(f"_{c}1") + 1) * F.lit(step))).cast("int") for k, c, step in wide})
+    return out.drop(*[f"_{c}{i}" for _, c, _ in wide for i in (0, 1)])
+
+
+def _table(values) -> Column:
+    """A constant array, in one expression."""
+    return F.expr(f"array({', '.join(f'{v}L' for v in values)})")
+
+
+def _spread(cell: Column, place: int) -> Column:
+    """The bits of a cell (20 at most), three apart, from `place` on."""
+    table = _table(sum((v >> b & 1) << 3 * b for b in range(10)) for v in range(1 << 10))
+    part = lambda v: F.get(table, v.bitwiseAND(F.lit(1023))).cast("long")
+    return F.shiftleft(part(cell), place).bitwiseOR(F.shiftleft(part(F.shiftright(cell, 10)), 30 + place))
 
 
-def axis_cell(v: Column, lo: float, hi: float, depth: int = DEPTH) -> Column:
-    """The cell by repeated halving: a value on a midpoint belongs to the upper half; without extent, to the last cell."""
-    if not hi > lo:
-        return F.lit((1 << depth) - 1)
-    n, step = 1 << depth, (hi - lo) / (1 << depth)
-    k = F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((v - lo) / (hi - lo) * n).cast("int")))
-    # Division can round across a boundary; the boundary itself decides.
-    k = F.when((k > 0) & (v < F.lit(lo) + k * F.lit(step)), k - 1).otherwise(k)
-    return F.when((k < n - 1) & (v >= F.lit(lo) + (k + 1) * F.lit(step)), k + 1).otherwise(k)
+def _gather(key: Column, place: int) -> Column:
+    """The cell whose bits stand three apart in the key: the reverse of _spread."""
+    table = _table(sum((v >> 3 * b & 1) << b for b in range(4)) for v in range(1 << 12))
+    parts = [F.shiftleft(F.get(table, F.shiftright(key, 12 * k + place).bitwiseAND(F.lit(4095)).cast("int")).cast("int"), 4 * k) for k in range(5)]
+    out = parts[0]
+    for v in parts[1:]:
+        out = out.bitwiseOR(v)
+    return out
+
+
+def name_of(key: Column, depth: Column) -> Column:
+    return F.when(depth == 0, F.lit("r")).otherwise(F.concat(F.lit("r"), F.lpad(F.conv(key.cast("string"), 10, 8), depth, F.lit("0"))))
 
 
 def with_path(points: DataFrame, lo: tuple, hi: tuple, depth: int = DEPTH) -> DataFrame:
-    """Adds path: 'r' and a digit for each level, 4 * x + 2 * y + z of the upper halves; and cell_x, cell_y, cell_z, the
-    cells of the deepest level."""
-    cells = points.withColumns({f"cell_{c}": axis_cell(F.col(c), lo[k], hi[k], depth) for k, c in enumerate("xyz")})
-    bit = lambda c, k: F.shiftright(F.col(f"cell_{c}"), depth - 1 - k).bitwiseAND(F.lit(1))
-    digits = [(bit("x", k) * 4 + bit("y", k) * 2 + bit("z", k)).cast("string") for k in range(depth)]
-    return cells.withColumn("path", F.concat(F.lit("r"), *digits))
+    """Adds key, and path: the name of the deepest node."""
+    if not 0 < depth <= 20:
+        raise ValueError("a key holds up to 20 levels")
+    cells = with_cells(points, lo, hi, depth)
+    key = _spread(F.col("_x"), 2).bitwiseOR(_spread(F.col("_y"), 1)).bitwiseOR(_spread(F.col("_z"), 0))
+    keyed = cells.withColumn("key", key).drop("_x", "_y", "_z")
+    return keyed.withColumn("path", name_of(F.col("key"), F.lit(depth)))
+
+
+def _up(key: Column, levels: Column | int) -> Column:
+    return F.shiftright(key, 3 * levels) if isinstance(levels, int) else F.call_function("shiftright", key, levels * 3)
+
+
+def _hint(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_NODES else df
 
 
 def nodes(pathed: DataFrame, leaf_size: int, depth: int = DEPTH) -> DataFrame:
-    """name, depth, num_points (of the subtree), child_mask, is_leaf, and the node's cells at its own depth."""
-    cells = [f"cell_{c}" for c in "xyz"]
-    deepest = pathed.groupBy("path").agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in cells])
-    level = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth")
-    shifted = [F.min(F.call_function("shiftright", F.col(c), F.lit(depth) - F.col("depth"))).alias(c) for c in cells]
-    every = deepest.select("path", "_n", *cells, level).groupBy(F.expr("substring(path, 1, depth + 1)").alias("name"), "depth").agg(F.sum("_n").alias("num_points"), *shifted)
-    parent = every.select(F.col("name").alias("_p"), F.col("num_points").alias("_pn"))
-    up = F.when(F.col("depth") > 0, F.expr("substring(name, 1, depth)"))
-    kept = every.withColumn("_up", up).join(parent, F.col("_up") == F.col("_p"), "left").filter((F.col("depth") == 0) | (F.col("_pn") > leaf_size))
-    digit = F.substring(F.col("name"), -1, 1).cast("int")
-    masks = kept.filter("depth > 0").groupBy("_up").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), digit)).alias("child_mask")).withColumnRenamed("_up", "_m")
-    out = kept.join(masks, F.col("name") == F.col("_m"), "left")
+    """name, depth, num_points (of the subtree), child_mask, is_leaf, key, and the node's cells at its own depth.
+
+    Runs a job for each step down; the steps' counts and the node table are written, as they are used more than once."""
+    tmp = Scratch(pathed.sparkSession, "octree")
+    every, dense, dense_rows, top = None, None, 0, 0
+    most = pathed.count()
+    while most and (top == 0 or dense_rows):
+        # As far down as the largest cell would need if its points were spread evenly.
+        bottom = min(depth, top + min(LEVELS, max(1, math.ceil(math.log(max(1.0, most / leaf_size), 8)))))
+        points = pathed.select(_up(F.col("key"), depth - bottom).alias("_k"))
+        if top:
+            points = points.join(_hint(dense, dense_rows), _up(F.col("_k"), bottom - top) == F.col("_dense"), "left_semi")
+        counts = tmp.save(points.groupBy("_k").agg(F.count("*").alias("_n")), f"counts{bottom}")
+        level = F.explode(F.sequence(F.lit(top + 1 if top else 0), F.lit(bottom))).alias("depth")
+        step = counts.select("_k", "_n", level).groupBy("depth", _up(F.col("_k"), F.lit(bottom) - F.col("depth")).alias("key")).agg(F.sum("_n").alias("num_points"))
+        every = step if every is None else every.unionByName(step)
+        big = counts.filter(F.col("_n") > leaf_size)
+        dense, top = big.select(F.col("_k").alias("_dense")), bottom
+        found = big.agg(F.count("*").alias("n"), F.max("_n").alias("m")).first()
+        dense_rows, most = found["n"], found["m"]
+        if bottom == depth:
+            break
+    if every is None:
+        every = pathed.sparkSession.createDataFrame([], "depth int, key long, num_points long")
+    every = tmp.save(every, "every")
+    inner = every.filter((F.col("num_points") > leaf_size) & (F.col("depth") < depth)).select(F.col("depth").alias("_d"), F.col("key").alias("_p"))
+    kept = every.join(inner, (F.col("depth") == F.col("_d") + 1) & (_up(F.col("key"), 1) == F.col("_p")), "left_semi").union(every.filter("depth = 0"))
+    digit = F.col("key").bitwiseAND(F.lit(7)).cast("int")
+    masks = kept.filter("depth > 0").groupBy((F.col("depth") - 1).alias("_d"), _up(F.col("key"), 1).alias("_p")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), digit)).alias("child_mask"))
+    out = kept.join(masks, (F.col("depth") == F.col("_d")) & (F.col("key") == F.col("_p")), "left")
     mask = F.coalesce("child_mask", F.lit(0))
-    return out.select("name", "depth", "num_points", mask.alias("child_mask"), (mask == 0).alias("is_leaf"), *cells)
+    cells = [_gather(F.col("key"), s).alias(f"cell_{c}") for c, s in (("x", 2), ("y", 1), ("z", 0))]
+    return tmp.save(out.select(name_of(F.col("key"), F.col("depth")).alias("name"), "depth", "num_points", mask.alias("child_mask"), (mask == 0).alias("is_leaf"), "key", *cells), "nodes")
 
 
 def cells_of_names(nodes: DataFrame) -> DataFrame:
-    """Adds cell_x, cell_y, cell_z to nodes that only have a name, walking its digits."""
-    step = "aggregate(sequence(2, length(name)), 0, (a, i) -> CASE WHEN i > length(name) THEN a ELSE a * 2 + (shiftright(cast(substring(name, i, 1) AS int), {}) & 1) END)"
-    return nodes.withColumns({f"cell_{c}": F.when(F.length("name") > 1, F.expr(step.format(2 - k))).otherwise(0) for k, c in enumerate("xyz")})
+    """Adds cell_x, cell_y, cell_z to nodes that only have a name."""
+    key = F.conv(F.concat(F.lit("0"), F.substring("name", 2, 30)), 8, 10).cast("long")
+    return nodes.withColumns({f"cell_{c}": _gather(key, s) for c, s in (("x", 2), ("y", 1), ("z", 0))})
 
 
 def with_box(nodes: DataFrame, lo: tuple, hi: tuple) -> DataFrame:
@@ -68,11 +133,13 @@ def with_box(nodes: DataFrame, lo: tuple, hi: tuple) -> DataFrame:
 
 
 def leaf_of(pathed: DataFrame, nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Adds leaf: the leaf that holds each point, by one equality join on the deepest path."""
-    leaves = nodes.filter("is_leaf").select("name")
-    paths = pathed.select("path").distinct().select(F.col("path").alias("_path"), F.explode(F.expr(f"transform(sequence(1, {depth + 1}), i -> substring(path, 1, i))")).alias("_prefix"))
-    found = paths.join(leaves, F.col("_prefix") == F.col("name")).select("_path", F.col("name").alias("leaf"))
-    return pathed.join(found, pathed["path"] == found["_path"]).drop("_path")
+    """Adds leaf: the leaf that holds each point. A point asks under its prefix at each depth that leaves have (one row for
+    each, 13 at most), and one of them answers; while leaves are few enough to broadcast, points are not moved."""
+    leaves = nodes.filter("is_leaf").select(F.col("name").alias("leaf"), F.col("depth").alias("_ld"), F.col("key").alias("_lk"))
+    found = leaves.groupBy("_ld").count().collect()
+    asked = pathed.withColumn("_d", F.explode(F.array(*[F.lit(r["_ld"]) for r in sorted(found)]) if found else F.array().cast("array<int>")))
+    leaves = _hint(leaves, sum(r["count"] for r in found))
+    return asked.join(leaves, (F.col("_d") == F.col("_ld")) & (_up(F.col("key"), F.lit(depth) - F.col("_d")) == F.col("_lk"))).drop("_d", "_ld", "_lk")
 
 
 def statistics(nodes: DataFrame) -> DataFrame:
@@ -83,23 +150,32 @@ def statistics(nodes: DataFrame) -> DataFrame:
 def byte_offsets(nodes: DataFrame, point_bytes: int = 19) -> DataFrame:
     """name, byte_offset, byte_size: leaves lie one after another in depth-first order; a parent spans its descendants."""
     leaves = nodes.filter("is_leaf").select("name", (F.col("num_points") * point_bytes).alias("byte_size"))
-    before = F.sum("byte_size").over(W.orderBy("name").rowsBetween(W.unboundedPreceding, 0)) - F.col("byte_size")
-    leaves = leaves.withColumn("byte_offset", before)
+    leaves = running(leaves, ["name"], F.col("byte_size"), "byte_offset")
     spans = leaves.select("byte_offset", "byte_size", F.explode(F.expr("transform(sequence(1, length(name)), i -> substring(name, 1, i))")).alias("name"))
     return spans.groupBy("name").agg(F.min("byte_offset").alias("byte_offset"), F.sum("byte_size").alias("byte_size"))
 
 
 def streaming_fill(pathed: DataFrame, cap: int, depth: int) -> DataFrame:
     """point_idx and node: points come in the order of point_idx and stay in the first node on their path that holds fewer
-    than cap; the deepest level keeps all. One pass for each level."""
+    than cap; the deepest level keeps all.
+
+    At each level, the cap points of smallest point_idx of a node stay: every task offers its own cap smallest of a node
+    (so a node's points are never in one task), and the last one that stays is the threshold for those that go on."""
+    from pyspark.sql import Window as W
+
+    tmp = Scratch(pathed.sparkSession, "fill")
     left, kept = pathed.select("point_idx", "path"), None
     for d in range(depth + 1):
         node = F.substring("path", 1, d + 1)
         if d == depth:
             here = left.select("point_idx", node.alias("node"))
         else:
-            ranked = left.withColumn("_r", F.row_number().over(W.partitionBy(node).orderBy("point_idx")))
-            here = ranked.filter(F.col("_r") <= cap).select("point_idx", node.alias("node"))
-            left = ranked.filter(F.col("_r") > cap).drop("_r")
+            # A filter on a rank is a partial one before the shuffle as well.
+            ranked = left.select("point_idx", node.alias("node")).withColumn("_r", F.row_number().over(W.partitionBy("node").orderBy("point_idx")))
+            here = ranked.filter(F.col("_r") <= cap)
+            # One row for each full node; written, or each level would plan the ones before it twice.
+            last = tmp.save(here.filter(F.col("_r") == cap).select(F.col("node").alias("_node"), F.col("point_idx").alias("_last")), f"last{d}")
+            here = here.drop("_r")
+            left = left.join(last, node == F.col("_node")).filter(F.col("point_idx") > F.col("_last")).drop("_node", "_last")
         kept = here if kept is None else kept.unionByName(here)
     return kept

@@ -249,7 +249,7 @@ def node_children(spark, d):
 @query(f"WITH {NODES}, l AS (SELECT name, num_points AS n FROM nodes WHERE is_leaf) SELECT point_idx, l.name AS leaf FROM paths JOIN l ON starts_with(path, l.name)")
 def point_leaf(spark, d):
     p = pathed(spark, d, True)
-    return octree.leaf_of(p, octree.nodes(p, LEAF)).select("point_idx", "leaf")
+    return octree.leaf_of(p, octree.nodes(pathed(spark, d), LEAF)).select("point_idx", "leaf")
 
 
 @query(f"WITH {NODES} SELECT name, (num_points * 19) AS byte_size, (sum(num_points * 19) OVER (ORDER BY name) - num_points * 19)::BIGINT AS byte_offset FROM nodes WHERE is_leaf")
@@ -361,7 +361,7 @@ t AS (SELECT *, greatest(1, floor(total / {_BUDGET}e0 + 0.5e0))::BIGINT AS strid
 SELECT point_idx, leaf, place FROM t WHERE place % stride = 0 AND place // stride < {_BUDGET}""")
 def stride_sample(spark, d):
     p = pathed(spark, d, True)
-    nodes = octree.with_box(octree.nodes(p, LEAF), LO, HI)
+    nodes = tree(spark, d)
     return lod.stride_sample(octree.leaf_of(p, nodes).select("point_idx", "leaf"), lod.visible_leaves(nodes, VIEW), _BUDGET).select("point_idx", "leaf", "place")
 
 
@@ -408,8 +408,8 @@ _LOADED = "num_points % 3 = 0"
 
 @query(_ISO.replace("{budget}", "60000") + f", q AS (SELECT * FROM sel WHERE NOT ({_LOADED}) ORDER BY weight DESC, name LIMIT 16) SELECT name, num_points FROM q")
 def load_queue_topk(spark, d):
-    sel = lod.select_iso(tree(spark, d), VIEW, 60_000, min_pixel=_ISO_PIXEL)
-    return lod.load_queue(sel, tree(spark, d).filter(_LOADED)).select("name", "num_points")
+    t = tree(spark, d)
+    return lod.load_queue(lod.select_iso(t, VIEW, 60_000, min_pixel=_ISO_PIXEL), t.filter(_LOADED)).select("name", "num_points")
 
 
 @query(f"WITH {NODES}, {BOXES} SELECT name FROM boxes WHERE is_leaf AND {_seen(40)} AND {_LOADED}")

@@ -9,3 +9,8 @@ NODES = (
     "max_x double, max_y double, max_z double, radius double, spacing double, byte_offset long, byte_size long"
 )
 AXES = ("x", "y", "z")
+
+
+def fields(schema: str) -> list[tuple[str, str]]:
+    """Names and types of a schema."""
+    return [tuple(f.split()) for f in schema.split(", ")]

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import struct
 from functools import lru_cache
 
 import numpy as np
 
-from .records import RecordReader, RecordSource, read_bytes
+from .records import RecordReader, RecordSource, read_bytes, size_of
 
 # Bytes of a record, and where colour, GPS time and infrared stand, by point format.
 SIZES = (20, 28, 26, 34, 57, 63, 30, 36, 42, 59, 67)
@@ -30,7 +29,7 @@ def header(path: str) -> dict:
         count = struct.unpack_from("<Q", raw, 247)[0] or count
     numbers = struct.unpack_from("<12d", raw, 131)
     # Records that a truncated file lacks are not there.
-    there = (os.path.getsize(path) - offset) // length
+    there = (size_of(path) - offset) // length
     return {"version": (raw[24], raw[25]), "offset": offset, "format": code & 0x3F, "length": length, "count": min(count, there), "scale": numbers[:3], "shift": numbers[3:6], "max": numbers[6::2], "min": numbers[7::2]}
 
 

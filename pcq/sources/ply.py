@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
 from functools import lru_cache
 
 import numpy as np
 
-from .records import RecordReader, RecordSource, clamp_byte, read_bytes
+from .records import RecordReader, RecordSource, clamp_byte, read_bytes, size_of
 
 # Scalar types, and other names of a property.
 TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "<i2", "int16": "<i2", "ushort": "<u2", "uint16": "<u2", "int": "<i4", "int32": "<i4", "uint": "<u4", "uint32": "<u4", "float": "<f4", "float32": "<f4", "double": "<f8", "float64": "<f8"}
@@ -41,9 +40,9 @@ def header(path: str) -> dict:
     return {"ascii": kind == "ascii", "count": count, "fields": fields, "body": body}
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _table(path: str) -> np.ndarray:
-    """All rows of an ascii file; lines with too few numbers are dropped."""
+    """All rows of an ascii file, which one task reads once; lines with too few numbers are dropped."""
     h = header(path)
     rows = (line.split() for line in read_bytes(path, h["body"]).decode("ascii", "replace").splitlines())
     rows = [w[: len(h["fields"])] for w in rows if len(w) >= len(h["fields"])][: h["count"]]
@@ -56,10 +55,14 @@ class PlyReader(RecordReader):
     def count(self, path):
         h = header(path)
         if h["ascii"]:
-            return len(_table(path))
-        size = len(read_bytes(path)) if path.lower().endswith(".gz") else os.path.getsize(path)
+            # Where a line starts is only known by reading the lines before it: the header's number plans, one task reads.
+            return h["count"]
+        size = len(read_bytes(path)) if path.lower().endswith(".gz") else size_of(path)
         return min(h["count"], (size - h["body"]) // np.dtype(h["fields"]).itemsize)
 
+    def whole(self, path):
+        return header(path)["ascii"] or path.lower().endswith(".gz")
+
     def decode(self, path, first, n):
         h = header(path)
         if h["ascii"]:

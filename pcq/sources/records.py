@@ -1,7 +1,7 @@
 """What the binary sources share: files, partitions of records, and the canonical schema.
 
 A reader plans ranges of records on the driver from a file's header and decodes each range with numpy in a task. Paths may
-be files or folders that every task can open.
+be files or folders, local or of any store that pyarrow reaches, that every task can open.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import gzip
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +32,52 @@ def batch(columns: dict, n: int, src: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=list(_ARROW))
 
 
+def store(path: str):
+    """The file system of a path or URI, and the path on it: whatever pyarrow reaches (local, HDFS, object stores)."""
+    from pyarrow import fs
+
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path.removeprefix("file:")
+
+
 def files(path: str, suffixes: tuple[str, ...]) -> list[str]:
-    path = path.removeprefix("file://")
-    if os.path.isdir(path):
-        return sorted(os.path.join(path, f) for f in os.listdir(path) if f.lower().endswith(suffixes))
+    from pyarrow import fs
+
+    own, at = store(path)
+    if own.get_file_info(at).type == fs.FileType.Directory:
+        names = [i.base_name for i in own.get_file_info(fs.FileSelector(at)) if i.type == fs.FileType.File]
+        return [f"{path.rstrip('/')}/{n}" for n in sorted(names) if n.lower().endswith(suffixes) and not n.startswith(("_", "."))]
     return [path]
 
 
+def size_of(path: str) -> int:
+    own, at = store(path)
+    return own.get_file_info(at).size
+
+
+def write_bytes(path: str, data: bytes) -> None:
+    own, at = store(path)
+    own.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with own.open_output_stream(at) as f:
+        f.write(data)
+
+
+@lru_cache(1)
+def _unzipped(path: str) -> bytes:
+    """A gzipped file is not splittable: a task unpacks it once and keeps it while it reads."""
+    own, at = store(path)
+    with own.open_input_file(at) as f:
+        return gzip.decompress(f.read())
+
+
 def read_bytes(path: str, start: int = 0, size: int | None = None) -> bytes:
     if path.lower().endswith(".gz"):
-        with gzip.open(path) as f:
-            data = f.read()
-        return data[start : None if size is None else start + size]
-    with open(path, "rb") as f:
-        f.seek(start)
-        return f.read() if size is None else f.read(size)
+        return _unzipped(path)[start : None if size is None else start + size]
+    own, at = store(path)
+    with own.open_input_file(at) as f:
+        end = f.size()
+        return f.read_at(max(0, min(end - start, end if size is None else size)), start)
 
 
 def clamp_byte(v: np.ndarray) -> np.ndarray:
@@ -72,6 +104,10 @@ class RecordReader(DataSourceReader):
     def count(self, path: str) -> int:
         raise NotImplementedError
 
+    def whole(self, path: str) -> bool:
+        """Whether one task has to read the file."""
+        return False
+
     def decode(self, path: str, first: int, n: int) -> dict:
         raise NotImplementedError
 
@@ -79,7 +115,8 @@ class RecordReader(DataSourceReader):
         out, base = [], 0
         for path in files(self.path, self.suffixes):
             n = self.count(path)
-            out += [Range(path, at, min(self.part, n - at), base + at) for at in range(0, n, self.part)]
+            part = max(1, n) if self.whole(path) else self.part
+            out += [Range(path, at, min(part, n - at), base + at) for at in range(0, n, part)]
             base += n
         return out or [Range("", 0, 0, 0)]
 
@@ -88,6 +125,8 @@ class RecordReader(DataSourceReader):
             n = min(BATCH, partition.count - at)
             columns = self.decode(partition.path, partition.first + at, n)
             n = len(columns["x"])
+            if not n:
+                return
             columns["point_idx"] = np.arange(partition.base + at, partition.base + at + n)
             yield batch(columns, n, os.path.basename(partition.path))
 

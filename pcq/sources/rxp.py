@@ -3,12 +3,11 @@ intensity; with 29 bytes a record also colour. The stride is the one that divide
 
 from __future__ import annotations
 
-import os
 from functools import lru_cache
 
 import numpy as np
 
-from .records import RecordReader, RecordSource, read_bytes
+from .records import RecordReader, RecordSource, read_bytes, size_of
 
 # The header, and strides in the order in which they are tried.
 HEADER, STRIDES = 1024, (26, 29, 28, 32, 36, 40)
@@ -17,7 +16,7 @@ HEADER, STRIDES = 1024, (26, 29, 28, 32, 36, 40)
 @lru_cache(64)
 def layout(path: str) -> tuple[int, int, int]:
     """Start, stride and count."""
-    size = os.path.getsize(path)
+    size = size_of(path)
     start = HEADER if size >= HEADER else 0
     best = None
     for stride in STRIDES:

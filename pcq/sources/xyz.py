@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.style import DEFAULT_RGB, bytes_from_unit
+from ..schema import POINTS, fields
 
 #: The longest number at the start of a field, as a lenient parser takes it.
 NUMBER = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
@@ -35,4 +36,7 @@ def parse_lines(lines: DataFrame, double: bool = False) -> DataFrame:
 
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
-    return parse_lines(spark.read.text(path))
+    """Points of text files in the canonical schema. point_idx rises with the place in a file but has gaps."""
+    lines = spark.read.text(path).withColumns({"src": F.col("_metadata.file_name"), "point_idx": F.monotonically_increasing_id()})
+    points = parse_lines(lines)
+    return points.select(*[(F.col(c) if c in points.columns else F.lit(None)).cast(t).alias(c) for c, t in fields(POINTS)])

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pcq import bindings, catalog
+from pcq import bindings, catalog, scratch
 from pcq.functions import camera as C
 from pcq.functions import style as S
 from pcq.operators import cache, grid, lod, octree, pick, stats
@@ -190,11 +190,11 @@ def test_styles(spark):
 
 def test_numbering_is_global(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"), F.col("id").alias("v"))
-    old, bindings.GROUP = bindings.GROUP, 300
+    old, scratch.RANGE = scratch.RANGE, 300
     try:
         got = bindings.numbered(df, ["k", "v"]).collect()
     finally:
-        bindings.GROUP = old
+        scratch.RANGE = old
     assert [r.point_idx for r in sorted(got, key=lambda r: (r.k, r.v))] == list(range(5000))
 
 
