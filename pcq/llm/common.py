@@ -3,28 +3,18 @@
 from __future__ import annotations
 
 import ctypes
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run of anything but these (the white space of ASCII).
-NON_SPACE = r"[^\x20\x09-\x0D]+"
+from ..scratch import Scratch as Tables
+from ..scratch import shared_dir
 
+__all__ = ["NON_SPACE", "Scratch", "crc_mod", "give_back", "partitions", "shared_dir", "slim", "small_batches", "table", "words"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set, else one of our own in local mode,
-    where driver and executors are one machine. A cluster has to name one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not found:
-        found = getattr(spark, "_pcq_shared", None) or "file://" + tempfile.mkdtemp(prefix="pcq-")
-        spark._pcq_shared = found
-    return found.rstrip("/")
+#: A word is a run of anything but these (the white space of ASCII).
+NON_SPACE = r"[^\x20\x09-\x0D]+"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -34,36 +24,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "16m")
 
 
-def slim(batches: Iterator) -> Iterator:
-    """The batches; behind the last one, free memory goes back to the system, since idle workers live on."""
-    yield from batches
+def give_back() -> None:
+    """Hand free memory back to the system, where the C library can."""
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
-        pass  # not a C library that can
+        pass
+
+
+def slim(batches: Iterator) -> Iterator:
+    """The batches; behind the last one, free memory goes back to the system, since idle workers live on."""
+    yield from batches
+    give_back()
 
 
-class Scratch:
-    """Tables written for one run of one operator. They cut lineage, outlive lost executors, and go with drop()."""
+class Scratch(Tables):
+    """Tables written for one run of one operator, over texts."""
 
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
-        self.spark, self.root = spark, f"{shared_dir(spark)}/pcq-{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, table: str, by: list[str] | None = None) -> DataFrame:
-        schema = df.schema
-        path = f"{self.root}/{table}"
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*by) if by else writer).parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def drop(self, table: str = "") -> None:
-        """Delete a table that nothing reads any more (or all); shuffle files of jobs that are out of reach go as well."""
-        jvm = self.spark.sparkContext._jvm
-        gc.collect()
-        jvm.System.gc()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}".rstrip("/"))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        super().__init__(spark, name)
 
 
 def partitions(spark: SparkSession) -> int:

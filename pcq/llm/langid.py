@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slim, small_batches
+from .common import give_back, slim, small_batches
 
 #: The answer for texts without a letter.
 UNKNOWN = "und"
@@ -187,6 +187,8 @@ def fit(docs: DataFrame, learn: Column, params: LangParams = LangParams(), text_
     back = rows[: max(1, int(len(rows) * p.held_back))]
     w = _ftrl(rows[len(back) :] or rows, len(names), p)
     temperature = _temperature(np.array([x @ w[at] for at, x, _ in back]), np.array([y for *_, y in back]))
+    del rows, back
+    give_back()
     return LanguageModel(names, w.astype(np.float32), idf, temperature, p)
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pcq.llm import ann, decontaminate, idcoder, idfiles, induced, langid, mixing, nearcopies, pitman_yor, simhash, suffix, toxicity, urlfilter
+from pcq.llm import ann, decontaminate, graph, idcoder, idfiles, induced, langid, mixing, nearcopies, pitman_yor, simhash, suffix, toxicity, urlfilter
 from pcq.llm.common import Scratch, crc_mod
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -92,6 +92,22 @@ def test_simhash_crowded_list(spark):
     assert got.select("root").distinct().count() == 1 and got.count() == len(fps)
 
 
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_components(spark, monkeypatch, one_task):
+    """Chains, stars and loose ends, in one task and by steps."""
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    r = random.Random(17)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(200, 240)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)] + [(7, 7)]
+    root = {}
+    for a, b in edges:
+        if a != b:
+            x, y = root.setdefault(a, a), root.setdefault(b, b)
+            root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    got = graph.components(spark.createDataFrame(edges, "u long, v long").repartition(3), Scratch(spark, "t"))
+    assert sorted(map(tuple, got.collect())) == sorted(root.items())
+    assert graph.components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t")).count() == 0
+
+
 def test_keep_one(docs, rows, none):
     kept = nearcopies.keep_one(docs)
     assert kept.columns == docs.columns
