@@ -132,4 +132,6 @@ def contaminated(
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs whose id is not that of a contaminated document; all columns stay. Null ids are compared as equal."""
     hit = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_hit")).distinct()
+    hit = Scratch(docs.sparkSession, "decontaminated").save(hit, "hit")
+    hit = F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit
     return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit"]), "left_anti")

@@ -50,14 +50,14 @@ class Tables:
         """Cluster stretches of a shard's ids by likelihood, and count each cluster."""
         count = np.bincount(ids, minlength=1)
         known = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
-        place = np.zeros(len(count), np.int64)
+        place = np.zeros(len(count), np.int32)
         place[known] = np.arange(len(known))
         x, n = place[ids], len(known)
         total = 1 << (16 if n <= 1 << 13 else 18)
-        segment = np.arange(len(x)) // SEGMENT
+        segment = np.repeat(np.arange(-(-len(x) // SEGMENT), dtype=np.int32), SEGMENT)[: len(x)]
         wide = min(n, 512)
         top = x < wide
-        seen = np.bincount(segment[top] * wide + x[top], minlength=(int(segment[-1]) + 1) * wide).reshape(-1, wide).astype(np.float64)
+        seen = np.bincount(segment[top] * wide + x[top], minlength=(int(segment[-1]) + 1) * wide).reshape(-1, wide).astype(np.float32)
         size = np.maximum(1.0, seen.sum(1, keepdims=True))
         fit = lambda rows: np.log((seen[rows].sum(0) + 0.5) / (seen[rows].sum() + 0.5 * wide))
         logs = [fit(slice(None))]
@@ -68,7 +68,8 @@ class Tables:
             own = (seen @ np.array(logs).T).argmax(1)
             logs = [fit(own == k) for k in range(TABLES)]
         own = (seen @ np.array(logs).T).argmax(1)
-        counts = np.bincount(own[segment] * n + x, minlength=TABLES * n).reshape(TABLES, n)
+        del top, seen
+        counts = np.array([np.bincount(x[own[segment] == k], minlength=n) for k in range(TABLES)])
         shares = 1 + counts * (total - n) // np.maximum(1, counts.sum(1, keepdims=True))
         shares[:, 0] += total - shares.sum(1)
         return cls(known.astype(np.uint16), shares)
@@ -128,10 +129,17 @@ class _Model:
 class _Encoder:
     def __init__(self, lengths: np.ndarray):
         self.low, self.range = np.zeros(len(lengths)), np.full(len(lengths), _TOP)
-        # At most 15 + 18 bits and two losses of precision an id, and what finish() adds.
-        self.width = int(lengths.max(initial=0)) * 3 + 4
+        self.width = int(lengths.max(initial=0)) // 2 + 1024
         self.words, self.at = np.zeros((len(lengths), self.width), np.uint32), np.zeros(len(lengths), np.int64)
 
+    def room(self, steps: int) -> None:
+        """Make room for so many ids more: at most three words each, and what finish() adds."""
+        need = int(self.at.max(initial=0)) + 3 * steps + 4
+        if need > self.width:
+            wider = np.zeros((len(self.words), max(need, self.width * 3 // 2)), np.uint32)
+            wider[:, : self.width] = self.words
+            self.words, self.width = wider, wider.shape[1]
+
     def _emit(self, own: np.ndarray) -> None:
         word = np.floor(self.low[own] / _BOT)
         self.words.reshape(-1)[own * self.width + self.at[own]] = word
@@ -199,17 +207,19 @@ def encode(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
     tables = Tables.of(ids)
     starts = np.arange(0, len(ids), BLOCK)
     lengths = np.minimum(BLOCK, len(ids) - starts)
-    place = np.zeros(1 << 16, np.int64)
+    place = np.zeros(1 << 16, np.int32)
     place[tables.ids] = np.arange(len(tables.ids))
-    x = np.zeros(len(starts) * BLOCK, np.int64)
+    x = np.zeros(len(starts) * BLOCK, np.int32)
     x[: len(ids)] = place[ids]
     # Only the last block is shorter than others, so lanes are sorted by length as they stand.
     x = np.ascontiguousarray(x.reshape(len(starts), BLOCK)[:, : int(lengths.max())].T)
     model, coder, total = _Model(len(starts), tables), _Encoder(lengths), float(tables.total)
     for step, n in enumerate(_live(lengths).tolist()):
-        now = x[step, :n]
-        if step and step % _CHOICE == 0:
-            model.choose(tables, x[step - _CHOICE : step, :n])
+        now = x[step, :n].astype(np.int64)
+        if step % _CHOICE == 0:
+            coder.room(_CHOICE)
+            if step:
+                model.choose(tables, x[step - _CHOICE : step, :n])
         model.predict(n)
         second, first = model.p2 == now, model.p1 == now
         who = np.where(second, 0, 2 - first)
@@ -238,7 +248,7 @@ def decode(header: bytes, blocks: list[bytes]) -> list[np.ndarray]:
     starts = np.cumsum([0, *(len(b) // 2 for b in bodies[:-1])])
     words = np.frombuffer(b"".join(bodies) + b"\0" * (16 + 6 * int(lengths.max())), "<u2").astype(np.float64)
     model, coder, n_ids = _Model(len(order), tables), _Decoder(words, starts), len(tables.ids)
-    x = np.zeros((int(lengths.max()), len(order)), np.int64)
+    x = np.zeros((int(lengths.max()), len(order)), np.int32)
     slots, total = tables.slot, float(tables.total)
     for step, n in enumerate(_live(lengths).tolist()):
         if step and step % _CHOICE == 0:

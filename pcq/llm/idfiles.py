@@ -27,7 +27,7 @@ from .common import Scratch, slim, small_batches
 
 SHARD = idcoder.BLOCK * idcoder.LANES
 #: Words kept with their ids in a worker, twice: when the new ones are so many, they become the old ones.
-CACHE = 300_000
+CACHE = 200_000
 #: Up to so many shards a row of three longs for each is broadcast.
 BROADCAST_SHARDS = 100_000
 SCHEMA = "part int, shard int, n_tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, block_bytes array<int>, header binary, payload binary"

@@ -31,7 +31,6 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     ranked = sizes.withColumn("_rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("_rank", F.lit(len(weights))) + 1).cast("int"))
     ranked = ranked.select("source", "source_size", weight.alias("_w"), (F.col("source_size") * F.lit(float(most))).alias("_cap"))
-    ranked.persist()
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level, budget = 0.0, share * total
     while budget > 0:
@@ -44,6 +43,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
         if new == level:
             break
         level = new
+    # One window over all sources: a short row for each, of a table that is written.
     out = ranked.select("source", "source_size", F.least(F.col("_cap"), F.col("_w") * F.lit(level)).alias("target"))
     return out
 
@@ -55,7 +55,7 @@ def _join_source(left: DataFrame, right: DataFrame, n_sources: int) -> DataFrame
     return left.join(side, left["source"].eqNullSafe(side["_source"]), "left").drop("_source")
 
 
-def mix(
+def cuts_of(
     docs: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
     share: float = 1.5,
@@ -63,20 +63,14 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-) -> DataFrame:
-    """One row per row of docs: id, source, size, source_size, target, passes (times the document is taken), taken.
-
-    A document of a source with target T and size S is taken floor(T / S) times, and once more if its hash falls in the
-    partial pass: the sizes of the source's documents with smaller hashes, plus half its own (equal hashes stand or fall
-    together), fit in T - floor(T / S) * S. The taken words so miss the target by at most half of one document.
-    Null and empty texts have size 0 and take nothing. A null source is a source of its own, last in order. Repeated rows
-    share a hash, hence a fate. An empty table gives no rows. Other columns are neither read nor kept.
-    """
+) -> tuple[DataFrame, DataFrame, int]:
+    """Sizes of all rows (doc_id, source, size, _h), and for each source (one row, source_size, target, _whole, _from): a row is
+    taken _whole times, and once more if its hash is below _from. With the number of sources."""
     spark = docs.sparkSession
     tmp = Scratch(spark, "mix")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"))
     rows = tmp.save(rows.withColumn("_h", hash60(F.col("doc_id"))), "rows")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = tmp.save(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
     targets = tmp.save(source_targets(sizes, weights, share, most), "targets")
     n_sources = targets.count()
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -109,16 +103,36 @@ def mix(
         cuts = tmp.save(cuts, f"cuts{level}")
         if not cuts.filter("_open").head(1):
             break
-    passes = F.col("_whole") + F.when(F.col("_h") < F.col("_from"), 1).otherwise(0)
-    out = _join_source(rows, cuts, n_sources).withColumn("passes", passes)
+    return rows, cuts.select("source", "source_size", "target", "_whole", "_from"), n_sources
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of docs: id, source, size, source_size, target, passes (times the document is taken), taken.
+
+    Options: weights (3, 1, 2), share (1.5), most (2.0), id_col, text_col, source_col. A document of a source with target T
+    and size S is taken floor(T / S) times, and once more if its hash falls in the partial pass: the sizes of the source's
+    documents with smaller hashes, plus half its own (equal hashes stand or fall together), fit in T - floor(T / S) * S. The
+    taken words so miss the target by at most half of one document. Null and empty texts have size 0 and take nothing. A null
+    source is a source of its own, last in order. Repeated rows share a hash, hence a fate. An empty table gives no rows.
+    Other columns are neither read nor kept.
+    """
+    rows, cuts, n_sources = cuts_of(docs, **options)
+    out = _join_source(rows, cuts, n_sources).withColumn("passes", _passes(F.col("_h")))
     return out.select("doc_id", "source", "size", "source_size", "target", "passes", (F.col("passes") * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with its columns. Rows that share an id share a fate."""
-    taken = mix(docs, id_col=id_col, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), "passes")
-    source_col = options.get("source_col", "source")
-    # Rows are known by id and source; both sides of the join are split where a key is crowded.
-    taken = taken.groupBy("_id", "_src").agg(F.max("passes").alias("_passes")).filter("_passes > 0")
-    out = docs.join(taken, docs[id_col].eqNullSafe(taken["_id"]) & docs[source_col].cast("string").eqNullSafe(taken["_src"]))
-    return out.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_passes")))).select(*[docs[c] for c in docs.columns])
+def _passes(h: Column) -> Column:
+    return F.col("_whole") + F.when(h < F.col("_from"), 1).otherwise(0)
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with its columns. Rows that share an id share a fate. A row's
+    own hash and its source's threshold decide, so that texts are not moved."""
+    _, cuts, n_sources = cuts_of(docs, id_col=id_col, source_col=source_col, **options)
+    cuts = cuts.select(F.col("source").alias("_cut_source"), "_whole", "_from")
+    cuts = F.broadcast(cuts) if n_sources <= BROADCAST_SOURCES else cuts
+    names = list(docs.columns)
+    held = docs.select(*[F.col(c).alias(f"_doc{k}") for k, c in enumerate(names)])
+    own = lambda c: F.col(f"_doc{names.index(c)}")
+    out = held.join(cuts, own(source_col).cast("string").eqNullSafe(F.col("_cut_source"))).withColumn("_passes", _passes(hash60(own(id_col)))).filter("_passes > 0")
+    return out.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_passes").cast("long")))).select(*[F.col(f"_doc{k}").alias(c) for k, c in enumerate(names)])
