@@ -111,6 +111,50 @@ def face_center(lo: tuple, hi: tuple, angle: float, tilt_x: float = 0.0) -> tupl
     return x0 + (x1 - x0) * (turn - k), y, z0 + (z1 - z0) * (turn - k)
 
 
+#: Tilts about x and y, in degrees, of the preset views.
+PRESETS = {"top": (0.0, 0.0), "front": (90.0, 0.0), "right": (90.0, -90.0), "back": (-90.0, 0.0)}
+TILT_LIMIT = 89.0
+
+
+def turned(angle: Column, by: Column | float) -> Column:
+    """An angle turned by another one, from 0 up to a full circle."""
+    return F.pmod(angle + by, F.lit(2 * math.pi))
+
+
+def turned_step(angle: Column, steps: Column | int, bins: int) -> Column:
+    """Turned left by so many steps of 4 or 8 headings (right, if negative)."""
+    return turned(angle, steps * F.lit(2 * math.pi / bins))
+
+
+def heading(index: Column, bins: int) -> Column:
+    """The angle of a heading by its number, counted right from an eighth of a circle."""
+    return F.pmod(F.lit(math.pi / 4) - index * F.lit(2 * math.pi / bins), F.lit(2 * math.pi))
+
+
+def heading_index(angle: Column, bins: int) -> Column:
+    """The number of the nearest heading."""
+    step = 2 * math.pi / bins
+    return F.pmod(F.floor((F.lit(math.pi / 4) - angle) / step + 0.5), F.lit(bins)).cast("int")
+
+
+def tilted(tilt: Column, by: Column) -> Column:
+    return F.greatest(F.lit(-TILT_LIMIT), F.least(F.lit(TILT_LIMIT), tilt + by))
+
+
+def preset(view: View, name: str) -> View:
+    """One of the preset views, at the first heading; fit_view then brings the cloud into sight."""
+    tilt_x, tilt_y = PRESETS[name]
+    return replace(view, tilt_x=tilt_x, tilt_y=tilt_y, rot=math.pi / 4)
+
+
+def view_direction(angle: Column) -> tuple[Column, Column, Column]:
+    """The unit vector along which an isometric view of this heading looks."""
+    c, s = F.cos(angle), F.sin(angle)
+    x, y = -(c + s), -(c - s)
+    n = F.sqrt(x * x + y * y + 1)
+    return x / n, y / n, 1 / n
+
+
 def zoom_at(view: View, px: float, py: float, factor: float) -> View:
     """Zoom so that the pixel stays where it is."""
     return replace(view, zoom=view.zoom * factor, pan_x=px - (px - view.pan_x) * factor, pan_y=py - (py - view.pan_y) * factor)

@@ -97,3 +97,16 @@ def splat(u: Column, v: Column, soft: float = 0.1) -> Column:
     """Opacity of a disc at (u, v) in -1..1: 1 inside, falling to 0 at its edge."""
     d = F.sqrt(u * u + v * v)
     return F.when(d > 1, 0.0).otherwise(1 - smoothstep(1 - soft, 1.0, d))
+
+
+def glow(u: Column, v: Column, strength: float) -> Column:
+    """How opaque a glowing splat is at a place of its square (-1 to 1 on both axes): a narrow bell, and a wide one half as
+    high times the strength; nothing outside the circle."""
+    d2 = u * u + v * v
+    return F.when(d2 > 1, F.lit(0.0)).otherwise(F.exp(-d2 * 3.0) + F.exp(-d2 * 1.5) * 0.5 * strength)
+
+
+def glow_color(channel: Column, strength: float) -> Column:
+    """A channel (0 to 1) moved towards a brighter one by three tenths of the strength."""
+    t = 0.3 * strength
+    return channel * (1 - t) + (channel * 1.3 + 0.1) * t

@@ -35,28 +35,30 @@ def with_cells(points: DataFrame, lo: tuple, hi: tuple, depth: int = DEPTH) -> D
     return out.drop(*[f"_{c}{i}" for _, c, _ in wide for i in (0, 1)])
 
 
-def _table(values) -> Column:
-    """A constant array, in one expression."""
-    return F.expr(f"array({', '.join(f'{v}L' for v in values)})")
+def _lookup(values: list[int], at: Column) -> Column:
+    """values[at] of a constant array of 64 numbers."""
+    return F.get(F.expr(f"array({', '.join(f'{v}L' for v in values)})"), at.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def _spread(cell: Column, place: int) -> Column:
-    """The bits of a cell (20 at most), three apart, from `place` on."""
-    table = _table(sum((v >> b & 1) << 3 * b for b in range(10)) for v in range(1 << 10))
-    part = lambda v: F.get(table, v.bitwiseAND(F.lit(1023))).cast("long")
-    return F.shiftleft(part(cell), place).bitwiseOR(F.shiftleft(part(F.shiftright(cell, 10)), 30 + place))
-
-
-def _gather(key: Column, place: int) -> Column:
-    """The cell whose bits stand three apart in the key: the reverse of _spread."""
-    table = _table(sum((v >> 3 * b & 1) << b for b in range(4)) for v in range(1 << 12))
-    parts = [F.shiftleft(F.get(table, F.shiftright(key, 12 * k + place).bitwiseAND(F.lit(4095)).cast("int")).cast("int"), 4 * k) for k in range(5)]
+def _or(parts: list[Column]) -> Column:
     out = parts[0]
     for v in parts[1:]:
         out = out.bitwiseOR(v)
     return out
 
 
+def _spread(cell: Column, place: int, depth: int) -> Column:
+    """The bits of a cell, three apart, from `place` on: six at a time, by a table."""
+    table = [sum((v >> b & 1) << 3 * b for b in range(6)) for v in range(64)]
+    return _or([F.shiftleft(_lookup(table, F.shiftright(cell, 6 * k)), 18 * k + place) for k in range(-(-depth // 6))])
+
+
+def _gather(key: Column, place: int, depth: int = 20) -> Column:
+    """The cell whose bits stand three apart in the key: the reverse of _spread, two bits at a time."""
+    table = [(v & 1) | (v >> 3 & 1) << 1 for v in range(64)]
+    return _or([F.shiftleft(_lookup(table, F.shiftright(key, 6 * k + place)), 2 * k) for k in range(-(-depth // 2))]).cast("int")
+
+
 def name_of(key: Column, depth: Column) -> Column:
     return F.when(depth == 0, F.lit("r")).otherwise(F.concat(F.lit("r"), F.lpad(F.conv(key.cast("string"), 10, 8), depth, F.lit("0"))))
 
@@ -66,7 +68,7 @@ def with_path(points: DataFrame, lo: tuple, hi: tuple, depth: int = DEPTH) -> Da
     if not 0 < depth <= 20:
         raise ValueError("a key holds up to 20 levels")
     cells = with_cells(points, lo, hi, depth)
-    key = _spread(F.col("_x"), 2).bitwiseOR(_spread(F.col("_y"), 1)).bitwiseOR(_spread(F.col("_z"), 0))
+    key = _or([_spread(F.col(f"_{c}"), s, depth) for c, s in (("x", 2), ("y", 1), ("z", 0))])
     keyed = cells.withColumn("key", key).drop("_x", "_y", "_z")
     return keyed.withColumn("path", name_of(F.col("key"), F.lit(depth)))
 
@@ -111,7 +113,7 @@ def nodes(pathed: DataFrame, leaf_size: int, depth: int = DEPTH) -> DataFrame:
     masks = kept.filter("depth > 0").groupBy((F.col("depth") - 1).alias("_d"), _up(F.col("key"), 1).alias("_p")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), digit)).alias("child_mask"))
     out = kept.join(masks, (F.col("depth") == F.col("_d")) & (F.col("key") == F.col("_p")), "left")
     mask = F.coalesce("child_mask", F.lit(0))
-    cells = [_gather(F.col("key"), s).alias(f"cell_{c}") for c, s in (("x", 2), ("y", 1), ("z", 0))]
+    cells = [_gather(F.col("key"), s, depth).alias(f"cell_{c}") for c, s in (("x", 2), ("y", 1), ("z", 0))]
     return tmp.save(out.select(name_of(F.col("key"), F.col("depth")).alias("name"), "depth", "num_points", mask.alias("child_mask"), (mask == 0).alias("is_leaf"), "key", *cells), "nodes")
 
 

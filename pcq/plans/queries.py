@@ -436,13 +436,12 @@ _EVFX, _EVFY, _ = VIEW.screen()
 
 
 @query(f"""WITH {EV}, sc AS (SELECT point_idx, {_SCALE} FROM ev), pr AS (SELECT point_idx, {_lin(FX)} AS sx, {_lin(FY)} AS sy FROM sc),
-cu AS (SELECT event_id AS cursor_id, (event_id % 1280)::DOUBLE AS cx, (event_id * 7 % 720)::DOUBLE AS cy FROM events WHERE event_id < 100),
+cu AS (SELECT event_id AS cursor_id, (event_id % 1280)::DOUBLE AS cx, (event_id * 7 % 720)::DOUBLE AS cy FROM events),
 t AS (SELECT cursor_id, point_idx, (sx - cx) * (sx - cx) + (sy - cy) * (sy - cy) AS d2 FROM pr, cu WHERE (sx - cx) * (sx - cx) + (sy - cy) * (sy - cy) < 400e0)
 SELECT cursor_id, arg_min(point_idx, row(d2, point_idx)) AS point_idx, round(min(d2), 6) AS d2 FROM t GROUP BY cursor_id""")
 def pick_nearest(spark, d):
     p = C.project_iso(B.rescaled(B.points_ev(spark, d)), VIEW)
-    # A hundred cursors are what this query asks about.
-    c = spark.read.parquet(f"{d}/events.parquet").filter("event_id < 100")
+    c = spark.read.parquet(f"{d}/events.parquet")
     c = c.select(F.col("event_id").alias("cursor_id"), (F.col("event_id") % 1280).cast("double").alias("cx"), (F.col("event_id") * 7 % 720).cast("double").alias("cy"))
     return pick.pick_nearest(p, c, 20.0).select("cursor_id", "point_idx", *r6("d2"))
 
@@ -608,7 +607,7 @@ def camera_fold(spark, d):
 
 
 @query("""WITH s AS (SELECT i, cos(i * 6.283185307179586::DOUBLE / 32) * 100 AS ax, sin(i * 6.283185307179586::DOUBLE / 32) * 100 AS ay, cos((i + 1) * 6.283185307179586::DOUBLE / 32) * 100 AS bx, sin((i + 1) * 6.283185307179586::DOUBLE / 32) * 100 AS by_ FROM range(32) t(i)),
-c AS (SELECT event_id AS cursor_id, (event_id % 250 - 125)::DOUBLE AS x, (event_id * 7 % 250 - 125)::DOUBLE AS y FROM events WHERE event_id < 1000),
+c AS (SELECT event_id AS cursor_id, (event_id % 250 - 125)::DOUBLE AS x, (event_id * 7 % 250 - 125)::DOUBLE AS y FROM events),
 t AS (SELECT *, least(greatest(((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 0e0), 1e0) AS t FROM s, c),
 q AS (SELECT cursor_id, min(sqrt(pow(x - (ax + t * (bx - ax)), 2) + pow(y - (ay + t * (by_ - ay)), 2))) AS dist FROM t GROUP BY cursor_id) SELECT cursor_id, round(dist, 6) AS dist, dist <= 12 AS hit FROM q""")
 def ring_hit_test(spark, d):
@@ -617,7 +616,7 @@ def ring_hit_test(spark, d):
     i = F.col("i")
     # A ring of 32 segments.
     ring = spark.range(32).select(F.col("id").alias("i")).select(*[(f((i + k) * (2 * math.pi) / 32) * 100).alias(n) for n, f, k in (("ax", F.cos, 0), ("ay", F.sin, 0), ("bx", F.cos, 1), ("by", F.sin, 1))])
-    c = spark.read.parquet(f"{d}/events.parquet").filter("event_id < 1000").select(F.col("event_id").alias("cursor_id"), (F.col("event_id") % 250 - 125).cast("double").alias("x"), (F.col("event_id") * 7 % 250 - 125).cast("double").alias("y"))
+    c = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("cursor_id"), (F.col("event_id") % 250 - 125).cast("double").alias("x"), (F.col("event_id") * 7 % 250 - 125).cast("double").alias("y"))
     dist = S.segment_distance(*[F.col(n) for n in ("x", "y", "ax", "ay", "bx", "by")])
     out = c.crossJoin(F.broadcast(ring)).groupBy("cursor_id").agg(F.min(dist).alias("dist"))
     return out.select("cursor_id", F.round("dist", 6).alias("dist"), (F.col("dist") <= 12).alias("hit"))
@@ -663,10 +662,10 @@ def light_direction(spark, d):
 
 
 @query("""WITH t AS (SELECT event_id, (event_id % 41 - 20) / 20e0 AS u, (event_id // 41 % 41 - 20) / 20e0 AS v FROM events), r AS (SELECT *, sqrt(u * u + v * v) AS d FROM t), s AS (SELECT *, least(greatest((d - 0.9e0) / 0.1e0, 0e0), 1e0) AS k FROM r)
-SELECT event_id, round(CASE WHEN d > 1 THEN 0 ELSE 1 - k * k * (3 - 2 * k) END, 5) AS alpha FROM s WHERE abs(d - 1) > 1e-9""")
+SELECT event_id, round(CASE WHEN d > 1 THEN 0 ELSE 1 - k * k * (3 - 2 * k) END, 5) AS alpha FROM s""")
 def splat_alpha(spark, d):
     u, v = (F.col("event_id") % 41 - 20) / 20, (F.floor(F.col("event_id") / 41) % 41 - 20) / 20
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", u.alias("u"), v.alias("v")).filter(F.abs(F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")) - 1) > 1e-9)
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", u.alias("u"), v.alias("v"))
     return e.select("event_id", F.round(S.splat(F.col("u"), F.col("v")), 5).alias("alpha"))
 
 

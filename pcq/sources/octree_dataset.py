@@ -8,37 +8,38 @@ from __future__ import annotations
 
 import json
 import math
-import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .records import RecordSource, batch
+from ..scratch import Scratch
+from .records import RecordSource, batch, read_bytes, store, write_bytes
 
 # Attributes in the order of a block, with their bytes; bytes of a point.
 ATTRIBUTES = (("POSITION_CARTESIAN", 12), ("RGBA", 4), ("INTENSITY", 2), ("CLASSIFICATION", 1))
 POINT_BYTES = 19
+#: Bytes of octree.bin that one task writes, about.
+PART_BYTES = 128 << 20
 NODE_SCHEMA = "name string, depth int, num_points long, child_mask int, is_leaf boolean, byte_offset long, byte_size long"
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://").rstrip("/").removesuffix("/metadata.json")
+def _root(path: str) -> str:
+    return path.rstrip("/").removesuffix("/metadata.json")
 
 
 def metadata(path: str) -> dict:
-    with open(f"{_local(path)}/metadata.json", encoding="utf-8") as f:
-        return json.load(f)
+    return json.loads(read_bytes(f"{_root(path)}/metadata.json"))
 
 
 def hierarchy(path: str) -> list[tuple]:
     """Rows of NODE_SCHEMA; of entries with the same name the last one counts."""
-    with open(f"{_local(path)}/hierarchy.bin", "rb") as f:
-        raw = f.read()
+    raw = read_bytes(f"{_root(path)}/hierarchy.bin")
     at, found = 0, {}
     while at < len(raw):
         n = raw[at] & 0x3F
@@ -64,7 +65,7 @@ class OctreeReader(DataSourceReader):
     """Option nodes: names to read, by commas; all leaves otherwise. Neighbouring blocks share a partition."""
 
     def __init__(self, options):
-        self.path = _local(options["path"])
+        self.path = _root(options["path"])
         self.nodes = set(options["nodes"].split(",")) if options.get("nodes") else None
         self.most = int(options.get("part_bytes", 64 << 20))
         self.meta = metadata(self.path)
@@ -83,10 +84,11 @@ class OctreeReader(DataSourceReader):
         return [*out, Blocks(held)]
 
     def read(self, partition: Blocks) -> Iterator:
-        with open(f"{self.path}/octree.bin", "rb") as f:
-            for name, offset, size, n, base in partition.blocks:
-                f.seek(offset)
-                yield batch(decode_block(f.read(size), n, self.meta) | {"point_idx": np.arange(base, base + n)}, n, name)
+        own, at = store(f"{self.path}/octree.bin")
+        if partition.blocks:
+            with own.open_input_file(at) as f:
+                for name, offset, size, n, base in partition.blocks:
+                    yield batch(decode_block(f.read_at(size, offset), n, self.meta) | {"point_idx": np.arange(base, base + n)}, n, name)
 
 
 def decode_block(raw: bytes, n: int, meta: dict) -> dict:
@@ -132,7 +134,7 @@ class OctreeSource(RecordSource):
 
 class HierarchyReader(DataSourceReader):
     def __init__(self, options):
-        self.path = _local(options["path"])
+        self.path = _root(options["path"])
 
     def read(self, partition):
         yield from hierarchy(self.path)
@@ -150,47 +152,86 @@ class HierarchySource(DataSource):
         return HierarchyReader(self.options)
 
 
+def _block(p: pd.DataFrame) -> bytes:
+    """The planar block of one leaf's points."""
+    rgba = np.full((len(p), 4), 255, np.uint8)
+    rgba[:, :3] = np.clip(p[["r", "g", "b"]].to_numpy(), 0, 255)
+    intensity = np.round(np.clip(p["intensity"].to_numpy(), 0, 1) * 65535).astype("<u2")
+    return p[["x", "y", "z"]].to_numpy(np.float32).tobytes() + rgba.tobytes() + intensity.tobytes() + p["classification"].to_numpy().astype(np.uint8).tobytes()
+
+
+def _leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by byte_offset, one leaf at a time."""
+    held: list[pd.DataFrame] = []
+    for batch_ in batches:
+        for _, own in batch_.groupby("byte_offset", sort=True):
+            if held and held[0]["byte_offset"].iat[0] != own["byte_offset"].iat[0]:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(own)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def write_dataset(points: DataFrame, path: str, lo: tuple, hi: tuple, leaf_size: int = 5000, depth: int = 12) -> dict:
-    """Index points and write a dataset into a folder that driver and executors share; returns its statistics.
+    """Index points and write a dataset into a folder of any store; returns its statistics.
 
-    Leaves are encoded where their points are, in tasks, into blocks at offsets that a running sum over leaves gives; the
-    driver only writes the node table. intensity is stored as u16 of 0..1, missing columns by their defaults."""
+    Leaves are encoded in tasks, sorted by the offsets that a running sum over leaves gives; a task writes its leaves as one
+    part, and the parts, which follow one another, are copied into octree.bin piece by piece. Nodes are read one after another,
+    never held. intensity is stored as u16 of 0..1, missing columns by their defaults."""
     from ..operators import octree
 
-    root = _local(path)
-    os.makedirs(root, exist_ok=True)
+    root = _root(path)
     pathed = octree.with_path(points, lo, hi, depth)
     nodes = octree.nodes(pathed, leaf_size, depth)
-    placed = nodes.join(octree.byte_offsets(nodes), "name")
-    rows = sorted((r["name"], r["num_points"], r["child_mask"], r["is_leaf"], r["byte_offset"], r["byte_size"]) for r in placed.collect())
-    total = sum(r[5] for r in rows if r[3])
-    with open(f"{root}/octree.bin", "wb") as f:
-        f.truncate(total)
+    tmp = Scratch(points.sparkSession, "dataset")
+    placed = tmp.save(nodes.join(octree.byte_offsets(nodes), "name"), "placed")
     has = set(points.columns)
     column = lambda c, default: F.coalesce(F.col(c).cast("double"), F.lit(default)) if c in has else F.lit(default)
     leaves = octree.leaf_of(pathed, nodes, depth).select("leaf", "point_idx", *[F.col(c).cast("float") for c in "xyz"], *[column(c, 180.0).alias(c) for c in "rgb"], column("intensity", 0.0).alias("intensity"), column("classification", 0.0).alias("classification"))
+    sums = placed.filter("is_leaf").agg(F.count("*").alias("leaves"), F.sum("byte_size").alias("bytes")).first()
     offsets = placed.filter("is_leaf").select(F.col("name").alias("_leaf"), "byte_offset")
-    leaves = leaves.join(offsets, leaves["leaf"] == offsets["_leaf"])
-
-    def put(pdf):
-        p = pdf.sort_values("point_idx")
-        n = len(p)
-        rgba = np.full((n, 4), 255, np.uint8)
-        rgba[:, :3] = np.clip(p[["r", "g", "b"]].to_numpy(), 0, 255)
-        block = p[["x", "y", "z"]].to_numpy(np.float32).tobytes() + rgba.tobytes() + np.round(np.clip(p["intensity"].to_numpy(), 0, 1) * 65535).astype("<u2").tobytes() + p["classification"].to_numpy().astype(np.uint8).tobytes()
-        # The same bytes at the same place however often a task runs.
-        with open(f"{root}/octree.bin", "r+b") as f:
-            f.seek(int(p["byte_offset"].iloc[0]))
-            f.write(block)
-        return p[["leaf"]].head(1).assign(n=n)
-
-    written = leaves.groupBy("leaf").applyInPandas(put, "leaf string, n long").agg(F.sum("n")).first()[0] or 0
-    with open(f"{root}/hierarchy.bin", "wb") as f:
-        for name, n, mask, leaf, offset, size in rows:
-            f.write(bytes([0x80 | len(name)]) + name.encode() + struct.pack("<BBIqq", mask, 0, n, offset, size if leaf else 0))
+    leaves = leaves.join(offsets, leaves["leaf"] == offsets["_leaf"]).drop("leaf", "_leaf")
+    leaves = leaves.repartitionByRange(max(1, -(-(sums["bytes"] or 0) // PART_BYTES)), "byte_offset").sortWithinPartitions("byte_offset", "point_idx")
+    parts = f"{tmp.root}/parts"
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, size, n, out = None, 0, 0, None
+        for own in _leaves(batches):
+            if out is None:
+                # Named by its place in octree.bin: the same bytes under the same name however often a task runs.
+                first = int(own["byte_offset"].iat[0])
+                place, at = store(f"{parts}/{first:020d}")
+                place.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                out = place.open_output_stream(at)
+            size, n = size + out.write(_block(own)), n + len(own)
+        if out is not None:
+            out.close()
+            yield pd.DataFrame({"first": [first], "size": [size], "n": [n]})
+
+    # One short row for each part.
+    made = sorted(tuple(r) for r in leaves.mapInPandas(put, "first long, size long, n long").collect())
+    own, at = store(root)
+    own.create_dir(at, recursive=True)
+    end = 0
+    with own.open_output_stream(f"{at}/octree.bin") as out:
+        for first, size, _ in made:
+            if first != end:
+                raise ValueError("parts of octree.bin do not follow one another")
+            source, name = store(f"{parts}/{first:020d}")
+            with source.open_input_stream(name) as f:
+                while piece := f.read(8 << 20):
+                    out.write(piece)
+            end += size
+    total = 0
+    with own.open_output_stream(f"{at}/hierarchy.bin") as out:
+        for r in placed.orderBy("name").toLocalIterator():
+            name = r["name"].encode()
+            out.write(bytes([0x80 | len(name)]) + name + struct.pack("<BBIqq", r["child_mask"], 0, r["num_points"], r["byte_offset"], r["byte_size"] if r["is_leaf"] else 0))
+            total += 1
     diagonal = math.dist(lo, hi)
     box = {f"{k}{c}": float(v) for k, ends in (("l", lo), ("u", hi)) for c, v in zip("xyz", ends, strict=True)}
-    meta = {"version": "2.0", "boundingBox": box, "spacing": diagonal, "scale": 1, "offset": [0, 0, 0], "attributes": [{"name": n, "size": s} for n, s in ATTRIBUTES], "hierarchy": {"firstChunkSize": len(rows)}}
-    with open(f"{root}/metadata.json", "w", encoding="utf-8") as f:
-        json.dump(meta, f)
-    return {"total_points": written, "total_nodes": len(rows), "leaf_nodes": sum(r[3] for r in rows), "bytes": total}
+    meta = {"version": "2.0", "boundingBox": box, "spacing": diagonal, "scale": 1, "offset": [0, 0, 0], "attributes": [{"name": n, "size": s} for n, s in ATTRIBUTES], "hierarchy": {"firstChunkSize": total}}
+    write_bytes(f"{root}/metadata.json", json.dumps(meta).encode())
+    tmp.drop()
+    return {"total_points": sum(n for *_, n in made), "total_nodes": total, "leaf_nodes": sums["leaves"], "bytes": end}

@@ -59,7 +59,8 @@ def size_of(path: str) -> int:
 def write_bytes(path: str, data: bytes) -> None:
     own, at = store(path)
     own.create_dir(at.rsplit("/", 1)[0], recursive=True)
-    with own.open_output_stream(at) as f:
+    # The bytes are as they shall stand: no codec by the name's suffix.
+    with own.open_output_stream(at, compression=None) as f:
         f.write(data)
 
 

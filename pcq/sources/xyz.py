@@ -40,3 +40,12 @@ def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).withColumns({"src": F.col("_metadata.file_name"), "point_idx": F.monotonically_increasing_id()})
     points = parse_lines(lines)
     return points.select(*[(F.col(c) if c in points.columns else F.lit(None)).cast(t).alias(c) for c, t in fields(POINTS)])
+
+
+def line_kinds(lines: DataFrame) -> DataFrame:
+    """lines(src, place, value) -> src, kind: what the first line of points of each file has (xyz, xyzi or xyzrgb)."""
+    text = F.trim(F.regexp_replace("value", r"[\r\n]", ""))
+    points = lines.withColumn("_t", text).filter((F.col("_t") != "") & ~F.col("_t").startswith("#") & ~F.col("_t").startswith("//"))
+    points = points.withColumn("_n", F.size(F.split("_t", r"[\s,]+"))).filter("_n >= 3")
+    first = points.groupBy("src").agg(F.min_by("_n", "place").alias("_n"))
+    return first.select("src", F.when(F.col("_n") >= 6, "xyzrgb").when(F.col("_n") >= 4, "xyzi").otherwise("xyz").alias("kind"))

@@ -47,24 +47,65 @@ def _fresh() -> dict:
 
 def camera_fold(log: DataFrame) -> DataFrame:
     """log(session, seq, type, yaw, pitch, zoom, pan_x, pan_y) -> the camera of each session after all its signals, in the
-    order of seq, with higher-order functions only. Pings and unknown types count as signals and change nothing."""
-    step = F.array_sort(F.collect_list(F.struct("seq", "type", "yaw", "pitch", "zoom", "pan_x", "pan_y")))
-    start = F.struct(F.lit(0).cast("long").alias("signals"), *[F.lit(v).cast("double").alias(k) for k, v in (("yaw", 0), ("pitch", 0), ("zoom", 1), ("pan_x", 0), ("pan_y", 0))], F.lit("iso").alias("mode"))
-
-    def fold(s, e):
-        sig, reset = e["type"] == "signal", e["type"] == "reset"
-        moved = {
-            "yaw": s["yaw"] + e["yaw"],
-            "pitch": F.greatest(F.lit(-PITCH_LIMIT), F.least(F.lit(PITCH_LIMIT), s["pitch"] + e["pitch"] * 180 / math.pi)),
-            "zoom": F.greatest(F.lit(ZOOM_LIMITS[0]), F.least(F.lit(ZOOM_LIMITS[1]), s["zoom"] * (1 + e["zoom"]))),
-            "pan_x": s["pan_x"] + e["pan_x"] * PAN_STEP,
-            "pan_y": s["pan_y"] + e["pan_y"] * PAN_STEP,
-        }
-        parts = [F.when(sig, v).when(reset, F.lit(1.0 if k == "zoom" else 0.0)).otherwise(s[k]).alias(k) for k, v in moved.items()]
-        mode = F.when(e["type"] == "switchMode", F.when(s["mode"] == "iso", "fps").otherwise("iso")).otherwise(s["mode"])
-        return F.struct((s["signals"] + 1).alias("signals"), *parts, mode.alias("mode"))
-
-    return log.groupBy("session").agg(F.aggregate(step, start, fold).alias("_s")).select("session", "_s.*")
+    order of seq. Pings and unknown types count as signals and change nothing. Sorted signals stream through the fold, so a
+    session may have any number of them: a task holds one camera."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, {}
+        for batch in batches:
+            done = []
+            for row in batch.itertuples(index=False):
+                if row.session != now:
+                    if state:
+                        done.append({"session": now, **state})
+                    now, state = row.session, _fresh()
+                state = _step(state, row)
+            if done:
+                yield pd.DataFrame(done)
+        if state:
+            yield pd.DataFrame([{"session": now, **state}])
+
+    rows = log.select("session", "seq", "type", "yaw", "pitch", "zoom", "pan_x", "pan_y")
+    return rows.repartition("session").sortWithinPartitions("session", "seq").mapInPandas(run, FOLD_SCHEMA)
+
+
+# What a pixel of drag scales by, and limits of a scale.
+SCALE_STEP, SCALE_LIMITS = 0.008, (0.01, 100.0)
+DRAG_SCHEMA = "session string, moves long, rot_x double, rot_y double, rot_z double, scale_x double, scale_y double, scale_z double"
+
+
+def drag_fold(log: DataFrame, ring: list[tuple[float, float, float, float, float]]) -> DataFrame:
+    """log(session, seq, mode 'rotate' or 'scale', axis 'x', 'y', 'z' or 'center', sx, sy) -> the transform of each session
+    after all its moves. A move counts from the place of the one before. Rotation: the move along the tangent of the nearest
+    ring point (x, y, tangent x, tangent y, radius), over its radius, in degrees, kept within a full turn with its sign.
+    Scale: 0.8 % for each pixel to the right, on the axis or, for 'center', on all three."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, turn, size, at, moves = None, [], [], None, 0
+
+        def row() -> pd.DataFrame:
+            return pd.DataFrame([(now, moves, *turn, *size)], columns=["session", "moves", "rot_x", "rot_y", "rot_z", "scale_x", "scale_y", "scale_z"])
+
+        for batch in batches:
+            for session, _, mode, axis, sx, sy in batch.itertuples(index=False):
+                if session != now:
+                    if now is not None:
+                        yield row()
+                    now, turn, size, at, moves = session, [0.0] * 3, [1.0] * 3, (sx, sy), 0
+                dx, dy, at, moves = sx - at[0], sy - at[1], (sx, sy), moves + 1
+                k = "xyz".find(axis)
+                if mode == "rotate" and k >= 0:
+                    near = min(ring, key=lambda p: (sx - p[0]) ** 2 + (sy - p[1]) ** 2)
+                    along = (dx * near[2] + dy * near[3]) / max(near[4] or 1.0, 1.0)
+                    turn[k] = math.fmod(turn[k] + math.degrees(along), 360.0)
+                elif mode == "scale":
+                    for j in range(3) if axis == "center" else [k] if k >= 0 else []:
+                        size[j] = max(SCALE_LIMITS[0], min(SCALE_LIMITS[1], size[j] * (1 + dx * SCALE_STEP)))
+        if now is not None:
+            yield row()
+
+    rows = log.select("session", "seq", "mode", "axis", "sx", "sy")
+    return rows.repartition("session").sortWithinPartitions("session", "seq").mapInPandas(run, DRAG_SCHEMA)
 
 
 def camera_stream(log: DataFrame) -> DataFrame:
