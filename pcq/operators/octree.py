@@ -69,7 +69,8 @@ def with_path(points: DataFrame, lo: tuple, hi: tuple, depth: int = DEPTH) -> Da
         raise ValueError("a key holds up to 20 levels")
     cells = with_cells(points, lo, hi, depth)
     key = _or([_spread(F.col(f"_{c}"), s, depth) for c, s in (("x", 2), ("y", 1), ("z", 0))])
-    keyed = cells.withColumn("key", key).drop("_x", "_y", "_z")
+    # Never null, or joins would test it for null far below, where it would be worked out once more.
+    keyed = cells.withColumn("key", F.coalesce(key, F.lit(0).cast("long"))).drop("_x", "_y", "_z")
     return keyed.withColumn("path", name_of(F.col("key"), F.lit(depth)))
 
 
@@ -141,7 +142,8 @@ def leaf_of(pathed: DataFrame, nodes: DataFrame, depth: int = DEPTH) -> DataFram
     found = leaves.groupBy("_ld").count().collect()
     asked = pathed.withColumn("_d", F.explode(F.array(*[F.lit(r["_ld"]) for r in sorted(found)]) if found else F.array().cast("array<int>")))
     leaves = _hint(leaves, sum(r["count"] for r in found))
-    return asked.join(leaves, (F.col("_d") == F.col("_ld")) & (_up(F.col("key"), F.lit(depth) - F.col("_d")) == F.col("_lk"))).drop("_d", "_ld", "_lk")
+    asked = asked.withColumn("_k", F.coalesce(_up(F.col("key"), F.lit(depth) - F.col("_d")), F.lit(-1).cast("long")))
+    return asked.join(leaves, (F.col("_d") == F.col("_ld")) & (F.col("_k") == F.col("_lk"))).drop("_d", "_k", "_ld", "_lk")
 
 
 def statistics(nodes: DataFrame) -> DataFrame:
