@@ -22,9 +22,13 @@ from .common import Scratch
 
 @dataclass(frozen=True)
 class AnnParams:
-    """sample: most vectors that the index is fitted on. cell: sample vectors in a partition. recall: wanted on the sample."""
+    """sample: vectors that the index is fitted on; one in share of all vectors, if these are more, up to most_sample. cell:
+    sample vectors in a partition, so that partitions grow in number with the corpus, from 32 to 256. recall: wanted on the
+    sample."""
 
     sample: int = 8192
+    share: int = 64
+    most_sample: int = 65_536
     cell: int = 256
     most_partitions: int = 256
     neighbours: int = 16
@@ -161,8 +165,9 @@ def _nearest(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, params: AnnParams = AnnParams(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows found for each row of vectors where is_query holds, itself
-    excepted; score is the Euclidean distance in double precision, ties go to the smaller id.
+    """(query_id, rank, vec_id, score, searched): the k nearest rows found for each row of vectors where is_query holds, itself
+    excepted; score is the Euclidean distance in double precision, ties go to the smaller id; searched is the part of all
+    partitions that a query looks into. A query whose partitions hold fewer than k rows is asked of all partitions.
 
     Vectors that are null, zero, of another length than most of the sample, or with a null or non-finite component, and
     rows with a null id, take no part. Rows that share an id are not neighbours of each other; a repeated row counts once.
@@ -173,8 +178,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, params: AnnParams
     # A sample by the hash of the id; the threshold keeps what is sorted near the sample's size.
     total = rows.count()
     key = F.xxhash64("vec_id", F.lit(p.seed))
-    taken = rows.filter(F.col("vec").isNotNull() & (F.pmod(key, F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.5 * p.sample / max(1, total)))))
-    got = taken.orderBy(key, "vec_id").limit(p.sample).select("vec").toPandas()["vec"].tolist()
+    size = min(p.most_sample, max(p.sample, total // p.share))
+    taken = rows.filter(F.col("vec").isNotNull() & (F.pmod(key, F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.5 * size / max(1, total)))))
+    got = taken.orderBy(key, "vec_id").limit(size).select("vec").toPandas()["vec"].tolist()
     dims = pd.Series([len(v) for v in got], dtype="int64")
     dim = int(dims.mode().max()) if len(dims) else 0
     got = np.array([np.asarray(v, float) for v in got if len(v) == dim and not any(a is None for a in v)]).reshape(-1, max(dim, 1))
@@ -193,7 +199,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, params: AnnParams
     rows = Scratch(spark, "ann").save(rows, "routed")
     # One short row for each partition, most_partitions at most.
     sizes = {r["p"]: r["n"] for r in rows.groupBy(F.get("_parts", F.lit(0)).alias("p")).agg(F.count("*").alias("n")).collect()}
-    asked = {r["p"]: r["n"] for r in rows.filter("_q").select(F.explode("_parts").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
+    tmp = Scratch(spark, "ann-found")
+    found = tmp.save(_meet(rows, rows.filter("_q"), sizes, k, p), "found")
+    # Queries that found too few, though there are more rows to find: these look everywhere.
+    enough = min(k, sum(sizes.values()) - 1)
+    full = found.groupBy("query_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= enough).select(F.col("query_id").alias("_full"))
+    short = rows.filter("_q").join(full, F.col("vec_id") == F.col("_full"), "left_anti") if enough > 0 else rows.filter("false")
+    short = tmp.save(short, "short")
+    if short.head(1):
+        wide = short.withColumn("_parts", F.array(*[F.lit(q) for q in sorted(sizes)]).cast("array<int>"))
+        found = found.union(_meet(rows, wide, sizes, k, p)).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")).cast("int"))
+    searched = router.probes / max(1, router.w2.shape[1])
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.lit(float(searched)).alias("searched"))
+
+
+def _meet(rows: DataFrame, queries: DataFrame, sizes: dict[int, int], k: int, p: AnnParams) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest rows of each query (vec_id, vec, _parts) in each block of its partitions."""
+    asked = {r["p"]: r["n"] for r in queries.select(F.explode("_parts").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
     parts = sorted(set(sizes) & set(asked))
     row_blocks = F.create_map(*[F.lit(x) for q in parts for x in (q, -(-sizes[q] // p.block_rows))]) if parts else F.create_map(F.lit(0), F.lit(1))
     query_blocks = F.create_map(*[F.lit(x) for q in parts for x in (q, -(-asked[q] // p.block_queries))]) if parts else F.create_map(F.lit(0), F.lit(1))
@@ -201,13 +224,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, params: AnnParams
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = rows.withColumn("p", F.get("_parts", F.lit(0))).withColumn("_n", F.try_element_at(row_blocks, F.col("p"))).filter("_n is not null")
     left = left.withColumn("rb", block("r", F.col("_n"))).withColumn("qb", each(F.element_at(query_blocks, F.col("p")))).select("p", "rb", "qb", "vec_id", "vec")
-    right = rows.filter("_q").withColumn("p", F.explode("_parts")).withColumn("_n", F.try_element_at(query_blocks, F.col("p"))).filter("_n is not null")
+    right = queries.withColumn("p", F.explode("_parts")).withColumn("_n", F.try_element_at(query_blocks, F.col("p"))).filter("_n is not null")
     right = right.withColumn("qb", block("q", F.col("_n"))).withColumn("rb", each(F.element_at(row_blocks, F.col("p")))).select("p", "rb", "qb", F.col("vec_id").alias("query_id"), "vec")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _nearest(a, b, k).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"}) if len(a) and len(b) else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     found = left.groupBy("p", "rb", "qb").cogroup(right.groupBy("p", "rb", "qb")).applyInPandas(compare, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")).cast("int"))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

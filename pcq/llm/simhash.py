@@ -1,9 +1,9 @@
 """SimHash near-duplicates, found by an inverted index over byte positions with count filtering.
 
 Two 64-bit fingerprints that differ in at most d bits agree in at least 8 - d of their 8 bytes. For d = 4 that is any 4
-byte positions; each set of 4 positions holds one of 20 triples (Turan's system for 3 of 8). So fingerprints are posted
-under the bytes of each triple, and each pair that meets in a posting list is tallied: how many positional bytes do they
-share? Pairs that reach the guaranteed minimum are verified by their differing bits. No link within the radius is lost.
+byte positions; each set of 4 positions holds one of 20 triples (Turan's system for 3 of 8). So postings are triples of
+positional bytes, and a pair that meets in a posting list is tallied by comparing its fingerprints byte by byte: how many
+positional bytes do they share? Pairs that reach the guaranteed minimum are verified by their differing bits. No link within the radius is lost.
 
 Equal fingerprints are one entry. A crowded list is cut into blocks, and pairs of blocks are compared apart from each
 other; a large block reports only a spanning forest of its links, which leaves the components as they are.

@@ -3,7 +3,7 @@
 Terms are found in the lower-cased text by one automaton. The clause around each insult or threat becomes a string of
 classes (INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER). Four transducers read it: one joins insults and threats with
 their targets, one weakens what stands after a negation, one weakens what is reported speech, one adds weights up. They are
-composed once; a clause's weight is that of the best path through the composition. A logistic function of the clauses'
+composed once; the best path through the composition says by its weights what each term of a clause counts for. A logistic function of the clauses'
 weights, fitted to labels, gives the score. Which further terms insult, and how much, is learned from labels as well.
 """
 
@@ -20,16 +20,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Words of the grammar's classes.
+from .common import Scratch, slim
+
+# Words of the grammar's classes, in English, French, German and Spanish.
 INSULTS = "idiot moron stupid loser scum trash clown pathetic worthless disgusting imbecile fool dumb jerk filth vermin cretin garbage bastard".split()
 THREATS = "kill hurt destroy beat stab shoot strangle burn".split()
-TARGETS = "you your yours he him she her they them their these those all every".split()
-NEGATIONS = "not no never nobody isn't aren't wasn't don't doesn't without hardly".split()
-REPORTS = "said says say wrote writes claimed claims reported reports quoted according alleged called calls".split()
+TARGETS = """you your yours he him she her they them their these those all every
+tu toi te ton ta tes vous votre vos il elle ils elles eux leur ces tous
+du dich dir dein deine ihr euch euer sie ihnen diese alle
+tú tu te ti tus usted ustedes vosotros él ella ellos ellas estos esos todos""".split()
+NEGATIONS = """not no never nobody isn't aren't wasn't don't doesn't without hardly
+ne n' pas jamais personne sans aucun guère
+nicht nie niemals niemand kein keine keinen ohne kaum
+nunca jamás nadie sin ningún ninguna tampoco""".split()
+REPORTS = """said says say wrote writes claimed claims reported reports quoted according alleged called calls
+dit disait écrit écrivait prétend prétendait selon cité appelé
+sagte sagt schrieb schreibt behauptet behauptete laut zitierte nannte
+dijo dice escribió escribe afirmó según citó llamó""".split()
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
 _BREAK = re.compile(r"[.!?;\n]")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
+#: French elisions: "n'es" is the negation n' and a word.
+_ELIDED = re.compile(r"\bn'(?=[^\W_])")
 #: A clause is read this far to each side of a term at most when a text has no breaks; terms beyond start clauses of their own.
 _REACH = 300
 
@@ -61,48 +74,55 @@ class Transducer:
                         own.setdefault(symbol, []).append((out2, weight + weight2, names[a2, b2]))
         return Transducer(arcs, final)
 
-    def best(self, symbols: tuple[int, ...]) -> tuple[float, tuple[int, ...]]:
-        """Weight and output of the best path over the input; minus infinity if there is none."""
-        now: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
+    def best(self, symbols: tuple[int, ...]) -> tuple[float, tuple[tuple[int, float], ...]]:
+        """Weight of the best path over the input, and its output and weight for each symbol; minus infinity if there is none."""
+        # Steps point back to those before them, so that a long clause costs no copies of its path.
+        now: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for s in symbols:
-            nxt: dict[int, tuple[float, tuple[int, ...]]] = {}
+            nxt: dict[int, tuple[float, tuple | None]] = {}
             for state, (weight, path) in now.items():
                 for out, w, to in self.arcs.get(state, {}).get(s, ()):
                     if to not in nxt or weight + w > nxt[to][0]:
-                        nxt[to] = (weight + w, (*path, out))
+                        nxt[to] = (weight + w, (out, w, path))
             now = nxt
-        return max((x for state, x in now.items() if state in self.final), default=(-math.inf, ()))
+        weight, path = max((x for state, x in now.items() if state in self.final), key=lambda x: x[0], default=(-math.inf, None))
+        steps = []
+        while path is not None:
+            steps.append(path[:2])
+            path = path[2]
+        return weight, tuple(reversed(steps))
 
 
-# Outputs between the transducers: what became of a term.
+# Outputs between the transducers: what became of a term. Weights are logarithms of what a term's own weight is multiplied by.
 PLAIN, AIMED, WEAK = 10, 11, 12
-#: What a term counts for, by what became of it: its own weight times this.
-STRENGTH = {PLAIN: 1.0, AIMED: 1.5, WEAK: 0.3, OTHER: 0.0}
+AT_TARGET, NEGATED, REPORTED = math.log(1.5), math.log(0.3), math.log(0.4)
 
 
 def grammar() -> Transducer:
-    """targets o negation o report. Inputs are classes, outputs PLAIN, AIMED, WEAK or OTHER for each word."""
+    """targets o negation o report. Inputs are classes, outputs PLAIN, AIMED, WEAK or OTHER for each word. An arc that reads a
+    term weighs what the term is multiplied by; along the composition these weights add up, so that an aimed, denied and
+    reported insult is all three."""
     rest = (TARGET, NEGATION, REPORT, OTHER)
     # A term is aimed if its clause names a target before it, or after it (a guess that state 2 must see confirmed).
     loop = lambda to: {c: [(c, 0.0, to)] for c in rest}
     insult = lambda out, w, to: {c: [(out, w, to)] for c in (INSULT, THREAT)}
-    guess = {c: [(PLAIN, 1.0, 0), (AIMED, 1.5, 2)] for c in (INSULT, THREAT)}
+    guess = {c: [(PLAIN, 0.0, 0), (AIMED, AT_TARGET, 2)] for c in (INSULT, THREAT)}
     targets = Transducer(
         {
             0: guess | loop(0) | {TARGET: [(TARGET, 0.0, 1)]},
-            1: insult(AIMED, 1.5, 1) | loop(1),
-            2: insult(AIMED, 1.5, 2) | loop(2) | {TARGET: [(TARGET, 0.0, 1)]},
+            1: insult(AIMED, AT_TARGET, 1) | loop(1),
+            2: insult(AIMED, AT_TARGET, 2) | loop(2) | {TARGET: [(TARGET, 0.0, 1)]},
         },
         {0, 1},
     )
     # After a negation the next term within three words is weak.
     keep = lambda to: {c: [(c, 0.0, to)] for c in (TARGET, REPORT, OTHER)}
     strong = {x: [(x, 0.0, 0)] for x in (PLAIN, AIMED)}
-    weak = {x: [(WEAK, -1.0, 0)] for x in (PLAIN, AIMED)}
+    weak = {x: [(WEAK, NEGATED, 0)] for x in (PLAIN, AIMED)}
     negation = Transducer({0: strong | keep(0) | {NEGATION: [(OTHER, 0.0, 1)]}} | {k: weak | keep(k % 3 + 1 if k < 3 else 0) | {NEGATION: [(OTHER, 0.0, 1)]} for k in (1, 2, 3)}, {0, 1, 2, 3})
     # Once a clause reports speech, what follows is weak.
     passed = {x: [(x, 0.0, 0)] for x in (PLAIN, AIMED, WEAK)} | {c: [(OTHER, 0.0, 0)] for c in (TARGET, OTHER)}
-    told = {x: [(WEAK, -0.5, 1)] for x in (PLAIN, AIMED, WEAK)} | {c: [(OTHER, 0.0, 1)] for c in (TARGET, OTHER, REPORT)}
+    told = {x: [(WEAK, REPORTED, 1)] for x in (PLAIN, AIMED, WEAK)} | {c: [(OTHER, 0.0, 1)] for c in (TARGET, OTHER, REPORT)}
     report = Transducer({0: passed | {REPORT: [(OTHER, 0.0, 1)]}, 1: told}, {0, 1})
     return targets.compose(negation).compose(report)
 
@@ -159,7 +179,7 @@ class Scorer:
             stop = stop.start() if stop else min(len(low), at + _REACH)
             while stop < len(low) and low[stop].isalnum():
                 stop += 1
-            words = _WORD.findall(low[start:stop])
+            words = _WORD.findall(_ELIDED.sub("ne ", low[start:stop]))
             classes = tuple(INSULT if self.term(w) else self.classes.get(w, OTHER) for w in words)
             done = stop
             if INSULT in classes or (THREAT in classes and TARGET in classes):
@@ -173,7 +193,8 @@ class Scorer:
                 if len(self.known) > 50_000:
                     self.known.clear()
                 self.known[classes] = self.grammar.best(classes)[1]
-            value = sum(STRENGTH[o] * (self.term(w) if c == INSULT else 1.0) for w, c, o in zip(words, classes, self.known[classes], strict=False) if c in (INSULT, THREAT))
+            # The path's weight at each term multiplies the term's own.
+            value = sum(math.exp(step[1]) * (self.term(w) if c == INSULT else 1.0) for w, c, step in zip(words, classes, self.known[classes], strict=False) if c in (INSULT, THREAT))
             most, total = max(most, value), total + value
         return most, math.log1p(total), math.log1p(1000 * total / max(200, len(text or "")))
 
@@ -203,7 +224,7 @@ def fit(labelled: DataFrame, params: ToxicParams = ToxicParams(), text_col: str
     texts = rows.select("_k", "toxic").distinct().count()
     if texts > p.sample:
         rows = rows.filter(F.pmod("_k", F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.5 * p.sample / texts)))
-    sample = rows.dropDuplicates(["_k", "text", "toxic"]).orderBy("_k", "toxic").limit(p.sample)
+    sample = Scratch(labelled.sparkSession, "toxic").save(rows.dropDuplicates(["_k", "text", "toxic"]).orderBy("_k", "toxic").limit(p.sample), "sample")
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -266,7 +287,7 @@ def predict(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> DataF
     @F.pandas_udf("double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(model)
-        for batch in texts:
+        for batch in slim(texts):
             yield pd.Series([scorer.score(scorer.features(t)) for t in batch], dtype="float64")
 
     out = docs.drop("score", "predicted").withColumn("score", run(F.col(text_col)))
@@ -279,7 +300,7 @@ def matched(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
         for batch in batches:
-            rows = [(i, " ".join(w), list(scorer.grammar.best(c)[1])) for i, t in zip(batch["_id"], batch["_text"], strict=True) for w, c in scorer.clauses(t or "")]
+            rows = [(i, " ".join(w), [out for out, _ in scorer.grammar.best(c)[1]]) for i, t in zip(batch["_id"], batch["_text"], strict=True) for w, c in scorer.clauses(t or "")]
             yield pd.DataFrame(rows, columns=["doc_id", "clause", "outputs"])
 
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, "doc_id long, clause string, outputs array<int>")

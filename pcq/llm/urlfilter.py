@@ -29,6 +29,8 @@ class UrlParams:
     default: str = "allow"
     #: Up to so many mined rules are broadcast; beyond, they are joined by shuffle.
     broadcast_rules: int = 20_000
+    #: Up to so many judged token sets (some hundred bytes each) are broadcast; beyond, they are joined by shuffle.
+    broadcast_sets: int = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -127,7 +129,9 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, params:
     met = asked.withColumn("_t", F.explode("tokens")).join(F.broadcast(mined) if small else mined, F.col("_t") == F.col("under"))
     met = met.filter(F.size(F.array_except("antecedent", "tokens")) == 0)
     best = F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("hits")).alias("h"), F.col("antecedent").alias("a"), F.col("verdict").alias("v")))
-    best = met.groupBy(F.col("_key").alias("_k")).agg(best.alias("_b"))
+    best = tmp.save(met.groupBy(F.col("_key").alias("_k")).agg(best.alias("_b")), "best")
+    # One row for each different set of tokens that a rule fits: a common set would crowd one task of a shuffled join.
+    best = F.broadcast(best) if best.count() <= params.broadcast_sets else best
     out = rows.join(best, (rows["_key"] == best["_k"]) & rows["_v"].isNull(), "left")
     listed_here = F.col("_v").isNotNull()
     return out.select(

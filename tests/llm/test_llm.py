@@ -445,6 +445,28 @@ def test_toxicity_grammar():
     assert most("an idiotic idea") == 0 == most("") == most(None) and most("zorbing here") == 2.0
     assert most("they will kill you") > 0 == most("kill the process")
     assert s.features("idiot. " * 5000)[0] == plain
+    # Denied and reported insults weigh less in each language, and a target before or after makes them weigh more.
+    for aimed_at, denied, told in (
+        ("you are an idiot", "you are not an idiot", "he said you are an idiot"), ("tu es un idiot", "tu n'es pas un idiot", "elle a dit que tu es un idiot"),
+        ("du bist ein idiot", "du bist kein idiot", "sie sagte du bist ein idiot"), ("eres un idiot tú", "nunca eres un idiot tú", "según ella eres un idiot tú"),
+    ):
+        assert most(denied) < most("un idiot") < most(aimed_at) and most(told) < most(aimed_at), aimed_at
+
+
+def test_toxicity_best_path_is_the_best():
+    """The composed grammar against all paths through its three parts, one after another."""
+    g = toxicity.grammar()
+    r = random.Random(5)
+    for _ in range(300):
+        symbols = tuple(r.choice(range(6)) for _ in range(r.randint(0, 7)))
+        ways = [(0, 0.0, ())]
+        for x in symbols:
+            ways = [(to, w + v, (*path, (out, v))) for state, w, path in ways for out, v, to in g.arcs.get(state, {}).get(x, ())]
+        ends = [(w, path) for state, w, path in ways if state in g.final]
+        best, path = g.best(symbols)
+        assert math.isclose(best, max(w for w, _ in ends)) and any(path == p and math.isclose(w, best) for w, p in ends)
+    far = "a " * 400 + "you idiot " + "b " * 400
+    assert toxicity.Scorer(toxicity.ToxicModel({"idiot": 3.0})).features(far)[0] > 3.0
 
 
 def test_toxicity_learns(spark, none):
@@ -545,6 +567,17 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.filter("false"), F.lit(True)).count() == 0
 
 
+def test_nearest_neighbours_look_on_until_they_have_enough(spark):
+    """Partitions of fewer rows than are wanted: queries go on to the others, and miss nothing there is."""
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(c, 0.01, (9, 8)) for c in r.normal(0, 5, (30, 8))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 50 == 0, params=ann.AnnParams(cell=9, neighbours=4, recall=0.5)).collect()
+    assert all(sum(g.query_id == q for g in got) == 10 for q in range(0, 270, 50))
+    every = ann.search(df, F.col("vec_id") % 50 == 0, k=400, params=ann.AnnParams(cell=9, neighbours=4, recall=0.5)).collect()
+    assert all(sum(g.query_id == q for g in every) == 269 for q in range(0, 270, 50))
+
+
 def test_language_model(docs, rows, none):
     learn = crc_mod(F.col("doc_id"), 10) != 0
     got = pitman_yor.score(docs, learn, pitman_yor.LmParams(chunk_tokens=900)).collect()
