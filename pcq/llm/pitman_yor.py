@@ -35,7 +35,9 @@ END = b"\n"  # no word holds white space
 class LmParams:
     chunk_tokens: int = 1_500_000
     shard_tokens: int = 2_500_000
-    rounds: int = 2
+    #: Rounds of sweeps; the first `burn` of them are not kept, each of the others gives a sample.
+    rounds: int = 3
+    burn: int = 1
     sweeps: int = 3
     theta: float = 1.0
     #: Dishes of up to so many customers are sampled from their exact conditional, larger ones from its limit.
@@ -239,7 +241,7 @@ def resample(count: np.ndarray, tables: np.ndarray, others: np.ndarray, base: np
 
 
 def _sweep(rows: pd.DataFrame, hot_tables: dict[int, int], d: float, root_d: float, customers: int, p: LmParams, turn: int) -> pd.DataFrame:
-    """A round of Gibbs sweeps over one shard of pairs."""
+    """A round of Gibbs sweeps over one shard of pairs; its tables are kept as a sample behind the burn-in."""
     state = rows[rows["kind"] == "state"].iloc[0]
     s, t = unpack(state["body"]), unpack(state["tables"])["t"].astype(np.int64)
     pairs, count = np.cumsum(s["d"]), s["c"].astype(np.int64)
@@ -262,7 +264,7 @@ def _sweep(rows: pd.DataFrame, hot_tables: dict[int, int], d: float, root_d: flo
             total = np.bincount(place, weights=t, minlength=len(first)) + elsewhere
             t[many] = resample(count[many], t[many], total[place[many]] - t[many], base, d, p.theta, p.exact, rng)
     new = pack(t=t.astype(np.uint32))
-    return pd.DataFrame({"shard": [int(state["shard"])], "body": [state["body"]], "tables": [new], "kept": [[*state["kept"], new]], "n1": [0], "n2": [0]})
+    return pd.DataFrame({"shard": [int(state["shard"])], "body": [state["body"]], "tables": [new], "kept": [[*state["kept"], new] if turn > p.burn else list(state["kept"])], "n1": [0], "n2": [0]})
 
 
 def _answer_pairs(batches: Iterator[pd.DataFrame], hot_tables: list[dict[int, int]]) -> Iterator[pd.DataFrame]:
@@ -412,6 +414,8 @@ def score(docs: DataFrame, learn: Column, params: LmParams = LmParams(), id_col:
         tmp.drop(done)
         tables_hot = hot_totals(state)
         parent = parent_of(state, f"parent{turn}")
+        if turn <= p.burn:
+            continue
         root = parent.filter("shard = -1").agg(F.sum("customers").alias("n"), F.sum("types").alias("v"), F.sum("n1").alias("a"), F.sum("n2").alias("b")).first()
         roots.append((root["n"] or 0, root["v"] or 0, discount(root["a"], root["b"])))
         kept.append(kind(parent.filter("shard = -1"), "root", F.col("wshard").alias("shard"), F.lit(-1).cast("long").alias("chunk"), "body", F.lit(turn).alias("turn")))
@@ -420,7 +424,7 @@ def score(docs: DataFrame, learn: Column, params: LmParams = LmParams(), id_col:
     asked = kind(words, "word", "shard", "chunk", "body", F.lit(0).alias("turn"))
     for k in kept:
         asked = asked.union(k)
-    root_rows = asked.groupBy("shard").applyInPandas(lambda g: _answer_words(g, p.rounds), schema)
+    root_rows = asked.groupBy("shard").applyInPandas(lambda g: _answer_words(g, p.rounds - p.burn), schema)
     everything = chunk_rows.union(word_rows).union(root_rows).union(pair_rows)
     out_schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return everything.groupBy("chunk").applyInPandas(lambda g: _score(g, p, d, roots, tokens, types, hot, shards), out_schema)
