@@ -120,7 +120,7 @@ def test_drags_keep_their_limits(spark):
     assert (got["b"].scale_x, got["b"].scale_y) == (1.0, 0.01)
 
 
-def test_leaves_at_many_depths(spark):
+def test_leaves_at_many_depths(spark, monkeypatch):
     """Points crowded into a corner: every point finds its own leaf, and ancestors follow from a node's row."""
     r = np.random.default_rng(1)
     xyz = np.concatenate([r.random((400, 3)), r.random((800, 3)) * 0.01, np.full((60, 3), 0.003), r.random((5, 3)) * 1e-4])
@@ -138,6 +138,8 @@ def test_leaves_at_many_depths(spark):
             todo += [name + d for d in "01234567" if count(name + d)]
     assert set(rows) == want and all(rows[n].num_points == count(n) for n in want)
     found = {x.point_idx: x.leaf for x in octree.leaf_of(p, nodes).select("point_idx", "leaf").collect()}
+    monkeypatch.setattr(octree, "BROADCAST_NODES", 0)
+    assert found == {x.point_idx: x.leaf for x in octree.leaf_of(p, octree.nodes(p, 20)).select("point_idx", "leaf").collect()}
     assert len(found) == len(xyz) and all(rows[f].is_leaf and paths[k].startswith(f) for k, f in found.items())
     assert max(n.depth for n in rows.values()) == 12
     assert {x.name for x in nodes.filter(lod._ancestors(lambda j, lo, hi: (hi[0] - lo[0]) > 0.2)).collect()} == {n for n in want if len(n) - 1 <= 3}
