@@ -437,6 +437,28 @@ def test_language(spark, none):
     assert langid.predict(df, unknown).select("lang_pred").distinct().collect() == [("und",)] and langid.predict(none, unknown).count() == 0
 
 
+def test_shuffled_joins_give_the_same(spark, docs, monkeypatch):
+    """What is broadcast below a checked size is joined by shuffle beyond it, with the same rows."""
+    bench = spark.createDataFrame([(1, prose(30, 1)), (2, "one two")], "item_id long, text string")
+    d = docs.union(spark.createDataFrame([(70, prose(30, 1) + " and more", "en", "a", None, None, None)], DOCS))
+    rows = lambda df: Counter(map(tuple, df.collect()))
+    urls = spark.createDataFrame([(k, f"http://x{k % 7}.example.{('net', 'com', 'org')[k % 3]}/{('en', 'de', 'fr')[k % 2]}/{k}") for k in range(200)], "page_id long, url string")
+
+    def everything():
+        return [
+            rows(decontaminate.contaminated(d, bench)), rows(decontaminate.clean(d, bench)), rows(mixing.mix(d)), rows(mixing.mixed(d)), rows(nearcopies.keep_one(d)), rows(simhash.near_duplicates(d)),
+            rows(urlfilter.judge(urls, params=urlfilter.UrlParams(broadcast_rules=few, broadcast_sets=few))),
+        ]
+
+    few = 100_000
+    want = everything()
+    few = 0
+    for module, name in ((decontaminate, "BROADCAST_ROWS"), (mixing, "BROADCAST_SOURCES"), (nearcopies, "BROADCAST_IDS"), (simhash, "BROADCAST_LISTS"), (idfiles, "BROADCAST_SHARDS")):
+        monkeypatch.setattr(module, name, 0)
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    assert everything() == want and len(want[0]) > 0
+
+
 def test_toxicity_grammar():
     s = toxicity.Scorer(toxicity.ToxicModel({w: 3.0 for w in toxicity.INSULTS} | {"zorb*": 2.0}))
     most = lambda t: s.features(t)[0]
