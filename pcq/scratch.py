@@ -26,11 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE: list[Scratch] = []
+
+
+def clean() -> None:
+    """Delete what all operators of this process have written. Results that have not been read yet are lost with it."""
+    while _MADE:
+        _MADE.pop().drop()
+
+
 class Scratch:
-    """Tables written for one run of one operator. They cut lineage, outlive lost executors, and go with drop()."""
+    """Tables written for one run of one operator. They cut lineage and outlive lost executors. Those that a lazy result still
+    reads stay until clean(); operators drop the others."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/pcq-{name}-{uuid.uuid4().hex}"
+        _MADE.append(self)
 
     def save(self, df: DataFrame, table: str, by: list[str] | None = None) -> DataFrame:
         schema = df.schema
@@ -39,6 +50,15 @@ class Scratch:
         (writer.partitionBy(*by) if by else writer).parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def keep(self, *tables: str) -> None:
+        """Delete all tables but these, which are what the result still reads."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for status in files.listStatus(root) if files.exists(root) else ():
+            if status.getPath().getName() not in tables:
+                files.delete(status.getPath(), True)
+
     def drop(self, table: str = "") -> None:
         """Delete a table that nothing reads any more (or all); shuffle files of jobs that are out of reach go as well."""
         jvm = self.spark.sparkContext._jvm
