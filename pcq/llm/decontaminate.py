@@ -122,6 +122,7 @@ def contaminated(
     # A pair that meets under several bytes counts under the first of them.
     meets = F.coalesce(*[F.when(F.bit_count(byte(apart, k)) <= radius // 8, k) for k in range(8)])
     near = near.filter((F.bit_count(apart) <= radius) & (meets == F.col("_p.k"))).select("doc_id", "_ik", "start", "_win")
+    tmp.keep("items", "windows")
     full = items.select(F.col("_ik").alias("_fk"), "item_id", "_item", "_words")
     verified = near.join(full, near["_ik"] == full["_fk"]).withColumn("_both", common_weight(F.col("_win"), F.col("_item")))
     verified = verified.withColumn("similarity", F.col("_both") / (F.size("_win") + F.size("_item") - F.col("_both"))).filter(F.col("similarity") >= similarity)

@@ -103,6 +103,7 @@ def cuts_of(
         cuts = tmp.save(cuts, f"cuts{level}")
         if not cuts.filter("_open").head(1):
             break
+    tmp.keep("rows", f"cuts{level}")
     return rows, cuts.select("source", "source_size", "target", "_whole", "_from"), n_sources
 
 

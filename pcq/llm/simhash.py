@@ -195,5 +195,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classed = tmp.save(classed, "classed")
     names = classed.groupBy("_root").agg(F.min("_least").alias("component_id")).withColumnRenamed("_root", "_r")
     named = tmp.save(classed.join(names, classed["_root"] == names["_r"]).select(F.col("_fp").alias("_f"), "component_id"), "named")
+    tmp.keep("fps", "named")
     out = made.join(named, made["_fp"] == named["_f"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -385,6 +385,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     if sized[1]:
         spans = spans.union(_crowded_spans(texts.filter("shard < 0"), tmp, length))
     spans = tmp.save(spans, "spans")
-    tmp.drop("texts")
-    tmp.drop("strings")
+    tmp.keep("chunks", "often", "fates", "spans")
+    tmp.drop("none")
     return by_chunk.cogroup(told.union(spans).groupBy("chunk")).applyInPandas(lambda c, a: _cleaned(c, a, length), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, spans array<bigint>")
