@@ -273,3 +273,19 @@ def octree_node_range(spark, d):
     sources.register(spark)
     read = spark.read.format("octree").option("nodes", ",".join(wanted) or "-").load(path)
     return read.groupBy(F.col("src").alias("leaf")).agg(F.count("*").alias("n"), F.min("x").cast("double").alias("lo"), F.max("x").cast("double").alias("hi"))
+
+
+@query("SELECT k, round(2e0 * f, 6) AS zoom, round(px - (px - 10e0) * f, 6) AS pan_x, round(py - (py - 20e0) * f, 6) AS pan_y FROM (VALUES (0, 640e0, 360e0, 1.1e0), (1, 0e0, 0e0, 0.5e0), (2, 10e0, 20e0, 3e0), (3, -50e0, 900e0, 1e0)) t(k, px, py, f)")
+def zoom_at(spark, d):
+    asked = [(0, 640.0, 360.0, 1.1), (1, 0.0, 0.0, 0.5), (2, 10.0, 20.0, 3.0), (3, -50.0, 900.0, 1.0)]
+    views = [(k, C.zoom_at(C.View(zoom=2.0, pan_x=10.0, pan_y=20.0), x, y, f)) for k, x, y, f in asked]
+    return spark.createDataFrame([(k, round(v.zoom, 6), round(v.pan_x, 6), round(v.pan_y, 6)) for k, v in views], "k int, zoom double, pan_x double, pan_y double")
+
+
+@query("""WITH t AS (SELECT k, tilt, k * 0.37e0 / (3.141592653589793::DOUBLE / 2) AS turn FROM (SELECT unnest(range(17))::INT AS k), (SELECT unnest([-50, 0, 50]) AS tilt)),
+s AS (SELECT *, (floor(turn)::INT % 4) AS a, ((floor(turn)::INT + 1) % 4) AS b, turn - floor(turn) AS f FROM t)
+SELECT k, tilt, round([5e0, 10, 5, 0][a + 1] + ([5e0, 10, 5, 0][b + 1] - [5e0, 10, 5, 0][a + 1]) * f, 6) AS cx, CASE WHEN tilt > 45 THEN 20e0 WHEN tilt < -45 THEN 0e0 ELSE 10e0 END AS cy,
+round([20e0, 10, 0, 10][a + 1] + ([20e0, 10, 0, 10][b + 1] - [20e0, 10, 0, 10][a + 1]) * f, 6) AS cz FROM s""")
+def face_center(spark, d):
+    rows = [(k, tilt, *C.face_center((0.0, 0.0, 0.0), (10.0, 20.0, 30.0), k * 0.37, tilt)) for k in range(17) for tilt in (-50, 0, 50)]
+    return spark.createDataFrame([(k, t, round(x, 6), float(y), round(z, 6)) for k, t, x, y, z in rows], "k int, tilt int, cx double, cy double, cz double")
