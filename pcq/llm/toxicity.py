@@ -39,6 +39,8 @@ sagte sagt schrieb schreibt behauptet behauptete laut zitierte nannte
 dijo dice escribió escribe afirmó según citó llamó""".split()
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
+#: Up to so many labels (a long and an int each) are broadcast to their documents; beyond, both are shuffled.
+BROADCAST_LABELS = 1_000_000
 _BREAK = re.compile(r"[.!?;\n]")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 #: French elisions: "n'es" is the negation n' and a word.
