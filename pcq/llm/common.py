@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from ..scratch import BROADCAST_RANGES, RANGE, shared_dir
 from ..scratch import Scratch as Tables
-from ..scratch import shared_dir
 
-__all__ = ["NON_SPACE", "Scratch", "crc_mod", "give_back", "partitions", "shared_dir", "slim", "small_batches", "table", "words"]
+__all__ = ["NON_SPACE", "Scratch", "crc_mod", "give_back", "partitions", "ranked", "shared_dir", "slim", "small_batches", "table", "words"]
 
 #: A word is a run of anything but these (the white space of ASCII).
 NON_SPACE = r"[^\x20\x09-\x0D]+"
@@ -62,3 +63,25 @@ def words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ranked(df: DataFrame, tmp: Tables, name: str, group: list[str], order: list[str]) -> DataFrame:
+    """df with `rank`, a row's place from 0 on in its group in the order given, and `members`, the group's rows; nulls group
+    and sort together, first. df should be a written table, since it is read twice.
+
+    Rows are dealt into ranges of (group, order) and written as sorted runs, in which a row's place is known; a group's runs
+    are as many as it needs, so that no task sees more than a run. Rows that tie throughout `order` share a run: let order end
+    with a column that parts them. What is summed over runs is one short row for each run and group."""
+    ranges = max(partitions(df.sparkSession), -(-df.count() // RANGE))
+    runs = df.repartitionByRange(ranges, *group, *order).sortWithinPartitions(*group, *order)
+    # The number of the partition and the place in it, in one number.
+    runs = tmp.save(runs.withColumn("_at", F.monotonically_increasing_id()), name).withColumn("_run", F.shiftright("_at", 33))
+    firsts = runs.groupBy(*group, "_run").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*group).orderBy("_run").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    firsts = tmp.save(firsts.withColumns({"_before": before, "members": F.sum("_n").over(W.partitionBy(*group))}).drop("_n"), f"{name}_firsts")
+    firsts = firsts.select("_first", "_before", "members", F.col("_run").alias("_r"), *[F.col(c).alias(f"_g{k}") for k, c in enumerate(group)])
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_RANGES else firsts
+    on = F.col("_run") == F.col("_r")
+    for k, c in enumerate(group):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{k}"))
+    return runs.join(firsts, on).withColumn("rank", F.col("_before") + F.col("_at") - F.col("_first")).drop("_at", "_run", "_r", "_first", "_before", *[f"_g{k}" for k in range(len(group))])
