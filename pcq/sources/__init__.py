@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..schema import POINTS, fields
 from .e57 import E57Source
 from .las import LasSource
 from .ply import PlySource
@@ -15,6 +16,8 @@ FORMATS = ((".ply", "ply"), (".ply.gz", "ply"), (".las", "las"), (".laz", "las")
 
 
 def register(spark: SparkSession) -> None:
+    """Make the readers and the sink known to a session. Readers prune by filters, which the session has to hand them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (LasSource, PlySource, RxpSource, E57Source, OctreeSource, HierarchySource):
         spark.dataSource.register(source)
 
@@ -36,4 +39,5 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     if low_format == "xyz":
         return read_xyz(spark, path)
     register(spark)
-    return spark.read.format(low_format).load(path)
+    read = spark.read.format(low_format).load(path)
+    return read.select(*[c for c, _ in fields(POINTS)]) if low_format == "octree" else read

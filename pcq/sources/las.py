@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .records import RecordReader, RecordSource, read_bytes, size_of
+from .records import RecordReader, RecordSource, read_bytes, size_of, widened
 
 # Bytes of a record, and where colour, GPS time and infrared stand, by point format.
 SIZES = (20, 28, 26, 34, 57, 63, 30, 36, 42, 59, 67)
@@ -39,6 +39,14 @@ class LasReader(RecordReader):
     def count(self, path):
         return header(path)["count"]
 
+    def wanted(self, path):
+        """By the extent in the header, where it has one; coordinates are narrowed to floats, so it counts a little wider."""
+        h = header(path)
+        near = super().wanted(path)
+        for c, low, high in zip("xyz", h["min"], h["max"], strict=True):
+            near = near and (not low < high or self.pushed.meets(c, *widened(low, high)))
+        return near
+
     def decode(self, path, first, n):
         h = header(path)
         raw = np.frombuffer(read_bytes(path, h["offset"] + first * h["length"], n * h["length"]), np.uint8).reshape(-1, h["length"])

@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import datasource as D
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import POINTS
@@ -26,10 +27,50 @@ _ARROW = {
 }
 
 
-def batch(columns: dict, n: int, src: str) -> pa.RecordBatch:
-    """Canonical columns; what a format lacks is null."""
+def batch(columns: dict, n: int, src: str, more: dict | None = None) -> pa.RecordBatch:
+    """Canonical columns; what a format lacks is null. more: further columns' arrays."""
     arrays = [pa.array(columns[c]).cast(t) if c in columns else pa.array([src] * n, t) if c == "src" else pa.nulls(n, t) for c, t in _ARROW.items()]
-    return pa.RecordBatch.from_arrays(arrays, names=list(_ARROW))
+    return pa.RecordBatch.from_arrays([*arrays, *(more or {}).values()], names=[*_ARROW, *(more or {})])
+
+
+class Pushed:
+    """What filters that Spark pushes down say of single columns. They only spare reading: Spark still applies them all, so
+    whatever is not understood here is left out."""
+
+    def __init__(self, filters: list[D.Filter] = ()):
+        self.low: dict[str, object] = {}
+        self.high: dict[str, object] = {}
+        self.among: dict[str, set] = {}
+        self.starts: dict[str, list[str]] = {}
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            value = getattr(f, "value", None)
+            if name is None or value is None or value != value:
+                continue
+            if isinstance(f, D.In):
+                own = set(value)
+                self.among[name] = self.among.get(name, own) & own
+            elif isinstance(f, D.StringStartsWith):
+                self.starts.setdefault(name, []).append(value)
+            else:
+                if isinstance(f, (D.EqualTo, D.EqualNullSafe, D.GreaterThan, D.GreaterThanOrEqual)):
+                    self.low[name] = max(self.low.get(name, value), value)
+                if isinstance(f, (D.EqualTo, D.EqualNullSafe, D.LessThan, D.LessThanOrEqual)):
+                    self.high[name] = min(self.high.get(name, value), value)
+
+    def meets(self, name: str, low, high) -> bool:
+        """Whether a value between low and high, both counted, can pass."""
+        near = name not in self.low or high >= self.low[name]
+        near = near and (name not in self.high or low <= self.high[name])
+        near = near and (name not in self.among or any(v is not None and low <= v <= high for v in self.among[name]))
+        # Of texts from low to high, some start with s if and only if s stands between them or starts one of them.
+        return near and all(low[: len(s)] <= s <= high[: len(s)] for s in self.starts.get(name, ()))
+
+
+def widened(low: float, high: float) -> tuple[float, float]:
+    """The range of what is between low and high once it is narrowed to a float."""
+    slack = 2.0**-22 * max(abs(low), abs(high))
+    return low - slack, high + slack
 
 
 def store(path: str):
@@ -101,6 +142,15 @@ class RecordReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.part = int(options.get("part_records", PART))
+        self.pushed = Pushed()
+
+    def pushFilters(self, filters):
+        self.pushed = Pushed(filters)
+        return filters
+
+    def wanted(self, path: str) -> bool:
+        """Whether a file may hold rows that pass the filters."""
+        return self.pushed.meets("src", os.path.basename(path), os.path.basename(path))
 
     def count(self, path: str) -> int:
         raise NotImplementedError
@@ -117,7 +167,8 @@ class RecordReader(DataSourceReader):
         for path in files(self.path, self.suffixes):
             n = self.count(path)
             part = max(1, n) if self.whole(path) else self.part
-            out += [Range(path, at, min(part, n - at), base + at) for at in range(0, n, part)]
+            if self.wanted(path):
+                out += [Range(path, at, min(part, n - at), base + at) for at in range(0, n, part) if self.pushed.meets("point_idx", base + at, base + at + min(part, n - at) - 1)]
             base += n
         return out or [Range("", 0, 0, 0)]
 
