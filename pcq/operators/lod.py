@@ -28,7 +28,8 @@ def _box() -> tuple[tuple[Column, ...], tuple[Column, ...]]:
     return tuple(F.col(f"min_{c}") for c in "xyz"), tuple(F.col(f"max_{c}") for c in "xyz")
 
 
-def _screen(view: View, lo: tuple[Column, ...], hi: tuple[Column, ...]) -> dict[str, Column]:
+def screen_box(view: View, lo: tuple[Column, ...], hi: tuple[Column, ...]) -> dict[str, Column]:
+    """The screen box of the projected corners of a box."""
     fx, fy, _ = view.screen()
     (a, b), (c, d) = low_high(fx, lo, hi), low_high(fy, lo, hi)
     return {"sx_min": a, "sx_max": b, "sy_min": c, "sy_max": d}
@@ -36,7 +37,7 @@ def _screen(view: View, lo: tuple[Column, ...], hi: tuple[Column, ...]) -> dict[
 
 def screen_boxes(nodes: DataFrame, view: View) -> DataFrame:
     """Adds sx_min, sx_max, sy_min, sy_max: the box of the projected corners."""
-    return nodes.withColumns(_screen(view, *_box()))
+    return nodes.withColumns(screen_box(view, *_box()))
 
 
 def on_screen(view: View, margin: float, box: dict[str, Column] | None = None) -> Column:
@@ -97,7 +98,7 @@ def select_iso(nodes: DataFrame, view: View, budget: int, count: str = "num_poin
     width = lambda box: F.greatest(box["sx_max"] - box["sx_min"], box["sy_max"] - box["sy_min"])
 
     def gives_way(depth: Column, lo: tuple, hi: tuple) -> Column:
-        box = _screen(view, lo, hi)
+        box = screen_box(view, lo, hi)
         return on_screen(view, MARGIN_NODES, box) & (width(box) >= min_pixel)
 
     rated = screen_boxes(nodes.filter(F.col(count) > 0), view).filter(on_screen(view, MARGIN_NODES))

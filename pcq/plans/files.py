@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +14,9 @@ from ..functions import camera as C
 from ..functions import style as S
 from ..operators import cache
 from ..scratch import Scratch
-from ..sources import octree_dataset, writers
+from ..sources import e57, las, octree_dataset, ply, writers, zones
 from ..streaming import control
-from .queries import HI, LO, PTS, _nodes_sql, pts, query
+from .queries import HI, LO, PTS, _lin, _nodes_sql, _range_sql, pts, query
 
 _FP = """fp AS (SELECT event_id, (event_id * 0.25e0)::FLOAT::DOUBLE AS x, user_id::FLOAT::DOUBLE AS y, value::FLOAT::DOUBLE AS z, user_id::FLOAT::DOUBLE AS intensity,
  (event_id % 254 + 2)::INT AS r, (user_id % 254 + 2)::INT AS g, (event_id // 254 % 254 + 2)::INT AS b, (user_id % 5)::INT AS classification, (event_id % 5 + 1)::INT AS return_number, user_id::INT AS source_id FROM events)"""
@@ -54,23 +55,69 @@ def las_roundtrip(spark, d):
     return p.select((F.col("gps_time") - 0.5).cast("long").alias("event_id"), *_doubles("x", "y", "z", "intensity"), *_ints("r", "g", "b", "classification", "return_number", "num_returns", "source_id"))
 
 
+def _sorted_files(spark: SparkSession, d: str, form: str) -> str:
+    """A folder of files in the order of point_idx, each a range of it."""
+    path = f"{Scratch(spark, 'files').root}/{form}"
+    writers.write_points(file_points(spark, d).repartitionByRange(4, "point_idx").sortWithinPartitions("point_idx"), path, form)
+    return path
+
+
+def _each(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
+    """Rows that tasks read from the headers of a folder's files."""
+
+    def run(batches):
+        for own in batches:
+            yield pd.DataFrame([r for p in own["path"] for r in read(p)], columns=[f.split()[0] for f in schema.split(", ")])
+
+    return zones.paths(spark, path, (".las", ".ply", ".e57")).mapInPandas(run, schema)
+
+
 @query("SELECT count(*) AS n, 3 AS point_format, 34 AS record_bytes, 1 AS major, 2 AS minor, round(min(user_id), 2)::DOUBLE AS min_y, round(max(user_id), 2)::DOUBLE AS max_y FROM events")
 def las_header(spark, d):
-    from ..sources import las
+    """The headers of all files, put together."""
+
+    def read(path):
+        h = las.header(path)
+        return [(h["count"], h["format"], h["length"], *h["version"], h["min"][1], h["max"][1])]
 
-    path = f"{Scratch(spark, 'files').root}/one"
-    writers.write_points(file_points(spark, d).coalesce(1), path, "las")
-    h = las.header(f"{path}/part-00000.las")
-    return spark.createDataFrame([(h["count"], h["format"], h["length"], *h["version"], round(h["min"][1], 2), round(h["max"][1], 2))], "n long, point_format int, record_bytes int, major int, minor int, min_y double, max_y double")
+    found = _each(spark, _sorted_files(spark, d, "las"), read, "n long, point_format int, record_bytes int, major int, minor int, min_y double, max_y double")
+    return found.groupBy("point_format", "record_bytes", "major", "minor").agg(F.sum("n").alias("n"), F.round(F.min("min_y"), 2).alias("min_y"), F.round(F.max("max_y"), 2).alias("max_y"))
 
 
-@query("SELECT partition_of AS part, count(*) AS n, min(event_id) AS first_point, max(event_id) AS last_point FROM (SELECT event_id, (event_id // 1000)::INT AS partition_of FROM events) GROUP BY part")
+@query("SELECT (event_id // 1000)::INT AS part, count(*) AS n, min(event_id) AS first_point, max(event_id) AS last_point FROM events GROUP BY part")
 def las_chunks(spark, d):
-    path = f"{Scratch(spark, 'files').root}/one"
-    writers.write_points(file_points(spark, d).coalesce(1).sortWithinPartitions("point_idx"), path, "las")
+    """Ranges of records of all files, numbered through."""
     sources.register(spark)
-    read = spark.read.format("las").option("part_records", 1000).load(path)
-    return read.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.min("point_idx").alias("first_point"), F.max("point_idx").alias("last_point"))
+    read = spark.read.format("las").option("part_records", 1000).load(_sorted_files(spark, d, "las"))
+    return read.groupBy(F.floor(F.col("point_idx") / 1000).cast("int").alias("part")).agg(F.count("*").alias("n"), F.min("point_idx").alias("first_point"), F.max("point_idx").alias("last_point"))
+
+
+_LAS = ", ".join(f"(round({c} * 100) * 0.01e0)::FLOAT::DOUBLE AS {c}" for c in "xyz")
+_SHOWN = C.View(zoom=0.9, pan_x=500.0, pan_y=300.0, rot=0.4, tilt_x=10.0, tilt_y=-5.0, center=(500.0, 500.0, 250.0))
+_ON = f"{_lin(_SHOWN.screen()[0])} AS sx, {_lin(_SHOWN.screen()[1])} AS sy"
+
+
+@query(f"""WITH {_FP}, l AS (SELECT event_id, {_LAS}, intensity FROM fp), s AS (SELECT *, {_ON} FROM l)
+SELECT event_id, round(sx, 6) AS sx, round(sy, 6) AS sy, intensity FROM s WHERE sx BETWEEN 0 AND {_SHOWN.width} AND sy BETWEEN 0 AND {_SHOWN.height}""")
+def las_viewport(spark, d):
+    """What a viewport shows of LAS files, by their zone map: ranges that it does not meet are not read."""
+    path = _sorted_files(spark, d, "las")
+    zones.build(spark, path, f"{path}-zones", records=500)
+    shown = zones.shown(spark, f"{path}-zones", _SHOWN)
+    return shown.select((F.col("gps_time") - 0.5).cast("long").alias("event_id"), F.round("sx", 6).alias("sx"), F.round("sy", 6).alias("sy"), *_doubles("intensity"))
+
+
+_ZONES = "zones AS (SELECT (event_id // 500)::INT AS zone, count(*) AS n, " + ", ".join(f"min({c}) AS min_{c}, max({c}) AS max_{c}" for c in ("x", "y", "z", "intensity")) + " FROM fp GROUP BY zone)"
+_SPAN = ", ".join(f"{v} AS {n}" for form, own in ((_SHOWN.screen()[0], ("sx_min", "sx_max")), (_SHOWN.screen()[1], ("sy_min", "sy_max"))) for v, n in zip(_range_sql(form), own, strict=True))
+
+
+@query(f"""WITH {_FP}, {_ZONES}, b AS (SELECT *, {_SPAN} FROM zones)
+SELECT zone, n, min_x, max_x, min_intensity, max_intensity, round(sx_min, 6) AS sx_min, round(sy_max, 6) AS sy_max, sx_max >= -40 AND sx_min <= {_SHOWN.width} + 40 AND sy_max >= -40 AND sy_min <= {_SHOWN.height} + 40 AS visible FROM b""")
+def visible_chunks(spark, d):
+    """Zones of a table of points, each with the screen box that it spans and whether a viewport meets it."""
+    own = zones.spans(file_points(spark, d), F.floor(F.col("point_idx") / 500).cast("int"))
+    seen = zones.visible(own, _SHOWN, margin=40.0)
+    return seen.select("zone", "n", *_doubles("min_x", "max_x", "min_intensity", "max_intensity"), F.round("sx_min", 6).alias("sx_min"), F.round("sy_max", 6).alias("sy_max"), "visible")
 
 
 def _ply(form: str):
@@ -88,20 +135,16 @@ for _name, _form in (("ply_binary_roundtrip", "ply"), ("ply_ascii_roundtrip", "p
 
 @query("SELECT name, type, place::INT AS place FROM (VALUES ('x', '<f4', 0), ('y', '<f4', 1), ('z', '<f4', 2), ('r', 'u1', 3), ('g', 'u1', 4), ('b', 'u1', 5), ('intensity', '<f4', 6)) t(name, type, place)")
 def ply_header(spark, d):
-    from ..sources import ply
-
-    path = f"{Scratch(spark, 'files').root}/one"
-    writers.write_points(file_points(spark, d).coalesce(1), path, "ply")
-    return spark.createDataFrame([(n, t, k) for k, (n, t) in enumerate(ply.header(f"{path}/part-00000.ply")["fields"])], "name string, type string, place int")
+    """The properties that the headers of all files agree on."""
+    read = lambda path: [(n, t, k) for k, (n, t) in enumerate(ply.header(path)["fields"])]
+    return _each(spark, _sorted_files(spark, d, "ply"), read, "name string, type string, place int").distinct()
 
 
 @query("SELECT name, kind::INT AS kind, bits::INT AS bits FROM (VALUES ('cartesianX', 5, 64), ('cartesianY', 5, 64), ('cartesianZ', 5, 64), ('intensity', 5, 64), ('colorRed', 4, 32), ('colorGreen', 4, 32), ('colorBlue', 4, 32)) t(name, kind, bits)")
 def e57_fields(spark, d):
-    from ..sources import e57
-
-    path = f"{Scratch(spark, 'files').root}/one"
-    writers.write_points(file_points(spark, d).coalesce(1), path, "e57")
-    return spark.createDataFrame([(f.name, f.kind, f.bits) for f in e57.layout(f"{path}/part-00000.e57")[2]], "name string, kind int, bits int")
+    """The fields that the trees of all files agree on."""
+    read = lambda path: [(f.name, f.kind, f.bits) for f in e57.layout(path)[2]]
+    return _each(spark, _sorted_files(spark, d, "e57"), read, "name string, kind int, bits int").distinct()
 
 
 @query(f"WITH {_FP} SELECT {_XYZ} FROM fp")

@@ -1,4 +1,4 @@
-"""Writers of point files: each partition of a table becomes one file of a folder, in the layouts that the readers take."""
+"""Writers of point files: each partition of a table becomes files of a folder, in the layouts that the readers take."""
 
 from __future__ import annotations
 
@@ -17,8 +17,8 @@ from ..schema import POINTS, fields
 from . import e57
 from .records import write_bytes
 
-#: Records in a packet of E57.
-PACKET = 10_000
+#: Records in a packet of E57; records in a file, which a task holds.
+PACKET, FILE = 10_000, 1_000_000
 
 
 def _records(columns: dict, layout: list[tuple[str, str]], extra: dict | None = None) -> bytes:
@@ -98,18 +98,30 @@ ENCODERS = {
 
 
 def write_points(points: DataFrame, path: str, form: str) -> int:
-    """Write each partition of points into a file of the folder `path`, and tell how many points there are. Columns that are
-    missing or null are 0. A task that runs again writes the same file again. Text goes by write_xyz."""
+    """Write each partition of points into files of the folder `path`, of FILE points at most, and tell how many points there
+    are. Columns that are missing or null are 0. A task that runs again writes the same files again. Text goes by write_xyz."""
     suffix, encode = ENCODERS[form]
     columns = [c for c, _ in fields(POINTS) if c != "src"]
     ready = points.select(*[F.coalesce(F.col(c).cast("double") if c in points.columns else F.lit(None).cast("double"), F.lit(0.0)).alias(c) for c in columns])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
-        if held:
+        held, size, done = [], 0, 0
+
+        def put() -> pd.DataFrame:
             own = pd.concat(held, ignore_index=True)
-            write_bytes(f"{path}/part-{TaskContext.get().partitionId():05d}{suffix}", encode({c: own[c].to_numpy() for c in own.columns}))
-            yield pd.DataFrame({"n": [len(own)]})
+            write_bytes(f"{path}/part-{TaskContext.get().partitionId():05d}-{done:05d}{suffix}", encode({c: own[c].to_numpy() for c in own.columns}))
+            return pd.DataFrame({"n": [len(own)]})
+
+        for own in batches:
+            for at in range(0, len(own), FILE):
+                part = own.iloc[at : at + FILE]
+                if held and size + len(part) > FILE:
+                    yield put()
+                    held, size, done = [], 0, done + 1
+                held.append(part)
+                size += len(part)
+        if held:
+            yield put()
 
     return ready.mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
 

@@ -211,3 +211,77 @@ def test_las_files_are_pruned_by_their_headers(spark, tmp_path):
         assert got.select(F.spark_partition_id()).rdd.getNumPartitions() == files, condition
     reader = LasReader({"path": str(tmp_path)})
     assert reader.pushFilters([D.GreaterThan(("x",), 9.0)]) and [p.count for p in reader.partitions()] == [0]
+
+
+def las_folder(path):
+    """Three files whose points move along x."""
+    r = np.random.default_rng(5)
+    for k in range(3):
+        n = (700, 0, 530)[k]
+        columns = {c: np.zeros(n) for c in ("r", "g", "b", "gps_time", "classification", "source_id", "return_number", "num_returns")}
+        columns |= {"x": np.linspace(1000 * k, 1000 * k + 900, n), "y": r.random(n) * 400, "z": r.random(n) * 300, "intensity": np.arange(n) % 50}
+        records.write_bytes(f"{path}/{k}.las", writers.las_bytes(columns))
+
+
+def test_zone_maps(spark, tmp_path):
+    """A viewport by the index equals a full scan with a filter, reads fewer ranges, and opens none of the others."""
+    from pcq.functions.camera import View
+    from pcq.sources import zones
+
+    las_folder(tmp_path / "las")
+    index = zones.build(spark, str(tmp_path / "las"), str(tmp_path / "index"), records=100)
+    rows = index.collect()
+    assert sorted((os.path.basename(r.path), r.first, r["count"], r.base) for r in rows) == [("0.las", a, 100, a) for a in range(0, 700, 100)] + [("2.las", a, min(100, 530 - a), 700 + a) for a in range(0, 530, 100)]
+    scan = sources.load(spark, str(tmp_path / "las"))
+    own = lambda df: sorted((r.point_idx, r.src, r.x, r.y, r.z, r.intensity) for r in df.collect())
+    assert own(zones.load(spark, str(tmp_path / "index"))) == own(scan)
+    box = zones.in_box((100.0, 0.0, 0.0), (260.0, 500.0, 500.0))
+    assert index.filter(box).count() == 3
+    inside = "x between 100 and 260"
+    assert own(zones.load(spark, str(tmp_path / "index"), box).filter(inside)) == own(scan.filter(inside)) != []
+    assert zones.load(spark, str(tmp_path / "index"), zones.in_box((5000.0,) * 3, (6000.0,) * 3)).count() == 0
+    for view in (View(zoom=0.9, pan_x=100.0, pan_y=300.0), View(zoom=0.5, pan_x=-300.0, pan_y=100.0, rot=0.1), View(zoom=0.01)):
+        assert own(zones.shown(spark, str(tmp_path / "index"), view)) == own(zones.on_screen(scan, view)) != []
+    near = zones.in_view(View(zoom=0.9, pan_x=100.0, pan_y=300.0))
+    met = {(r.path, r.first) for r in index.filter(near).collect()}
+    assert 0 < len(met) < len(rows)
+    # Ranges that are not met hold other bytes now; the view is as it was.
+    want = own(zones.shown(spark, str(tmp_path / "index"), View(zoom=0.9, pan_x=100.0, pan_y=300.0)))
+    for r in rows:
+        if (r.path, r.first) not in met:
+            with open(r.path.removeprefix("file:"), "r+b") as f:
+                f.seek(227 + 34 * r.first)
+                f.write(b"\x07" * 34 * r["count"])
+    assert own(zones.shown(spark, str(tmp_path / "index"), View(zoom=0.9, pan_x=100.0, pan_y=300.0))) == want
+    with open(tmp_path / "las" / "0.las", "ab") as f:
+        f.write(b"more")
+    with pytest.raises(Exception, match="has changed since"):
+        zones.load(spark, str(tmp_path / "index")).count()
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        zones.build(spark, str(tmp_path / "las"), str(tmp_path / "index"))
+
+
+def test_zones_of_odd_files(spark, tmp_path):
+    """No records, no intensity, coordinates that are not numbers, and files without ranges."""
+    from pcq.sources import zones
+
+    head = b"ply\nformat binary_little_endian 1.0\nelement vertex %d\nproperty float x\nproperty float y\nproperty float z\nend_header\n"
+    nan = float("nan")
+    rows = np.array([(nan, nan, nan), (nan, nan, nan), (1, nan, 3), (2, 5, 3)], "<f4")
+    records.write_bytes(f"{tmp_path}/p/a.ply", head % 4 + rows.tobytes())
+    records.write_bytes(f"{tmp_path}/p/b.ply", head % 0)
+    found = sorted(zones.build(spark, f"{tmp_path}/p", f"{tmp_path}/index", records=2).collect(), key=lambda r: r.first)
+    assert [(r.min_x, r.max_x, r.min_y, r.max_y, r.min_intensity) for r in found] == [(None,) * 5, (1.0, 2.0, 5.0, 5.0, None)]
+    assert zones.load(spark, f"{tmp_path}/index").count() == 4
+    assert zones.load(spark, f"{tmp_path}/index", zones.in_box((0.0,) * 3, (9.0,) * 3)).count() == 2
+    records.write_bytes(f"{tmp_path}/e/a.e57", b"")
+    assert zones.headers(spark, f"{tmp_path}/e").collect() == []
+
+
+def test_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "FILE", 70)
+    df = spark.range(500).select(F.col("id").alias("point_idx"), *[F.col("id").cast("float").alias(c) for c in "xyz"]).coalesce(1)
+    for form in ("las", "ply", "rxp"):
+        assert writers.write_points(df, f"{tmp_path}/{form}", form) == 500
+        assert len(os.listdir(tmp_path / form)) == 8
+        assert sorted(r.x for r in sources.load(spark, f"{tmp_path}/{form}").collect()) == list(range(500))
