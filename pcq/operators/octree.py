@@ -159,27 +159,36 @@ def byte_offsets(nodes: DataFrame, point_bytes: int = 19) -> DataFrame:
     return spans.groupBy("name").agg(F.min("byte_offset").alias("byte_offset"), F.sum("byte_size").alias("byte_size"))
 
 
-def streaming_fill(pathed: DataFrame, cap: int, depth: int) -> DataFrame:
-    """point_idx and node: points come in the order of point_idx and stay in the first node on their path that holds fewer
-    than cap; the deepest level keeps all.
+def streaming_fill(pathed: DataFrame, cap: int, depth: int, held: DataFrame | None = None) -> DataFrame:
+    """The points, all columns, with node: points come in the order of point_idx and stay in the first node on their path that
+    holds fewer than cap; the deepest level keeps all. held: (node, n), what nodes hold before the first point comes.
 
-    At each level, the cap points of smallest point_idx of a node stay: every task offers its own cap smallest of a node
-    (so a node's points are never in one task), and the last one that stays is the threshold for those that go on."""
+    Level by level, the points of smallest point_idx for which a node has room stay: every task offers its own cap smallest of
+    a node (so a node's points are never in one task), and the last one that stays is the threshold for those that go on.
+    These are written for the next level, fewer each time."""
     from pyspark.sql import Window as W
 
     tmp = Scratch(pathed.sparkSession, "fill")
-    left, kept = pathed.select("point_idx", "path"), None
-    for d in range(depth + 1):
-        node = F.substring("path", 1, d + 1)
-        if d == depth:
-            here = left.select("point_idx", node.alias("node"))
-        else:
-            # A filter on a rank is a partial one before the shuffle as well.
-            ranked = left.select("point_idx", node.alias("node")).withColumn("_r", F.row_number().over(W.partitionBy("node").orderBy("point_idx")))
-            here = ranked.filter(F.col("_r") <= cap)
-            # One row for each full node; written, or each level would plan the ones before it twice.
-            last = tmp.save(here.filter(F.col("_r") == cap).select(F.col("node").alias("_node"), F.col("point_idx").alias("_last")), f"last{d}")
-            here = here.drop("_r")
-            left = left.join(last, node == F.col("_node")).filter(F.col("point_idx") > F.col("_last")).drop("_node", "_last")
-        kept = here if kept is None else kept.unionByName(here)
-    return kept
+    left, kept = pathed, []
+    for d in range(depth):
+        at = left.withColumn("node", F.substring("path", 1, d + 1))
+        # A filter on a rank is a partial one before the shuffle as well.
+        ranked = at.select("point_idx", "node").withColumn("_r", F.row_number().over(W.partitionBy("node").orderBy("point_idx"))).filter(F.col("_r") <= cap)
+        if held is not None:
+            full = held.filter(F.length("node") == d + 1).select(F.col("node").alias("_held"), F.col("n").alias("_n"))
+            ranked = ranked.join(full, F.col("node") == F.col("_held"), "left").filter(F.col("_r") + F.coalesce("_n", F.lit(0)) <= cap)
+        # Of each node: how many stay, and the last of them.
+        stay = tmp.save(ranked.groupBy("node").agg(F.count("*").alias("n"), F.max("point_idx").alias("_last")).withColumnRenamed("node", "_node"), f"stay{d}")
+        met = at.join(_hint(stay, stay.count()), F.col("node") == F.col("_node"), "left")
+        stays = F.coalesce(F.col("point_idx") <= F.col("_last"), F.lit(False))
+        dealt = tmp.save(met.withColumn("_stays", stays).drop("_node", "n", "_last"), f"level{d}", by=["_stays"])
+        kept.append(dealt.filter("_stays").drop("_stays"))
+        left = dealt.filter("not _stays").drop("_stays", "node")
+        if left.isEmpty():
+            break
+    else:
+        kept.append(left.withColumn("node", F.substring("path", 1, depth + 1)))
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.unionByName(more)
+    return out

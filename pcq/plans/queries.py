@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import bindings as B
 from ..functions import camera as C
 from ..functions import style as S
-from ..operators import cache, grid, lod, octree, pick, raster, stats
+from ..operators import cache, edits, grid, growing, lod, octree, pick, raster, stats
+from ..scratch import Scratch
 from ..streaming import control
 
 QUERIES: dict = {}
@@ -271,9 +272,56 @@ for _k in range(_DEEP):
     _fill += f", q{_k} AS (SELECT *, row_number() OVER (PARTITION BY substr(path, 1, {_k + 1}) ORDER BY point_idx) AS rk FROM p{_k}), p{_k + 1} AS (SELECT point_idx, path FROM q{_k} WHERE rk > {_CAP})"
 
 
-@query("WITH " + _fill + " " + " UNION ALL ".join([f"SELECT point_idx, substr(path, 1, {k + 1}) AS node FROM q{k} WHERE rk <= {_CAP}" for k in range(_DEEP)] + [f"SELECT point_idx, substr(path, 1, {_DEEP + 1}) FROM p{_DEEP}"]))
+_filled = " UNION ALL ".join([f"SELECT point_idx, substr(path, 1, {k + 1}) AS node FROM q{k} WHERE rk <= {_CAP}" for k in range(_DEEP)] + [f"SELECT point_idx, substr(path, 1, {_DEEP + 1}) FROM p{_DEEP}"])
+
+
+def _arrivals(spark: SparkSession, d: str) -> DataFrame:
+    return octree.with_path(B.rescaled(B.points_ev(spark, d)), LO, HI).select("point_idx", "path")
+
+
+@query(f"WITH {_fill} {_filled}")
 def octree_streaming_fill(spark, d):
-    return octree.streaming_fill(octree.with_path(B.rescaled(B.points_ev(spark, d)), LO, HI), _CAP, _DEEP)
+    return octree.streaming_fill(_arrivals(spark, d), _CAP, _DEEP).select("point_idx", "node")
+
+
+def _grown(spark: SparkSession, d: str, batches: int) -> str:
+    """The folder of a tree that has grown by batches of points, one after another."""
+    points, root = _arrivals(spark, d), f"{Scratch(spark, 'growing').root}/tree"
+    most = points.agg(F.max("point_idx")).first()[0] or 0
+    for k in range(batches):
+        growing.grow(points.filter(F.floor(F.col("point_idx") * batches / (most + 1)) == k), root, k, _CAP, _DEEP)
+    return root
+
+
+@query(f"WITH {_fill} {_filled}")
+def octree_growing(spark, d):
+    return growing.placed(spark, _grown(spark, d, 3)).select("point_idx", "node")
+
+
+@query(f"""WITH {_fill}, g AS ({_filled}), n AS (SELECT node, count(*) AS n FROM g GROUP BY node)
+SELECT n.node, n.n, coalesce(bit_or(1 << substr(c.node, -1, 1)::INT), 0)::INT AS child_mask FROM n LEFT JOIN n c ON length(c.node) = length(n.node) + 1 AND starts_with(c.node, n.node) GROUP BY n.node, n.n""")
+def octree_growing_nodes(spark, d):
+    return growing.nodes(spark, _grown(spark, d, 2))
+
+
+_GONE = ("r340000000000", "r517777777777")
+_REST = "WHERE NOT (path BETWEEN 'r340000000000' AND 'r517777777777')"
+
+
+@query(f"WITH {NODES.replace('FROM paths GROUP BY path', f'FROM paths {_REST} GROUP BY path')} SELECT name, depth, num_points, child_mask, is_leaf FROM nodes")
+def octree_delete(spark, d):
+    """A tree whose points between two keys are deleted: what a rebuild without them gives."""
+    p = pathed(spark, d)
+    first, last = (int(n[1:], 8) for n in _GONE)
+    return edits.delete(octree.nodes(p, LEAF), p, first, last, LEAF).select("name", "depth", "num_points", "child_mask", "is_leaf")
+
+
+@query(f"WITH {NODES} SELECT name, depth, num_points, child_mask, is_leaf FROM nodes")
+def octree_insert(spark, d):
+    """A tree of the points outside a range of keys, and of every other one in it, into which the rest is inserted."""
+    p = pathed(spark, d).withColumn("_late", F.col("path").between(*_GONE) & (F.col("path") < "r5") | (F.pmod(F.xxhash64("key", "x"), F.lit(5)) == 0))
+    old, new = p.filter("not _late").drop("_late"), p.filter("_late").drop("_late")
+    return edits.insert(octree.nodes(old, LEAF), old, new, LEAF).select("name", "depth", "num_points", "child_mask", "is_leaf")
 
 
 @query(f"WITH {PTS} SELECT point_idx, round({_lin(FX)}, 6) AS sx, round({_lin(FY)}, 6) AS sy, round({_lin(FD)}, 6) AS depth_key FROM pts")
