@@ -14,7 +14,8 @@ from ..functions import camera as C
 from ..functions import style as S
 from ..operators import cache
 from ..scratch import Scratch
-from ..sources import e57, las, octree_dataset, ply, writers, zones
+from ..sources import e57, las, octree_dataset, writers, zones
+from ..sources.ply import header as ply_header_of
 from ..streaming import control
 from .queries import HI, LO, PTS, _lin, _nodes_sql, _range_sql, pts, query
 
@@ -62,6 +63,19 @@ def _sorted_files(spark: SparkSession, d: str, form: str) -> str:
     return path
 
 
+def _las_row(path: str) -> list[tuple]:
+    h = las.header(path)
+    return [(h["count"], h["format"], h["length"], *h["version"], h["min"][1], h["max"][1])]
+
+
+def _ply_rows(path: str) -> list[tuple]:
+    return [(n, t, k) for k, (n, t) in enumerate(ply_header_of(path)["fields"])]
+
+
+def _e57_rows(path: str) -> list[tuple]:
+    return [(f.name, f.kind, f.bits) for f in e57.layout(path)[2]]
+
+
 def _each(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
     """Rows that tasks read from the headers of a folder's files."""
 
@@ -75,12 +89,7 @@ def _each(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
 @query("SELECT count(*) AS n, 3 AS point_format, 34 AS record_bytes, 1 AS major, 2 AS minor, round(min(user_id), 2)::DOUBLE AS min_y, round(max(user_id), 2)::DOUBLE AS max_y FROM events")
 def las_header(spark, d):
     """The headers of all files, put together."""
-
-    def read(path):
-        h = las.header(path)
-        return [(h["count"], h["format"], h["length"], *h["version"], h["min"][1], h["max"][1])]
-
-    found = _each(spark, _sorted_files(spark, d, "las"), read, "n long, point_format int, record_bytes int, major int, minor int, min_y double, max_y double")
+    found = _each(spark, _sorted_files(spark, d, "las"), _las_row, "n long, point_format int, record_bytes int, major int, minor int, min_y double, max_y double")
     return found.groupBy("point_format", "record_bytes", "major", "minor").agg(F.sum("n").alias("n"), F.round(F.min("min_y"), 2).alias("min_y"), F.round(F.max("max_y"), 2).alias("max_y"))
 
 
@@ -136,15 +145,13 @@ for _name, _form in (("ply_binary_roundtrip", "ply"), ("ply_ascii_roundtrip", "p
 @query("SELECT name, type, place::INT AS place FROM (VALUES ('x', '<f4', 0), ('y', '<f4', 1), ('z', '<f4', 2), ('r', 'u1', 3), ('g', 'u1', 4), ('b', 'u1', 5), ('intensity', '<f4', 6)) t(name, type, place)")
 def ply_header(spark, d):
     """The properties that the headers of all files agree on."""
-    read = lambda path: [(n, t, k) for k, (n, t) in enumerate(ply.header(path)["fields"])]
-    return _each(spark, _sorted_files(spark, d, "ply"), read, "name string, type string, place int").distinct()
+    return _each(spark, _sorted_files(spark, d, "ply"), _ply_rows, "name string, type string, place int").distinct()
 
 
 @query("SELECT name, kind::INT AS kind, bits::INT AS bits FROM (VALUES ('cartesianX', 5, 64), ('cartesianY', 5, 64), ('cartesianZ', 5, 64), ('intensity', 5, 64), ('colorRed', 4, 32), ('colorGreen', 4, 32), ('colorBlue', 4, 32)) t(name, kind, bits)")
 def e57_fields(spark, d):
     """The fields that the trees of all files agree on."""
-    read = lambda path: [(f.name, f.kind, f.bits) for f in e57.layout(path)[2]]
-    return _each(spark, _sorted_files(spark, d, "e57"), read, "name string, kind int, bits int").distinct()
+    return _each(spark, _sorted_files(spark, d, "e57"), _e57_rows, "name string, kind int, bits int").distinct()
 
 
 @query(f"WITH {_FP} SELECT {_XYZ} FROM fp")

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import POINTS, fields
+from . import e57_blocks, ply
 from .e57 import E57Source
 from .las import LasSource
 from .ply import PlySource
@@ -38,6 +39,12 @@ def load(spark: SparkSession, path: str) -> DataFrame:
         low_format = inside.pop()
     if low_format == "xyz":
         return read_xyz(spark, path)
+    if low_format == "e57":
+        return e57_blocks.read_points(spark, path)
+    if low_format == "ply":
+        names = files(path, (".ply", ".ply.gz"))
+        if names and all(n.lower().endswith(".ply") and ply.header(n)["ascii"] for n in names):
+            return ply.read_ascii(spark, names)
     register(spark)
     read = spark.read.format(low_format).load(path)
     return read.select(*[c for c, _ in fields(POINTS)]) if low_format == "octree" else read

@@ -106,16 +106,17 @@ def write_bytes(path: str, data: bytes) -> None:
 
 
 @lru_cache(1)
-def _unzipped(path: str) -> bytes:
-    """A gzipped file is not splittable: a task unpacks it once and keeps it while it reads."""
+def _unzipping(path: str) -> gzip.GzipFile:
+    """A gzipped file is not splittable: a task unpacks it from the start on, as far as it reads, and holds none of it."""
     own, at = store(path)
-    with own.open_input_file(at) as f:
-        return gzip.decompress(f.read())
+    return gzip.GzipFile(fileobj=own.open_input_file(at))
 
 
 def read_bytes(path: str, start: int = 0, size: int | None = None) -> bytes:
     if path.lower().endswith(".gz"):
-        return _unzipped(path)[start : None if size is None else start + size]
+        f = _unzipping(path)
+        f.seek(start)
+        return f.read() if size is None else f.read(size)
     own, at = store(path)
     with own.open_input_file(at) as f:
         end = f.size()

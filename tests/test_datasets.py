@@ -285,3 +285,96 @@ def test_files_are_bounded(spark, tmp_path, monkeypatch):
         assert writers.write_points(df, f"{tmp_path}/{form}", form) == 500
         assert len(os.listdir(tmp_path / form)) == 8
         assert sorted(r.x for r in sources.load(spark, f"{tmp_path}/{form}").collect()) == list(range(500))
+
+
+COLUMNS = ("x", "y", "z", "r", "g", "b", "intensity")
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_e57_blocks(spark, tmp_path, monkeypatch, packed):
+    """Whatever the blocks, packets are found by tasks, and points are those of a walk along the chain."""
+    from pcq.sources import e57, e57_blocks
+
+    r = np.random.default_rng(1)
+    monkeypatch.setattr(writers, "PACKET", 90)
+    for k, n in enumerate((4000, 0, 1700)):
+        records.write_bytes(f"{tmp_path}/{k}.e57", writers.e57_bytes({c: r.integers(0, 200, n).astype(float) for c in COLUMNS}, compressed=packed))
+    sources.register(spark)
+    own = lambda df: sorted((r.point_idx, r.src, r.x, r.y, r.z, r.r, r.intensity) for r in df.collect())
+    want = own(spark.read.format("e57").load(str(tmp_path)))
+    assert len(want) == 5700 and own(sources.load(spark, str(tmp_path))) == want
+    again = []
+    stitched = e57_blocks._stitched
+    monkeypatch.setattr(e57_blocks, "_stitched", lambda spark, rows: again.append([r for r in rows if r["records"]]) or stitched(spark, rows))
+    for size in (900, 5000, 30_000):
+        found = e57_blocks.read_points(spark, str(tmp_path), size)
+        assert own(found) == want and found.rdd.getNumPartitions() == len(e57_blocks.blocks(spark, str(tmp_path), size))
+    # Guesses are as good as always right, so that nothing is walked twice.
+    places = {(f"{tmp_path}/{k}.e57", p[0]) for k in (0, 2) for p in e57.packets(f"{tmp_path}/{k}.e57")}
+    assert all((r["path"], r["first"]) in places for rows in again for r in rows)
+
+
+def test_e57_blocks_with_wrong_guesses(spark, tmp_path, monkeypatch):
+    """Records that look like packets lead guesses astray; the stitch walks such blocks anew."""
+    from pcq.sources import e57, e57_blocks
+
+    n = 3000
+    fake = np.frombuffer(b"\x00" + (16).to_bytes(3, "big") + (1).to_bytes(4, "big"), ">f8")[0]
+    columns = {c: np.full(n, fake) for c in ("x", "y", "z", "intensity")} | {c: np.ones(n) for c in "rgb"}
+    monkeypatch.setattr(writers, "PACKET", 60)
+    records.write_bytes(f"{tmp_path}/a.e57", writers.e57_bytes(columns))
+    # Guesses are made in tasks; here they are given, all of them wrong but the first.
+    rows, at = [], 64
+    end = 64 + sum(p[1] for p in e57.packets(f"{tmp_path}/a.e57"))
+    for low in range(64, end, 10_000):
+        rows.append({"path": f"{tmp_path}/a.e57", "begin": 64, "end": end, "low": low, "high": min(low + 10_000, end), "first": low + 4, "exit": low + 5000, "records": 1})
+    found = e57_blocks._stitched(spark, rows)
+    assert found[0][1] == at and [f[3] for f in found] == sorted(f[3] for f in found)
+    with open(f"{tmp_path}/a.e57", "rb") as f:
+        chain = e57_blocks._chain(f"{tmp_path}/a.e57", _Reads(f))
+        assert sum(n for _, first, high, _ in found for *_, n in chain.walk(first, high)) == n
+
+
+class _Reads:
+    def __init__(self, f):
+        self.f = f
+
+    def read_at(self, n, at):
+        self.f.seek(at)
+        return self.f.read(n)
+
+
+def test_ascii_ply_is_split(spark, tmp_path):
+    """Several tasks read one file; rows are numbered through, odd lines dropped, and what is beyond the header's number."""
+    head = "ply\nformat ascii 1.0\ncomment 1 2 3 4\nelement vertex {}\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nend_header\n"
+    for k, (n, most) in enumerate(((3000, 3000), (500, 200), (100, 400))):
+        lines = [f"{i} {i / 2} {-i} {i % 256} 0 9" + (" more" if i % 7 == 0 else "") + ("\n\n1 2 3" if i % 5 == 0 else "") for i in range(n)]
+        (tmp_path / f"a {k}.ply").write_text(head.format(most) + "\n".join(lines) + "\n")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = sources.load(spark, str(tmp_path))
+        rows = sorted(df.collect())
+        assert len({r.parts for r in df.filter("src = 'a 0.ply'").select(F.spark_partition_id().alias("parts")).collect()}) > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", kept[1])
+    want = [(base + i, float(i), i / 2, float(-i), i % 256, f"a {k}.ply") for k, base, n in ((0, 0, 3000), (1, 3000, 200), (2, 3200, 100)) for i in range(n)]
+    assert [(r.point_idx, r.x, r.y, r.z, r.r, r.src) for r in rows] == want
+
+
+def test_gzip_is_a_stream(tmp_path):
+    """Members follow one another; a file that is cut short gives what is there."""
+    import gzip
+
+    from pcq.sources.ply import PlyReader
+
+    raw = writers.ply_bytes({c: np.arange(1000.0) % 250 for c in COLUMNS})
+    (tmp_path / "a.ply.gz").write_bytes(gzip.compress(raw[:5000]) + gzip.compress(raw[5000:]))
+    reader = PlyReader({"path": f"{tmp_path}/a.ply.gz"})
+    assert [p.count for p in reader.partitions()] == [1000]
+    got = [reader.decode(f"{tmp_path}/a.ply.gz", at, 300)["x"].tolist() for at in range(0, 1000, 300)]
+    assert sum(got, []) == (np.arange(1000.0) % 250).tolist()
+    (tmp_path / "b.ply.gz").write_bytes(gzip.compress(raw[:-190]))
+    assert len(reader.decode(f"{tmp_path}/b.ply.gz", 900, 300)["x"]) == 90
