@@ -9,7 +9,11 @@ again, further down. A prefix is a node if it is the root or its parent holds mo
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,15 +139,78 @@ def with_box(nodes: DataFrame, lo: tuple, hi: tuple) -> DataFrame:
     return out.withColumn("radius", F.sqrt(half) / 2).withColumn("spacing", F.lit(diagonal) / F.pow(F.lit(2.0), F.length("name") - 1))
 
 
+def _depth_at(firsts: np.ndarray, depths: np.ndarray, depth: int):
+    """A function of keys: the depth of the leaf that holds each, null where none does. firsts: the first keys of leaves, sorted."""
+
+    @F.pandas_udf("int")
+    def find(key: pd.Series) -> pd.Series:
+        own = key.to_numpy(np.int64, na_value=-1)
+        at = np.searchsorted(firsts, own, "right") - 1
+        found = np.where(at >= 0, depths[np.maximum(at, 0)], 0)
+        held = (at >= 0) & (own >> 3 * (depth - found) == firsts[np.maximum(at, 0)] >> 3 * (depth - found))
+        return pd.Series(found, dtype="Int32").where(held)
+
+    return find
+
+
 def leaf_of(pathed: DataFrame, nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Adds leaf: the leaf that holds each point. A point asks under its prefix at each depth that leaves have (one row for
-    each, 13 at most), and one of them answers; while leaves are few enough to broadcast, points are not moved."""
-    leaves = nodes.filter("is_leaf").select(F.col("name").alias("leaf"), F.col("depth").alias("_ld"), F.col("key").alias("_lk"))
-    found = leaves.groupBy("_ld").count().collect()
-    asked = pathed.withColumn("_d", F.explode(F.array(*[F.lit(r["_ld"]) for r in sorted(found)]) if found else F.array().cast("array<int>")))
-    leaves = _hint(leaves, sum(r["count"] for r in found))
-    asked = asked.withColumn("_k", F.coalesce(_up(F.col("key"), F.lit(depth) - F.col("_d")), F.lit(-1).cast("long")))
-    return asked.join(leaves, (F.col("_d") == F.col("_ld")) & (F.col("_k") == F.col("_lk"))).drop("_d", "_k", "_ld", "_lk")
+    """Adds leaf: the leaf that holds each point; a point outside all leaves is left out. Leaves are ranges of keys that do not
+    overlap, so the one that holds a key is the last that begins at it or before, and its depth tells its name.
+
+    While leaves are few (checked), each task has their first keys, sorted, and points are not moved. Beyond, leaves and points
+    are dealt into common ranges of keys and merged; points whose leaf begins in a range before theirs find it among the last
+    leaves of the ranges, a row for each."""
+    first = F.call_function("shiftleft", F.col("key"), (F.lit(depth) - F.col("depth")) * 3)
+    leaves = nodes.filter("is_leaf").select(first.alias("key"), F.col("depth").alias("_depth"))
+    n = leaves.count()
+    if not n:
+        return pathed.withColumn("leaf", F.lit(None).cast("string")).filter("false")
+    if n <= BROADCAST_NODES:
+        found = pathed.withColumn("_depth", _depth_of(leaves, depth)(F.col("key")))
+    else:
+        tmp = Scratch(pathed.sparkSession, "leaves")
+        both = pathed.withColumn("_depth", F.lit(None).cast("int")).unionByName(leaves, allowMissingColumns=True).withColumn("_leaf", F.col("_depth").isNotNull())
+        ranges = max(1, n // max(1, BROADCAST_NODES), int(pathed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        schema = both.schema
+        merged = both.repartitionByRange(ranges, "key").sortWithinPartitions("key", F.desc("_leaf")).mapInArrow(_merged(depth, schema), schema)
+        merged = tmp.save(merged, "merged")
+        # What is left of the leaves is the last one of each range.
+        last = _depth_of(merged.filter("_leaf").select("key", "_depth"), depth)
+        found = merged.filter("not _leaf").withColumn("_depth", F.coalesce("_depth", last(F.col("key")))).drop("_leaf")
+    found = found.filter("_depth is not null")
+    name = name_of(F.call_function("shiftright", F.col("key"), (F.lit(depth) - F.col("_depth")) * 3), F.col("_depth"))
+    # Never null, as with key.
+    return found.withColumn("leaf", F.coalesce(name, F.lit(""))).drop("_depth")
+
+
+def _depth_of(leaves: DataFrame, depth: int):
+    rows = leaves.toPandas().sort_values("key")
+    return _depth_at(rows["key"].to_numpy(np.int64), rows["_depth"].to_numpy(np.int64), depth)
+
+
+def _merged(depth: int, schema):
+    """Points with the depth of their leaf, from leaves and points in the order of keys, and the last leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, kept = -1, 0, None
+        for own in batches:
+            key, is_leaf = own.column("key").to_numpy(), own.column("_leaf").to_numpy(zero_copy_only=False).astype(bool)
+            depths = own.column("_depth").fill_null(0).to_numpy()
+            # The last leaf at each row: of those in this batch, else the one that is held.
+            place = np.maximum.accumulate(np.where(is_leaf, np.arange(len(key)), -1))
+            firsts = np.where(place >= 0, key[np.maximum(place, 0)], at)
+            found = np.where(place >= 0, depths[np.maximum(place, 0)], held).astype(np.int64)
+            inside = (firsts >= 0) & (key >> 3 * (depth - found) == firsts >> 3 * (depth - found))
+            column = pa.array(np.where(inside, found, 0).astype(np.int32), mask=~inside)
+            if len(key) and place[-1] >= 0:
+                at, held = int(key[place[-1]]), int(depths[place[-1]])
+                kept = own.slice(int(place[-1]), 1)
+            out = own.set_column(own.schema.get_field_index("_depth"), "_depth", column)
+            yield out.filter(pa.array(~is_leaf))
+        if kept is not None:
+            yield kept
+
+    return run
 
 
 def statistics(nodes: DataFrame) -> DataFrame:

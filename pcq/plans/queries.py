@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -212,9 +214,8 @@ def octree_nodes(spark, d):
 
 @query(f"WITH {NODES} SELECT name, num_points, (row_number() OVER (ORDER BY name))::INT AS dfs FROM nodes WHERE is_leaf")
 def octree_leaves(spark, d):
-    from pyspark.sql import Window as W
-
-    return octree.nodes(pathed(spark, d), LEAF).filter("is_leaf").select("name", "num_points", F.row_number().over(W.orderBy("name")).alias("dfs"))
+    leaves = octree.nodes(pathed(spark, d), LEAF).filter("is_leaf").select("name", "num_points")
+    return B.numbered(leaves, ["name"], "dfs").withColumn("dfs", (F.col("dfs") + 1).cast("int"))
 
 
 @query(f"WITH {NODES} SELECT name, child_mask FROM nodes")
@@ -368,8 +369,6 @@ _TURN, _GROW, _PIVOT = (10.0, 20.0, 30.0), (1.0, 2.0, 0.5), (500.0, 500.0, 500.0
 
 def _turned() -> list[tuple[float, ...]]:
     """Rows of Rz Ry Rx after scaling, as linear forms of x, y, z."""
-    import math
-
     m = [[_GROW[0], 0.0, 0.0], [0.0, _GROW[1], 0.0], [0.0, 0.0, _GROW[2]]]
     a, b, c = (math.radians(v) for v in _TURN)
     for r in (
@@ -433,8 +432,6 @@ _FPS_BUDGET, _FPS_MAX = 200_000, 2500.0
 
 
 def _fps_sql() -> str:
-    import math
-
     num = 0.5 * ORBIT.height / math.tan(math.radians(ORBIT.fov) / 2)
     dist = " + ".join(f"pow((min_{c} + max_{c}) / 2 - ({e!r}::DOUBLE), 2)" for c, e in zip("xyz", _EYE, strict=True))
     inside = " AND ".join(f"{_range_sql(p)[1]} >= 0" for p in ORBIT.planes())
@@ -474,10 +471,9 @@ def unloaded_anti(spark, d):
 
 @query(f"WITH {NODES} SELECT name, (row_number() OVER (ORDER BY round(" + " + ".join(f"pow((min_{c} + max_{c}) / 2 - ({e!r}::DOUBLE), 2)" for c, e in zip("xyz", _EYE, strict=True)) + ", 6), name))::INT AS draw_order FROM nodes WHERE is_leaf")
 def depth_sorted_nodes(spark, d):
-    from pyspark.sql import Window as W
-
     d2 = sum(F.pow((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2 - F.lit(e), F.lit(2.0)) for c, e in zip("xyz", _EYE, strict=True))
-    return tree(spark, d).filter("is_leaf").select("name", F.row_number().over(W.orderBy(F.round(d2, 6), "name")).alias("draw_order"))
+    leaves = tree(spark, d).filter("is_leaf").select("name", F.round(d2, 6).alias("_d2"))
+    return B.numbered(leaves, ["_d2", "name"], "_n").select("name", (F.col("_n") + 1).cast("int").alias("draw_order"))
 
 
 _EVFX, _EVFY, _ = VIEW.screen()
@@ -659,14 +655,10 @@ c AS (SELECT event_id AS cursor_id, (event_id % 250 - 125)::DOUBLE AS x, (event_
 t AS (SELECT *, least(greatest(((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 0e0), 1e0) AS t FROM s, c),
 q AS (SELECT cursor_id, min(sqrt(pow(x - (ax + t * (bx - ax)), 2) + pow(y - (ay + t * (by_ - ay)), 2))) AS dist FROM t GROUP BY cursor_id) SELECT cursor_id, round(dist, 6) AS dist, dist <= 12 AS hit FROM q""")
 def ring_hit_test(spark, d):
-    import math
-
-    i = F.col("i")
-    # A ring of 32 segments.
-    ring = spark.range(32).select(F.col("id").alias("i")).select(*[(f((i + k) * (2 * math.pi) / 32) * 100).alias(n) for n, f, k in (("ax", F.cos, 0), ("ay", F.sin, 0), ("bx", F.cos, 1), ("by", F.sin, 1))])
+    # A ring of 32 segments: each cursor's least distance is an expression, and nothing is joined.
+    ends = [(math.cos(k * math.tau / 32) * 100, math.sin(k * math.tau / 32) * 100) for k in range(33)]
     c = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("cursor_id"), (F.col("event_id") % 250 - 125).cast("double").alias("x"), (F.col("event_id") * 7 % 250 - 125).cast("double").alias("y"))
-    dist = S.segment_distance(*[F.col(n) for n in ("x", "y", "ax", "ay", "bx", "by")])
-    out = c.crossJoin(F.broadcast(ring)).groupBy("cursor_id").agg(F.min(dist).alias("dist"))
+    out = c.select("cursor_id", F.least(*[S.segment_distance(F.col("x"), F.col("y"), *map(F.lit, (*a, *b))) for a, b in zip(ends, ends[1:], strict=False)]).alias("dist"))
     return out.select("cursor_id", F.round("dist", 6).alias("dist"), (F.col("dist") <= 12).alias("hit"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: Rows in one range of a global order, about; up to so many ranges (a short row each) are broadcast.
-RANGE, BROADCAST_RANGES = 500_000, 100_000
+RANGE, BROADCAST_RANGES = 1_000_000, 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -130,6 +130,26 @@ def test_pick(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("pairs", [0.1, 3, 1000])
+def test_pick_among_dense_points(spark, monkeypatch, pairs):
+    """However far cells are halved: crowded and repeated points, cursors in one place, points at exactly the radius, nulls."""
+    monkeypatch.setattr(pick, "PAIRS", pairs)
+    monkeypatch.setattr(pick, "HALVINGS", 9)
+    r = random.Random(4)
+    pts = [(r.uniform(-40, 40), r.uniform(-40, 40)) for _ in range(60)] + [(7 + r.gauss(0, 0.01), -3 + r.gauss(0, 0.01)) for _ in range(200)] + [(-11.0, 4.0)] * 30
+    pts += [(10 * math.cos(a / 9), 60 + 10 * math.sin(a / 9)) for a in range(57)] + [(5.0, 100.0), (0.0, 0.0), (-0.0, 0.0)]
+    pts = [(k, *p) for k, p in enumerate(r.sample(pts, len(pts)))] + [(900, None, 1.0)]
+    cur = [(r.uniform(-45, 45), r.uniform(-45, 45)) for _ in range(60)] + [(7.0, -3.0)] * 20 + [(7.005, -3.0), (0.0, 60.0), (-11.0, 4.0), (0.0, 100.0), (-6.0, 0.0), (None, 2.0), (999.0, 0.0)]
+    cur = [(k, *c) for k, c in enumerate(cur)]
+    want = {}
+    for c, x, y in cur:
+        near = [((a - x) * (a - x) + (b - y) * (b - y), k) for k, a, b in pts if a is not None and x is not None and (a - x) * (a - x) + (b - y) * (b - y) < 25]
+        if near:
+            want[c] = min(near)
+    found = pick.pick_nearest(spark.createDataFrame(pts, "point_idx long, sx double, sy double").repartition(3), spark.createDataFrame(cur, "cursor_id long, cx double, cy double"), 5.0).collect()
+    assert {x.cursor_id: (x.d2, x.point_idx) for x in found} == want and len(found) == len(want)
+
+
 def test_pick_takes_any_number_of_cursors(spark):
     """Without small tables to broadcast, points and cursors meet in a shuffle."""
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

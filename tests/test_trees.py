@@ -38,6 +38,19 @@ def cloud(spark, n, seed=1, depth=6):
     return octree.with_path(df, LO, HI, depth)
 
 
+@pytest.mark.parametrize("most", [500_000, 40, 0])
+def test_points_find_their_leaf(spark, monkeypatch, most):
+    """By sorted first keys, or merged with leaves in ranges of keys; points outside all leaves are left out."""
+    p = cloud(spark, 600).cache()
+    nodes = octree.nodes(p, 20, 6).filter("not startswith(name, 'r3')").cache()
+    leaves = [r.name for r in nodes.filter("is_leaf").collect()]
+    monkeypatch.setattr(octree, "BROADCAST_NODES", most)
+    found = octree.leaf_of(p, nodes, 6).collect()
+    want = {r.point_idx: (leaf, r.note) for r in p.collect() for leaf in leaves if r.path.startswith(leaf)}
+    assert {r.point_idx: (r.leaf, r.note) for r in found} == want and len(found) == len(want) < 960
+    assert octree.leaf_of(p, nodes.filter("false"), 6).collect() == []
+
+
 def filled(rows, cap, depth):
     """Points one by one, as (point_idx, path) in the order of arrival."""
     held, out = {}, {}
