@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: An isometric fit leaves this part of the viewport filled; an orbit camera's limits and lens.
 MARGIN, FOV, NEAR, FAR = 0.85, 60.0, 0.1, 100000.0
 PHI_LIMIT, RADIUS_LIMITS = 0.01, (0.1, 1e5)
+#: Fixed value: what a pixel of a drag moves an orbit camera by, times its distance.
+PAN_SCALE = 0.0005
 #: Named views as (rotation, tilt x, tilt y) in degrees, and headings.
 PRESETS = {"top": (0.0, 90.0, 0.0), "front": (0.0, 0.0, 0.0), "right": (90.0, 0.0, 0.0), "back": (180.0, 0.0, 0.0)}
 HEADINGS = {"N": 0.0, "E": 90.0, "S": 180.0, "W": 270.0}
@@ -165,6 +167,26 @@ def view_index(angle: Column, bins: int) -> Column:
     return F.pmod(F.floor(angle / (2 * math.pi / bins) + 0.5), F.lit(bins)).cast("int")
 
 
+def moved(theta: Column, target: tuple[Column, ...], ahead: Column, right: Column, up: Column) -> tuple[Column, ...]:
+    """Orbit.move for rows of cameras."""
+    c, s, (x, y, z) = F.cos(theta), F.sin(theta), target
+    return x + right * c - ahead * s, y + up, z - right * s - ahead * c
+
+
+def panned(theta: Column, radius: Column, target: tuple[Column, ...], dx: Column, dy: Column) -> tuple[Column, ...]:
+    """Orbit.pan for rows of cameras."""
+    return moved(theta, target, F.lit(0.0), dx * radius * PAN_SCALE, dy * radius * PAN_SCALE)
+
+
+def orbited(phi: Column, by: Column) -> Column:
+    """The angle from the y axis, within its limits."""
+    return F.least(F.lit(math.pi - PHI_LIMIT), F.greatest(F.lit(PHI_LIMIT), phi + by))
+
+
+def dollied(radius: Column, factor: Column) -> Column:
+    return F.least(F.lit(RADIUS_LIMITS[1]), F.greatest(F.lit(RADIUS_LIMITS[0]), radius * factor))
+
+
 @dataclass(frozen=True)
 class Orbit:
     """A perspective camera about a target. theta: azimuth, phi: from the y axis, both in radians."""
@@ -183,6 +205,16 @@ class Orbit:
     def dolly(self, factor: float) -> Orbit:
         return replace(self, radius=min(RADIUS_LIMITS[1], max(RADIUS_LIMITS[0], self.radius * factor)))
 
+    def move(self, ahead: float = 0.0, right: float = 0.0, up: float = 0.0) -> Orbit:
+        """The target, and with it the eye, moved along the ground, as the camera faces it, and upwards."""
+        c, s = math.cos(self.theta), math.sin(self.theta)
+        x, y, z = self.target
+        return replace(self, target=(x + right * c - ahead * s, y + up, z - right * s - ahead * c))
+
+    def pan(self, dx: float, dy: float) -> Orbit:
+        """The target moved by a drag on the screen, the further the farther the eye is."""
+        return self.move(right=dx * self.radius * PAN_SCALE, up=dy * self.radius * PAN_SCALE)
+
     def fit(self, lo: tuple, hi: tuple) -> Orbit:
         return replace(self, radius=1.5 * max(b - a for a, b in zip(lo, hi, strict=True)), theta=math.pi / 4, phi=math.pi / 3, target=tuple((a + b) / 2 for a, b in zip(lo, hi, strict=True)))
 

@@ -16,7 +16,7 @@ from pcq.sources import e57, records, writers
 from pcq.streaming import control
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["las_roundtrip", "las_chunks", "las_header", "las_viewport", "visible_chunks", "ply_header", "e57_fields", "ply_ascii_roundtrip", "ply_gzip_roundtrip", "e57_bzip2_roundtrip", "rxp_roundtrip", "xyz_roundtrip", "octree_points_roundtrip", "octree_hierarchy_roundtrip", "octree_node_range", "chunk_tiers", "drag_fold", "first_fit_reuse"]
+NAMES = ["las_roundtrip", "las_chunks", "las_header", "las_viewport", "orbit_moves", "visible_chunks", "ply_header", "e57_fields", "ply_ascii_roundtrip", "ply_gzip_roundtrip", "e57_bzip2_roundtrip", "rxp_roundtrip", "xyz_roundtrip", "octree_points_roundtrip", "octree_hierarchy_roundtrip", "octree_node_range", "chunk_tiers", "drag_fold", "first_fit_reuse"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -144,3 +144,19 @@ def test_leaves_at_many_depths(spark, monkeypatch):
     assert max(n.depth for n in rows.values()) == 12
     assert {x.name for x in nodes.filter(lod._ancestors(lambda j, lo, hi: (hi[0] - lo[0]) > 0.2)).collect()} == {n for n in want if len(n) - 1 <= 3}
     assert C.preset(C.View(), "right").tilt_y == -90.0
+
+
+def test_orbit_camera_moves():
+    """Ahead is where the camera looks, along the ground; right is its right hand; the eye keeps its place to the target."""
+    r = random.Random(2)
+    for _ in range(20):
+        cam = C.Orbit(radius=r.uniform(1, 50), phi=r.uniform(0.1, 3), theta=r.uniform(-4, 4), target=(1.0, 2.0, 3.0))
+        right, _, back, _ = cam.view_matrix()
+        flat = math.hypot(back[0], back[2])
+        ahead = cam.move(ahead=2.0).target
+        assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(ahead, (1 - 2 * back[0] / flat, 2.0, 3 - 2 * back[2] / flat), strict=True))
+        drag = cam.pan(40.0, 6.0)
+        scale = cam.radius * 0.0005
+        assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(drag.target, (1 + 40 * scale * right[0], 2 + 6 * scale, 3 + 40 * scale * right[2]), strict=True))
+        assert all(math.isclose(a - b, c - d, abs_tol=1e-9) for a, b, c, d in zip(drag.position(), drag.target, cam.position(), cam.target, strict=True))
+        assert cam.move(up=5.0).target == (1.0, 7.0, 3.0)
