@@ -255,14 +255,14 @@ def camera_turns(spark, d):
     return e.select("event_id", F.round(C.turned_step(F.col("a"), 2, 8), 6).alias("left2"), F.round(C.turned_step(F.col("a"), -1, 4), 6).alias("right1"), F.round(C.heading(F.col("user_id") % 8, 8), 6).alias("view_angle"), C.tilted(F.col("user_id").cast("double"), (F.col("value") - 245) / 2).alias("tilt"))
 
 
-@query("""WITH t AS (SELECT event_id, value / 70 AS a, sqrt(user_id + 2e0) * 7e0 AS r, (event_id % 200 - 100)::DOUBLE AS dx, (event_id % 90 - 45)::DOUBLE AS dy, value / 100 AS phi, event_id % 7 - 3e0 AS ahead FROM events),
+@query("""WITH t AS (SELECT event_id, value / 70 AS a, sqrt(user_id + 2.5e0) * 7e0 AS r, (event_id % 200 - 100)::DOUBLE AS dx, (event_id % 90 - 45)::DOUBLE AS dy, value / 100 AS phi, event_id % 7 - 3e0 AS ahead FROM events),
 p AS (SELECT *, greatest(0.1e0, least(1e5, r * (1 + dy / 40))) AS radius, greatest(0.01e0, least(3.141592653589793::DOUBLE - 0.01e0, phi + dy / 60)) AS angle FROM t)
 SELECT event_id, round(radius, 6) AS radius, round(angle, 6) AS phi, round(dx + dx * radius * 0.0005e0 * cos(a) - ahead * sin(a), 6) AS x, round(1 + dy * radius * 0.0005e0 + dx, 6) AS y, round(dy - dx * radius * 0.0005e0 * sin(a) - ahead * cos(a), 6) AS z FROM p""")
 def orbit_moves(spark, d):
     """Cameras that are dollied, turned, panned, and moved ahead and up."""
     e = spark.read.parquet(f"{d}/events.parquet")
     theta, dx, dy = F.col("value") / 70, (F.col("event_id") % 200 - 100).cast("double"), (F.col("event_id") % 90 - 45).cast("double")
-    radius, phi = C.dollied(F.sqrt(F.col("user_id") + 2.0) * 7.0, 1 + dy / 40), C.orbited(F.col("value") / 100, dy / 60)
+    radius, phi = C.dollied(F.sqrt(F.col("user_id") + 2.5) * 7.0, 1 + dy / 40), C.orbited(F.col("value") / 100, dy / 60)
     at = C.moved(theta, C.panned(theta, radius, (dx, F.lit(1.0), dy), dx, dy), F.col("event_id") % 7 - F.lit(3.0), F.lit(0.0), dx)
     return e.select("event_id", *[F.round(c, 6).alias(n) for n, c in zip(("radius", "phi", "x", "y", "z"), (radius, phi, *at), strict=True)])
 
