@@ -50,12 +50,24 @@ def _ints(*names: str):
 _XYZ = "x, y, z, intensity"
 
 
-@query(f"WITH {_FP} SELECT event_id, (round(x * 100) * 0.01e0)::FLOAT::DOUBLE AS x, (round(y * 100) * 0.01e0)::FLOAT::DOUBLE AS y, (round(z * 100) * 0.01e0)::FLOAT::DOUBLE AS z, intensity, r, g, b, classification, return_number, 5 AS num_returns, source_id FROM fp")
-def las_roundtrip(spark, d):
-    p = _written(spark, d, "las")
+_LAS_SQL = f"WITH {_FP} SELECT event_id, (round(x * 100) * 0.01e0)::FLOAT::DOUBLE AS x, (round(y * 100) * 0.01e0)::FLOAT::DOUBLE AS y, (round(z * 100) * 0.01e0)::FLOAT::DOUBLE AS z, intensity, r, g, b, classification, return_number, 5 AS num_returns, source_id FROM fp"
+
+
+def _las_points(p: DataFrame) -> DataFrame:
     return p.select((F.col("gps_time") - 0.5).cast("long").alias("event_id"), *_doubles("x", "y", "z", "intensity"), *_ints("r", "g", "b", "classification", "return_number", "num_returns", "source_id"))
 
 
+@query(_LAS_SQL)
+def las_roundtrip(spark, d):
+    return _las_points(_written(spark, d, "las"))
+
+
+@query(_LAS_SQL)
+def laz_roundtrip(spark, d):
+    """Compressed by tasks, in chunks, and read back by ranges of whole chunks."""
+    return _las_points(_written(spark, d, "laz", parts=16))
+
+
 def _sorted_files(spark: SparkSession, d: str, form: str) -> str:
     """A folder of files in the order of point_idx, each a range of it."""
     path = f"{Scratch(spark, 'files').root}/{form}"

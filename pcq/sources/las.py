@@ -1,4 +1,4 @@
-"""LAS 1.2 to 1.4, point formats 0 to 10. Compressed files (LAZ) need a decoder that is not part of this package."""
+"""LAS 1.2 to 1.4, point formats 0 to 10; compressed (LAZ), formats 0 to 5."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
+from . import laz
 from .records import RecordReader, RecordSource, read_bytes, size_of, widened
 
 # Bytes of a record, and where colour, GPS time and infrared stand, by point format.
@@ -14,6 +15,8 @@ SIZES = (20, 28, 26, 34, 57, 63, 30, 36, 42, 59, 67)
 RGB = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
 GPS = {1: 20, 3: 20, 4: 20, 5: 20, 6: 22, 7: 22, 8: 22, 9: 22, 10: 22}
 NIR = {8: 36, 10: 36}
+#: Records of a compressed file in one partition.
+PACKED = 500_000
 
 
 @lru_cache(64)
@@ -23,22 +26,31 @@ def header(path: str) -> dict:
         raise ValueError(f"{path} is not a LAS file")
     size, offset = struct.unpack_from("<HI", raw, 94)
     code, length, count = struct.unpack_from("<BHI", raw, 104)
-    if code & 0x80 or path.lower().endswith(".laz"):
-        raise ValueError(f"{path} is compressed (LAZ); decompress it first")
+    packed = bool(code & 0x80) or path.lower().endswith(".laz")
     if raw[25] >= 4 and size >= 375:
         count = struct.unpack_from("<Q", raw, 247)[0] or count
     numbers = struct.unpack_from("<12d", raw, 131)
-    # Records that a truncated file lacks are not there.
-    there = (size_of(path) - offset) // length
-    return {"version": (raw[24], raw[25]), "offset": offset, "format": code & 0x3F, "length": length, "count": min(count, there), "scale": numbers[:3], "shift": numbers[3:6], "max": numbers[6::2], "min": numbers[7::2]}
+    # Records that a truncated file lacks are not there; a compressed file that is cut lacks its table, and fails.
+    there = count if packed else (size_of(path) - offset) // length
+    return {"packed": packed, "start": size, "records": struct.unpack_from("<I", raw, 100)[0], "version": (raw[24], raw[25]), "offset": offset, "format": code & 0x3F, "length": length, "count": min(count, there), "scale": numbers[:3], "shift": numbers[3:6], "max": numbers[6::2], "min": numbers[7::2]}
 
 
 class LasReader(RecordReader):
-    suffixes = (".las",)
+    suffixes = (".las", ".laz")
 
     def count(self, path):
         return header(path)["count"]
 
+    def span(self, path):
+        """Whole chunks of a compressed file, whose points take longer to decode."""
+        h = header(path)
+        if not h["packed"]:
+            return self.part
+        chunk, _ = laz.described(path, h["start"], h["records"], h["offset"])
+        if chunk in (0, laz.OWN_SIZES):
+            return min(self.part, PACKED) if chunk else max(1, h["count"])
+        return -(-min(self.part, PACKED) // chunk) * chunk
+
     def wanted(self, path):
         """By the extent in the header, where it has one; coordinates are narrowed to floats, so it counts a little wider."""
         h = header(path)
@@ -49,7 +61,8 @@ class LasReader(RecordReader):
 
     def decode(self, path, first, n):
         h = header(path)
-        raw = np.frombuffer(read_bytes(path, h["offset"] + first * h["length"], n * h["length"]), np.uint8).reshape(-1, h["length"])
+        own = laz.read(path, h, first, n) if h["packed"] else read_bytes(path, h["offset"] + first * h["length"], n * h["length"])
+        raw = np.frombuffer(own, np.uint8).reshape(-1, h["length"])
         at = lambda offset, kind: np.ascontiguousarray(raw[:, offset : offset + np.dtype(kind).itemsize]).view(kind).ravel()
         f, new = h["format"], h["format"] >= 6
         out = {c: (at(4 * k, "<i4") * h["scale"][k] + h["shift"][k]).astype(np.float32) for k, c in enumerate("xyz")}

@@ -156,6 +156,10 @@ class RecordReader(DataSourceReader):
     def count(self, path: str) -> int:
         raise NotImplementedError
 
+    def span(self, path: str) -> int:
+        """How many records of a file a task reads."""
+        return self.part
+
     def whole(self, path: str) -> bool:
         """Whether one task has to read the file."""
         return False
@@ -167,7 +171,7 @@ class RecordReader(DataSourceReader):
         out, base = [], 0
         for path in files(self.path, self.suffixes):
             n = self.count(path)
-            part = max(1, n) if self.whole(path) else self.part
+            part = max(1, n) if self.whole(path) else self.span(path)
             if self.wanted(path):
                 out += [Range(path, at, min(part, n - at), base + at) for at in range(0, n, part) if self.pushed.meets("point_idx", base + at, base + at + min(part, n - at) - 1)]
             base += n

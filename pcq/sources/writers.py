@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import POINTS, fields
-from . import e57
+from . import e57, laz
 from .records import write_bytes
 
 #: Records in a packet of E57; records in a file, which a task holds.
@@ -92,7 +92,7 @@ def e57_bytes(c: dict, compressed: bool = False) -> bytes:
 
 #: Suffix and encoder by format.
 ENCODERS = {
-    "las": (".las", las_bytes), "ply": (".ply", ply_bytes), "ply ascii": (".ply", lambda c: ply_bytes(c, ascii=True)), "ply.gz": (".ply.gz", lambda c: gzip.compress(ply_bytes(c), mtime=0)),
+    "las": (".las", las_bytes), "laz": (".laz", lambda c: laz.compress(las_bytes(c))), "ply": (".ply", ply_bytes), "ply ascii": (".ply", lambda c: ply_bytes(c, ascii=True)), "ply.gz": (".ply.gz", lambda c: gzip.compress(ply_bytes(c), mtime=0)),
     "rxp": (".rxp", rxp_bytes), "e57": (".e57", e57_bytes), "e57 bzip2": (".e57", lambda c: e57_bytes(c, compressed=True)),
 }
 

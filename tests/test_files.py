@@ -16,7 +16,7 @@ from pcq.sources import e57, records, writers
 from pcq.streaming import control
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["las_roundtrip", "las_chunks", "las_header", "las_viewport", "orbit_moves", "visible_chunks", "ply_header", "e57_fields", "ply_ascii_roundtrip", "ply_gzip_roundtrip", "e57_bzip2_roundtrip", "rxp_roundtrip", "xyz_roundtrip", "octree_points_roundtrip", "octree_hierarchy_roundtrip", "octree_node_range", "chunk_tiers", "drag_fold", "first_fit_reuse"]
+NAMES = ["las_roundtrip", "laz_roundtrip", "las_chunks", "las_header", "las_viewport", "orbit_moves", "visible_chunks", "ply_header", "e57_fields", "ply_ascii_roundtrip", "ply_gzip_roundtrip", "e57_bzip2_roundtrip", "rxp_roundtrip", "xyz_roundtrip", "octree_points_roundtrip", "octree_hierarchy_roundtrip", "octree_node_range", "chunk_tiers", "drag_fold", "first_fit_reuse"]
 
 
 @pytest.mark.parametrize("name", NAMES)
