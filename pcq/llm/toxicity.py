@@ -3,7 +3,9 @@
 Terms are found in the lower-cased text by one automaton. The clause around each insult or threat becomes a string of
 classes (INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER). Four transducers read it: one joins insults and threats with
 their targets, one weakens what stands after a negation, one weakens what is reported speech, one adds weights up. They are
-composed once; the best path through the composition says by its weights what each term of a clause counts for. A logistic function of the clauses'
+composed once; the best path through the composition says by its weights what each term of a clause counts for. A threat is a
+listed verb, in English, French, German or Spanish, in a clause that names a target; forms that stand apart ("bringe dich um")
+are not listed. A logistic function of the clauses'
 weights, fitted to labels, gives the score. Which further terms insult, and how much, is learned from labels as well.
 """
 
@@ -24,7 +26,10 @@ from .common import Scratch, slim
 
 # Words of the grammar's classes, in English, French, German and Spanish.
 INSULTS = "idiot moron stupid loser scum trash clown pathetic worthless disgusting imbecile fool dumb jerk filth vermin cretin garbage bastard".split()
-THREATS = "kill hurt destroy beat stab shoot strangle burn".split()
+THREATS = """kill hurt destroy beat stab shoot strangle burn
+tuer tuerai blesser blesserai détruire frapper frapperai poignarder abattre étrangler égorger brûler
+töten umbringen verletzen zerstören schlagen verprügeln erstechen erschießen erwürgen verbrennen
+matar mataré herir destruir golpear apuñalar disparar estrangular degollar quemar""".split()
 TARGETS = """you your yours he him she her they them their these those all every
 tu toi te ton ta tes vous votre vos il elle ils elles eux leur ces tous
 du dich dir dein deine ihr euch euer sie ihnen diese alle
@@ -117,11 +122,11 @@ def grammar() -> Transducer:
         },
         {0, 1},
     )
-    # After a negation the next term within three words is weak.
+    # After a negation the next term within four words is weak ("no te voy a matar").
     keep = lambda to: {c: [(c, 0.0, to)] for c in (TARGET, REPORT, OTHER)}
     strong = {x: [(x, 0.0, 0)] for x in (PLAIN, AIMED)}
     weak = {x: [(WEAK, NEGATED, 0)] for x in (PLAIN, AIMED)}
-    negation = Transducer({0: strong | keep(0) | {NEGATION: [(OTHER, 0.0, 1)]}} | {k: weak | keep(k % 3 + 1 if k < 3 else 0) | {NEGATION: [(OTHER, 0.0, 1)]} for k in (1, 2, 3)}, {0, 1, 2, 3})
+    negation = Transducer({0: strong | keep(0) | {NEGATION: [(OTHER, 0.0, 1)]}} | {k: weak | keep((k + 1) % 5) | {NEGATION: [(OTHER, 0.0, 1)]} for k in (1, 2, 3, 4)}, {0, 1, 2, 3, 4})
     # Once a clause reports speech, what follows is weak.
     passed = {x: [(x, 0.0, 0)] for x in (PLAIN, AIMED, WEAK)} | {c: [(OTHER, 0.0, 0)] for c in (TARGET, OTHER)}
     told = {x: [(WEAK, REPORTED, 1)] for x in (PLAIN, AIMED, WEAK)} | {c: [(OTHER, 0.0, 1)] for c in (TARGET, OTHER, REPORT)}
@@ -131,9 +136,13 @@ def grammar() -> Transducer:
 
 @dataclass(frozen=True)
 class ToxicParams:
-    """sample: most labelled documents that terms and the score are learned from."""
+    """sample: most labelled documents that terms and the score are learned from. candidates: terms of the sample's toxic texts,
+    the most frequent first, whose odds are looked at. least_count, least_odds: toxic texts of the sample that hold a learned
+    term, and the lower bound of its log odds, at least. prefix: lengths of stems. most_terms: terms learned, the strongest
+    first. These bound what is learned from the sample; every document is scored whole."""
 
     sample: int = 6000
+    candidates: int = 50_000
     least_count: int = 3
     least_odds: float = 2.0
     prefix: tuple[int, ...] = (4, 5, 6, 7, 8)
@@ -243,7 +252,7 @@ def fit(labelled: DataFrame, params: ToxicParams = ToxicParams(), text_col: str
         return ToxicModel(chosen)
     # Clean counts of terms that a batch saw in no toxic text are missing there, so count them in a second pass.
     counted = sample.mapInPandas(terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("toxic").alias("toxic"))
-    counted = counted.filter(F.col("toxic") >= p.least_count).orderBy(F.desc("toxic"), "term").limit(50_000).toPandas()
+    counted = counted.filter(F.col("toxic") >= p.least_count).orderBy(F.desc("toxic"), "term").limit(p.candidates).toPandas()
     wanted = set(counted["term"])
 
     def clean_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

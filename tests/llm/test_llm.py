@@ -475,6 +475,18 @@ def test_toxicity_grammar():
         assert most(denied) < most("un idiot") < most(aimed_at) and most(told) < most(aimed_at), aimed_at
 
 
+def test_toxicity_threats_of_four_languages():
+    """A threat weighs the same in each language, if it names its target; denied or reported it weighs less."""
+    s = toxicity.Scorer(toxicity.ToxicModel({}))
+    most = lambda t: s.features(t)[0]
+    for t in ("i will kill you", "je vais te tuer", "ich werde dich umbringen", "te voy a matar", "Ich werde DICH ERSCHIESSEN und dich töten"):
+        assert most(t) == pytest.approx(1.5), t
+    for t in ("to kill time", "tuer le temps", "zeit zu töten", "matar el tiempo", "the stabbing", "die matarik"):
+        assert most(t) == 0, t
+    for t in ("i will never kill you", "je ne vais pas te tuer", "ich werde dich nicht umbringen", "nunca te voy a matar", "selon lui je vais te tuer", "er sagte ich werde dich umbringen"):
+        assert 0 < most(t) < 1, t
+
+
 def test_toxicity_best_path_is_the_best():
     """The composed grammar against all paths through its three parts, one after another."""
     g = toxicity.grammar()
