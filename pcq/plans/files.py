@@ -70,7 +70,7 @@ def laz_roundtrip(spark, d):
 
 def _sorted_files(spark: SparkSession, d: str, form: str) -> str:
     """A folder of files in the order of point_idx, each a range of it."""
-    path = f"{Scratch(spark, 'files').root}/{form}"
+    path = f"{Scratch(spark, 'files').root}/{form.replace(' ', '-')}"
     writers.write_points(file_points(spark, d).repartitionByRange(4, "point_idx").sortWithinPartitions("point_idx"), path, form)
     return path
 
@@ -100,8 +100,8 @@ def _each(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
 
 @query("SELECT count(*) AS n, 3 AS point_format, 34 AS record_bytes, 1 AS major, 2 AS minor, round(min(user_id), 2)::DOUBLE AS min_y, round(max(user_id), 2)::DOUBLE AS max_y FROM events")
 def las_header(spark, d):
-    """The headers of all files, put together."""
-    found = _each(spark, _sorted_files(spark, d, "las"), _las_row, "n long, point_format int, record_bytes int, major int, minor int, min_y double, max_y double")
+    """The headers of all files, put together; plain records, however large an intensity is."""
+    found = _each(spark, _sorted_files(spark, d, "las plain"), _las_row, "n long, point_format int, record_bytes int, major int, minor int, min_y double, max_y double")
     return found.groupBy("point_format", "record_bytes", "major", "minor").agg(F.sum("n").alias("n"), F.round(F.min("min_y"), 2).alias("min_y"), F.round(F.max("max_y"), 2).alias("max_y"))
 
 

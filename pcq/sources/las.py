@@ -15,10 +15,33 @@ SIZES = (20, 28, 26, 34, 57, 63, 30, 36, 42, 59, 67)
 RGB = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
 GPS = {1: 20, 3: 20, 4: 20, 5: 20, 6: 22, 7: 22, 8: 22, 9: 22, 10: 22}
 NIR = {8: 36, 10: 36}
+#: Columns that have 16 bits in a record, and in what extra bytes of this library's own they stand where those are too few: name,
+#: type in a description, type in a record.
+WIDE = {"intensity": ("pcq intensity", 9, "<f4"), "source_id": ("pcq source_id", 6, "<i4")}
+#: User and number of the record that describes extra bytes; bytes of its types from 1 on.
+SPEC, EXTRA, EXTRA_BYTES = b"LASF_Spec", 4, (1, 1, 2, 2, 4, 4, 8, 8, 4, 8)
 #: Records of a compressed file in one partition.
 PACKED = 500_000
 
 
+@lru_cache(64)
+def extra(path: str) -> dict[str, tuple[int, str]]:
+    """Where WIDE's columns stand in a record of the file, and their types there."""
+    h, out = header(path), {}
+    raw, at = read_bytes(path, h["start"], h["offset"] - h["start"]) if h["length"] > SIZES[h["format"]] else b"", 0
+    for _ in range(h["records"] if raw else 0):
+        user, number, size = struct.unpack_from("<2x16sHH", raw, at)
+        if user.rstrip(b"\0") == SPEC and number == EXTRA:
+            place = SIZES[h["format"]]
+            for k in range(at + 54, at + 54 + size, 192):
+                code, count, name = struct.unpack_from("<2xBB32s", raw, k)
+                out |= {c: (place, kind) for c, (own, t, kind) in WIDE.items() if name.rstrip(b"\0") == own.encode() and code == t}
+                # Types beyond 10 are two or three of the same (of old); bytes without a type are counted.
+                place += EXTRA_BYTES[(code - 1) % 10] * ((code - 1) // 10 + 1) if code else count
+        at += 54 + size
+    return out
+
+
 @lru_cache(64)
 def header(path: str) -> dict:
     raw = read_bytes(path, 0, 375)
@@ -69,6 +92,7 @@ class LasReader(RecordReader):
         flags = raw[:, 14]
         out |= {"intensity": at(12, "<u2").astype(np.float32), "classification": raw[:, 16 if new else 15].astype(np.int16), "source_id": at(20 if new else 18, "<u2").astype(np.int32)}
         out |= {"return_number": (flags & (15 if new else 7)).astype(np.int16), "num_returns": (flags >> 4 if new else flags >> 3 & 7).astype(np.int16)}
+        out |= {c: at(place, kind).astype(np.float32 if c == "intensity" else np.int32) for c, (place, kind) in extra(path).items()}
         if f in GPS:
             out["gps_time"] = at(GPS[f], "<f8")
         if f in RGB:

@@ -8,11 +8,12 @@ import struct
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pcq import catalog, sources
 from pcq.functions import camera as C
 from pcq.operators import cache, lod, octree
-from pcq.sources import e57, records, writers
+from pcq.sources import e57, las, laz, records, writers
 from pcq.streaming import control
 
 SF = "/root/testdata/sf0.001"
@@ -160,3 +161,21 @@ def test_orbit_camera_moves():
         assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(drag.target, (1 + 40 * scale * right[0], 2 + 6 * scale, 3 + 40 * scale * right[2]), strict=True))
         assert all(math.isclose(a - b, c - d, abs_tol=1e-9) for a, b, c, d in zip(drag.position(), drag.target, cam.position(), cam.target, strict=True))
         assert cam.move(up=5.0).target == (1.0, 7.0, 3.0)
+
+
+@pytest.mark.parametrize("form", ["las"])
+def test_values_beyond_16_bits(spark, tmp_path, form):
+    """Intensities and sources that a plain record can't hold come back whole; files that don't need more bytes have none."""
+    i = F.col("id")
+    far = F.when(i < 500, i).otherwise(i * 1000 - 3)
+    df = spark.range(1000).select(i.alias("point_idx"), *[(i / 4).cast("float").alias(c) for c in "xyz"], far.cast("float").alias("intensity"), far.cast("int").alias("source_id"), (i + 0.5).alias("gps_time"))
+    assert writers.write_points(df.repartitionByRange(4, "point_idx"), f"{tmp_path}/{form}", form) == 1000
+    columns = ["x", "intensity"] if form == "rxp" else ["x", "intensity", "source_id", "gps_time"]
+    got = sources.load(spark, f"{tmp_path}/{form}").select(*columns).orderBy("x").collect()
+    assert got == df.select(*columns).orderBy("x").collect()
+    if form == "las":
+        heads = [las.header(str(p)) for p in sorted((tmp_path / form).glob("*.las"))]
+        assert sorted({h["length"] for h in heads}) == [34, 42]
+        writers.write_points(df, f"{tmp_path}/plain", "las plain")
+        assert {las.header(str(p))["length"] for p in (tmp_path / "plain").glob("*.las")} == {34}
+        assert sources.load(spark, f"{tmp_path}/plain").agg(F.max("intensity")).first()[0] == 65535
