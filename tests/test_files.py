@@ -163,7 +163,7 @@ def test_orbit_camera_moves():
         assert cam.move(up=5.0).target == (1.0, 7.0, 3.0)
 
 
-@pytest.mark.parametrize("form", ["las"])
+@pytest.mark.parametrize("form", ["las", "laz"])
 def test_values_beyond_16_bits(spark, tmp_path, form):
     """Intensities and sources that a plain record can't hold come back whole; files that don't need more bytes have none."""
     i = F.col("id")
@@ -179,3 +179,21 @@ def test_values_beyond_16_bits(spark, tmp_path, form):
         writers.write_points(df, f"{tmp_path}/plain", "las plain")
         assert {las.header(str(p))["length"] for p in (tmp_path / "plain").glob("*.las")} == {34}
         assert sources.load(spark, f"{tmp_path}/plain").agg(F.max("intensity")).first()[0] == 65535
+
+
+def test_extra_bytes_of_others_are_stepped_over(tmp_path):
+    """The columns of this library are found behind extra bytes of other types, and in LAZ behind further records."""
+    c = {k: np.arange(5.0) for k in "xyz"} | {k: np.arange(5) for k in ("return_number", "num_returns", "r", "g", "b", "classification", "gps_time", "source_id")} | {"intensity": np.arange(5.0) * 70_000}
+    plain = bytearray(writers.las_bytes(c))
+    at = 227 + 54
+    # The description of the sources becomes one of bytes without a type in front of the intensities.
+    plain[at : at + 384] = writers._descriptor(0, "other")[:3] + bytes([4]) + writers._descriptor(0, "other")[4:] + bytes(plain[at : at + 192])
+    rows = np.frombuffer(bytes(plain[at + 384 :]), np.uint8).reshape(5, 42)
+    moved = np.concatenate([rows[:, :34], rows[:, 38:], rows[:, 34:38]], 1).tobytes()
+    for name, data in (("a.las", bytes(plain[: at + 384]) + moved), ("a.laz", laz.compress(bytes(plain[: at + 384]) + moved))):
+        (tmp_path / name).write_bytes(data)
+        assert las.extra(str(tmp_path / name)) == {"intensity": (38, "<f4")}
+        got = las.LasReader({"path": str(tmp_path / name)}).decode(str(tmp_path / name), 0, 5)
+        assert got["intensity"].tolist() == c["intensity"].tolist()
+    with pytest.raises(ValueError, match="32 bits"):
+        writers.las_bytes(c | {"x": np.array([0, 0, 0, 0, 3e7])})
