@@ -163,7 +163,7 @@ def test_orbit_camera_moves():
         assert cam.move(up=5.0).target == (1.0, 7.0, 3.0)
 
 
-@pytest.mark.parametrize("form", ["las", "laz"])
+@pytest.mark.parametrize("form", ["las", "laz", "rxp"])
 def test_values_beyond_16_bits(spark, tmp_path, form):
     """Intensities and sources that a plain record can't hold come back whole; files that don't need more bytes have none."""
     i = F.col("id")
