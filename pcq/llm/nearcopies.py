@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 
 from .common import Scratch, partitions, slim
 from .graph import components
-from .simhash import BLOCK, SMALL, _bit_counts
+from .simhash import BLOCK, _bit_counts
 
 #: Words of 64 bits in a fingerprint, and in the sketch that tells the pairs of crowded lists apart.
 WIDE, SKETCH = 8, 64
@@ -33,7 +33,8 @@ NEAR_HEAD, LEAST_SHARED = 44, 4
 SLACK = 4.3
 #: Of the candidates that crowded lists guess, each text keeps so many nearest ones; the others are looked at again.
 NEAREST = 3
-#: Above so many different texts, positions are probed by threes instead of pairs, so that lists stay short.
+#: Positions are probed by pairs, however many texts there are, so that what is found does not depend on their number. Only
+#: whoever sets this to 0 probes by threes: shorter lists for more of them, and other chances to meet.
 PAIRS_UP_TO = 4_000_000
 #: Texts of one set of candidates that a task verifies together, about; larger sets are cut into pairs of blocks.
 GROUP = 256
@@ -42,8 +43,12 @@ BROADCAST_IDS = 1_000_000
 #: Candidate pairs that a task holds before it hands them on; shingles spread at a time.
 PAIRS_HELD, _CHUNK = 1_000_000, 1 << 16
 #: Up to so many candidate pairs a list reports all of them; beyond, a forest, for one probe in so many. More guesses would
-#: find little that is new: copies of one text meet under many probes, and all lists are looked at again.
-FEW_PAIRS, GUESSING = 3, 4
+#: find little that is new: copies of one text meet under many probes, and all lists are looked at again. Texts that have
+#: nothing in common are within NEAR_HEAD by chance (1 of CHANCE pairs), so a list may report twice that more.
+FEW_PAIRS, GUESSING, CHANCE = 3, 4, 3_600
+#: Entries of a list that are all compared with one another at first. Lists grow with the number of texts (1,000 entries at 65
+#: million texts), and so does what a text is compared with: 96 lists of some nanoseconds an entry.
+LISTED = 1024
 #: Postings compared at once, at least.
 ROWS = 40_000
 _SPREAD = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SKETCH)], np.uint64)
@@ -129,21 +134,24 @@ def _candidates(rows: pd.DataFrame, order: int) -> pd.DataFrame:
     cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     sizes = np.diff(cut)
     group = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= LISTED), sizes))
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    d = 1
+    d, met, most = 1, np.zeros(len(sizes), np.int64), FEW_PAIRS + sizes * sizes // CHANCE
     while len(at):
         # Entries whose d-th next one is in the same list.
         at = at[at < len(key) - d]
         at = at[group[at] == group[at + d]]
         near = at[_near(h, at, at + d)]
-        a.append(near)
-        b.append(near + d)
+        if len(near):
+            a.append(near)
+            b.append(near + d)
+            # A list that has too many pairs by now is left to the forest.
+            np.add.at(met, group[near], 1)
+            at = at[(met <= most)[group[at]]]
         d += 1
     a, b = np.concatenate(a), np.concatenate(b)
-    met = np.bincount(group[a], minlength=len(sizes))
-    long = np.flatnonzero((sizes > SMALL) | (met > FEW_PAIRS))
-    few = met[group[a]] <= FEW_PAIRS
+    crowded = (sizes > LISTED) | (met > most)
+    long, few = np.flatnonzero(crowded), ~crowded[group[a]]
     us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for g in long[(key[cut[long]] >> (8 * order)) % GUESSING == 0]:
         i, j = _nearest_forest(h[cut[g] : cut[g + 1]])
@@ -179,6 +187,8 @@ def _whole_keys(batches: Iterator[pd.DataFrame], by: tuple[str, ...], at_once: i
 
 def _met(rows: pd.DataFrame) -> pd.DataFrame:
     """Of rows (key, lo, hi, block, h0, h1, id, label) those that have a near one with another label in their run."""
+    if rows.empty:
+        return rows
     own, h = rows[["key", "lo", "hi"]].to_numpy(), _heads(rows)
     label, block = rows["label"].to_numpy(), rows["block"].to_numpy()
     cut = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]).any(1), [True])))
@@ -195,6 +205,17 @@ def _met(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[live]
 
 
+def _still_apart(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of whole lists (rows of _met, with _blocks), what is to be looked at again: those entries of lists of one block that have a
+    near one with another label, and all entries of larger lists that have several labels."""
+    key, label = rows["key"].to_numpy(), rows["label"].to_numpy()
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    mixed = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
+    rows = rows[np.repeat(mixed, np.diff(np.append(first, len(key))))]
+    single = rows["_blocks"].to_numpy() == 1
+    return pd.concat([_met(rows[single].reset_index(drop=True)), rows[~single]]) if len(rows) else rows
+
+
 def _apart(rows: pd.DataFrame, least: float) -> Iterator[pd.DataFrame]:
     """All candidate pairs within each run of rows (key, lo, hi, block, h0, h1, id, label, n, sketch) of equal key, lo and hi
     whose labels differ: within one block where lo is hi, else from one block to the other. Pairs are told by their sketches."""
@@ -340,7 +361,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     best = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_uid").alias("u")))
     texts = tmp.save(rows.groupBy("exact").agg(best.alias("_best"), F.first("fp").alias("fp"), F.first("n").alias("n")).select("_best", F.col("_best.u").alias("id"), "fp", "n"), "texts")
     bodies = saved.select("_uid", F.col(text_col).alias("_text"))
-    order = 2 if texts.count() <= PAIRS_UP_TO else 3
+    order = 2 if PAIRS_UP_TO else 3
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = probes(order)
@@ -368,18 +389,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         # Crowded lists again, now all of their pairs that verified links don't join yet, told by sketches.
         named = texts.join(found, texts["id"] == found["node"], "left").select("id", "fp", F.coalesce("root", "id").alias("label"), "n")
         again = named.mapInPandas(post, "key long, h0 long, h1 long, id long, label long, n int")
-        again = tmp.save(again.join(long, again["key"] == long["_k"]).drop("_k"), "again")
-        mixed = again.groupBy(F.col("key").alias("_m")).agg((F.min("label") < F.max("label")).alias("_mixed")).filter("_mixed").select("_m")
-        again = again.join(mixed, again["key"] == mixed["_m"], "left_semi").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("_blocks")).cast("int"))
-        again = again.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        again = again.select("key", F.least("block", "_with").alias("lo"), F.greatest("block", "_with").alias("hi"), "block", "h0", "h1", "id", "label", "n")
-        in_runs = lambda df: df.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-        # Only entries that meet a near one of another label need a sketch, which is longer than all the rest of a row.
-        again = tmp.save(in_runs(again).mapInPandas(lambda b: map(_met, _whole_keys(b, ("key", "lo", "hi"), ROWS)), again.schema), "live")
+        again = again.join(F.broadcast(long) if long.count() <= BROADCAST_IDS else long, again["key"] == long["_k"]).drop("_k")
+        in_runs = lambda df, *by: df.repartition(partitions(spark), *by).sortWithinPartitions(*by)
+        # Only entries that meet a near one of another label need a sketch, which is longer than all the rest of a row. Lists of
+        # one block are looked through at once; larger ones with several labels are cut into pairs of blocks first.
+        again = in_runs(again.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("block"), "h0", "h1", "id", "label", "n", "_blocks"), "key")
+        again = tmp.save(again.mapInPandas(lambda b: map(_still_apart, _whole_keys(b, ("key",), ROWS)), again.schema), "again")
+        cut = again.filter("_blocks > 1").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("_blocks")).cast("int"))
+        cut = cut.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        cut = cut.select("key", F.least("block", "_with").alias("lo"), F.greatest("block", "_with").alias("hi"), "block", "h0", "h1", "id", "label", "n")
+        cut = tmp.save(in_runs(cut, "key", "lo", "hi").mapInPandas(lambda b: map(_met, _whole_keys(b, ("key", "lo", "hi"), ROWS)), cut.schema), "live")
+        again = again.filter("_blocks = 1").drop("_blocks").unionByName(cut)
         ids = tmp.save(again.select(F.col("id").alias("_id")).distinct(), "crowd")
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         told = tmp.save(bodies.join(ids, bodies["_uid"] == ids["_id"], "left_semi").select("_uid", sketch("_text").alias("sketch")), "sketches")
-        again = in_runs(again.join(told, again["id"] == told["_uid"]).drop("_uid"))
+        again = in_runs(again.join(told, again["id"] == told["_uid"]).drop("_uid"), "key", "lo", "hi")
 
         def meet_apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in _whole_keys(slim(batches), ("key", "lo", "hi")):

@@ -659,3 +659,34 @@ def test_pipeline(spark, tmp_path):
         assert not want or left == want[0]
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out) and {r.doc_id for r in out} <= set(range(20))
+
+
+def test_near_copies_do_not_depend_on_the_number_of_texts(spark, monkeypatch):
+    """Texts are probed by pairs, also where there are more of them than a constant says."""
+    real = nearcopies.probes
+
+    def pairs_only(order):
+        assert order == 2
+        return real(order)
+
+    monkeypatch.setattr(nearcopies, "probes", pairs_only)
+    monkeypatch.setattr(nearcopies, "PAIRS_UP_TO", 1)
+    texts = [prose(60, k) for k in range(30)]
+    texts += [" ".join([*t.split()[:-1], "x"]) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in nearcopies.keep_one(df).collect()) == list(range(30))
+
+
+def test_long_lists_of_strangers_are_not_crowded():
+    """A list with the pairs that chance brings reports them itself; one with many pairs goes to the forest, and holds few."""
+    import pandas as pd
+
+    h = np.random.default_rng(5).integers(-(1 << 63), (1 << 63) - 1, (600, 2))
+    h[300] = h[10]
+    rows = pd.DataFrame({"key": np.zeros(600, np.int64), "h0": h[:, 0], "h1": h[:, 1], "id": np.arange(600)})
+    found = nearcopies._candidates(rows, 2)
+    assert found["key"].isna().all() and (found["guess"] == 0).all() and ((found["u"] == 10) & (found["v"] == 300)).any()
+    near = nearcopies._near(h.view(np.uint64), *np.triu_indices(600, 1)).sum()
+    assert len(found) == near > nearcopies.FEW_PAIRS
+    same = nearcopies._candidates(rows.assign(h0=1, h1=1), 2)
+    assert same.loc[same["key"].notna(), "entries"].tolist() == [600] and len(same) <= 600
