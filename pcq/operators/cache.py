@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,14 +126,25 @@ def store_chunks(points: DataFrame, path: str, chunk: str = "chunk") -> None:
     points.repartition(chunk).write.partitionBy(chunk).mode("overwrite").parquet(path)
 
 
+#: Bytes that a fingerprint reads, and the powers of 31 that they are weighed with, the last byte by 1.
+HEAD = 1024
+_POWERS = np.array([pow(31, HEAD - 1 - k, 1 << 32) for k in range(HEAD)], np.uint32)
+
+
 def fingerprint(head: Column, size: Column) -> Column:
     """A file's short name from its first 1,024 bytes and its size: a polynomial in 31 over 32 bits with sign, and the size,
     both to the base of 36."""
-    code = F.hex(F.substring(head, 1, 1024))
-    byte = lambda i: F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
-    n = F.length(code) / 2
-    places = F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    h = F.aggregate(places, F.lit(0).cast("long"), lambda a, i: (a * 31 + byte(i)).bitwiseAND(F.lit(0xFFFFFFFF)))
-    signed = F.abs(F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h))
+
+    @F.pandas_udf("long")
+    def hashed(heads: pd.Series) -> pd.Series:
+        h = np.zeros(len(heads), np.uint32)
+        for k, raw in enumerate(heads):
+            if raw:
+                # 32-bit products and sums wrap around as the polynomial does.
+                h[k] = (np.frombuffer(raw, np.uint8).astype(np.uint32) * _POWERS[HEAD - len(raw) :]).sum(dtype=np.uint32)
+        out = pd.Series(h.view(np.int32).astype(np.int64), dtype="Int64").abs()
+        return out.mask(heads.isna())
+
+    signed = hashed(F.substring(head, 1, HEAD))
     base = lambda v: F.lower(F.conv(v.cast("string"), 10, 36))
     return F.concat(base(signed), F.lit("_"), base(size.cast("long")))

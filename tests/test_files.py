@@ -197,3 +197,19 @@ def test_extra_bytes_of_others_are_stepped_over(tmp_path):
         assert got["intensity"].tolist() == c["intensity"].tolist()
     with pytest.raises(ValueError, match="32 bits"):
         writers.las_bytes(c | {"x": np.array([0, 0, 0, 0, 3e7])})
+
+
+def test_fingerprint_of_odd_heads(spark):
+    """Empty, short, signed and long heads, in one pass over bytes and no step of the plan for each byte."""
+    heads = [b"", b"a", bytes([255] * 7), bytes(range(256)) * 4, bytes(range(256)) * 5, None]
+
+    def name(raw):
+        h = 0
+        for b in raw[:1024]:
+            h = (h * 31 + b) & 0xFFFFFFFF
+        return np.base_repr(abs(h - (1 << 32) if h >= 1 << 31 else h), 36).lower() + "_" + np.base_repr(len(raw), 36).lower()
+
+    df = spark.createDataFrame([(k, h) for k, h in enumerate(heads)], "k int, h binary")
+    got = df.select("k", cache.fingerprint(F.col("h"), F.octet_length("h")).alias("name"))
+    assert [r.name for r in got.orderBy("k").collect()] == [None if h is None else name(h) for h in heads]
+    assert "lambda" not in got._jdf.queryExecution().toString()
