@@ -71,7 +71,9 @@ def laz_roundtrip(spark, d):
 def _sorted_files(spark: SparkSession, d: str, form: str) -> str:
     """A folder of files in the order of point_idx, each a range of it."""
     path = f"{Scratch(spark, 'files').root}/{form.replace(' ', '-')}"
-    writers.write_points(file_points(spark, d).repartitionByRange(4, "point_idx").sortWithinPartitions("point_idx"), path, form)
+    points = file_points(spark, d)
+    parts = max(4, -(-points.count() // writers.FILE))
+    writers.write_points(points.repartitionByRange(parts, "point_idx").sortWithinPartitions("point_idx"), path, form)
     return path
 
 

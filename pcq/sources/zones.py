@@ -26,6 +26,8 @@ from .rxp import RxpReader
 
 #: Records in a range; tasks that read at most, beyond which a task reads several ranges.
 RANGE, MOST_TASKS = 100_000, 20_000
+#: Records for one task, about: short ranges go to a task together, since starting it takes longer than reading them.
+TASK = 500_000
 READERS: tuple[type[RecordReader], ...] = (LasReader, PlyReader, RxpReader)
 #: path, its bytes; the range: number of its first record in the file, records, number of its first record in all files;
 #: and what its records span.
@@ -93,8 +95,9 @@ _SCHEMA = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "float": pa
 
 
 def _dealt(ranges: DataFrame) -> DataFrame:
-    """Ranges one to a task, or as many as it takes."""
-    return ranges.repartition(max(1, min(ranges.count(), MOST_TASKS)))
+    """Ranges one to a task, or as many as make up TASK records, but no fewer tasks than run at once."""
+    n, records = ranges.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    return ranges.repartition(max(1, min(n, max(ranges.sparkSession.sparkContext.defaultParallelism, -(-records // TASK)), MOST_TASKS)))
 
 
 def _decoded(row: dict) -> Iterator[tuple[dict, int]]:

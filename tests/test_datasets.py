@@ -378,3 +378,16 @@ def test_gzip_is_a_stream(tmp_path):
     assert sum(got, []) == (np.arange(1000.0) % 250).tolist()
     (tmp_path / "b.ply.gz").write_bytes(gzip.compress(raw[:-190]))
     assert len(reader.decode(f"{tmp_path}/b.ply.gz", 900, 300)["x"]) == 90
+
+
+def test_short_ranges_share_tasks(spark, monkeypatch):
+    """Tasks follow the records, not the number of ranges."""
+    from pyspark.sql import functions as F
+
+    from pcq.sources import zones
+
+    ranges = spark.range(3000).select(F.lit("a.las").alias("path"), F.lit(5).cast("long").alias("count"))
+    assert zones._dealt(ranges).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(zones, "TASK", 500)
+    assert zones._dealt(ranges).rdd.getNumPartitions() == 30
+    assert zones._dealt(ranges.limit(2)).rdd.getNumPartitions() == 2 and zones._dealt(ranges.limit(0)).rdd.getNumPartitions() == 1
