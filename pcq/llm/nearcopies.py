@@ -128,7 +128,7 @@ def _ordered(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
 
 def _candidates(rows: pd.DataFrame, order: int) -> pd.DataFrame:
     """Candidate pairs within each run of rows (key, h0, h1, id) of equal key: all, if they are few; else a forest that joins
-    each entry to its nearest ones, so that what a list reports grows with its entries only. The key and size of such a list
+    each entry to its nearest ones, so that what a list reports grows with its entries only. The key, size and ids of such a list
     come with them (u and v null), since the forest is only a first guess at what its links are. One probe in GUESSING guesses."""
     key, h, ids = rows["key"].to_numpy(), _heads(rows), rows["id"].to_numpy()
     cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
@@ -160,7 +160,8 @@ def _candidates(rows: pd.DataFrame, order: int) -> pd.DataFrame:
     sure, guess = _ordered(ids[a[few]], ids[b[few]]), _ordered(np.concatenate(us), np.concatenate(vs))
     lists = pd.DataFrame({"key": key[cut[long]], "entries": sizes[long]})
     found = pd.concat([sure.assign(guess=0), guess.assign(guess=1)], ignore_index=True).astype("Int64")
-    return pd.concat([found, lists], ignore_index=True).reindex(columns=["u", "v", "guess", "key", "entries"]).astype("Int64")
+    out = pd.concat([found, lists], ignore_index=True).reindex(columns=["u", "v", "guess", "key", "entries"]).astype("Int64")
+    return out.assign(ids=pd.Series([None] * len(found) + [ids[cut[g] : cut[g + 1]] for g in long], dtype=object))
 
 
 def _whole_keys(batches: Iterator[pd.DataFrame], by: tuple[str, ...], at_once: int = 1, most: int | None = None) -> Iterator[pd.DataFrame]:
@@ -185,12 +186,14 @@ def _whole_keys(batches: Iterator[pd.DataFrame], by: tuple[str, ...], at_once: i
         yield pd.concat(held, ignore_index=True)
 
 
-def _met(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of rows (key, lo, hi, block, h0, h1, id, label) those that have a near one with another label in their run."""
+def _met(rows: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Of rows (key, lo, hi, block, h0, h1, id, label, n, fp) those that have a near one with another label in their run. Near ones
+    are told by the whole fingerprint, as the tally would tell them later on."""
     if rows.empty:
         return rows
-    own, h = rows[["key", "lo", "hi"]].to_numpy(), _heads(rows)
+    own, h, n = rows[["key", "lo", "hi"]].to_numpy(), _heads(rows), rows["n"].to_numpy()
     label, block = rows["label"].to_numpy(), rows["block"].to_numpy()
+    whole = np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(len(rows), -1)
     cut = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]).any(1), [True])))
     live = np.zeros(len(rows), bool)
     for start, end in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -200,12 +203,14 @@ def _met(rows: pd.DataFrame) -> pd.DataFrame:
             if cross:
                 other = other[block[other] != block[i]]
             near = other[_near(h, i, other)]
+            if len(near):
+                near = near[np.bitwise_count(whole[i] ^ whole[near]).sum(1, dtype=np.int64) <= most_apart(64 * WIDE, least, np.minimum(n[i], n[near]))]
             live[near] = True
             live[i] |= len(near) > 0
     return rows[live]
 
 
-def _still_apart(rows: pd.DataFrame) -> pd.DataFrame:
+def _still_apart(rows: pd.DataFrame, least: float) -> pd.DataFrame:
     """Of whole lists (rows of _met, with _blocks), what is to be looked at again: those entries of lists of one block that have a
     near one with another label, and all entries of larger lists that have several labels."""
     key, label = rows["key"].to_numpy(), rows["label"].to_numpy()
@@ -213,7 +218,7 @@ def _still_apart(rows: pd.DataFrame) -> pd.DataFrame:
     mixed = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
     rows = rows[np.repeat(mixed, np.diff(np.append(first, len(key))))]
     single = rows["_blocks"].to_numpy() == 1
-    return pd.concat([_met(rows[single].reset_index(drop=True)), rows[~single]]) if len(rows) else rows
+    return pd.concat([_met(rows[single].reset_index(drop=True), least), rows[~single]]) if len(rows) else rows
 
 
 def _apart(rows: pd.DataFrame, least: float) -> Iterator[pd.DataFrame]:
@@ -376,30 +381,43 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
                 out = {"key": key.ravel(), **{c: np.repeat(x, len(sets)) for c, x in (("h0", head[:, 0]), ("h1", head[:, 1]))}}
                 yield pd.DataFrame(out | {c: np.repeat(part[c].to_numpy(), len(sets)) for c in part.columns if c != "fp"})
 
+    def repost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = batch["keys"].map(len).to_numpy()
+            for at in range(0, len(batch), 2000):
+                part, many = batch.iloc[at : at + 2000], sizes[at : at + 2000]
+                head = np.frombuffer(b"".join(x[:16] for x in part["fp"]), np.int64).reshape(-1, 2)
+                out = {"key": np.concatenate(part["keys"].tolist()), "_blocks": np.concatenate(part["blocks"].tolist()), "h0": np.repeat(head[:, 0], many), "h1": np.repeat(head[:, 1], many)}
+                out |= {c: np.repeat(part[c].to_numpy(), many) for c in ("id", "label", "n", "fp")}
+                yield pd.DataFrame(out)[["key", "h0", "h1", "id", "label", "n", "_blocks", "fp"]]
+
     posted = texts.select("id", "fp").mapInPandas(post, "key long, h0 long, h1 long, id long")
     posted = posted.repartition(partitions(spark), "key").sortWithinPartitions("key")
-    met = tmp.save(posted.mapInPandas(lambda b: map(lambda rows: _candidates(rows, order), _whole_keys(b, ("key",), ROWS, BLOCK)), "u long, v long, guess int, key long, entries long"), "met")
+    met = tmp.save(posted.mapInPandas(lambda b: map(lambda rows: _candidates(rows, order), _whole_keys(b, ("key",), ROWS, BLOCK)), "u long, v long, guess int, key long, entries long, ids array<bigint>"), "met")
     first = met.filter("key is null").groupBy("u", "v").agg(F.min("guess").alias("guess"))
     linked = _linked(first, texts, bodies, tmp, "first", size, least)
     found = components(linked, tmp)
     # Pieces of a list overlap, so its entries are counted from above.
-    long = met.filter("key is not null").groupBy(F.col("key").alias("_k")).agg(F.ceil(F.sum("entries") / BLOCK).cast("int").alias("_blocks"))
-    long = tmp.save(long, "long")
-    if long.head(1):
-        # Crowded lists again, now all of their pairs that verified links don't join yet, told by sketches.
-        named = texts.join(found, texts["id"] == found["node"], "left").select("id", "fp", F.coalesce("root", "id").alias("label"), "n")
-        again = named.mapInPandas(post, "key long, h0 long, h1 long, id long, label long, n int")
-        again = again.join(F.broadcast(long) if long.count() <= BROADCAST_IDS else long, again["key"] == long["_k"]).drop("_k")
+    lists = met.filter("key is not null")
+    if lists.head(1):
+        # Crowded lists again, now all of their pairs that verified links don't join yet, told by sketches. Only texts of such
+        # lists are posted, each under the keys of its own: a row for each text is joined with its label, not one for each posting.
+        long = lists.groupBy(F.col("key").alias("_k")).agg(F.ceil(F.sum("entries") / BLOCK).cast("int").alias("_blocks"))
+        own = lists.join(long, lists["key"] == long["_k"]).select(F.explode("ids").alias("_id"), F.struct("key", F.col("_blocks").alias("blocks")).alias("_list"))
+        own = tmp.save(own.groupBy("_id").agg(F.collect_set("_list").alias("_lists")), "crowded")
+        named = own.join(texts, own["_id"] == texts["id"]).join(found, F.col("id") == found["node"], "left")
+        named = named.select("id", "fp", F.coalesce("root", "id").alias("label"), "n", F.col("_lists.key").alias("keys"), F.col("_lists.blocks").alias("blocks"))
+        again = named.mapInPandas(repost, "key long, h0 long, h1 long, id long, label long, n int, _blocks int, fp binary")
         in_runs = lambda df, *by: df.repartition(partitions(spark), *by).sortWithinPartitions(*by)
         # Only entries that meet a near one of another label need a sketch, which is longer than all the rest of a row. Lists of
         # one block are looked through at once; larger ones with several labels are cut into pairs of blocks first.
-        again = in_runs(again.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("block"), "h0", "h1", "id", "label", "n", "_blocks"), "key")
-        again = tmp.save(again.mapInPandas(lambda b: map(_still_apart, _whole_keys(b, ("key",), ROWS)), again.schema), "again")
+        again = in_runs(again.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("block"), "h0", "h1", "id", "label", "n", "_blocks", "fp"), "key")
+        again = tmp.save(again.mapInPandas(lambda b: (_still_apart(rows, least) for rows in _whole_keys(b, ("key",), ROWS)), again.schema), "again")
         cut = again.filter("_blocks > 1").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("_blocks")).cast("int"))
         cut = cut.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        cut = cut.select("key", F.least("block", "_with").alias("lo"), F.greatest("block", "_with").alias("hi"), "block", "h0", "h1", "id", "label", "n")
-        cut = tmp.save(in_runs(cut, "key", "lo", "hi").mapInPandas(lambda b: map(_met, _whole_keys(b, ("key", "lo", "hi"), ROWS)), cut.schema), "live")
-        again = again.filter("_blocks = 1").drop("_blocks").unionByName(cut)
+        cut = cut.select("key", F.least("block", "_with").alias("lo"), F.greatest("block", "_with").alias("hi"), "block", "h0", "h1", "id", "label", "n", "fp")
+        cut = tmp.save(in_runs(cut, "key", "lo", "hi").mapInPandas(lambda b: (_met(rows, least) for rows in _whole_keys(b, ("key", "lo", "hi"), ROWS)), cut.schema), "live")
+        again = again.filter("_blocks = 1").drop("_blocks").unionByName(cut).drop("fp")
         ids = tmp.save(again.select(F.col("id").alias("_id")).distinct(), "crowd")
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         told = tmp.save(bodies.join(ids, bodies["_uid"] == ids["_id"], "left_semi").select("_uid", sketch("_text").alias("sketch")), "sketches")

@@ -690,3 +690,31 @@ def test_long_lists_of_strangers_are_not_crowded():
     assert len(found) == near > nearcopies.FEW_PAIRS
     same = nearcopies._candidates(rows.assign(h0=1, h1=1), 2)
     assert same.loc[same["key"].notna(), "entries"].tolist() == [600] and len(same) <= 600
+
+
+def test_crowded_lists_are_posted_again_by_text(spark, monkeypatch):
+    """What is joined for a second look at crowded lists is a row for each of their texts, however many lists these share."""
+    real, written = Scratch.save, {}
+
+    def save(self, df, name, by=None):
+        out = real(self, df, name, by)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", save)
+    texts = _templated(60, 20, 33) + [prose(40, 9000 + k) for k in range(30)]
+    kept = nearcopies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), least=0.95)
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(60), *range(80, 110)]
+    assert 0 < written["crowded"] <= 80 and written["again"] > 0
+
+
+def test_crowded_lists_report_their_ids():
+    import pandas as pd
+
+    rows = pd.DataFrame({"key": np.repeat([5, 7], [40, 2]), "h0": 1, "h1": 1, "id": np.arange(42)})
+    found = nearcopies._candidates(rows, 2)
+    lists = found[found["key"].notna()]
+    assert lists["key"].tolist() == [5] and lists["ids"].iat[0].tolist() == list(range(40))
+    # Near by the first 128 bits alone does not make a second look.
+    own = rows.iloc[:40].assign(lo=0, hi=0, block=0, label=rows["id"], n=60, fp=[bytes(16) + bytes([255 * (k % 2)]) * 48 for k in range(40)])
+    assert len(nearcopies._met(own, 0.8)) == 40 and nearcopies._met(own.iloc[:2].reset_index(drop=True), 0.8).empty
