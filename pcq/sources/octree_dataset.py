@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -23,13 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..schema import POINTS
+from ..scratch import Scratch, running
 from .records import BATCH, Pushed, RecordSource, batch, read_bytes, store, widened, write_bytes
 
 # Attributes in the order of a block, with their bytes; bytes of a point.
 ATTRIBUTES = (("POSITION_CARTESIAN", 12), ("RGBA", 4), ("INTENSITY", 2), ("CLASSIFICATION", 1))
 POINT_BYTES = 19
 #: Bytes of blocks in a part, about, and parts at most: metadata.json lists them all.
-PART_BYTES, MOST_PARTS = 128 << 20, 50_000
+PART_BYTES, MOST_PARTS = 16 << 20, 50_000
 #: Levels of the keys that points are read with.
 KEY_LEVELS = 20
 NODE_SCHEMA = "name string, depth int, num_points long, child_mask int, is_leaf boolean, byte_offset long, byte_size long"
@@ -375,31 +377,54 @@ def _block(p: dict) -> list[bytes]:
     return [np.stack([p[c] for c in "xyz"], 1).astype("<f4").tobytes(), rgba.tobytes(), intensity.tobytes(), p["classification"].astype(np.uint8).tobytes()]
 
 
+def _part_of(begins: np.ndarray):
+    """A function of keys: in which part each lies. begins: the first keys of all parts but the first, sorted."""
+
+    @F.pandas_udf("int")
+    def find(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(begins, key.to_numpy(np.int64), "right").astype(np.int32))
+
+    return find
+
+
 def write_dataset(points: DataFrame, path: str, lo: tuple, hi: tuple, leaf_size: int = 5000, depth: int = 12) -> dict:
     """Index points and write a dataset into a folder of any store, in place of what is there; returns its statistics.
 
     Nodes and points are rows of one table, dealt into ranges of node names, so that a part holds all points of its leaves and
-    no bytes meet on the driver. Offsets within a part follow from its own rows, those of parts from their sizes. Points are in
-    the order of point_idx within a leaf. intensity is stored as u16 of 0..1, missing columns by their defaults, null ones as
+    no bytes meet on the driver. Points are written once with their keys, which is what all counts read; where the parts begin
+    follows from the leaves' counts, so no pass over the points samples them. Offsets within a part follow from its own rows, those
+    of parts from their sizes. Points are in the order of point_idx within a leaf. intensity is stored as u16 of 0..1, missing columns by their defaults, null ones as
     well; coordinates are finite. A leaf at the deepest level may have any number of points; its task holds them."""
     from ..operators import octree
 
     spark, root = points.sparkSession, _root(path)
-    pathed = octree.with_path(points, lo, hi, depth)
-    nodes = octree.nodes(pathed, leaf_size, depth)
-    has = set(points.columns)
+    has, tmp = set(points.columns), Scratch(spark, "dataset")
     column = lambda c, default: F.coalesce(F.col(c).cast("double"), F.lit(default)) if c in has else F.lit(default)
-    leaves = octree.leaf_of(pathed, nodes, depth).select(
-        F.col("leaf").alias("name"), F.lit(True).alias("is_point"), "point_idx", *[F.col(c).cast("float") for c in "xyz"], *[column(c, 180.0).cast("short").alias(c) for c in "rgb"],
+    keyed = octree.with_path(points, lo, hi, depth).select(
+        "key", "point_idx", *[F.col(c).cast("float") for c in "xyz"], *[column(c, 180.0).cast("short").alias(c) for c in "rgb"],
         column("intensity", 0.0).alias("intensity"), column("classification", 0.0).cast("short").alias("classification"),
     )
-    rows = nodes.select("name", F.lit(False).alias("is_point"), "num_points", "child_mask", "is_leaf").unionByName(leaves, allowMissingColumns=True)
+    keyed = tmp.save(keyed, "keyed")
+    nodes = octree.nodes(keyed, leaf_size, depth)
     total = nodes.filter("is_leaf").agg(F.sum("num_points")).first()[0] or 0
-    parts = max(1, -(-total * POINT_BYTES // max(PART_BYTES, total * POINT_BYTES // MOST_PARTS)))
+    size = max(PART_BYTES, total * POINT_BYTES // MOST_PARTS) // POINT_BYTES
+    # A part begins with the leaf whose first point is the first beyond a multiple of size, and with the nodes above that leaf.
+    first = F.call_function("shiftleft", F.col("key"), (F.lit(depth) - F.col("depth")) * 3)
+    before = running(nodes.filter("is_leaf").select(first.alias("_first"), "num_points"), ["_first"], F.col("num_points"), "_before")
+    begins = [r["at"] for r in before.groupBy(F.floor(F.col("_before") / size)).agg(F.min("_first").alias("at")).orderBy("at").collect()]
+    part = _part_of(np.array(begins[1:], np.int64))
+    leaves = octree.leaf_of(keyed, nodes, depth).withColumnRenamed("leaf", "name").withColumns({"is_point": F.lit(True), "_part": part(F.col("key"))}).drop("key")
+    # A node goes with its first leaf, which need not begin where the node's own range does.
+    spans = F.explode(F.expr("transform(sequence(1, length(name)), i -> substring(name, 1, i))")).alias("_name")
+    above = nodes.filter("is_leaf").select(spans, first.alias("_first")).groupBy("_name").agg(F.min("_first").alias("_first"))
+    rows = nodes.join(above, nodes["name"] == above["_name"]).select("name", F.lit(False).alias("is_point"), "num_points", "child_mask", "is_leaf", part(F.col("_first")).alias("_part"))
+    rows = rows.unionByName(leaves, allowMissingColumns=True)
     box = {f"{k}{c}": float(v) for k, ends in (("l", lo), ("u", hi)) for c, v in zip("xyz", ends, strict=True)}
     head = {"version": "2.0", "boundingBox": box, "spacing": math.dist(lo, hi), "scale": 1, "offset": [0, 0, 0], "attributes": [{"name": n, "size": s} for n, s in ATTRIBUTES]}
     spark.dataSource.register(OctreeSource)
-    rows.repartitionByRange(parts, "name").sortWithinPartitions("name", "is_point", "point_idx").write.format("octree").mode("overwrite").option("metadata", json.dumps(head)).save(root)
+    rows = rows.repartitionById(max(1, len(begins)), F.col("_part")).drop("_part")
+    rows.sortWithinPartitions("name", "is_point", "point_idx").write.format("octree").mode("overwrite").option("metadata", json.dumps(head)).save(root)
+    tmp.drop()
     made = metadata(root)["parts"]
     return {"total_points": total, "total_nodes": sum(p["nodes"] for p in made), "leaf_nodes": sum(p["leaves"] for p in made), "bytes": sum(p["size"] for p in made)}
 

@@ -391,3 +391,19 @@ def test_short_ranges_share_tasks(spark, monkeypatch):
     monkeypatch.setattr(zones, "TASK", 500)
     assert zones._dealt(ranges).rdd.getNumPartitions() == 30
     assert zones._dealt(ranges.limit(2)).rdd.getNumPartitions() == 2 and zones._dealt(ranges.limit(0)).rdd.getNumPartitions() == 1
+
+
+def test_points_are_worked_out_once(spark, cloud, tmp_path, monkeypatch):
+    """Writing a dataset reads its points once, and deals its parts evenly by the leaves' counts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    monkeypatch.setattr(octree_dataset, "PART_BYTES", 4000)
+    octree_dataset.write_dataset(cloud.mapInPandas(watched, cloud.schema), str(tmp_path / "d"), LO, HI, leaf_size=25)
+    assert seen.value == 1230
+    parts = octree_dataset.files_of(str(tmp_path / "d"))
+    assert len(parts) == 6 and all(p["size"] <= 4000 + 30 * 19 for p in parts) and all(a["last"] < b["first"] for a, b in zip(parts, parts[1:], strict=False))
