@@ -629,12 +629,12 @@ def fps_1s(spark, d):
     return control.frames(e).select(F.unix_micros("start").alias("start_us"), "fps")
 
 
-def control_log(spark, d):
+def control_log(spark, d, *more):
     v = F.col("value")
     kind = F.when(F.col("event_type") == "error", "reset").when(F.col("event_type") == "signup", "switchMode").otherwise("signal")
     return spark.read.parquet(f"{d}/events.parquet").select(
         F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), kind.alias("type"), (v / 100).alias("yaw"), (v / 50 - 1).alias("pitch"),
-        (v / 1000 - 0.05).alias("zoom"), (v / 200).alias("pan_x"), (v / 300 - 0.5).alias("pan_y"),
+        (v / 1000 - 0.05).alias("zoom"), (v / 200).alias("pan_x"), (v / 300 - 0.5).alias("pan_y"), *more,
     )
 
 

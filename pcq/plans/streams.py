@@ -23,8 +23,7 @@ def timed(spark: SparkSession, d: str) -> DataFrame:
 
 def signals(spark: SparkSession, d: str) -> DataFrame:
     """control_log with the time of each signal."""
-    at = timed(spark, d).select(F.col("event_id").alias("seq"), "ts")
-    return control_log(spark, d).join(at, "seq")
+    return control_log(spark, d, F.col("ts").cast("timestamp").alias("ts"))
 
 
 def streamed(log: DataFrame, key: str, run: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

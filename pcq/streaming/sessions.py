@@ -9,8 +9,11 @@ dropped by Spark.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -24,9 +27,24 @@ CAMERA = "began long, latest long, signals long, yaw double, pitch double, zoom
 LIFE = f"session string, {CAMERA}"
 _SIGNAL = tuple(f.split()[0] for f in SIGNAL.split(", "))
 _CAMERA = tuple(f.split()[0] for f in CAMERA.split(", "))
+#: States that a stream's sessions share. More sessions make a state longer, not more calls to the store.
+BUCKETS = 512
+_TYPES = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+_SIGNALS, _CAMERAS = (pa.schema([(f.split()[0], _TYPES[f.split()[1]]) for f in f"session string, {own}".split(", ")]) for own in (SIGNAL, CAMERA))
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
+
+
 class _Signal:
     __slots__ = _SIGNAL
 
@@ -84,60 +102,80 @@ def lives(log: DataFrame, idle: int = IDLE) -> DataFrame:
 
 
 class Cameras(StatefulProcessor):
-    """State of a session: its camera, and the signals that are not final yet. A timer at the earliest of these, or at the end
-    of the camera's patience, wakes it when the watermark gets there."""
+    """State of a bucket of sessions: their cameras, and the signals that are not final yet, each as one Arrow table, since a call
+    to the state store costs more than a session's signals. One timer, at the earliest of these or at the end of a camera's
+    patience, wakes the bucket when the watermark gets there."""
 
     def __init__(self, idle: int):
         self.idle = idle * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.camera = handle.getValueState("camera", CAMERA)
-        self.waiting = handle.getListState("waiting", SIGNAL)
+        self.cameras = handle.getValueState("cameras", "rows binary")
+        # Signals of each batch, as they came; what is left of them after a wake is one table again.
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.due = handle.getValueState("due", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(None if v is pd.NA else v for v in r) for batch in rows for r in batch[list(_SIGNAL)].astype(object).itertuples(index=False)]
+        new = [pa.Table.from_pandas(batch[["session", *_SIGNAL]], _SIGNALS, preserve_index=False) for batch in rows if len(batch)]
         if new:
-            self.waiting.appendList(new)
-            self._wake(min(r[0] for r in new), timerValues)
+            new = pa.concat_tables(new)
+            self.waiting.appendValue((_packed(new),))
+            self._wake(pc.min(new["ts"]).as_py(), timerValues)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         final = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [_Signal(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted((s for s in held if s.ts <= final), key=lambda s: (s.ts, s.seq))
-        later = [s for s in held if s.ts > final]
-        state, ended = _fold(dict(zip(_CAMERA, self.camera.get(), strict=True)) if self.camera.exists() else None, due, self.idle)
-        if state is not None and state["latest"] + self.idle <= final:
-            ended.append(state)
-            state = None
-        if due:
+        self.due.clear()
+        held = [_unpacked(raw) for (raw,) in self.waiting.get()] if self.waiting.exists() else []
+        held = pa.concat_tables(held) if held else _SIGNALS.empty_table()
+        due, later = held.filter(pc.less_equal(held["ts"], final)), held.filter(pc.greater(held["ts"], final))
+        states = {r.pop("session"): r for r in _unpacked(self.cameras.get()[0]).to_pylist()} if self.cameras.exists() else {}
+        ended = []
+        columns = [due[c].to_pylist() for c in ("session", *_SIGNAL)]
+        signals = sorted(zip(*columns, strict=True), key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2]))
+        for session, own in groupby(signals, key=lambda r: r[0]):
+            states[session], gone = _fold(states.get(session), [_Signal(r[1:]) for r in own], self.idle)
+            ended += [{"session": session, **e} for e in gone]
+        for session, state in list(states.items()):
+            if state["latest"] + self.idle <= final:
+                ended.append({"session": session, **states.pop(session)})
+        if len(due):
             self.waiting.clear()
-            if later:
-                self.waiting.put([tuple(getattr(s, c) for c in _SIGNAL) for s in later])
-        if state is None:
-            self.camera.clear()
+            if len(later):
+                self.waiting.appendValue((_packed(later),))
+        if states:
+            self.cameras.update((_packed(pa.Table.from_pylist([{"session": k, **v} for k, v in states.items()], _CAMERAS)),))
         else:
-            self.camera.update(tuple(state[c] for c in _CAMERA))
-        times = [s.ts for s in later] + ([state["latest"] + self.idle] if state else [])
+            self.cameras.clear()
+        times = [pc.min(later["ts"]).as_py()] if len(later) else []
+        times += [state["latest"] + self.idle for state in states.values()]
         if times:
             self._wake(min(times), timerValues)
         if ended:
-            yield pd.DataFrame([{"session": key[0], **e} for e in ended])[["session", *_CAMERA]]
+            yield pd.DataFrame(ended)[["session", *_CAMERA]]
 
     def _wake(self, micros: int, timerValues) -> None:
-        self.handle.registerTimer(max(-(-micros // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+        at = max(-(-micros // 1000), timerValues.getCurrentWatermarkInMs() + 1)
+        set_for = self.due.get()[0] if self.due.exists() else None
+        if set_for is None or at < set_for:
+            if set_for is not None:
+                self.handle.deleteTimer(set_for)
+            self.handle.registerTimer(at)
+            self.due.update((at,))
 
     def close(self) -> None:
         pass
 
 
-def camera_lives(log: DataFrame, delay: str, idle: int = IDLE) -> DataFrame:
+def camera_lives(log: DataFrame, delay: str, idle: int = IDLE, buckets: int = BUCKETS) -> DataFrame:
     """lives() of a stream: a camera is sent once, in append mode, when the watermark says that no signal can prolong it; its
-    state goes then. Keyed state with timers needs the state store that is set here unless the session names one of its own."""
+    state goes then. Keyed state with timers needs the state store that is set here unless the session names one of its own.
+    Sessions share `buckets` states; a checkpoint keeps their number."""
     spark: SparkSession = log.sparkSession
     name = "spark.sql.streaming.stateStore.providerClass"
     if "RocksDB" not in spark.conf.get(name):
         spark.conf.set(name, ROCKS)
-    rows = log.withWatermark("ts", delay).select("session", F.col("ts").alias("at"), F.unix_micros("ts").alias("ts"), *_SIGNAL[1:])
-    return rows.groupBy("session").transformWithStateInPandas(Cameras(idle), LIFE, "Append", "EventTime")
+    bucket = F.pmod(F.xxhash64("session"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = log.withWatermark("ts", delay).select(bucket, "session", F.col("ts").alias("at"), F.unix_micros("ts").alias("ts"), *_SIGNAL[1:])
+    return rows.groupBy("bucket").transformWithStateInPandas(Cameras(idle), LIFE, "Append", "EventTime")

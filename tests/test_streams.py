@@ -95,3 +95,12 @@ def test_lives_of_awkward_logs(spark):
     log = [signal(None, 1, 5.0), signal(None, 2, 4.0), signal("a", 1, 0.0), signal("a", 2, 10.0), signal("a", 3, 19.999999), signal("b", 4, 0.0)]
     got = sessions.lives(spark.createDataFrame(log, LOG), idle=10).select("session", F.col("began") - int(START.replace(tzinfo=datetime.UTC).timestamp()) * 1_000_000, "signals").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, 4_000_000, 2), ("a", 0, 1), ("a", 10_000_000, 2), ("b", 0, 1)]))
+
+
+def test_sessions_share_states(spark, tmp_path):
+    """One state holds many sessions, null among them, and gives what the batch gives."""
+    log = [signal(s, 10 * k + j, 100.0 * k + j) for k in range(6) for j, s in enumerate(["a", "b", None, "d"]) if (k, s) != (3, "b")]
+    got = run(spark, tmp_path, [log[::2], log[1::2], [signal("z", 9999, 50_000.0)]], lambda s: sessions.camera_lives(s, "1000 seconds", idle=150, buckets=1))
+    want = sessions.lives(spark.createDataFrame(log, LOG), idle=150)
+    texts = lambda df: sorted(map(str, map(tuple, df.collect())))
+    assert texts(got) == texts(want) and want.count() == 5
