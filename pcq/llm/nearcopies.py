@@ -11,7 +11,7 @@ what verified links leave apart is then told by sketches of 4,096 bits, so that
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -40,8 +40,8 @@ PAIRS_UP_TO = 4_000_000
 GROUP = 256
 #: Up to so many ids (a long each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Candidate pairs that a task holds before it hands them on; shingles spread at a time.
-PAIRS_HELD, _CHUNK = 1_000_000, 1 << 16
+#: Shingles spread at a time.
+_CHUNK = 1 << 16
 #: Up to so many candidate pairs a list reports all of them; beyond, a forest, for one probe in so many. More guesses would
 #: find little that is new: copies of one text meet under many probes, and all lists are looked at again. Texts that have
 #: nothing in common are within NEAR_HEAD by chance (1 of CHANCE pairs), so a list may report twice that more.
@@ -222,40 +222,69 @@ def _still_apart(rows: pd.DataFrame, least: float) -> pd.DataFrame:
 
 
 def _apart(rows: pd.DataFrame, least: float) -> Iterator[pd.DataFrame]:
-    """All candidate pairs within each run of rows (key, lo, hi, block, h0, h1, id, label, n, sketch) of equal key, lo and hi
-    whose labels differ: within one block where lo is hi, else from one block to the other. Pairs are told by their sketches."""
+    """Of each run of rows (key, lo, hi, block, h0, h1, id, label, n, sketch) of equal key, lo and hi a forest (u, v, d, a, b) that
+    joins all labels a and b which pairs near by their sketches join: each entry with its nearest one of every other tree found so
+    far, d bits apart. Within one block where lo is hi, else from one block to the other. A run has fewer such rows than entries."""
     own, h, ids, n = rows[["key", "lo", "hi"]].to_numpy(), _heads(rows), rows["id"].to_numpy(), rows["n"].to_numpy()
     label, block = rows["label"].to_numpy(), rows["block"].to_numpy()
     sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
     cut = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]).any(1), [True])))
     mixed = np.minimum.reduceat(label, cut[:-1]) != np.maximum.reduceat(label, cut[:-1])
-    us, vs, held = [], [], 0
+    us, vs, ds = [], [], []
     for g in np.flatnonzero(mixed):
         start, end = int(cut[g]), int(cut[g + 1])
-        cross = own[start, 1] != own[start, 2]
-        for i in range(start, end - 1):
-            other = np.flatnonzero(label[i + 1 : end] != label[i]) + i + 1
+        cross, tree = own[start, 1] != own[start, 2], label[start:end].copy()
+        for i in range(start, end):
+            other = np.flatnonzero(tree != tree[i - start]) + start
+            if not len(other):
+                break
             if cross:
                 other = other[block[other] != block[i]]
             other = other[_near(h, i, other)]
             differ = np.bitwise_count(sketch[i] ^ sketch[other]).sum(1, dtype=np.int64)
-            near = ids[other[differ <= most_apart(64 * sketch.shape[1], least, np.minimum(n[i], n[other]))]]
-            us.append(np.full(len(near), ids[i]))
-            vs.append(near)
-            held += len(near)
-            if held > PAIRS_HELD:
-                yield _ordered(np.concatenate(us), np.concatenate(vs))
-                us, vs, held = [], [], 0
-    if held:
-        yield _ordered(np.concatenate(us), np.concatenate(vs))
-
-
-def _verify(rows: pd.DataFrame, size: int, least: float) -> tuple[list[int], list[int]]:
-    """rows(node, partners, text) of one set -> links: pairs whose exact similarity is enough, nearest fingerprints first.
-    A pair that verified links already join is not looked at again."""
+            near = np.flatnonzero(differ <= most_apart(64 * sketch.shape[1], least, np.minimum(n[i], n[other])))
+            if len(near):
+                near = near[np.argsort(differ[near], kind="stable")]
+                roots, first = np.unique(tree[other[near] - start], return_index=True)
+                us.append(np.full(len(roots), i))
+                vs.append(other[near[first]])
+                ds.append(differ[near[first]])
+                tree[np.isin(tree, roots)] = tree[i - start]
+    if us:
+        u, v = np.concatenate(us), np.concatenate(vs)
+        ends, labels = np.sort(ids[[u, v]], 0), np.sort(label[[u, v]], 0)
+        yield pd.DataFrame({"u": ends[0], "v": ends[1], "d": np.concatenate(ds), "a": labels[0], "b": labels[1]}).drop_duplicates()
+
+
+def _near_pairs(rows: pd.DataFrame, least: float) -> list[tuple[int, int, int]]:
+    """Pairs (bits apart, i, j) of places in rows (piece, label, n, sketch) of one set that have different labels and are near by
+    their sketches, nearest first: from one piece to the other, if there are two."""
+    label, n, piece = rows["label"].to_numpy(), rows["n"].to_numpy(), rows["piece"].to_numpy()
+    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+    cross, found = piece[0] != piece[-1], []
+    for i in range(len(rows) - 1):
+        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if cross:
+            other = other[piece[other] != piece[i]]
+        differ = np.bitwise_count(sketch[i] ^ sketch[other]).sum(1, dtype=np.int64)
+        near = differ <= most_apart(64 * sketch.shape[1], least, np.minimum(n[i], n[other]))
+        found += zip(differ[near].tolist(), [i] * int(near.sum()), other[near].tolist(), strict=True)
+    return sorted(found)
+
+
+def _asked_pairs(rows: pd.DataFrame) -> list[tuple[int, int, int]]:
+    """The pairs (bits apart, i, j) that rows(node, partners) of one set ask for, nearest first."""
     place = {int(x): k for k, x in enumerate(rows["node"])}
-    pairs = sorted((int(p["d"]), i, place[int(p["v"])]) for i, own in enumerate(rows["partners"]) for p in own)
+    return sorted((int(p["d"]), i, place[int(p["v"])]) for i, own in enumerate(rows["partners"]) for p in own)
+
+
+def _verify(rows: pd.DataFrame, pairs: list[tuple[int, int, int]], size: int, least: float) -> tuple[list[int], list[int]]:
+    """rows(node, text) of one set, and pairs of them, nearest first -> links: pairs whose exact similarity is enough. A pair that
+    verified links (or labels, where rows have them) already join is not looked at again."""
     root, sets = list(range(len(rows))), {}
+    if "label" in rows:
+        first: dict[int, int] = {}
+        root = [first.setdefault(int(x), k) for k, x in enumerate(rows["label"])]
 
     def top(x: int) -> int:
         while root[x] != x:
@@ -282,8 +311,7 @@ def _verify(rows: pd.DataFrame, size: int, least: float) -> tuple[list[int], lis
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, saved: DataFrame, tmp: Scratch, name: str, size: int, least: float) -> DataFrame:
-    """Links (u, v) among candidate pairs that connect what all links among them would. Pairs are tallied first. Candidates that
-    hang together are verified together, each text read once; sets of more than GROUP texts in pairs of blocks."""
+    """Links (u, v) among candidate pairs (u, v, guess) that connect what all links among them would. Pairs are tallied first."""
 
     @F.pandas_udf("int")
     def apart(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
@@ -304,6 +332,12 @@ def _linked(pairs: DataFrame, texts: DataFrame, saved: DataFrame, tmp: Scratch,
     rank = lambda c, d: F.row_number().over(W.partitionBy(c, "guess").orderBy("d", d))
     tallied = tallied.withColumn("_r", rank("u", "v")).withColumn("_s", rank("v", "u"))
     pairs = tmp.save(tallied.filter((F.col("guess") == 0) | (F.least("_r", "_s") <= NEAREST)).select("u", "v", "d"), f"pairs-{name}")
+    return _confirmed(pairs, saved, tmp, name, size, least)
+
+
+def _confirmed(pairs: DataFrame, saved: DataFrame, tmp: Scratch, name: str, size: int, least: float) -> DataFrame:
+    """Links (u, v) among pairs (u, v, d) that connect what all links among them would. Pairs that hang together are verified
+    together, each text read once; sets of more than GROUP texts in pairs of blocks."""
     inner = Scratch(saved.sparkSession, f"near-loose-{name}")
     loose = components(pairs, inner)
     sizes = loose.groupBy(F.col("root").alias("_root")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("_blocks"))
@@ -318,7 +352,14 @@ def _linked(pairs: DataFrame, texts: DataFrame, saved: DataFrame, tmp: Scratch,
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     bodies = saved.join(ids, saved["_uid"] == ids["_id"], "left_semi")
     rows = asked.join(bodies, asked["node"] == bodies["_uid"]).select("root", "lo", "hi", "node", "partners", F.col("_text").alias("text"))
-    rows = rows.repartition(partitions(saved.sparkSession), "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "node")
+    linked = tmp.save(_in_sets(rows, _asked_pairs, size, least), f"linked-{name}")
+    inner.drop()
+    return linked
+
+
+def _in_sets(rows: DataFrame, pairs_of: Callable[[pd.DataFrame], list[tuple[int, int, int]]], size: int, least: float) -> DataFrame:
+    """Verified links (u, v) within the sets (root, lo, hi) of rows (node, text and what pairs_of reads)."""
+    rows = rows.repartition(partitions(rows.sparkSession), "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "node")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         us: list[int] = []
@@ -327,14 +368,38 @@ def _linked(pairs: DataFrame, texts: DataFrame, saved: DataFrame, tmp: Scratch,
             own = part[["root", "lo", "hi"]].to_numpy()
             cut = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]).any(1), [True])))
             for i, j in zip(cut[:-1], cut[1:], strict=True):
-                u, v = _verify(part.iloc[i:j], size, least)
+                one = part.iloc[i:j]
+                u, v = _verify(one, pairs_of(one), size, least)
                 us += u
                 vs += v
         yield pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
 
-    linked = tmp.save(rows.mapInPandas(check, "u long, v long"), f"linked-{name}")
-    inner.drop()
-    return linked
+    return rows.mapInPandas(check, "u long, v long")
+
+
+def _left_apart(members: DataFrame, told: DataFrame, saved: DataFrame, tmp: Scratch, size: int, least: float) -> DataFrame:
+    """Links (u, v) among texts (id, root, label, n) of one root and different labels: all pairs that are near by their sketches.
+    Such pairs are told where they are verified, so none of them is a row. Texts are dealt into pieces of some GROUP texts, those
+    of a label that has so many into pieces of their own, and sets are pairs of pieces: a large label meets the others only."""
+    many = members.groupBy("root").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a <> _b").select(F.col("root").alias("_root"))
+    left = tmp.save(members.join(many, members["root"] == many["_root"], "left_semi"), "left")
+    pools = left.groupBy(F.col("root").alias("_root"), F.col("label").alias("_label")).agg(F.count("*").alias("_n"))
+    pools = tmp.save(pools.withColumn("_pool", F.when(F.col("_n") >= GROUP, F.col("_label"))), "pools")
+    blocks = pools.groupBy(F.col("_root").alias("_r"), F.col("_pool").alias("_p")).agg(F.ceil(F.sum("_n") / GROUP).cast("int").alias("_blocks"))
+    pools = pools.join(blocks, (F.col("_root") == F.col("_r")) & F.col("_pool").eqNullSafe(F.col("_p")))
+    dealt = left.join(pools, (left["root"] == pools["_root"]) & (left["label"] == pools["_label"]))
+    block = F.pmod(F.xxhash64("id", F.lit("apart")), F.col("_blocks")).cast("int")
+    dealt = tmp.save(dealt.withColumn("piece", F.concat_ws(":", "_pool", block)).select("root", "_pool", "piece", "id", "label", "n"), "dealt")
+    pieces = tmp.save(dealt.select("root", "_pool", "piece").distinct(), "pieces")
+    lo, hi = (pieces.select(F.col("root").alias(f"_{k}"), F.col("_pool").alias(f"_pool_{k}"), F.col("piece").alias(k)) for k in ("lo", "hi"))
+    sets = lo.join(hi, (F.col("_lo") == F.col("_hi")) & (F.col("lo") <= F.col("hi"))).filter("_pool_lo is null or _pool_hi is null or _pool_lo <> _pool_hi")
+    sides = sets.select(F.col("_lo").alias("_root"), "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_piece"))
+    asked = dealt.join(sides, (dealt["root"] == sides["_root"]) & (dealt["piece"] == sides["_piece"])).select("root", "lo", "hi", "piece", F.col("id").alias("node"), "label", "n")
+    ids = left.select(F.col("id").alias("_id"))
+    ids = F.broadcast(ids) if left.count() <= BROADCAST_IDS else ids
+    bodies = saved.join(ids, saved["_uid"] == ids["_id"], "left_semi").join(told.select(F.col("_uid").alias("_t"), "sketch"), F.col("_uid") == F.col("_t"))
+    rows = asked.join(bodies, asked["node"] == bodies["_uid"]).select(*asked.columns, "sketch", F.col("_text").alias("text"))
+    return tmp.save(_in_sets(rows, lambda one: _near_pairs(one, least), size, least), "linked-left")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
@@ -343,8 +408,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     Texts whose words are the same (A-Z lower-cased) are one; other texts are linked if their sets of word shingles
     reach the Jaccard similarity. Groups follow links. Texts without words (null, empty) are alike. A null id is larger
     than any other; of repeated rows one stays. An empty table stays empty. Lists of many candidate pairs
-    report first a forest that joins each entry to its nearest one of every other component, which is verified; then all pairs of
-    such lists that verified links leave apart, block by block.
+    report first a forest that joins each entry to its nearest one of every other component, which is verified; then such a forest by
+    sketches, of what verified links leave apart; then all pairs that are still apart are told and verified, set by set.
     """
     spark = docs.sparkSession
     tmp = Scratch(spark, "near")
@@ -418,8 +483,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         cut = cut.select("key", F.least("block", "_with").alias("lo"), F.greatest("block", "_with").alias("hi"), "block", "h0", "h1", "id", "label", "n", "fp")
         cut = tmp.save(in_runs(cut, "key", "lo", "hi").mapInPandas(lambda b: (_met(rows, least) for rows in _whole_keys(b, ("key", "lo", "hi"), ROWS)), cut.schema), "live")
         again = again.filter("_blocks = 1").drop("_blocks").unionByName(cut).drop("fp")
-        ids = tmp.save(again.select(F.col("id").alias("_id")).distinct(), "crowd")
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        crowd = tmp.save(again.select("id", "label", "n").distinct(), "crowd")
+        ids = crowd.select(F.col("id").alias("_id"))
+        ids = F.broadcast(ids) if crowd.count() <= BROADCAST_IDS else ids
         told = tmp.save(bodies.join(ids, bodies["_uid"] == ids["_id"], "left_semi").select("_uid", sketch("_text").alias("sketch")), "sketches")
         again = in_runs(again.join(told, again["id"] == told["_uid"]).drop("_uid"), "key", "lo", "hi")
 
@@ -427,8 +493,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
             for part in _whole_keys(slim(batches), ("key", "lo", "hi")):
                 yield from _apart(part, least)
 
-        rest = again.mapInPandas(meet_apart, "u long, v long").distinct().withColumn("guess", F.lit(0))
-        found = components(linked.union(_linked(rest, texts, bodies, tmp, "again", size, least)), Scratch(spark, "near-again"))
+        # First the nearest pairs that join what hangs together, which leaves little of a group of near copies apart; then all
+        # pairs of what is left, set by set. All that is near by sketches hangs together by labels (a, b), whichever pairs stand for it.
+        forest = tmp.save(again.mapInPandas(meet_apart, "u long, v long, d int, a long, b long").distinct(), "forest")
+        linked = linked.union(_confirmed(forest.select("u", "v", "d"), bodies, tmp, "again", size, least))
+        found = components(linked, Scratch(spark, "near-again"))
+        trees = components(forest.select(F.col("a").alias("u"), F.col("b").alias("v")), Scratch(spark, "near-trees"))
+        members = crowd.select("id", "n", F.col("label").alias("_was")).join(trees.select(F.col("node").alias("_node"), F.col("root").alias("_tree")), F.col("_was") == F.col("_node"))
+        members = members.join(found, members["id"] == found["node"], "left").select("id", F.col("_tree").alias("root"), F.coalesce(found["root"], "id").alias("label"), "n")
+        linked = linked.union(_left_apart(members, told, bodies, tmp, size, least))
+        found = components(linked, Scratch(spark, "near-left"))
     classed = texts.join(found, texts["id"] == found["node"], "left").select("_best", F.coalesce("root", "id").alias("_root"))
     stays = classed.groupBy("_root").agg(F.min("_best").alias("_best")).select(F.col("_best.u").alias("_k"))
     gone = tmp.save(rows.select("_uid").join(stays, rows["_uid"] == stays["_k"], "left_anti").select(F.col("_uid").alias("_g")), "gone")

@@ -718,3 +718,36 @@ def test_crowded_lists_report_their_ids():
     # Near by the first 128 bits alone does not make a second look.
     own = rows.iloc[:40].assign(lo=0, hi=0, block=0, label=rows["id"], n=60, fp=[bytes(16) + bytes([255 * (k % 2)]) * 48 for k in range(40)])
     assert len(nearcopies._met(own, 0.8)) == 40 and nearcopies._met(own.iloc[:2].reset_index(drop=True), 0.8).empty
+
+
+def test_crowded_lists_send_a_forest():
+    """What a list reports of texts that are left apart grows with its entries, not with their pairs."""
+    import pandas as pd
+
+    for n in (40, 400):
+        rows = pd.DataFrame({"key": 5, "lo": 0, "hi": 0, "block": 0, "h0": 1, "h1": 1, "id": np.arange(n), "label": np.arange(n), "n": 60, "sketch": [bytes(512)] * n})
+        forest = pd.concat(nearcopies._apart(rows, 0.8))
+        assert len(forest) == n - 1 and set(forest["u"]) | set(forest["v"]) == set(range(n))
+        cross = rows.assign(hi=1, block=np.arange(n) % 2)
+        forest = pd.concat(nearcopies._apart(cross, 0.8))
+        assert len(forest) == n - 1 and ((forest["u"] + forest["v"]) % 2 == 1).all()
+
+
+def test_what_the_forest_leaves_apart_is_verified_whole(spark, monkeypatch):
+    """Links that no tree of a list stands for are found in sets of pieces, also beside a label of several pieces."""
+    real = nearcopies._confirmed
+
+    def misses(pairs, saved, tmp, name, size, least):
+        return real(pairs.filter("u < 0") if name == "again" else pairs, saved, tmp, name, size, least)
+
+    monkeypatch.setattr(nearcopies, "_confirmed", misses)
+    monkeypatch.setattr(nearcopies, "most_apart", lambda bits, least, n: np.full(np.shape(n), bits, float))
+    monkeypatch.setattr(nearcopies, "GROUP", 20)
+    _same_prints(monkeypatch)
+    # The first guess chains 50 copies of the first text to one label, and misses all other links.
+    copies = [prose(120, 50) + f" end{k}" for k in range(50)]
+    texts = copies + _templated(60, 30, 34) + [copies[0] + " too"]
+    chain = (np.arange(49), np.arange(1, 50))
+    monkeypatch.setattr(nearcopies, "_nearest_forest", lambda h: chain if len(h) == len(texts) else (np.empty(0, np.int64), np.empty(0, np.int64)))
+    kept = nearcopies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), least=0.9)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(50, 110)]
