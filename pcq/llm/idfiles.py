@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,10 @@ _UNUSUAL = re.compile("[^\t-\r\x20-;=-~À-ÖØ-öø-įıĲ-ɏ]")
 _PLAIN = re.compile(r"([^\W\d_]+)([.,]*)")
 #: A full stop or comma beside another mark makes one run with it.
 _RUN = re.compile(r"[.,][^\w\s]|[^\w\s][.,]|_")
+#: The same over texts of usual characters, for Arrow: their marks are those of ASCII.
+_ARROW_RUN = r"[.,][!-/:-@\[-^`{-~]|[!-/:-@\[-^`{-~][.,]|_"
+#: Texts and characters that are cut into words at once, about.
+TEXTS, CHARS = 4_000, 8_000_000
 #: Python's split() takes these for white space; the tokenizer's white space does not hold them.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -99,6 +105,41 @@ class WordTokenizer:
         for w, ids in zip(ask, self._whole(ask) if ask else [], strict=True):
             self.known[w] = ids
 
+    def encode_column(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """The ids of each text and the end id, as encode() has them. Words of usual texts are cut and told apart by Arrow, so
+        that each different one is looked up once; the others go through encode()."""
+        usual = pc.invert(pc.match_substring_regex(texts, _UNUSUAL.pattern)).fill_null(False) if self.direct else pa.array(np.zeros(len(texts), bool))
+        rest = [x for x, own in zip(texts, usual, strict=True) if not own.as_py()] if not pc.all(usual).as_py() else []
+        odd = self.encode([x.as_py() for x in rest])
+        lower = pc.utf8_lower(texts.filter(usual))
+        parted = pc.replace_substring(pc.replace_substring(lower, ",", " , "), ".", " . ")
+        words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(lower, _ARROW_RUN), lower, parted))
+        coded = words.flatten().dictionary_encode()
+        # Behind the ids of different words: those of odd texts, each as one word, and the end id. Split leaves empty words at the ends.
+        different = coded.dictionary.to_pylist()
+        found = [*map(self.known.get, different)]
+        if None in found:
+            self._learn({w for w, x in zip(different, found, strict=True) if x is None and w}, True)
+            known = self.known
+            found = [(known[w] if w else b"") if x is None else x for w, x in zip(different, found, strict=True)]
+        found += [*odd, np.array([end_id], "<u2").tobytes()]
+        pool, size = np.frombuffer(b"".join(found), "<u2"), np.fromiter(map(len, found), np.int64, len(found)) // 2
+        # Words of each text in a row, with the end after them.
+        own = usual.to_numpy(zero_copy_only=False)
+        many = np.ones(len(texts), np.int64)
+        many[own] = np.diff(words.offsets.to_numpy())
+        last = np.cumsum(many + 1) - 1
+        word, inner = np.full(int(last[-1]) + 1, len(found) - 1), np.ones(int(last[-1]) + 1, bool)
+        inner[last] = False
+        if odd:
+            at = last[~own] - 1
+            word[at], inner[at] = len(different) + np.arange(len(odd)), False
+        word[inner] = coded.indices.to_numpy()
+        each = size[word]
+        ends = np.cumsum(each)
+        ids = pool[np.repeat((np.cumsum(size) - size)[word] - ends + each, each) + np.arange(int(ends[-1]))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.concatenate(([0], 2 * ends[last])).astype(np.int32)), pa.py_buffer(ids)])
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian u16; none for null."""
         out = []
@@ -137,17 +178,28 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer, end = _tokenizer(spec.value), np.array([end_id], "<u2").tobytes()
+        tokenizer = _tokenizer(spec.value)
         for batch in slim(batches):
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [x + end for x in tokenizer.encode(part["_text"].tolist())]})
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).mapInPandas(run, "doc_id long, ids binary")
+            for at, n in _pieces(batch.column(1)):
+                part = batch.slice(at, n)
+                yield pa.RecordBatch.from_arrays([part.column(0), tokenizer.encode_column(part.column(1), end_id)], ["doc_id", "ids"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(run, "doc_id long, ids binary")
+
+
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of texts that are encoded at once."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHARS, "right"))
+        n = max(1, min(TEXTS, most - at))
+        yield at, n
+        at += n
 
 
 def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -290,6 +290,31 @@ def test_tokenizer_cache_is_exact():
     assert [t for t, x, y in zip(texts, got, want, strict=True) if x != y] == [] and w.encode(texts) == want
 
 
+def test_columns_are_tokenised_by_their_different_words(monkeypatch):
+    """The ids of a column are those of its texts, with every usual character, across pieces; a repeated word is looked up once."""
+    import pyarrow as pa
+
+    w = idfiles.WordTokenizer(open(TOKENIZER, encoding="utf-8").read())
+    usual = [c for c in map(chr, range(1, 0x260)) if not idfiles._UNUSUAL.search(c)]
+    r = random.Random(13)
+    marks = [*"abzÀÉñǆſıĲ09.,.,''-_(!?", " ", " ", "\n", "\x1c", "İ", "ß", "<", "漢", "\u00a0", "\u0301"]
+    texts = [None, "", " ", "  a  ", ".", ",.", "a.b", "don't.", "x".join(usual), " ".join(usual), *[a + b for a in ".,!_a" for b in usual]]
+    texts += ["".join(r.choice(marks[: r.choice([23, len(marks)])]) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    r.shuffle(texts)
+    want = [np.array([*e.ids, 7], "<u2").tobytes() for e in w.inner.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    column = pa.array(texts, pa.string())
+    monkeypatch.setattr(idfiles, "CHARS", 5_000)
+    pieces = [*idfiles._pieces(column)]
+    assert len(pieces) > 3 and sum(n for _, n in pieces) == len(texts)
+    got = [x for at, n in pieces for x in w.encode_column(column.slice(at, n), 7).to_pylist()]
+    assert [t for t, x, y in zip(texts, got, want, strict=True) if x != y] == []
+    assert w.encode_column(pa.array([None, None], pa.string()), 7).to_pylist() == [b"\7\0"] * 2
+    asked: list[int] = []
+    monkeypatch.setattr(w, "_letters", lambda x: asked.append(x) or b"\1\0")
+    w.encode_column(pa.array(["newword newword"] * 50), 7)
+    assert asked == ["newword"]
+
+
 @pytest.mark.parametrize("memory,block,short", [(4_000_000, 1 << 16, 0), (4_000_000, 1 << 16, 20), (10, 4, 0), (40, 7, 8)])
 def test_induced_sorting(tmp_path, monkeypatch, memory, block, short):
     """Suffixes and common prefixes against sorting slices; with little memory, queues and lists go to disk and back."""
