@@ -472,7 +472,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         own = tmp.save(own.groupBy("_id").agg(F.collect_set("_list").alias("_lists")), "crowded")
         named = own.join(texts, own["_id"] == texts["id"]).join(found, F.col("id") == found["node"], "left")
         named = named.select("id", "fp", F.coalesce("root", "id").alias("label"), "n", F.col("_lists.key").alias("keys"), F.col("_lists.blocks").alias("blocks"))
-        again = named.mapInPandas(repost, "key long, h0 long, h1 long, id long, label long, n int, _blocks int, fp binary")
+        # Texts of many lists stand side by side where they were grouped; dealt anew, each task posts its share (96 rows a text at most).
+        again = named.repartition("id").mapInPandas(repost, "key long, h0 long, h1 long, id long, label long, n int, _blocks int, fp binary")
         in_runs = lambda df, *by: df.repartition(partitions(spark), *by).sortWithinPartitions(*by)
         # Only entries that meet a near one of another label need a sketch, which is longer than all the rest of a row. Lists of
         # one block are looked through at once; larger ones with several labels are cut into pairs of blocks first.
